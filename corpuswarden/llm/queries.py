@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import encoding, packing
+from . import encoding, lm, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def remainder(modulus: int):
+    """The fold of a document; a null doc_id is in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(0))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
+    return lm.score(docs, lm.train(docs.where("not held_out")), keep=["doc_id", "held_out"])
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
@@ -20,5 +31,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op9_packing": op9_packing}
+QUERIES = {"op2_lm_scoring": op2_lm_scoring, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {}
