@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, lm, packing
+from . import encoding, lm, neardup, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where("not held_out")), keep=["doc_id", "held_out"])
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
@@ -31,5 +35,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_lm_scoring": op2_lm_scoring, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
+QUERIES = {"op2_lm_scoring": op2_lm_scoring, "op5_near_duplicates": op5_near_duplicates, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {}
