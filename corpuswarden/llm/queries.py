@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, lm, neardup, packing
+from . import encoding, lm, media, neardup, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def remainder(modulus: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(0))
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri, _ = media.write_archives(documents(spark, sf_dir))
+    return media.features(media.read_archives(spark, uri))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
     return lm.score(docs, lm.train(docs.where("not held_out")), keep=["doc_id", "held_out"])
@@ -35,5 +40,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_lm_scoring": op2_lm_scoring, "op5_near_duplicates": op5_near_duplicates, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
+QUERIES = {"op1_media": op1_media, "op2_lm_scoring": op2_lm_scoring, "op5_near_duplicates": op5_near_duplicates, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {}
