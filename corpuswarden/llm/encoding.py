@@ -29,7 +29,6 @@ WINDOW = 32  # bytes that decide on a cut
 MEAN_BITS = 9  # a cut every 512 bytes on average
 LEAST = 128  # bytes between cuts
 MEMORY = 400_000  # words a worker remembers
-SHARD = 1 << 18  # chunks in a file
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -226,7 +225,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = kept(shared_chunks(docs), "chunks")
-    bits = max(1, (common.count() // SHARD).bit_length())
+    bits = max(2, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())  # a few files for each reducing task
     first, ready = shared_dir(spark, "first"), shared_dir(spark, "encoded")
     _shelve(common, first, bits, _docs)
 
