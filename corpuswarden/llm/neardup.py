@@ -3,17 +3,19 @@
 Words are lower-cased (A-Z) runs without ASCII white space. A k-mer is five words and the number of times it
 stood before in the text; a text with fewer words is one k-mer. For each of many hash functions the sketch
 keeps the few least k-mers in the order of the text, so that two sketches agree if the texts share k-mers
-*and* their order. Two such sketches make a band, and texts that agree in a band are candidates.
+*and* their order. Texts that agree in one of several bands are candidates.
 
-The similarity of two texts is c / (n + m - c), with n and m their numbers of k-mers and c the longest
-common subsequence; they are linked from 0.8 on. Its complement is a metric, the Steinhaus form of the
-insertion-deletion distance, and a link leaves at most (n + m) / 9 insertions and deletions: that bounds the
-band of the alignment.
+The similarity of two texts is the lesser of two: c / (n + m - c), with n and m their numbers of k-mers and c
+the longest common subsequence, and the same ratio over their sets of k-mers, without which a passage
+repeated hundreds of times would outweigh all else. Texts are linked from 0.8 on. The complements of both,
+and so of their minimum, are metrics (the first is the Steinhaus form of the insertion-deletion distance); a
+link leaves at most (n + m) / 9 insertions and deletions, which bounds the band of the alignment. A band's
+key holds one sketch of all labelled k-mers and one of first occurrences.
 
-Exact copies are one node. In each bucket every node is first compared with the bucket's least node; once the
-linked ones are one component, only nodes of different components are compared with each other, and of these
-only those that the lengths and the triangle inequality leave open. So a group of any size costs about its
-size and no link that joins two components is lost.
+Exact copies are one node. In each bucket every node is first compared with the bucket's best-connected node;
+once the linked ones are one component, only nodes of different components are compared with each other, and
+of these only those that lengths, the triangle inequality and a parity sketch of the sets leave open. So a group of any size costs
+about its size and no link that joins two components is lost.
 
 Defined results: a text without words (null, empty) is linked to nothing and is a class of its own; rows with
 equal texts are one class; the class id is the least doc_id of the class (null doc_ids count last); an empty
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import kept, slices, utf8
@@ -34,9 +36,10 @@ from .words import LOWER, mix, places, span_hashes
 SIMILARITY = 0.8
 K = 5
 SKETCH = 3  # k-mers of a sketch
-ROWS = 2  # sketches of a band
 BANDS = 24
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+PARITY = 11  # 2048 bits
+STARS = 3  # rounds of comparisons with one node of each bucket
+_SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
 def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
@@ -50,26 +53,26 @@ def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     return out
 
 
-def labelled(grams: np.ndarray) -> np.ndarray:
-    """Each k-mer together with how often it stood before in the text."""
+def labelled(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each k-mer together with how often it stood before in the text, and whether it never did."""
     order = np.argsort(grams, kind="stable")
     s = grams[order]
     new = np.r_[True, s[1:] != s[:-1]]
     if new.all():
-        return mix(grams)
+        return mix(grams), np.ones(len(grams), bool)
     at = np.arange(len(s))
     nth = np.empty(len(s), np.uint64)
     nth[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return mix(grams + nth * np.uint64(0x9FB21C651E98DF25))
+    return mix(grams + nth * np.uint64(0x9FB21C651E98DF25)), nth == 0
 
 
-def sketches(grams: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
+def least_in_order(grams: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """For each hash function a key of its least k-mers, in the order of the text."""
     n, size = len(grams), min(SKETCH, len(grams))
-    keys = np.empty(len(_SEEDS), np.uint64)
+    keys = np.empty(len(seeds), np.uint64)
     step = max(1, (1 << 19) // n)
-    for a in range(0, len(_SEEDS), step):
-        h = grams[None, :] * _SEEDS[a : a + step, None]
+    for a in range(0, len(seeds), step):
+        h = grams[None, :] * seeds[a : a + step, None]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9E3779B97F4A7C15)
         rows = np.arange(len(h))
@@ -82,10 +85,22 @@ def sketches(grams: np.ndarray) -> np.ndarray:
         for j in range(size):
             key = mix(key + grams[least[:, j]])
         keys[a : a + step] = key
-    out = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        out = mix(out + keys[r::ROWS])
-    return out
+    return keys
+
+
+def sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band: a sketch of all labelled k-mers and one of first occurrences."""
+    out = mix(np.arange(BANDS, dtype=np.uint64) + least_in_order(grams, _SEEDS[:BANDS]))
+    return mix(out + least_in_order(grams if first.all() else grams[first], _SEEDS[BANDS:]))
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """A bit for each of many hash values, set if an odd number of the (different) k-mers have it.
+
+    Two texts' bits differ in no more places than their sets do in k-mers: a bound that never rejects a link.
+    """
+    bits = np.bincount((mix(grams) >> np.uint64(64 - PARITY)).astype(np.int64), minlength=1 << PARITY).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
 
 
 def word_arrays(batch: pa.RecordBatch):
@@ -100,20 +115,22 @@ def word_arrays(batch: pa.RecordBatch):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the words (null without words), number of k-mers, keys of the bands."""
+    """doc_id, key of the words (null without words), numbers of k-mers, parity sketch, keys of the bands."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                node, n, bands = [], [], []
+                node, n, bands, distinct, odd = [], [], [], [], []
                 for words, key in word_arrays(batch):
-                    grams = labelled(kmers(words))
+                    grams, first = labelled(kmers(words))
                     node.append(key if len(words) else None)
                     n.append(len(grams))
-                    bands.append(sketches(grams).view(np.int64) if len(words) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands"])
+                    distinct.append(int(first.sum()))
+                    odd.append(parity(grams[first]) if len(words) else None)
+                    bands.append(sketches(grams, first).view(np.int64) if len(words) else None)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(distinct, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "n", "distinct", "odd", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node binary, n int, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node binary, n int, distinct int, odd array<long>, bands array<long>")
 
 
 def node_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -190,17 +207,18 @@ def common_subsequence(x: np.ndarray, y: np.ndarray, most: int) -> int:
 
 def similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> tuple[float, bool]:
     """(similarity, exact). Where it is clearly lower than asked for, an upper bound, and not exact."""
-    x, y = labelled(kmers(x)), labelled(kmers(y))
+    (x, fx), (y, fy) = labelled(kmers(x)), labelled(kmers(y))
     n, m = len(x), len(y)
     if not n or not m:
         return 0.0, True
-    bound = len(np.intersect1d(x, y, assume_unique=True))
-    if bound / (n + m - bound) < least:
-        return bound / (n + m - bound), False
+    ratio = lambda c, a, b: c / (a + b - c)
+    distinct = ratio(len(np.intersect1d(x[fx], y[fy], assume_unique=True)), int(fx.sum()), int(fy.sum()))
+    bound = min(distinct, ratio(len(np.intersect1d(x, y, assume_unique=True)), n, m))
+    if bound < least:
+        return bound, False
     # c >= least * (n + m) / (1 + least), so at most so many entries of either text are left out
-    most = int(np.floor((n + m) * (1 - least) / (1 + least) + 1e-9))
-    c = common_subsequence(x, y, most)
-    return (c / (n + m - c), True) if c >= 0 else (np.nextafter(least, 0), False)
+    c = common_subsequence(x, y, int(np.floor((n + m) * (1 - least) / (1 + least) + 1e-9)))
+    return (min(distinct, ratio(c, n, m)), True) if c >= 0 else (np.nextafter(least, 0), False)
 
 
 def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -242,35 +260,52 @@ def classes(docs: DataFrame) -> DataFrame:
     n_links: verified links of the row's text to other texts, as far as they were needed for the classes.
     """
     signed = kept(signatures(docs), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("at"), *(F.first(c).alias(c) for c in ("n", "distinct", "odd", "bands")))
     nodes = kept(nodes, "nodes")
-    buckets = kept(nodes.select("node", "n", F.explode("bands").alias("band")), "buckets")
-    heads = buckets.groupBy("band").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    met = kept(buckets.join(heads, "band").select("band", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "met")
-    near = F.least("n", "head_n") >= SIMILARITY * F.greatest("n", "head_n")
-    stars = kept(met.where((F.col("node") != F.col("head")) & near).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("agree")), "stars")
-    wanted = met.select("node").distinct().join(nodes.select("node", "at"), "node")
+    buckets = nodes.select("node", "n", F.explode("bands").alias("band"))
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    met = kept(buckets.join(sizes, "band"), "met")
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    wanted = weights.select("node").join(nodes.select("node", "at"), "node")
+    met = kept(met.drop("size").join(weights, "node"), "met")
     words = kept(node_words(docs, wanted), "words")
 
-    # First each node with the head that it meets most often, then what is still open.
-    best = stars.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    sims = kept(compared(best, words), "sims")
-    roots = components(sims.where(F.col("sim") >= SIMILARITY))
-    rest = apart(stars.select("a", "b").join(sims, ["a", "b"], "left_anti"), roots)
-    more = kept(compared(rest, words), "sims")
-    sims = sims.unionByName(more)
-    roots = components(sims.where(F.col("sim") >= SIMILARITY))
-
-    # Within buckets whose nodes are not yet one component: all that lengths and the head's distances leave open.
-    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    torn = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    far = sims.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("sim")).alias("far"))
-    open_nodes = kept(rooted.join(torn, "band").join(far, ["head", "node"], "left").withColumn("far", F.when(F.col("node") == F.col("head"), 0.0).otherwise(F.col("far"))), "open")
+    # Stars first: each bucket's nodes with the one that meets most others anywhere (of many copies, the one
+    # that all were made from), then, where a bucket is still of several components, with the next one's.
+    sims = roots = None
+    for turn in range(1, STARS + 1):
+        rooted = torn_buckets(met, roots)
+        first = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "head"))
+        heads = rooted.groupBy("band", "root").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select("band", F.col("root").alias("head_root"), "h.weight", F.col("h.node").alias("head"), F.col("h.n").alias("head_n"))
+        heads = heads.withColumn("turn", first).where(F.col("turn") == turn).drop("turn", "weight")
+        stars = rooted.join(heads, "band").where((F.col("root") != F.col("head_root")) & close("n", "head_n"))
+        pairs = stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+        if sims is None:
+            # Most buckets of a node have the same head; once they are linked, its other heads are often too.
+            often = kept(pairs.groupBy("a", "b").agg(F.count("*").alias("agree")).join(weights.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").join(weights.select(F.col("node").alias("b"), F.col("weight").alias("wb")), "b"), "stars")
+            lighter = F.when((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
+            best = often.withColumn("light", lighter).groupBy("light").agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b")
+            sims = kept(compared(best, words), "sims")
+            roots = components(sims.where(F.col("sim") >= SIMILARITY))
+            pairs = often.select("a", "b")
+        pairs = apart(pairs.distinct().join(sims, ["a", "b"], "left_anti"), roots)
+        more = kept(compared(pairs, words), "sims")
+        sims = sims.unionByName(more)
+        roots = components(sims.where(F.col("sim") >= SIMILARITY))
+
+    # What is still apart within a bucket: all pairs that lengths and distances to a common node leave open.
+    rooted = torn_buckets(met, roots)
+    tops = rooted.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("h")).select("band", F.col("h.node").alias("head"))
+    far = sims.select(F.col("a"), F.col("b"), (1 - F.col("sim")).alias("far"))
+    placed = rooted.join(tops, "band").select("band", "node", "n", "root", "head", F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).join(far, ["a", "b"], "left")
+    open_nodes = kept(placed.select("band", "node", "n", "root", F.when(F.col("node") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far")).join(nodes.select("node", "distinct", "odd"), "node"), "open")
     x, y = open_nodes.alias("x"), open_nodes.alias("y")
     reach = 1 - SIMILARITY
-    # The known distance to the head is exact up to the reach and a lower bound beyond.
-    apart_by_head = ((F.col("x.far") <= reach) & (F.col("y.far") > 2 * reach)) | ((F.col("y.far") <= reach) & (F.col("x.far") > 2 * reach))
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n")) & ~F.coalesce(apart_by_head, F.lit(False)))
+    # A known distance is exact up to the reach and a lower bound beyond it.
+    beyond = ((F.col("x.far") <= reach) & (F.col("y.far") - F.col("x.far") > reach)) | ((F.col("y.far") <= reach) & (F.col("x.far") - F.col("y.far") > reach))
+    differ = sum((F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range((1 << PARITY) // 64)), F.lit(0))
+    possible = differ * (1 + SIMILARITY) <= (F.col("x.distinct") + F.col("y.distinct")) * (1 - SIMILARITY) + 1e-6
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.n", "y.n") & ~F.coalesce(beyond, F.lit(False)) & possible)
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(sims, ["a", "b"], "left_anti")
     last = kept(compared(pairs, words), "sims")
     links = kept(sims.unionByName(last).where(F.col("sim") >= SIMILARITY), "links")
@@ -283,6 +318,20 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.join(sizes, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n_kmers").cast("long").alias("n_kmers"))
 
 
+def close(n: str, m: str) -> Column:
+    """Whether the numbers of k-mers allow a link."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
+def torn_buckets(met: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``met`` with the root of each node's component, for the buckets with more than one component."""
+    if roots is None:
+        return met.withColumn("root", F.col("node"))
+    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    torn = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
+    return rooted.join(torn, "band")
+
+
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components."""
     a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))

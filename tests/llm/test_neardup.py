@@ -42,7 +42,8 @@ def plain(rows):
             n, m = len(g[i]), len(g[j])
             if n and m and min(n, m) >= 0.8 * max(n, m) and len(set(g[i]) & set(g[j])) >= 0.4 * max(n, m):
                 c = lcs(g[i], g[j])
-                if c / (n + m - c) >= 0.8:
+                u, v = ({x for x, k in g[z] if k == 1} for z in (i, j))
+                if c / (n + m - c) >= 0.8 and len(u & v) >= 0.8 * len(u | v):
                     a, b = sorted((find(i), find(j)))
                     root[b] = a
     return {i: find(i) for i in ids}
@@ -99,4 +100,5 @@ def test_large_group_chain_and_empty_table(spark):
 
 @pytest.mark.parametrize("n", [1, 5, 700])
 def test_repeats_are_labelled(n):
-    assert len(set(nd.labelled(np.full(n, 7, np.uint64)).tolist())) == n
+    labels, first = nd.labelled(np.full(n, 7, np.uint64))
+    assert len(set(labels.tolist())) == n and first.sum() == 1
