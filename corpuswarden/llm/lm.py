@@ -24,7 +24,7 @@ from .shared import map_arrays, put_arrays, shared_dir, slices, utf8
 from .words import LOWER, mix, places, span_hashes, unmix
 
 END, BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
-HELD = 4_000_000  # entries that a counting task holds before it sends them
+HELD = 2_000_000  # entries that a counting task holds before it sends them
 
 
 @dataclass(frozen=True)
@@ -181,7 +181,7 @@ def train(texts: DataFrame) -> Model:
         tally, table = Tally(bits), Words(uri, bits, bases)
         begin = int(table.numbers(np.array([BEGIN]))[0])
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 tokens, first = stream(batch)
                 distinct, inverse = np.unique(tokens, return_inverse=True)
                 yield from tally.add(pair_keys(table.numbers(distinct)[inverse], first, begin)[0])
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model, *, keep: list[str]) -> DataFrame:
         base_total = model.tokens + model.words + 1
         spare = (w1 * model.kinds[0] + w2 * model.kinds[1] + w3 * model.kinds[2]) / model.pairs if model.pairs else 1.0
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 tokens, first = stream(batch)
                 distinct, inverse = np.unique(tokens, return_inverse=True)
                 n = len(distinct)
