@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, lm, media, neardup, packing
+from . import encoding, lines, lm, media, neardup, oracles, packing, quality, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where("not held_out")), keep=["doc_id", "held_out"])
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.cleaned(documents(spark, sf_dir))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir))
 
@@ -40,5 +48,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_media": op1_media, "op2_lm_scoring": op2_lm_scoring, "op5_near_duplicates": op5_near_duplicates, "op6_bpe": op6_bpe, "op9_packing": op9_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_media": op1_media, "op2_lm_scoring": op2_lm_scoring, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_bpe": op6_bpe, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
+ORACLE_SQL: dict[str, str] = {"op3_quality": oracles.OP3, "op4_line_dedup": oracles.OP4}
