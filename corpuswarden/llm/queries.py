@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, lines, lm, media, neardup, oracles, packing, quality, secrets
+from . import cotrain, encoding, langid, lines, lm, media, neardup, oracles, packing, quality, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (remainder(3) == 1).alias("held_out"))
+    return langid.identified(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -52,5 +61,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_media": op1_media, "op2_lm_scoring": op2_lm_scoring, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_bpe": op6_bpe, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
+QUERIES = {"op1_media": op1_media, "op2_lm_scoring": op2_lm_scoring, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_bpe": op6_bpe, "op7_quality_classifier": op7_quality_classifier, "op8_language_id": op8_language_id, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {"op3_quality": oracles.OP3, "op4_line_dedup": oracles.OP4}
