@@ -153,7 +153,7 @@ def train(texts: DataFrame) -> Model:
     """Count all rows of the column ``text``."""
     spark = texts.sparkSession
     texts = texts.select(F.col("text").cast("string").alias("text"))
-    bits = max(2, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     uri = shared_dir(spark, "ngrams")
 
     def count_words(batches):
