@@ -104,7 +104,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[starts[0] : starts[-1]], starts - starts[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Parts of a batch with about ``most`` bytes of text each; a longer text comes alone."""
     _, starts = utf8(batch.column(column))
     at = 0
