@@ -49,11 +49,11 @@ def suppressed(findings: DataFrame, suppressions: DataFrame, as_of: dt.date) ->
     live = suppressions.where(F.col("expires").isNull() | (F.col("expires") >= day)).select("ord", "rule", F.col("path").alias("pattern"), "reason")
     ids = findings.select("rule_id").distinct()
     exact = live.where(~F.col("rule").rlike("[*?]")).withColumn("rule_id", F.col("rule"))
-    wild = live.where(F.col("rule").rlike("[*?]")).join(ids, F.expr("true") & ids["rule_id"].rlike(glob_regex("rule")))
+    wild = live.where(F.col("rule").rlike("[*?]")).join(ids, F.rlike(ids["rule_id"], glob_regex("rule")))
     table = exact.select("rule_id", "ord", "pattern", "reason").unionByName(wild.select("rule_id", "ord", "pattern", "reason"))
     keyed = findings.withColumn("_key", F.xxhash64("site_id", "mode", "rule_id", "path"))
     places = keyed.select("_key", "rule_id", "path").distinct()
-    hit = places.join(table, "rule_id").where(F.col("pattern").isNull() | normalized_path("path").rlike(glob_regex("pattern")))
+    hit = places.join(table, "rule_id").where(F.col("pattern").isNull() | F.rlike(normalized_path("path"), glob_regex("pattern")))
     first = hit.groupBy("_key").agg(F.min(F.struct("ord", "reason")).alias("x")).select("_key", F.col("x.ord").alias("suppression"), F.col("x.reason").alias("reason"))
     return keyed.join(first, "_key", "left").drop("_key")
 

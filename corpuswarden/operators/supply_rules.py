@@ -184,7 +184,7 @@ def environment_findings(sources: DataFrame) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     placed = own.select("site_id", "path", F.explode(ancestors).alias("dir"))
     rel = F.when(F.col("dir") == "", F.col("path")).otherwise(F.expr("substring(path, length(dir) + 2)"))
-    hit = placed.join(ignore_rules(sources), ["site_id", "dir"]).where(rel.rlike(F.col("regex")))
+    hit = placed.join(ignore_rules(sources), ["site_id", "dir"]).where(F.rlike(rel, F.col("regex")))
     verdict = hit.groupBy("site_id", "path").agg(F.max_by("negated", F.struct("depth", "at")).alias("negated"))
     kept = own.join(verdict.where("not negated"), ["site_id", "path"], "left_anti")
     return emit(_row(kept, "environment-hygiene", F.lit("environment file is not ignored")))
