@@ -42,8 +42,12 @@ def rank(column: Column | str, order: tuple[str, ...]) -> Column:
     return out.otherwise(len(order))
 
 
-SEVERITY_RANK = rank("severity", SEVERITIES)
-CONFIDENCE_RANK = rank("confidence", ("high", "medium", "unknown", "low"))
+def severity_rank() -> Column:
+    return rank("severity", SEVERITIES)
+
+
+def confidence_rank() -> Column:
+    return rank("confidence", ("high", "medium", "unknown", "low"))
 
 
 def valid(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +68,7 @@ def valid(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def deduplicated(findings: DataFrame) -> DataFrame:
     """One row for each rule, place and evidence: the most severe and surest."""
-    key = Window.partitionBy("site_id", "mode", "rule_id", "path", "line", "evidence").orderBy(SEVERITY_RANK, CONFIDENCE_RANK, "manual")
+    key = Window.partitionBy("site_id", "mode", "rule_id", "path", "line", "evidence").orderBy(severity_rank(), confidence_rank(), "manual")
     return findings.withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n")
 
 
@@ -79,7 +83,7 @@ def fingerprinted(findings: DataFrame) -> DataFrame:
 
 def capped(findings: DataFrame, cap: int = CAP) -> DataFrame:
     """The first rows of each rule of a site by severity, confidence and place, and their rank."""
-    order = Window.partitionBy("site_id", "rule_id").orderBy(SEVERITY_RANK, CONFIDENCE_RANK, "manual", "path", "line", "evidence")
+    order = Window.partitionBy("site_id", "rule_id").orderBy(severity_rank(), confidence_rank(), "manual", "path", "line", "evidence")
     return findings.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
 
@@ -90,7 +94,7 @@ def cap_counts(findings: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(SEVERITY_RANK, "category", "path", "line", "rule_id", "evidence")
+    return findings.orderBy(severity_rank(), "category", "path", "line", "rule_id", "evidence")
 
 
 def points() -> Column:
@@ -102,7 +106,7 @@ def points() -> Column:
 
 def contributions(findings: DataFrame) -> DataFrame:
     """The strongest row of each family of a site; a max, so it combines before the shuffle."""
-    best = F.max(F.struct("points", (-SEVERITY_RANK).alias("s"), "rule_id"))
+    best = F.max(F.struct("points", (-severity_rank()).alias("s"), "rule_id"))
     return findings.withColumn("points", points()).groupBy("site_id", "mode", "family").agg(best.alias("x"), F.count("*").alias("signals")).select("site_id", "mode", "family", "x.points", "x.rule_id", "signals")
 
 

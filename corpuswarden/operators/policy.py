@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, normalized_path
 from .catalogue import SEVERITIES
-from .findings import SEVERITY_RANK, rank
+from .findings import rank, severity_rank
 
 ENTRY = ["site_id", "mode", "fingerprint", "rule_id", "severity", "path"]
 
 
 def baseline_of(findings: DataFrame) -> DataFrame:
     """Baseline entries of fingerprinted findings, one for each fingerprint."""
-    best = F.min(F.struct(SEVERITY_RANK.alias("r"), "severity", "rule_id", "path"))
+    best = F.min(F.struct(severity_rank().alias("r"), "severity", "rule_id", "path"))
     return findings.groupBy("site_id", "mode", "fingerprint").agg(best.alias("x")).select("site_id", "mode", "fingerprint", "x.rule_id", "x.severity", "x.path")
 
 
@@ -24,7 +24,7 @@ def compared(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings with baseline_state (new, unchanged) and escalated (more severe than before)."""
     old = baseline.select("site_id", "mode", "fingerprint", F.col("severity").alias("_old"))
     met = findings.join(old, ["site_id", "mode", "fingerprint"], "left")
-    worse = F.col("_old").isNotNull() & (SEVERITY_RANK < rank("_old", SEVERITIES))
+    worse = F.col("_old").isNotNull() & (severity_rank() < rank("_old", SEVERITIES))
     return met.withColumn("baseline_state", F.when(F.col("_old").isNull(), "new").otherwise("unchanged")).withColumn("escalated", worse).drop("_old")
 
 
@@ -69,7 +69,7 @@ def counters(policy: DataFrame) -> DataFrame:
 
 def gate(policy: DataFrame, at_least: str, new_only: bool = False, regressions_only: bool = False) -> DataFrame:
     """Sites with the number of active findings at or above a severity, and whether they fail."""
-    counted: Column = (SEVERITY_RANK <= SEVERITIES.index(at_least)) & F.col("suppression").isNull()
+    counted: Column = (severity_rank() <= SEVERITIES.index(at_least)) & F.col("suppression").isNull()
     if new_only:
         counted = counted & (F.col("baseline_state") == "new")
     if regressions_only:
