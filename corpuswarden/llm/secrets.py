@@ -89,7 +89,9 @@ def labelled(docs: DataFrame, base: DataFrame, ordinary: int = ORDINARY_DOCUMENT
     the wider alphabet. Ordinary identifiers are the runs too short to be candidates.
     """
     values = base.where(F.length("value") >= 20).select(F.col("value").alias("sample")).distinct().orderBy(F.xxhash64("sample"), "sample").limit(random)
-    chosen = docs.orderBy(F.xxhash64("row"), "row").limit(ordinary)
+    # Only keys are sorted and limited; the few texts are then fetched where they lie.
+    keys = docs.select("row").distinct().orderBy(F.xxhash64("row"), "row").limit(ordinary)
+    chosen = docs.join(F.broadcast(keys), "row", "left_semi")
     digests = chosen.select(F.translate(F.base64(F.unhex(F.sha2("row", 256))), "=", "").alias("sample"))
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "[0-9a-f]{24,}|AKIA[A-Z0-9]+", " ")
     words = chosen.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("sample")).where(F.length("sample") < 20)
