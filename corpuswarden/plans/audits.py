@@ -40,7 +40,7 @@ def earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suppressions(spark: SparkSession) -> DataFrame:
     """The configured suppressions (a setting, not data)."""
-    rows = [(1, "seo-missing-social-*", None, "not shared on social networks", None), (2, "seo-missing-canonical", "http://**", "old pages", dt.date(2030, 1, 1)), (3, "responsive-*", None, "out of date", dt.date(2020, 1, 1)), (4, "seo-*", "**", "accepted", None)]
+    rows = [(1, "seo-missing-social-*", None, "not shared on social networks", None), (2, "seo-missing-canonical", "http:/**", "old pages", dt.date(2030, 1, 1)), (3, "responsive-*", None, "out of date", dt.date(2020, 1, 1)), (4, "seo-*", "**", "accepted", None)]
     return spark.createDataFrame(rows, "ord int, rule string, path string, reason string, expires date")
 
 
