@@ -16,7 +16,7 @@ def test_stages(spark):
     copy = rows[4][1].split(" ")
     copy[20] = "changed"
     secret = "0123456789abcdef" * 3
-    rows += [(100, "12 34 !!", "aa", "host", 8), (101, None, "aa", "host", 0), (102, rows[3][1], "aa", "other", 1), (103, " ".join(copy), "bb", "third", 1), (104, text("aa", 60) + f" token = '{secret}' " + text("aa", 9), "aa", "host", 1)]
+    rows += [(100, "12 34 !!", "aa", "host", 8), (101, None, "aa", "host", 0), (102, rows[3][1], "aa", "other", 1), (103, " ".join(copy), "bb", "host", 1), (104, text("aa", 60) + f" token = '{secret}' " + text("aa", 9), "aa", "host", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     seen = []
     for name, stage in p.STAGES[:-1]:
