@@ -1,9 +1,10 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-Words are lower-cased (A-Z) runs without ASCII white space. A k-mer is five words and the number of times it
-stood before in the text; a text with fewer words is one k-mer. For each of many hash functions the sketch
-keeps the few least k-mers in the order of the text, so that two sketches agree if the texts share k-mers
-*and* their order. Texts that agree in one of several bands are candidates.
+Words are lower-cased (A-Z) runs without ASCII white space. A k-mer is five words; a text with fewer words is
+one k-mer. For the sketches only, each k-mer is labelled with the number of times it stood before in the text.
+For each of many hash functions the sketch keeps the few least labelled k-mers in the order of the text, so
+that two sketches agree if the texts share k-mers *and* their order. Texts that agree in one of several bands
+are candidates.
 
 The similarity of two texts is the lesser of two: c / (n + m - c), with n and m their numbers of k-mers and c
 the longest common subsequence, and the same ratio over their sets of k-mers, without which a passage
@@ -207,13 +208,15 @@ def common_subsequence(x: np.ndarray, y: np.ndarray, most: int) -> int:
 
 def similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> tuple[float, bool]:
     """(similarity, exact). Where it is clearly lower than asked for, an upper bound, and not exact."""
-    (x, fx), (y, fy) = labelled(kmers(x)), labelled(kmers(y))
+    x, y = kmers(x), kmers(y)
     n, m = len(x), len(y)
     if not n or not m:
         return 0.0, True
+    (lx, fx), (ly, fy) = labelled(x), labelled(y)
     ratio = lambda c, a, b: c / (a + b - c)
-    distinct = ratio(len(np.intersect1d(x[fx], y[fy], assume_unique=True)), int(fx.sum()), int(fy.sum()))
-    bound = min(distinct, ratio(len(np.intersect1d(x, y, assume_unique=True)), n, m))
+    distinct = ratio(len(np.intersect1d(lx[fx], ly[fy], assume_unique=True)), int(fx.sum()), int(fy.sum()))
+    # Labels pair each k-mer as often as it stands in both texts: no common subsequence is longer.
+    bound = min(distinct, ratio(len(np.intersect1d(lx, ly, assume_unique=True)), n, m))
     if bound < least:
         return bound, False
     # c >= least * (n + m) / (1 + least), so at most so many entries of either text are left out

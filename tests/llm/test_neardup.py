@@ -102,3 +102,44 @@ def test_large_group_chain_and_empty_table(spark):
 def test_repeats_are_labelled(n):
     labels, first = nd.labelled(np.full(n, 7, np.uint64))
     assert len(set(labels.tolist())) == n and first.sum() == 1
+
+
+def unlabelled(x, y):
+    a, b = ([g for g, _ in grams(t)] for t in (x, y))
+    c = lcs(a, b)
+    return min(c / (len(a) + len(b) - c), len(set(a) & set(b)) / len(set(a) | set(b)))
+
+
+def test_repeated_passages_align_without_their_labels(spark):
+    rows, k = [], 0
+    for repeats, size, other, removed in ((10, 12, 12, 0), (3, 12, 30, 0), (10, 12, 25, 12)):
+        line = [f"l{repeats}x{other}n{j}" for j in range(size)]
+        text = [w for r in range(repeats) for w in [*line, *(f"o{repeats}x{other}r{r}n{j}" for j in range(other))]]
+        changed = text[removed:] if removed else [*text[:5], "changed", *text[6:]]
+        x, y = " ".join(text), " ".join(changed)
+        words = [nd.span_hashes(raw, *nd.places(raw, starts), nd.LOWER) for raw, starts in ((np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in (x, y))]
+        sim, exact = nd.similarity(*words)
+        assert exact and sim == pytest.approx(unlabelled(x, y)) and sim > 0.9
+        rows += [(k, x), (k + 1, y)]
+        k += 2
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(k)}
+
+
+def test_similarity_of_repeats_equals_the_plain_ratio():
+    rng = random.Random(9)
+    linked = 0
+    for _ in range(150):
+        line = [f"l{j}" for j in range(rng.choice([6, 12]))]
+        x = [w for r in range(rng.choice([2, 4, 8])) for w in [*line, *(f"o{r}n{j}" for j in range(rng.choice([0, 5, 20])))]]
+        y = list(x)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.choice([0, 1, len(line)])] = rng.choices(["u", "v"], k=rng.randrange(2))
+            y = y or ["w"]
+        vocabulary = {w: np.uint64(k + 1) for k, w in enumerate({*x, *y})}
+        sim, exact = nd.similarity(*(mix(np.array([vocabulary[w] for w in z], np.uint64)) for z in (x, y)))
+        want = unlabelled(" ".join(x), " ".join(y))
+        assert (sim == pytest.approx(want)) if want >= nd.SIMILARITY else sim < nd.SIMILARITY
+        linked += want >= nd.SIMILARITY
+    assert linked > 20
