@@ -115,8 +115,14 @@ def word_arrays(batch: pa.RecordBatch):
         yield words, xxhash.xxh3_128_digest(words.tobytes())
 
 
+def text_key() -> list[Column]:
+    """hash, size: with the doc_id, the same for rows of equal id and text."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("hash"), F.coalesce(F.length(text), F.lit(-1)).alias("size")]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the words (null without words), numbers of k-mers, parity sketch, keys of the bands."""
+    """doc_id, key of the text, of the words (null without words), numbers of k-mers, parity sketch, keys of the bands."""
 
     def run(batches):
         for whole in batches:
@@ -129,9 +135,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     distinct.append(int(first.sum()))
                     odd.append(parity(grams[first]) if len(words) else None)
                     bands.append(sketches(grams, first).view(np.int64) if len(words) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(distinct, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "n", "distinct", "odd", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hash", "size")), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(distinct, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "hash", "size", "node", "n", "distinct", "odd", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node binary, n int, distinct int, odd array<long>, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *text_key()).mapInArrow(run, "doc_id long, hash long, size int, node binary, n int, distinct int, odd array<long>, bands array<long>")
 
 
 def node_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -257,8 +263,8 @@ def components(links: DataFrame) -> DataFrame:
         labels = lower.select("node", "root")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, n_links, n_kmers for each row.
+def rooted_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, hash, size, root (null without words), n_links, n_kmers for each row; a class has one root.
 
     n_links: verified links of the row's text to other texts, as far as they were needed for the classes.
     """
@@ -316,7 +322,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     found = nodes.select("node").join(roots, "node", "left").join(degree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = kept(signed.select("doc_id", "node", F.col("n").alias("n_kmers")).join(found, "node", "left"), "rows")
+    return kept(signed.select("doc_id", "hash", "size", "node", F.col("n").alias("n_kmers")).join(found, "node", "left").drop("node"), "rows")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, class_size, n_links, n_kmers for each row."""
+    rows = rooted_rows(docs)
     sizes = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(sizes, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n_kmers").cast("long").alias("n_kmers"))
 
@@ -343,7 +354,21 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, and of each class only the row with the class's doc_id; rows without words stay."""
-    found = classes(docs.select("doc_id", "text")).where("class_id is null or doc_id = class_id").select(F.col("doc_id").alias("_own")).distinct()
-    one = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_own")), "left_semi")
-    return one
+    """The columns of ``docs``, and of each class only one row, with the class's doc_id; rows without words stay.
+
+    Of equal ids and texts that differ in other columns, the row with the least of these stays.
+    """
+    rows = rooted_rows(docs.select("doc_id", "text"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "size")
+    one = rows.where("root is not null").groupBy("root", "doc_id", "hash", "size").agg(F.count("*").alias("times"))
+    one = one.groupBy("root").agg(F.min(F.struct(key.alias("key"), "times")).alias("x")).select("x.key.doc_id", "x.key.hash", "x.key.size", "x.times")
+    wordless = rows.where("root is null").select("doc_id", "hash", "size").distinct().withColumn("times", F.lit(1).cast("long"))
+    chosen = kept(one.unionByName(wordless), "chosen").select(F.col("doc_id").alias("_own"), F.col("hash").alias("_own_hash"), F.col("size").alias("_own_size"), F.col("times").alias("_times"))
+    hashed, size = text_key()
+    own = docs.withColumns({"_hash": hashed, "_size": size})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_own")) & (F.col("_hash") == F.col("_own_hash")) & (F.col("_size") == F.col("_own_size"))
+    met = own.join(chosen, same)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # Only rows that stand several times are brought together.
+    again = met.where("_times > 1").groupBy("_own", "_hash", "_size").agg(F.min(F.struct(*names)).alias("x"))
+    return met.where("_times = 1").select(*names).unionByName(again.select(*[F.col(f"x.`{c}`") for c in docs.columns]))

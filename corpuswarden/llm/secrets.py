@@ -52,7 +52,9 @@ def matches(docs: DataFrame, patterns: dict[str, tuple[str, int, int]]) -> DataF
         zipped = F.arrays_zip(whole.alias("match"), value.alias("value"), F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"))
         found.append(F.struct(F.lit(kind).alias("kind"), F.lit(least).alias("least"), F.when(F.regexp_like(text, F.lit(pattern)), zipped).alias("found")))
     each = docs.select("row", F.explode(F.array(*found)).alias("x")).where("x.found is not null")
-    each = each.select("row", "x.kind", "x.least", F.posexplode("x.found").alias("at", "y")).where("y.match is not null")
+    # Equal rows have one key: their matches are added up once.
+    each = each.select("row", "x.kind", "x.least", "x.found").dropDuplicates(["row", "kind"])
+    each = each.select("row", "kind", "least", F.posexplode("found").alias("at", "y")).where("y.match is not null")
     order = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("y.match")
     end = F.sum(F.col("y.gap") + size).over(order)
@@ -91,7 +93,7 @@ def labelled(docs: DataFrame, base: DataFrame, ordinary: int = ORDINARY_DOCUMENT
     values = base.where(F.length("value") >= 20).select(F.col("value").alias("sample")).distinct().orderBy(F.xxhash64("sample"), "sample").limit(random)
     # Only keys are sorted and limited; the few texts are then fetched where they lie.
     keys = docs.select("row").distinct().orderBy(F.xxhash64("row"), "row").limit(ordinary)
-    chosen = docs.join(F.broadcast(keys), "row", "left_semi")
+    chosen = docs.join(F.broadcast(keys), "row", "left_semi").dropDuplicates(["row"])
     digests = chosen.select(F.translate(F.base64(F.unhex(F.sha2("row", 256))), "=", "").alias("sample"))
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "[0-9a-f]{24,}|AKIA[A-Z0-9]+", " ")
     words = chosen.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("sample")).where(F.length("sample") < 20)

@@ -102,3 +102,14 @@ def test_redaction_and_empty_table(spark):
     assert got[0].text.count("[secret]") == 1 and got[0].text.startswith("é日 ") and got[0].n_chars == len(got[0].text)
     assert got[200].text is None and got[201].text == "" and got[201].n_chars == 5
     assert secrets.scanned(docs.where("false")).count() == 0
+
+
+def test_repeated_rows_with_secrets(spark):
+    text = f"see AKIA{'A1' * 8} and token = abcdef12 then AKIA{'B2' * 8} end"
+    rows = [(1, text), (1, text), (None, text), (None, text), (None, text), (2, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.scanned(docs).collect()
+    base = plain_base(text)
+    want = ",".join(":".join(map(str, s)) for s in base)
+    assert len(got) == len(rows) and {(r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got} == {(1, 2, 0, hashlib.sha256(want.encode()).hexdigest(), want)}
+    assert [r.text for r in secrets.redacted(docs).collect()] == ["see [secret] and [secret] then [secret] end"] * len(rows)

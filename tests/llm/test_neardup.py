@@ -143,3 +143,12 @@ def test_similarity_of_repeats_equals_the_plain_ratio():
         assert (sim == pytest.approx(want)) if want >= nd.SIMILARITY else sim < nd.SIMILARITY
         linked += want >= nd.SIMILARITY
     assert linked > 20
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a, "y"), (1, a, "x"), (1, b, "x"), (2, b + " end", "x"), (3, c, "x"), (4, a, "x"), (5, c, "x"), (5, "own text of five", "x"), (None, "one two", "x"), (None, "one two", "x"), (None, a, "x"), (None, None, "x"), (7, "", "x"), (7, "", "x")]
+    got = nd.kept_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.columns == ["doc_id", "text", "source"]
+    want = [(1, a, "x"), (1, b, "x"), (3, c, "x"), (5, "own text of five", "x"), (None, "one two", "x"), (None, None, "x"), (7, "", "x"), (7, "", "x")]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
