@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate on their host."""
-    return lines.cleaned(docs).select(*docs.columns)
+    """Documents without the lines that are boilerplate on their host, whose copies of a text are one page."""
+    return lines.cleaned(docs, copies=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ around it; blank lines are never counted nor dropped. Since a page holds a line
 host has no more boilerplate lines than its mean number of lines a page divided by the ratio, whatever its
 size; they travel as one array a host.
 
-Defined results: a null text stays null; a null host is a host of its own; equal rows count as pages each;
-an empty table gives an empty result; all columns of the input stay as they are but ``text``, and ``n_chars``
+Where ``copies`` are one page, pages of a host with the same text count once, in a line's pages and in the
+host's: a text with many copies is then no boilerplate of itself.
+
+Defined results: a null text stays null; a null host is a host of its own; equal rows count as pages each
+unless copies are one page; an empty table gives an empty result; all columns of the input stay as they are but ``text``, and ``n_chars``
 where it is there.
 """
 
@@ -25,20 +28,24 @@ def key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\x0b\x0c\r"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, copies: bool = False) -> DataFrame:
     """source, line key, pages with it, pages of the host."""
-    pages = docs.groupBy("source").agg(F.count("*").alias("host_pages"))
+    page = F.xxhash64(F.length("text"), "text")
+    number = F.count_distinct(page) if copies else F.count("*")
+    pages = docs.groupBy("source").agg(number.alias("host_pages"))
     lines = F.array_distinct(F.filter(F.transform(F.split(F.col("text"), "\n"), key), lambda x: x != ""))
-    seen = docs.select("source", F.explode(lines).alias("line")).groupBy("source", F.xxhash64("line").alias("hash"), F.length("line").alias("size")).agg(F.count("*").alias("pages"))
+    each = docs.select("source", "text", F.explode(lines).alias("line")).select("source", F.xxhash64("line").alias("hash"), F.length("line").alias("size"), page.alias("page"))
+    number = F.count_distinct("page") if copies else F.count("*")
+    seen = each.groupBy("source", "hash", "size").agg(number.alias("pages"))
     often = seen.where(F.col("pages") >= least)
     host = pages.select(F.col("source").alias("host"), "host_pages")
     return often.join(host, F.col("source").eqNullSafe(F.col("host"))).where(F.col("pages") > ratio * F.col("host_pages")).select("source", "hash", "size", "pages", "host_pages")
 
 
-def cleaned(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def cleaned(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, copies: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the text less its boilerplate lines, and lines_dropped."""
     own = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    found = boilerplate(own, ratio, least)
+    found = boilerplate(own, ratio, least, copies)
     bad = kept(found.groupBy("source").agg(F.collect_set(F.struct("hash", "size")).alias("lines")), "boilerplate").select(F.col("source").alias("_host"), F.col("lines").alias("_lines"))
     met = docs.join(bad, F.col("source").cast("string").eqNullSafe(F.col("_host")), "left")
     lines = F.split(F.col("text"), "\n")

@@ -29,3 +29,16 @@ def test_stages(spark):
     assert secret not in seen[3][104].text and "[secret]" in seen[3][104].text and set(seen[3]) == set(seen[2])
     packed = p.STAGES[-1][1](spark, docs, "").collect()
     assert {r.doc_id for r in packed} == set(seen[3])
+
+
+def test_one_whole_text_of_the_copies_of_a_host_stays(spark):
+    words = [f"w{k}" for k in range(500)]
+    rng = random.Random(2)
+    page = lambda: "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(6))
+    five, many = page(), page()
+    rows = [(k, page() + "\nFollow us everywhere", "aa", "host", 1) for k in range(60)]
+    rows += [(100 + k, five, "aa", "host", len(five)) for k in range(5)] + [(200 + k, many, "aa", "host", len(many)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(p.STAGES)["near_duplicates"](spark, dict(p.STAGES)["line_dedup"](spark, docs, ""), "").collect()
+    assert [r.doc_id for r in got if r.text == five] == [100] and [r.doc_id for r in got if r.text == many] == [200]
+    assert len(got) == 62 and not any("Follow us" in r.text for r in got)
