@@ -1,10 +1,12 @@
 """Secret scans, in DataFrame expressions only: fixed patterns, and character Markov models for the rest.
 
 Two first-order character models are counted from labelled samples, one of random strings and one of ordinary
-identifiers. A candidate is a long run of identifier characters outside the spans of the patterns; it is a
-secret if random strings explain it better: the mean log-likelihood ratio of its transitions is above
-``least_mean``, and their sum above ``least_sum``. All characters outside letters, digits and ``+/_=-`` are
-one symbol, which never occurs inside a candidate.
+identifiers. A candidate is a long run of identifier characters. What the spans of the patterns leave of it is
+a secret if random strings explain it better: the mean log-likelihood ratio of its transitions is above
+``least_mean``, and their sum above ``least_sum``. A run that the patterns cut has parts: each is scored alone.
+Those too short to be candidates also belong to the secret if the whole run passes and together they, with
+``REST`` characters or more, have the mean. All characters outside letters, digits and ``+/_=-`` are one symbol,
+which never occurs inside a candidate.
 
 A span is kind:start:end in code points, counted from 0, end exclusive.
 
@@ -27,7 +29,9 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # the runs of [0-9a-f]+ that are long enough
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+REST = 8  # least characters that short parts of a cut run have together
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_MEAN, LEAST_SUM = 0.5, 15.0
 #: Weight of a symbol's own frequency in its transitions.
@@ -95,8 +99,10 @@ def labelled(docs: DataFrame, base: DataFrame, ordinary: int = ORDINARY_DOCUMENT
     keys = docs.select("row").distinct().orderBy(F.xxhash64("row"), "row").limit(ordinary)
     chosen = docs.join(F.broadcast(keys), "row", "left_semi").dropDuplicates(["row"])
     digests = chosen.select(F.translate(F.base64(F.unhex(F.sha2("row", 256))), "=", "").alias("sample"))
-    rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "[0-9a-f]{24,}|AKIA[A-Z0-9]+", " ")
-    words = chosen.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("sample")).where(F.length("sample") < 20)
+    # What stands next to a match in its run may be a part of a secret: with the mark the run is too long.
+    mark = "=" * LEAST
+    rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, mark), "[0-9a-f]{24,}|AKIA[A-Z0-9]+", mark)
+    words = chosen.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("sample")).where(F.length("sample") < LEAST)
     return values.unionByName(digests).withColumn("random", F.lit(True)).unionByName(words.withColumn("random", F.lit(False)))
 
 
@@ -116,14 +122,37 @@ def spans(docs: DataFrame, samples: DataFrame | None = None, least_mean: float =
 
     Labelled ``samples`` (sample, random) can be given; otherwise ``labelled`` takes them from the documents.
     """
-    found = kept(matches(docs, BASE | {"random": (CANDIDATE, 0, 20)}), "matches")
+    found = kept(matches(docs, BASE | {"random": (CANDIDATE, 0, LEAST)}), "matches")
     base, rest = found.where("kind != 'random'"), found.where("kind = 'random'")
     models = transitions(labelled(docs, base) if samples is None else samples)
+    b = base.select(F.col("row").alias("b_row"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    meets = (F.col("row") == F.col("b_row")) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))
+    names = ["row", "kind", "start", "end", "value"]
+
+    def likely(total: Column, pairs: Column) -> Column:
+        return (total >= least_sum) & (total >= least_mean * pairs)
+
     score = ratio(F.col("value"), models)
-    likely = rest.withColumn("ratio", score).where((F.col("ratio") >= least_sum) & (F.col("ratio") >= least_mean * (F.length("value") - 1))).drop("ratio")
-    b, x = base.select(F.col("row").alias("b_row"), F.col("start").alias("b_start"), F.col("end").alias("b_end")), likely
-    own = x.join(b, (F.col("row") == F.col("b_row")) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")), "left_anti")
-    return base.unionByName(own)
+    whole = rest.withColumn("ratio", score).where(likely(F.col("ratio"), F.length("value") - 1)).select(*names).join(b, meets, "left_anti")
+    cut = rest.join(b, meets).groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("b_start", "b_end"))).alias("cuts"))
+    parts = cut.withColumn("run_passes", likely(score, F.length("value") - 1)).withColumn("part", F.explode(outside(F.col("start"), F.col("end"), F.col("cuts"))))
+    parts = parts.select("row", "kind", "run_passes", F.col("start").alias("run"), "part.start", "part.end", F.expr("substring(value, int(part.start - start + 1), int(part.end - part.start))").alias("value"))
+    parts = parts.withColumn("ratio", score).withColumn("pairs", F.length("value") - 1)
+    short, together = F.length("value") < LEAST, Window.partitionBy("row", "run")
+    total = lambda x: F.sum(F.when(short, x)).over(together)
+    joint = F.col("run_passes") & (total(F.length("value")) >= REST) & (total(F.col("ratio")) >= least_mean * total(F.col("pairs")))
+    parts = parts.withColumn("found", likely(F.col("ratio"), F.col("pairs")) | (short & joint)).where("found").select(*names)
+    return base.select(*names).unionByName(whole).unionByName(parts)
+
+
+def outside(start: Column, end: Column, cuts: Column) -> Column:
+    """The parts (start, end) of a run outside its cuts, which are in the order of their starts."""
+    part = "struct<start:bigint,end:bigint>"
+    pair = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end")).cast(part)
+    begin = F.struct(start.cast("long").alias("at"), F.array().cast(f"array<{part}>").alias("parts"))
+    step = lambda s, c: F.struct(F.greatest(s["at"], c["b_end"]).alias("at"), F.when(c["b_start"] > s["at"], F.concat(s["parts"], F.array(pair(s["at"], c["b_start"])))).otherwise(s["parts"]).alias("parts"))
+    last = lambda s: F.when(end > s["at"], F.concat(s["parts"], F.array(pair(s["at"], end)))).otherwise(s["parts"])
+    return F.aggregate(cuts, begin, step, last)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -113,3 +113,15 @@ def test_repeated_rows_with_secrets(spark):
     want = ",".join(":".join(map(str, s)) for s in base)
     assert len(got) == len(rows) and {(r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got} == {(1, 2, 0, hashlib.sha256(want.encode()).hexdigest(), want)}
     assert [r.text for r in secrets.redacted(docs).collect()] == ["see [secret] and [secret] then [secret] end"] * len(rows)
+
+
+def test_random_rests_of_runs_that_patterns_cut(spark):
+    rows, free, names = secret_rows()
+    access, rng = "AKIA" + "A1B2" * 4, random.Random(6)
+    mixed = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZghjkmnpqrstuvwxyz", k=10)) + "0a1b2c3d4e5f" * 2 + "".join(rng.choices("QWXZKJVBghjkqzxwv", k=10))
+    own = [f"see {access}/{free[0]} end", f"see {free[1]}/token=abc123 end", f"see {mixed} end", f"see {names[0]}/token=abc123 end", f"see {access}/{names[0]}/{access} end"]
+    docs = spark.createDataFrame(rows + [(300 + k, t) for k, t in enumerate(own)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(docs).where("doc_id >= 300").collect()}
+    assert not any(x in t for t in got.values() for x in (free[0], free[1], access))
+    assert mixed[:10] not in got[302] and mixed[-10:] not in got[302]
+    assert got[303] == f"see {names[0]}/[secret] end" and got[304] == f"see [secret]/{names[0]}/[secret] end"
