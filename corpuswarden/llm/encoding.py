@@ -8,13 +8,17 @@ taken back and the word is encoded anew, over as many parts as it spans: white s
 this kind of vocabulary, so at the nearest white space on both sides the ids agree exactly.
 
 Defined results: null or empty text has no ids and decodes to an empty text; texts of any length are cut the
-same way; equal rows give equal results; an empty table gives an empty result.
+same way; equal rows give equal results; a null doc_id stays null; an empty table gives an empty result; columns
+other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,56 +26,75 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, map_arrays, put_arrays, shared_dir, slices, utf8
+from .ranks import LONGEST, byte_symbols, checked
+from .shared import in_arrow, kept, map_arrays, put_arrays, shared_dir, slices, utf8
 from .words import BYTE, powers
 
 WINDOW = 32  # bytes that decide on a cut
 MEAN_BITS = 9  # a cut every 512 bytes on average
 LEAST = 128  # bytes between cuts
-MEMORY = 400_000  # words a worker remembers
+END = b"\x01"  # stands for the end of a piece in text that does not hold it
+# The published pre-tokenisation pattern of the word vocabulary.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPACE = b" \t\n\r\x0b\x0c"
+_WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
+# All but ASCII and Latin letters, whose lower case and composed form are one character of every Unicode version.
+_OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
 
 
-class WordBpe(dict):
-    """Ids (little-endian 32 bits) of white-space-separated words of bytes, encoded many at a time."""
+class WordBpe:
+    """Ids (little-endian 32 bits) of bytes by a vocabulary of words.
+
+    Text of Latin letters and ASCII is lower-cased, cut into pieces and merged by ranks, each piece with the end
+    mark; words with other characters, or with the file's special tokens, go to the tokenizers library whole.
+    """
 
     def __init__(self, path: str):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
         self.coder.no_truncation()
         self.coder.no_padding()
-        added = self.coder.get_added_tokens_decoder()
-        self.mark, self.mark_id = (added[max(added)].content, max(added)) if added else (None, -1)
         self.tokens = np.empty(self.coder.get_vocab_size(), dtype=object)
         for token, k in self.coder.get_vocab().items():
             self.tokens[k] = token
         self.numbers = [str(k) for k in range(len(self.tokens))]
-
-    def one(self, word: bytes) -> bytes:
-        return np.array(self.coder.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self) > MEMORY:
-            self.clear()
-        new = [w for w in set(words) if w not in self]
-        plain = [w for w in new if self.mark and len(w) < 200 and b"<|" not in w]
-        for w in {*new}.difference(plain):
-            self[w] = self.one(w)
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            ids = np.array(self.coder.encode(self.mark.join([w.decode("utf-8", "replace") for w in some]), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            for w, a, b in zip(some, [-1, *ends], [*ends, len(ids)], strict=True):
-                self[w] = ids[a + 1 : b].tobytes()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix, of = spec["model"]["end_of_word_suffix"], byte_symbols()
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        ranks = {bytes([b]): spec["model"]["vocab"][c] for c, b in of.items()}
+        ranks |= {bytes([b]) + END: spec["model"]["vocab"][c + suffix] for c, b in of.items()}
+        for token, k in checked(spec["model"], suffix).items():
+            own = bytes(of[c] for c in token.removesuffix(suffix))
+            if END not in own:  # plain text never holds the mark
+                ranks[own + END if token.endswith(suffix) else own] = k
+        self.fast = tiktoken.Encoding("words", pat_str="[^\\x01]+\\x01", mergeable_ranks=ranks, special_tokens={})
+        self.pieces = regex.compile(PIECES)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def plain(self, text: str) -> bytes:
+        pieces = self.pieces.findall(text.lower())
+        if not pieces:
+            return b""
+        if max(map(len, pieces)) > LONGEST:
+            return self.whole(text)
+        mark = END.decode()
+        return self.fast.encode_to_numpy(mark.join(pieces) + mark, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def is_plain(self, text: str) -> bool:
+        return _OTHER.search(text) is None and not any(s in text for s in self.special)
 
     def encode(self, data: bytes) -> bytes:
-        words = data.split()
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self[w] for w in words])
+        text = data.decode("utf-8", "replace")
+        if self.is_plain(text):
+            return self.plain(text)
+        runs = itertools.groupby(_WORD.findall(text), self.is_plain)
+        return b"".join([(self.plain if plain else self.whole)(" ".join(words)) for plain, words in runs])
 
 
 @functools.cache
@@ -132,18 +155,15 @@ def _keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Shelf:
-    """Sorted 128-bit keys in files by their first bits."""
+    """Sorted 128-bit keys in files by their first bits. A file that was written and is gone is an error."""
 
-    def __init__(self, uri: str, bits: int):
-        self.uri, self.bits, self.files = uri, bits, {}
+    def __init__(self, uri: str, bits: int, written: frozenset[int]):
+        self.uri, self.bits, self.files = uri, bits, dict.fromkeys(set(range(1 << bits)) - written)
 
     def find(self, key: int) -> tuple[dict | None, int]:
         shard = key >> (128 - self.bits)
         if shard not in self.files:
-            try:
-                self.files[shard] = map_arrays(f"{self.uri}/{shard:05d}.arr")
-            except FileNotFoundError:
-                self.files[shard] = None
+            self.files[shard] = map_arrays(f"{self.uri}/{shard:05d}.arr")
         if (x := self.files[shard]) is None:
             return None, -1
         hi, lo = np.uint64(key >> 64), np.uint64(key & ((1 << 64) - 1))
@@ -182,22 +202,22 @@ def shared_chunks(docs: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    own = docs.mapInArrow(count, "hi long, lo long, n long, doc long")
+    own = in_arrow(docs, count, "hi long, lo long, n long, doc long")
     return own.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.min("doc").alias("doc")).where("n > 1")
 
 
-def _shelve(table: DataFrame, uri: str, bits: int, extra) -> None:
-    """Write the rows of each shard as one file. extra(table, order): further arrays."""
+def _shelve(table: DataFrame, uri: str, bits: int, extra) -> frozenset[int]:
+    """Write the rows of each shard as one file; the numbers of the files. extra(table, order): further arrays."""
 
     def write(part: pa.Table) -> pa.Table:
         hi, lo, order = _keys(part)
         first = np.r_[True, (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])] if len(order) else np.zeros(0, bool)
         order = order[first]
         put_arrays(f"{uri}/{part.column('shard')[0].as_py():05d}.arr", {"hi": hi[order], "lo": lo[order]} | extra(part, order))
-        return pa.table({"n": pa.array([len(order)], pa.int64())})
+        return pa.table({"shard": part.column("shard").slice(0, 1)})
 
     shard = F.shiftrightunsigned("hi", 64 - bits).cast("int") if bits else F.lit(0)
-    table.withColumn("shard", shard).groupBy("shard").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    return frozenset(r["shard"] for r in table.withColumn("shard", shard).groupBy("shard").applyInArrow(write, "shard int").collect())  # a number for each file
 
 
 def _docs(part: pa.Table, order: np.ndarray) -> dict:
@@ -227,10 +247,10 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
     common = kept(shared_chunks(docs), "chunks")
     bits = max(2, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())  # a few files for each reducing task
     first, ready = shared_dir(spark, "first"), shared_dir(spark, "encoded")
-    _shelve(common, first, bits, _docs)
+    firsts = _shelve(common, first, bits, _docs)
 
     def encode_first(batches):
-        code, shelf = word_bpe(tokenizer), Shelf(first, bits)
+        code, shelf = word_bpe(tokenizer), Shelf(first, bits, firsts)
         for whole in batches:
             for batch in slices(whole, "text"):
                 docs_here, out, mine = batch.column("doc_id").to_pylist(), [], set()
@@ -247,7 +267,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
                 columns = list(zip(*out, strict=True)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()], strict=True)], ["hi", "lo", "ids", "head", "tail"])
 
-    _shelve(docs.mapInArrow(encode_first, "hi long, lo long, ids binary, head int, tail int"), ready, bits, _spans)
+    readies = _shelve(in_arrow(docs, encode_first, "hi long, lo long, ids binary, head int, tail int"), ready, bits, _spans)
 
     def whole_ids(code: WordBpe, shelf: Shelf, text: bytes, parts) -> bytes:
         out, open_word, own = [], b"", 0  # own: where text that no other document has begins
@@ -281,10 +301,9 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
         return b"".join(out)
 
     def finish(batches):
-        code, shelf = word_bpe(tokenizer), Shelf(ready, bits)
+        code, shelf = word_bpe(tokenizer), Shelf(ready, bits, readies)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                code.learn(utf8(batch.column("text"))[0].tobytes().split())
+            for batch in slices(whole, "text"):
                 out = []
                 for _, text, parts in chunks(batch):
                     ids = np.frombuffer(whole_ids(code, shelf, text, parts), dtype="<u4")
@@ -299,7 +318,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
                 yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
-    return docs.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>")
+    return in_arrow(docs, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>")
 
 
 def decoded(code: WordBpe, ids: np.ndarray) -> str:
@@ -318,4 +337,4 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             out = [decoded(code, np.array(ids or [], dtype=np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(texts, "doc_id long, text string")
+    return in_arrow(encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")), texts, "doc_id long, text string")

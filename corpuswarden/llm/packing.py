@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, utf8
+from .ranks import LONGEST, byte_symbols, checked
+from .shared import in_arrow, kept, slices, utf8
 
 CAPACITY = 2048
 END_ID = 1
@@ -51,16 +52,17 @@ class ByteBpe(dict):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
-        ranks = {bytes(of[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in self.special}
+        of = byte_symbols()
+        ranks = {bytes([b]): spec["model"]["vocab"][c] for c, b in of.items()}
+        ranks |= {bytes(of[c] for c in token): k for token, k in checked(spec["model"]).items()}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
 
     def __missing__(self, run: str) -> bytes:
+        if len(run) > LONGEST:
+            return np.array(self.whole.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
         ids = np.array(self.fast.encode_ordinary(run), dtype="<u4").tobytes()
         if len(run) <= 64:
             if len(self) >= MEMORY:
@@ -85,8 +87,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches):
         code = byte_bpe(tokenizer)
-        for batch in batches:
-            raw, starts = utf8(batch.column(1))
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            raw, starts = utf8(batch.column("text"))
             data = raw.tobytes()
             out = []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -100,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), cut, PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:

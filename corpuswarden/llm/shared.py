@@ -1,15 +1,23 @@
 """What the operators share: the shared folder, tables written in it, and array stores that workers map.
 
 Everything an operator keeps between jobs goes to ``spark.checkpoint.dir``, the one folder that all
-executors and the driver see. A folder of its own is made only where that setting is missing (tests).
+executors and the driver see. A folder of its own is made only where that setting is missing and all runs in
+one process on this machine (tests).
+
+Stages in Python go through ``in_arrow``: batches of a bounded number of bytes, and at the end of each task the
+worker gives back what it holds, so that no stage pays for the one before it.
 """
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import functools
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +25,17 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: list[str] = []
+#: Most bytes of an Arrow batch that a Python stage is given; a larger row comes alone.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """URI of a new, empty folder below ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and the driver need a folder that all of them see")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         root = _own_root[0]
@@ -38,7 +51,51 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._kept_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``kept`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names for the operator's own use that the input does not have."""
+    have, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def released() -> None:
+    """Give unused memory of this worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of ``BATCH_BYTES`` at most and memory released at the end of each task."""
+    conf = df.sparkSession.conf
+    if int("".join(c for c in str(conf.get(_LIMIT)) if c.isdigit()) or 0) > BATCH_BYTES:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -58,11 +115,15 @@ def put_bytes(uri: str, parts: list[bytes | memoryview]) -> None:
 
 @functools.cache
 def _local_copy(uri: str) -> str:
-    """Path of a file on this machine: the file itself if the store is mounted, else one copy for each worker."""
+    """Path of a file on this machine: the file itself if the store is mounted, else one copy for each worker.
+
+    The copy goes when the worker ends.
+    """
     at, path = filesystem(uri)
     if isinstance(at, pafs.LocalFileSystem):
         return path
     folder = tempfile.mkdtemp(prefix="arrays-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     own = os.path.join(folder, path.rpartition("/")[2])
     pafs.copy_files(path, own, source_filesystem=at, destination_filesystem=pafs.LocalFileSystem())
     return own
@@ -104,7 +165,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[starts[0] : starts[-1]], starts - starts[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Parts of a batch with about ``most`` bytes of text each; a longer text comes alone."""
     _, starts = utf8(batch.column(column))
     at = 0

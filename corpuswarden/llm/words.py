@@ -40,16 +40,21 @@ LOWER[65:91] = BYTE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+KEPT_POWERS = 1 << 21  # those of longer batches are computed anew each time, and freed
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            steps = np.full(n + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][: n + 1], _powers[1][: n + 1]
+    if len(_powers[0]) > n:
+        return _powers[0][: n + 1], _powers[1][: n + 1]
+    out = []
+    for base in (_MULTIPLIER, _INVERSE):
+        steps = np.full(n + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= KEPT_POWERS:
+        _powers[:] = out
+    return out[0], out[1]
 
 
 def places(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
