@@ -20,18 +20,21 @@ about its size and no link that joins two components is lost.
 
 Defined results: a text without words (null, empty) is linked to nothing and is a class of its own; rows with
 equal texts are one class; the class id is the least doc_id of the class (null doc_ids count last); an empty
-table gives an empty result.
+table gives an empty result; texts of any length are compared whole; further columns are ignored by ``classes``
+and kept by ``kept_documents``, whatever their names. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, slices, utf8
+from .shared import forget, fresh, in_arrow, kept, slices, utf8
 from .words import LOWER, mix, places, span_hashes
 
 SIMILARITY = 0.8
@@ -40,6 +43,7 @@ SKETCH = 3  # k-mers of a sketch
 BANDS = 24
 PARITY = 11  # 2048 bits
 STARS = 3  # rounds of comparisons with one node of each bucket
+BLOCK = 256  # nodes of a bucket that are compared in one task with as many others
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
@@ -137,7 +141,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append(sketches(grams, first).view(np.int64) if len(words) else None)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hash", "size")), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(distinct, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "hash", "size", "node", "n", "distinct", "odd", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *text_key()).mapInArrow(run, "doc_id long, hash long, size int, node binary, n int, distinct int, odd array<long>, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *text_key())
+    return in_arrow(rows, run, "doc_id long, hash long, size int, node binary, n int, distinct int, odd array<long>, bands array<long>")
 
 
 def node_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -151,7 +156,7 @@ def node_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([w for _, w in found], pa.binary())], ["node", "words"])
 
     met = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, F.col("doc_id").eqNullSafe(F.col("at")))
-    return met.select("node", "text").mapInArrow(run, "node binary, words binary").dropDuplicates(["node"])
+    return in_arrow(met.select("node", "text"), run, "node binary, words binary").dropDuplicates(["node"])
 
 
 def common_subsequence(x: np.ndarray, y: np.ndarray, most: int) -> int:
@@ -243,7 +248,7 @@ def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, sim double")
+    return in_arrow(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a binary, b binary, sim double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,9 +263,49 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         of = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
         lower = kept(lower.join(of, "root").select("node", "old", F.least("root", "further").alias("root")), "labels")
+        forget(labels)
+        labels = lower
         if not lower.where("root != old").take(1):
+            forget(both)
             return lower.select("node", "root")
-        labels = lower.select("node", "root")
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``roots`` after further links; only components that these meet are looked at."""
+    if roots is None:
+        return components(links)
+    a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    up = components(ends.where("a != b").distinct())
+    old = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = up.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return kept(old.unionByName(new), "roots")
+
+
+def open_pairs(rooted: DataFrame, sims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: nodes that share a bucket, lie in different components, and may be similar after all cheap bounds.
+
+    A bucket's nodes are dealt to blocks of about ``BLOCK``; two blocks meet in a task of their own.
+    """
+    tops = rooted.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("h"), F.count("*").alias("members")).select("band", F.col("h.node").alias("head"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    far = sims.select("a", "b", (1 - F.col("sim")).alias("far"))
+    placed = rooted.join(tops, "band").select("band", "node", "n", "root", "head", "blocks", F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).join(far, ["a", "b"], "left")
+    own = F.when(F.col("node") == F.col("head"), 0.0).otherwise(F.col("far"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = kept(placed.select("band", "node", "n", "root", own.alias("far"), "blocks", block.alias("block")).join(nodes.select("node", "distinct", "odd"), "node"), "open")
+    names = ["band", "node", "n", "root", "far", "distinct", "odd"]
+    x = rows.withColumn("hi", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select(*names, F.col("block").alias("lo"), "hi").alias("x")
+    y = rows.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("block")))).select(*names, "lo", F.col("block").alias("hi")).alias("y")
+    met = reduce(lambda p, q: p & q, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "lo", "hi")])
+    once = (F.col("x.lo") != F.col("x.hi")) | (F.col("x.node") < F.col("y.node"))
+    reach = 1 - SIMILARITY
+    # A known distance is exact up to the reach and a lower bound beyond it.
+    beyond = ((F.col("x.far") <= reach) & (F.col("y.far") - F.col("x.far") > reach)) | ((F.col("y.far") <= reach) & (F.col("x.far") - F.col("y.far") > reach))
+    differ = sum((F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range((1 << PARITY) // 64)), F.lit(0))
+    possible = differ * (1 + SIMILARITY) <= (F.col("x.distinct") + F.col("y.distinct")) * (1 - SIMILARITY) + 1e-6
+    pairs = x.join(y, met & once & (F.col("x.root") != F.col("y.root")) & close("x.n", "y.n") & ~F.coalesce(beyond, F.lit(False)) & possible)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(sims, ["a", "b"], "left_anti")
 
 
 def rooted_rows(docs: DataFrame) -> DataFrame:
@@ -273,20 +318,24 @@ def rooted_rows(docs: DataFrame) -> DataFrame:
     nodes = kept(nodes, "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    met = kept(buckets.join(sizes, "band"), "met")
-    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
-    wanted = weights.select("node").join(nodes.select("node", "at"), "node")
-    met = kept(met.drop("size").join(weights, "node"), "met")
-    words = kept(node_words(docs, wanted), "words")
+    sized = kept(buckets.join(sizes, "band"), "met")
+    weights = kept(sized.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    met = kept(sized.drop("size").join(weights, "node"), "met")
+    forget(sized)
+    words = kept(node_words(docs, weights.select("node").join(nodes.select("node", "at"), "node")), "words")
 
     # Stars first: each bucket's nodes with the one that meets most others anywhere (of many copies, the one
-    # that all were made from), then, where a bucket is still of several components, with the next one's.
-    sims = roots = None
-    for turn in range(1, STARS + 1):
+    # that all were made from), then, where a bucket is still of several components, with the heaviest node of
+    # a component that had none of its heads.
+    sims = roots = before = None
+    for _ in range(STARS):
         rooted = torn_buckets(met, roots)
-        first = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("weight"), "head"))
-        heads = rooted.groupBy("band", "root").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select("band", F.col("root").alias("head_root"), "h.weight", F.col("h.node").alias("head"), F.col("h.n").alias("head_n"))
-        heads = heads.withColumn("turn", first).where(F.col("turn") == turn).drop("turn", "weight")
+        free = rooted
+        if before is not None:
+            served = rooted.join(before.select("band", F.col("head").alias("node")), ["band", "node"]).select("band", "root").distinct()
+            free = rooted.join(served, ["band", "root"], "left_anti")
+        heads = kept(free.groupBy("band").agg(F.max(F.struct("weight", "node", "n", "root")).alias("h")).select("band", F.col("h.node").alias("head"), F.col("h.n").alias("head_n"), F.col("h.root").alias("head_root")), "heads")
+        before = heads if before is None else before.unionByName(heads)
         stars = rooted.join(heads, "band").where((F.col("root") != F.col("head_root")) & close("n", "head_n"))
         pairs = stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
         if sims is None:
@@ -300,29 +349,18 @@ def rooted_rows(docs: DataFrame) -> DataFrame:
         pairs = apart(pairs.distinct().join(sims, ["a", "b"], "left_anti"), roots)
         more = kept(compared(pairs, words), "sims")
         sims = sims.unionByName(more)
-        roots = components(sims.where(F.col("sim") >= SIMILARITY))
+        roots = joined(roots, more.where(F.col("sim") >= SIMILARITY))
 
     # What is still apart within a bucket: all pairs that lengths and distances to a common node leave open.
-    rooted = torn_buckets(met, roots)
-    tops = rooted.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("h")).select("band", F.col("h.node").alias("head"))
-    far = sims.select(F.col("a"), F.col("b"), (1 - F.col("sim")).alias("far"))
-    placed = rooted.join(tops, "band").select("band", "node", "n", "root", "head", F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).join(far, ["a", "b"], "left")
-    open_nodes = kept(placed.select("band", "node", "n", "root", F.when(F.col("node") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far")).join(nodes.select("node", "distinct", "odd"), "node"), "open")
-    x, y = open_nodes.alias("x"), open_nodes.alias("y")
-    reach = 1 - SIMILARITY
-    # A known distance is exact up to the reach and a lower bound beyond it.
-    beyond = ((F.col("x.far") <= reach) & (F.col("y.far") - F.col("x.far") > reach)) | ((F.col("y.far") <= reach) & (F.col("x.far") - F.col("y.far") > reach))
-    differ = sum((F.bit_count(F.col("x.odd")[k].bitwiseXOR(F.col("y.odd")[k])) for k in range((1 << PARITY) // 64)), F.lit(0))
-    possible = differ * (1 + SIMILARITY) <= (F.col("x.distinct") + F.col("y.distinct")) * (1 - SIMILARITY) + 1e-6
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.n", "y.n") & ~F.coalesce(beyond, F.lit(False)) & possible)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(sims, ["a", "b"], "left_anti")
-    last = kept(compared(pairs, words), "sims")
+    last = kept(compared(open_pairs(torn_buckets(met, roots), sims, nodes), words), "sims")
     links = kept(sims.unionByName(last).where(F.col("sim") >= SIMILARITY), "links")
-    roots = components(links)
+    roots = joined(roots, last.where(F.col("sim") >= SIMILARITY))
 
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     found = nodes.select("node").join(roots, "node", "left").join(degree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return kept(signed.select("doc_id", "hash", "size", "node", F.col("n").alias("n_kmers")).join(found, "node", "left").drop("node"), "rows")
+    rows = kept(signed.select("doc_id", "hash", "size", "node", F.col("n").alias("n_kmers")).join(found, "node", "left").drop("node"), "rows")
+    forget(signed, nodes, weights, met, words, links)
+    return rows
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -354,7 +392,7 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, and of each class only one row, with the class's doc_id; rows without words stay.
+    """The columns of ``docs``, and of each class only one row, with the class's doc_id; rows without words all stay.
 
     Of equal ids and texts that differ in other columns, the row with the least of these stays.
     """
@@ -363,12 +401,14 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     one = rows.where("root is not null").groupBy("root", "doc_id", "hash", "size").agg(F.count("*").alias("times"))
     one = one.groupBy("root").agg(F.min(F.struct(key.alias("key"), "times")).alias("x")).select("x.key.doc_id", "x.key.hash", "x.key.size", "x.times")
     wordless = rows.where("root is null").select("doc_id", "hash", "size").distinct().withColumn("times", F.lit(1).cast("long"))
-    chosen = kept(one.unionByName(wordless), "chosen").select(F.col("doc_id").alias("_own"), F.col("hash").alias("_own_hash"), F.col("size").alias("_own_size"), F.col("times").alias("_times"))
-    hashed, size = text_key()
-    own = docs.withColumns({"_hash": hashed, "_size": size})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_own")) & (F.col("_hash") == F.col("_own_hash")) & (F.col("_size") == F.col("_own_size"))
-    met = own.join(chosen, same)
     names = [F.col(f"`{c}`") for c in docs.columns]
+    doc, hashed, size, times, own_hash, own_size = fresh(docs.columns, "doc", "hash", "size", "times", "own_hash", "own_size")
+    chosen = kept(one.unionByName(wordless), "chosen").toDF(doc, hashed, size, times)
+    forget(rows)
+    of_text = text_key()
+    own = docs.select(*names, of_text[0].alias(own_hash), of_text[1].alias(own_size))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own_hash) == F.col(hashed)) & (F.col(own_size) == F.col(size))
+    met = own.join(chosen, same)
     # Only rows that stand several times are brought together.
-    again = met.where("_times > 1").groupBy("_own", "_hash", "_size").agg(F.min(F.struct(*names)).alias("x"))
-    return met.where("_times = 1").select(*names).unionByName(again.select(*[F.col(f"x.`{c}`") for c in docs.columns]))
+    again = met.where(F.col(times) > 1).groupBy(doc, hashed, size).agg(F.min(F.struct(*names)).alias("x"))
+    return met.where(F.col(times) == 1).select(*names).unionByName(again.select(*[F.col(f"x.`{c}`") for c in docs.columns]))
