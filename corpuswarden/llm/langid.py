@@ -3,13 +3,16 @@
 How many training documents hold each n-gram is counted over all of them. The regression is fitted by
 follow-the-regularised-leader with elastic-net penalties, in one task, on at most ``FIT_PER_LANGUAGE``
 documents of each language (those with the least hashes of their ids), whole texts each; a part of them is
-kept aside for the temperature that calibrates the probabilities. All documents are then scored.
+kept aside for the temperature that calibrates the probabilities, and for the score below which a language is
+not accepted: half-way between what chance gives and what 99 of 100 of them reach. All documents are then scored.
 
 N-grams of one to three characters are taken over the lower-cased text with every run of other characters
 than letters as one blank. TF is a share of the text's n-grams, so a score is a mean over positions.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without training documents
-every text is ``und``; equal texts have equal results; an empty table gives an empty result.
+every text is ``und``; equal texts have equal results, and rows with equal ids are samples each; texts of any
+length are read whole; an empty table gives an empty result; further columns stay as they are, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, utf8
+from .shared import fresh, in_arrow, slices, utf8
 from .words import mix
 
 BITS = 16
 FIT_PER_LANGUAGE = 1500
+SLICE = 1 << 18  # bytes of text that are worked on at once
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.001
 UNKNOWN = "und"
@@ -36,11 +40,10 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """For each code point its lower-case letter, or a blank."""
     out = np.full(0x110000, 32, np.uint32)
-    for block in range(0, 0x32000, 0x1000):  # letters beyond these planes are not assigned
-        for c in range(block, block + 0x1000):
-            if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-                low = chr(c).lower()
-                out[c] = ord(low) if len(low) == 1 else c
+    for c in range(0x110000):
+        if chr(c).isalpha():
+            low = chr(c).lower()
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
@@ -67,8 +70,8 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return f, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array(lettered, bool)
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    raw, starts = utf8(batch.column("text"))
+def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    raw, starts = utf8(batch.column(column))
     data, at = raw.tobytes(), starts.tolist()
     return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -79,7 +82,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         df, flags, n = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool), 0
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE):
                 f, at, _ = ngrams(_texts(batch))
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = f[a:b]
@@ -90,7 +93,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[there, -1], pa.int32()), pa.array(np.r_[df[there], n], pa.int64())], ["feature", "n"])
 
-    rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most 2^BITS + 1 rows
+    rows = in_arrow(texts.select(F.col("text").cast("string").alias("text")), count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most 2^BITS + 1 rows
     df, n = np.zeros(1 << BITS, np.int64), 0
     for r in rows:
         if r["feature"] < 0:
@@ -140,40 +143,52 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 20, 121), key=loss))
 
 
-def train(docs: DataFrame, idf: np.ndarray, per_language: int = FIT_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    """Languages, weights times IDF, biases and temperature, from rows with doc_id, text and lang."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
+def sampled(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> DataFrame:
+    """doc_id of the rows with the least hashes in each language.
+
+    A first cut by hash, from the number of rows of each language, leaves few more than asked for; only these
+    are put in order.
+    """
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("of"), "rows")  # a row for each language
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    near = docs.select("doc_id", "lang", share.alias("share")).join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.col("share") * F.col("rows") <= 2 * per_language)
+    order = Window.partitionBy("lang").orderBy("share", "doc_id")
+    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
+
+
+def train(docs: DataFrame, idf: np.ndarray, per_language: int = FIT_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
+    """Languages, weights times IDF, biases, temperature and least score, from rows with doc_id, text and lang."""
 
     def features(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SLICE):
                 f, at, lettered = ngrams(_texts(batch))
-                keys, values, languages, ids = [], [], [], []
-                for k, lang, doc in zip(range(batch.num_rows), batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
-                    if lettered[k]:
-                        own, c = np.unique(f[at[k] : at[k + 1]], return_counts=True)
-                        keys.append(own)
-                        values.append((c / c.sum() * idf[own]).astype(np.float32))
-                        languages.append(lang)
-                        ids.append(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(languages, pa.string()), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "lang", "f", "x"])
-
-    sample = docs.join(chosen, "doc_id", "left_semi").mapInArrow(features, "doc_id long, lang string, f array<int>, x array<float>")
+                keys, values, rows = [], [], [k for k in range(batch.num_rows) if lettered[k]]
+                for k in rows:
+                    own, c = np.unique(f[at[k] : at[k + 1]], return_counts=True)
+                    keys.append(own)
+                    values.append((c / c.sum() * idf[own]).astype(np.float32))
+                own = batch.select(["doc_id", "lang", "hash"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "lang", "hash", "f", "x"])
+
+    chosen = docs.join(sampled(docs, per_language), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("hash"), "text")
+    sample = in_arrow(chosen, features, "doc_id long, lang string, hash long, f array<int>, x array<float>")
 
     def fit_all(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "lang"])
+        rows = rows.sort_values(["doc_id", "lang", "hash"])  # what is equal here has equal features
         languages = sorted(rows["lang"].unique())
         y = np.array([languages.index(x) for x in rows["lang"]])
         samples = [(np.asarray(f), np.asarray(x, dtype=float)) for f, x in zip(rows["f"], rows["x"], strict=True)]
         aside = np.arange(len(samples)) % 5 == 4
         w, bias = fit([s for s, a in zip(samples, aside, strict=True) if not a], y[~aside], len(languages))
         scores = np.array([x @ w[f] + bias for (f, x), a in zip(samples, aside, strict=True) if a]).reshape(-1, len(languages))
-        t = temperature(scores, y[aside])
+        t, chance = temperature(scores, y[aside]), 1 / len(languages)
+        right = (p := probabilities(scores / t))[scores.argmax(axis=1) == y[aside]]
+        least = (chance + np.quantile(right.max(axis=1), 0.01)) / 2 if len(p) and len(right) else chance
         f, c = np.nonzero(w)
         out = [{"kind": "w", "a": int(i), "b": int(j), "v": float(w[i, j]), "s": None} for i, j in zip(f, c, strict=True)]
         out += [{"kind": "lang", "a": k, "b": 0, "v": float(bias[k]), "s": x} for k, x in enumerate(languages)]
-        return pd.DataFrame([*out, {"kind": "t", "a": 0, "b": 0, "v": t, "s": None}])
+        return pd.DataFrame([*out, {"kind": "t", "a": 0, "b": 0, "v": t, "s": None}, {"kind": "least", "a": 0, "b": 0, "v": float(least), "s": None}])
 
     rows = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda key, rows: fit_all(rows), "kind string, a int, b int, v double, s string").collect()  # bounded by the features and languages
     languages = [r["s"] for r in sorted((r for r in rows if r["kind"] == "lang"), key=lambda r: r["a"])]
@@ -182,44 +197,60 @@ def train(docs: DataFrame, idf: np.ndarray, per_language: int = FIT_PER_LANGUAGE
         if r["kind"] == "w":
             w[r["a"], r["b"]] = r["v"] * idf[r["a"]]
     bias = np.array([r["v"] for r in sorted((r for r in rows if r["kind"] == "lang"), key=lambda r: r["a"])])
-    return languages, w, bias, next((r["v"] for r in rows if r["kind"] == "t"), 1.0)
+    one = {r["kind"]: r["v"] for r in rows if r["kind"] in ("t", "least")}
+    return languages, w, bias, one.get("t", 1.0), one.get("least", 1.0)
 
 
-def identified(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score, learned from the rows where ``training`` holds."""
-    own = docs.where(training).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+def probabilities(scores: np.ndarray) -> np.ndarray:
+    p = np.exp(scores - scores.max(axis=1, keepdims=True)) if scores.size else scores
+    return p / p.sum(axis=1, keepdims=True) if scores.size else p
+
+
+def learned(docs: DataFrame) -> tuple:
+    """Languages, weights, biases, temperature and least score from rows with doc_id, text and lang."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     df, n = document_frequency(own)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    languages, w, bias, t = train(own, idf)
-    broadcast = docs.sparkSession.sparkContext.broadcast((languages, w, bias, t))  # 2^BITS weights a language
-    table = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{n}` {k}" for n, k in table.select(*keep).dtypes) + ", lang_pred string, score double"
+    return train(own, np.log((1 + n) / (1 + df)) + 1)
+
+
+def predicted(docs: DataFrame, text: str, model: tuple, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and those named ``lang_pred`` and ``score``, for the text in the column ``text``."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(model[:4])  # 2^BITS weights a language
+    names = docs.columns
+    schema = ", ".join(f"`{n}` {k}" for n, k in docs.dtypes) + f", `{lang_pred}` string, `{score}` double"
 
     def run(batches):
         languages, w, bias, t = broadcast.value
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                f, at, lettered = ngrams(_texts(batch))
-                predicted, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            for batch in slices(whole, text, SLICE):
+                f, at, lettered = ngrams(_texts(batch, text))
+                best, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
                 if languages and batch.num_rows:
                     s = np.add.reduceat(w[f], at[:-1], axis=0, dtype=np.float64) / np.diff(at)[:, None] + bias
-                    s = s / t
-                    p = np.exp(s - s.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    best = p.argmax(axis=1)
-                    predicted = [languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
-                    scores = np.where(lettered, p[np.arange(len(best)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(predicted, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+                    p = probabilities(s / t)
+                    top = p.argmax(axis=1)
+                    best = [languages[b] if ok else UNKNOWN for b, ok in zip(top.tolist(), lettered.tolist(), strict=True)]
+                    scores = np.where(lettered, p[np.arange(len(top)), top], 0.0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(scores)], [*names, lang_pred, score])
 
-    return table.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
-def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
+def identified(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with lang_pred and score, learned from the rows where ``training`` holds."""
+    (text,) = fresh(keep, "text")
+    table = docs.select(*keep, F.col("text").cast("string").alias(text))
+    return predicted(table, text, learned(docs.where(training))).drop(text)
+
+
+def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
     """The rows and columns of ``docs`` whose language is recognised with at least the score ``least``.
 
-    Learns from all rows with a language.
+    Learns from all rows with a language. Without ``least``, the level that the kept-aside documents give.
     """
-    names = docs.columns
-    table = docs.withColumn("_text", F.col("text"))
-    out = identified(table, F.lit(True), [n if n != "text" else "_text" for n in names])
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col("_text").alias("text") if n == "text" else F.col(n) for n in names])
+    model = learned(docs)
+    pred, score = fresh(docs.columns, "lang_pred", "score")
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    own = docs if docs.schema["text"].dataType.simpleString() == "string" else docs.withColumn("text", F.col("text").cast("string"))
+    out = predicted(own, "text", model, pred, score)
+    return out.where((F.col(pred) != UNKNOWN) & (F.col(score) >= (model[4] if least is None else least))).select(*names)
