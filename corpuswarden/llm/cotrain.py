@@ -1,211 +1,237 @@
 """Document quality by co-training of a text view and a page-metadata view.
 
-The text view sees hashed byte 3-grams and word shapes; the metadata view sees host, language, size and line
-counts, never the words. Both are logistic regressions that start from the labelled sample. In each round
-either view labels the unlabelled documents of which it is surest, for the other view to learn from. Each view
-is then calibrated on labelled documents kept aside, and the calibrated log-odds are added, less the prior's.
-
-The fit takes at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, those with the least hashes of
-their ids, whole texts each, in one task. All documents are scored.
-
-Defined results: null text is an empty text; a document with several labels is good if any says so; without
-labels of both kinds every score is the share of good labels (0.5 without any); an empty table gives an empty
-result; further columns are ignored.
+The text view sees hashed byte 3-grams and, in steps, how common four kinds of characters are, how many words are
+different, how many are like the one before, and how long they are; the metadata view sees host,
+language, size and line counts, never the words. Both are naive Bayes models, whose sufficient statistics are
+counts that tasks add up. They start from a sample of labelled documents. In each round both score *all* other
+documents; of what one view is sure, calibrated on labelled documents kept aside, the other learns the counts.
+Pseudo-labels are given anew in each round. At last the calibrated log-odds are added, less the prior's.
+
+Only the labelled sample is bounded, to the ``LABELLED`` documents with the least hashes of their ids; labels
+beyond it are not read, and their documents take part without them. A fourth of the sample is kept aside.
+
+Defined results: null text is an empty text; nulls in the metadata are values like others; a document with
+several labels is good if any says so; rows with equal ids count each; equal rows have equal scores; texts of any
+length are read whole; without labels of both kinds every score is the share of good labels (0.5 without any); if
+those kept aside are not of both kinds, the whole sample calibrates; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, utf8
-from .words import mix
+from .shared import in_arrow, kept, slices, utf8
+from .words import SPACE, mix, places, span_hashes
 
 BITS = 15
 META = 1 << 10
-LABELLED, POOL = 3000, 3000
-ROUNDS, SHARE, SURE = 3, 0.05, 0.9
-EPOCHS, RATE, PENALTY = 6, 0.3, 1e-4
-
-_SHAPES = (re.compile(rb"[^\w\s]"), re.compile(rb"[A-Z]"), re.compile(rb"[0-9]"), re.compile(rb"\n"))
-
-
-def text_view(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Features and unit-length values of a text."""
-    raw = np.frombuffer(b"  " + data + b" ", np.uint8).astype(np.uint64)
-    f = mix((raw[:-2] << np.uint64(16)) + (raw[1:-1] << np.uint64(8)) + raw[2:]) >> np.uint64(64 - BITS)
-    counts = np.bincount(f.astype(np.int64), minlength=1 << BITS)
-    words = max(1, len(data.split()))
-    for k, shape in enumerate(_SHAPES):  # in the last places: how common some shapes are, in steps
-        share = min(7, int(4 * len(shape.findall(data)) / words))
-        counts[(1 << BITS) - 64 + 8 * k : (1 << BITS) - 56 + 8 * k] = 0
-        counts[(1 << BITS) - 64 + 8 * k + share] = max(4, len(data) // 50)
-    at = np.flatnonzero(counts)
-    x = np.log1p(counts[at])
-    return at.astype(np.int32), (x / np.sqrt((x * x).sum())).astype(np.float32)
-
-
-def meta_view(source: str | None, lang: str | None, size: int, lines: int) -> tuple[np.ndarray, np.ndarray]:
-    names = [f"s:{source}", f"l:{lang}", f"n:{size.bit_length()}", f"k:{lines.bit_length()}", f"m:{(size // max(1, lines)).bit_length()}", f"sl:{source}:{lang}"]
-    f = np.unique([zlib.crc32(n.encode()) % META for n in names]).astype(np.int32)
-    return f, np.full(len(f), 1 / np.sqrt(len(f)), np.float32)
-
-
-class Logistic:
-    """Logistic regression by adaptive gradient steps over sparse rows."""
-
-    def __init__(self, size: int):
-        self.w, self.b, self.size = np.zeros(size), 0.0, size
-
-    def fit(self, rows: list, y: np.ndarray) -> Logistic:
-        g2, gb = np.full(self.size, 1e-8), 1e-8
-        balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
-        rng = np.random.default_rng(3)
-        for _ in range(EPOCHS):
-            for k in rng.permutation(len(rows)):
-                f, x = rows[k]
-                p = 1 / (1 + np.exp(-np.clip(x @ self.w[f] + self.b, -30, 30)))
-                e = (p - y[k]) * balance[k]
-                g = e * x + PENALTY * self.w[f]
-                g2[f] += g * g
-                self.w[f] -= RATE * g / np.sqrt(g2[f])
-                gb += e * e
-                self.b -= RATE * e / np.sqrt(gb)
-        return self
-
-    def logit(self, rows: list) -> np.ndarray:
-        return np.array([float(x @ self.w[f] + self.b) for f, x in rows])
+STEPS = 8
+#: Kinds of bytes: marks (with all parts of letters beyond ASCII), capitals, digits, line breaks.
+KINDS = np.zeros((4, 256), bool)
+KINDS[0] = [not (chr(c).isalnum() and c < 128) and c != 95 and not SPACE[c] for c in range(256)]
+KINDS[1, 65:91] = KINDS[2, 48:58] = KINDS[3, 10] = True
+SHAPES = len(KINDS) + 3  # the kinds, the share of different words, of words like the one before, their mean length
+#: Where the counts of n-grams, of shapes and of metadata begin, and how many there are.
+PARTS = (0, 1 << BITS, (1 << BITS) + SHAPES * STEPS, (1 << BITS) + SHAPES * STEPS + META)
+SIZE = PARTS[-1]
+LABELLED = 6000
+ROUNDS, SURE = 3, 0.9
+GAIN = 20.0  # of a text's mean over its n-grams
+
+
+class Views:
+    """Features of a batch of texts: n-grams (and where each text's begin and end), shapes, metadata."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        raw, starts = utf8(batch.column("text"))
+        n, sizes = batch.num_rows, np.diff(starts)
+        spaced = np.full(len(raw) + 3 * n, 32, np.uint8)
+        doc = np.repeat(np.arange(n), sizes)
+        spaced[np.arange(len(raw)) + 3 * doc + 2] = raw
+        s = spaced.astype(np.uint64)
+        self.grams = (mix((s[:-2] << np.uint64(16)) + (s[1:-1] << np.uint64(8)) + s[2:]) >> np.uint64(64 - BITS)).astype(np.int32) if n else np.zeros(0, np.int32)
+        self.begin = starts[:-1] + 3 * np.arange(n)
+        self.end = self.begin + sizes + 1
+        begin, end = places(raw, starts)
+        of = np.searchsorted(starts, begin, "right") - 1
+        words = np.maximum(np.bincount(of, minlength=n), 1)
+        counts = [np.diff(np.concatenate([[0], np.cumsum(kind[raw])])[starts]) for kind in KINDS]
+        # Words of different texts are different here; their order does not matter.
+        word = mix(span_hashes(raw, begin, end)) ^ mix(of.astype(np.uint64))
+        each = np.unique(word, return_index=True)[1]
+        same = np.bincount(of[1:][word[1:] == word[:-1]], minlength=n)
+        distinct, letters = np.bincount(of[each], minlength=n), np.bincount(of, end - begin, minlength=n).astype(np.int64)
+        steps = [*(4 * c // words for c in counts), STEPS * distinct // (words + 1), STEPS * same // words, letters // words]
+        self.shapes = np.stack([PARTS[1] + STEPS * k + np.minimum(STEPS - 1, x) for k, x in enumerate(steps)], axis=1)
+        lines = counts[3] + 1
+        meta = zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), sizes.tolist(), lines.tolist(), strict=True)
+        self.meta = np.array([metadata(*m) for m in meta], np.int64).reshape(n, -1)
+
+    def ranges(self, rows: np.ndarray) -> np.ndarray:
+        """The n-grams of some texts one after another."""
+        return np.concatenate([self.grams[a:b] for a, b in zip(self.begin[rows].tolist(), self.end[rows].tolist(), strict=True)]) if len(rows) else self.grams[:0]
+
+    def scores(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of both views, not calibrated."""
+        n = len(self.begin)
+        if not n:
+            return np.zeros(0), np.zeros(0)
+        bounds = np.stack([self.begin, np.minimum(self.end, len(self.grams) - 1)], axis=1).ravel()
+        sums = np.add.reduceat(w[self.grams], bounds)[::2]
+        if self.end[-1] == len(self.grams):  # the last text's last n-gram is the array's last
+            sums[-1] = w[self.grams[self.begin[-1] :]].sum()
+        return GAIN * sums / (self.end - self.begin) + w[self.shapes].sum(axis=1), w[self.meta].sum(axis=1)
+
+
+def metadata(source: str | None, lang: str | None, size: int, lines: int) -> list[int]:
+    names = (f"s:{source}", f"l:{lang}", f"n:{size.bit_length()}", f"k:{lines.bit_length()}", f"m:{(size // max(1, lines)).bit_length()}", f"sl:{source}:{lang}")
+    return [PARTS[2] + zlib.crc32(n.encode()) % META for n in names]
+
+
+class Counts:
+    """Counts of features by label."""
+
+    def __init__(self):
+        self.n = np.zeros((2, SIZE), np.int64)
+
+    def add(self, views: Views, of_text: np.ndarray, of_meta: np.ndarray) -> None:
+        """of_text, of_meta: the label from which that view learns each row, -1 for none."""
+        for label in (0, 1):
+            rows = np.flatnonzero(of_text == label)
+            self.n[label, : PARTS[1]] += np.bincount(views.ranges(rows), minlength=PARTS[1])
+            rest = np.concatenate([views.shapes[rows].ravel(), views.meta[of_meta == label].ravel()])
+            self.n[label] += np.bincount(rest, minlength=SIZE)
+
+    def batch(self) -> pa.RecordBatch:
+        at = np.flatnonzero(self.n)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(self.n.ravel()[at], pa.int64())], ["k", "n"])
+
+
+def weights(counts: np.ndarray) -> np.ndarray:
+    """Log ratio of each feature's smoothed frequencies among good and bad documents, by part."""
+    out = np.empty(SIZE)
+    for a, b in zip(PARTS[:-1], PARTS[1:], strict=True):
+        c = counts[:, a:b] + 0.5
+        share = np.log(c / c.sum(axis=1, keepdims=True))
+        out[a:b] = share[1] - share[0]
+    return out
 
 
 def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift under which the log-odds fit the labels (Newton steps, a little shrunk)."""
-    a, c = 1.0, 0.0
+    """Slope and shift under which the log-odds fit the labels: Newton steps on standardised log-odds, a little
+    shrunk, halved until the loss falls. A view that tells nothing has slope 0."""
+    centre, spread = float(s.mean()), float(s.std()) or 1.0
+    x = np.stack([(s - centre) / spread, np.ones(len(s))], axis=1)
+    v, shrink = np.zeros(2), np.array([0.01, 0.01])
+    loss = lambda v: float(np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ v)).sum() + (shrink * v * v).sum() / 2)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
-        g = np.array([((p - y) * s).sum() + 0.01 * (a - 1), (p - y).sum() + 0.01 * c])
-        v = p * (1 - p)
-        h = np.array([[(v * s * s).sum() + 0.01, (v * s).sum()], [(v * s).sum(), v.sum() + 0.01]])
-        d = np.linalg.solve(h, g)
-        a, c = a - float(np.clip(d[0], -1, 1)), c - float(np.clip(d[1], -1, 1))
-    return max(a, 0.0), c
-
-
-def cotrained(text: list, meta: list, y: np.ndarray) -> dict:
-    """Both calibrated views. y: 1 good, 0 bad, -1 without a label."""
-    known = np.flatnonzero(y >= 0)
-    prior = float(y[known].mean()) if len(known) else 0.5
-    if not 0 < prior < 1 or len(known) < 8:
-        return {"prior": prior, "views": None}
-    aside, own, pool = known[3::4], np.setdiff1d(known, known[3::4]), list(np.flatnonzero(y < 0))
-    learn = [(list(own), list(y[own])), (list(own), list(y[own]))]
-    views = (text, meta)
-    sizes = (1 << BITS, META)
-
-    def fitted(v: int) -> Logistic:
-        return Logistic(sizes[v]).fit([views[v][k] for k in learn[v][0]], np.array(learn[v][1], dtype=float))
-
-    models = [fitted(0), fitted(1)]
-    for _ in range(ROUNDS):
-        if not pool:
-            break
-        taken = set()
-        for v in (0, 1):  # what view v is sure of teaches the other
-            scores = models[v].logit([views[v][k] for k in aside])
-            a, c = platt(scores, y[aside].astype(float))
-            p = 1 / (1 + np.exp(-np.clip(a * models[v].logit([views[v][k] for k in pool]) + c, -30, 30)))
-            most = max(1, int(SHARE * len(pool)))
-            order = np.argsort(p, kind="stable")
-            sure = [(k, 0) for k in order[:most] if p[k] <= 1 - SURE] + [(k, 1) for k in order[::-1][:most] if p[k] >= max(SURE, prior)]
-            for k, label in sure:
-                learn[1 - v][0].append(pool[k])
-                learn[1 - v][1].append(label)
-                taken.add(pool[k])
-        if not taken:
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * v)
+        size = 1.0
+        while size > 1e-6 and loss(v - size * step) > loss(v):
+            size /= 2
+        v = v - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
-        pool = [k for k in pool if k not in taken]
-        models = [fitted(0), fitted(1)]
-    out = []
-    for v in (0, 1):
-        a, c = platt(models[v].logit([views[v][k] for k in aside]), y[aside].astype(float))
-        out.append((a * models[v].w, a * models[v].b + c))
-    return {"prior": prior, "views": out}
-
-
-def _rows(batch: pa.RecordBatch) -> tuple[list, list]:
-    raw, starts = utf8(batch.column("text"))
-    data, at = raw.tobytes(), starts.tolist()
-    texts = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    return [text_view(t) for t in texts], [meta_view(s, lang, len(t), t.count(b"\n") + 1) for t, s, lang in zip(texts, batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict:
-    """docs: doc_id, text, source, lang; labels: doc_id, quality."""
-
-    def least(ids: DataFrame, n: int) -> DataFrame:
-        return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-
-    said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = docs.select("doc_id").where("doc_id is not null")
-    with_label = least(said.join(ids.distinct(), "doc_id", "left_semi"), labelled)
-    without = least(ids.join(said, "doc_id", "left_anti").distinct(), pool).withColumn("quality", F.lit(-1))
-    # Both have a stated number of narrow rows at most.
-    sample = docs.join(F.broadcast(with_label.unionByName(without)), "doc_id")
-
-    def features(batches):
+    if v[0] <= 0:
+        share = (y.sum() + 0.5) / (len(y) + 1)
+        return 0.0, float(np.log(share / (1 - share)))
+    return float(v[0] / spread), float(v[1] - v[0] * centre / spread)
+
+
+def taught(text: np.ndarray, meta: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The labels that the text view and the metadata view learn from the other's calibrated log-odds; -1: none.
+
+    The commoner label is only given to what is sure beyond its being common.
+    """
+    sure, usual = np.log(SURE / (1 - SURE)), np.log(prior / (1 - prior))
+    label = lambda s: np.where(s >= sure + max(usual, 0), 1, np.where(s <= min(usual, 0) - sure, 0, -1))
+    return label(meta), label(text)
+
+
+def _sums(rows: DataFrame) -> np.ndarray:
+    out = np.zeros(2 * SIZE, np.int64)
+    for r in rows.groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most 2 * SIZE rows
+        out[r["k"]] = r["n"]
+    return out.reshape(2, SIZE)
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict:
+    """Prior, and weights and calibration of both views. docs: doc_id, text, source, lang; labels: doc_id, quality."""
+    said = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = said.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    # A stated number of narrow rows at most.
+    chosen = kept(chosen.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) == 3), "labelled")
+    sample = kept(docs.join(F.broadcast(chosen), "doc_id"), "sample")
+    others = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    kinds = {(r["quality"], r["aside"]): r["n"] for r in sample.groupBy("quality", "aside").agg(F.count("*").alias("n")).collect()}  # four rows
+    known = sum(kinds.values())
+    prior = sum(n for (q, _), n in kinds.items() if q) / known if known else 0.5
+    if not 0 < prior < 1:
+        return {"prior": prior, "w": None}
+    split = all((q, a) in kinds for q in (0, 1) for a in (False, True))
+
+    def count_labels(batches):
+        counts = Counts()
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                text, meta = _rows(batch)
-                columns = [batch.column("doc_id"), batch.column("quality"), pa.array([f for f, _ in text], pa.list_(pa.int32())), pa.array([x for _, x in text], pa.list_(pa.float32())), pa.array([f for f, _ in meta], pa.list_(pa.int32())), pa.array([x for _, x in meta], pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "tf", "tx", "mf", "mx"])
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", kind="stable")
-        pairs = [[(np.asarray(f), np.asarray(x, dtype=float)) for f, x in zip(rows[a], rows[b], strict=True)] for a, b in (("tf", "tx"), ("mf", "mx"))]
-        model = cotrained(*pairs, rows["quality"].to_numpy())
-        out = [("prior", 0, model["prior"])]
-        for v, (w, b) in zip(("text", "meta"), model["views"] or (), strict=False):
-            out += [(v, int(k), float(w[k])) for k in np.flatnonzero(w)] + [(v, -1, float(b))]
-        return pd.DataFrame(out, columns=["kind", "k", "v"])
-
-    table = sample.select("doc_id", "text", "source", "lang", "quality").mapInArrow(features, "doc_id long, quality int, tf array<int>, tx array<float>, mf array<int>, mx array<float>")
-    rows = table.groupBy(F.lit(0).alias("all")).applyInPandas(lambda key, rows: fit(rows), "kind string, k int, v double").collect()  # at most 2^BITS + META + 3 rows
-    model = {"prior": 0.5, "views": None}
-    w, b = {"text": np.zeros(1 << BITS), "meta": np.zeros(META)}, {}
-    for r in rows:
-        if r["kind"] == "prior":
-            model["prior"] = r["v"]
-        elif r["k"] < 0:
-            b[r["kind"]] = r["v"]
-        else:
-            w[r["kind"]][r["k"]] = r["v"]
-    if b:
-        model["views"] = [(w[v], b[v]) for v in ("text", "meta")]
-    return model
-
-
-def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+            for batch in slices(whole, "text"):
+                y = np.asarray(batch.column("quality").to_pylist(), np.int64)
+                counts.add(Views(batch), y, y)
+        yield counts.batch()
+
+    first = _sums(in_arrow(sample.where("not aside") if split else sample, count_labels, "k int, n long"))
+    judges = sample.where("aside") if split else sample
+
+    def calibrated(w: np.ndarray) -> tuple:
+        def run(batches):
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, Views(batch).scores(w)), batch.column("quality")], ["t", "m", "y"])
+
+        rows = in_arrow(judges, run, "t double, m double, y int").orderBy("t", "m", "y").collect()  # at most the sample
+        t, m, y = (np.array([r[c] for r in rows], float) for c in ("t", "m", "y"))
+        return platt(t, y), platt(m, y)
+
+    counts = first
+    for _ in range(rounds):
+        w = weights(counts)
+        (a, c), (b, d) = calibrated(w)
+
+        def learn(batches):
+            counts = Counts()
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    views = Views(batch)
+                    t, m = views.scores(w)  # noqa: B023
+                    counts.add(views, *taught(a * t + c, b * m + d, prior))  # noqa: B023
+            yield counts.batch()
+
+        counts = first + _sums(in_arrow(others, learn, "k int, n long"))
+    w = weights(counts)
+    return {"prior": prior, "w": w, "cut": calibrated(w)}
+
+
+def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_score, meta_score, score (probabilities of good quality) and good of each row."""
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")])
-    shared = docs.sparkSession.sparkContext.broadcast(train(table, labels, labelled, pool))  # 2^BITS + META weights
+    model = train(table, labels, labelled, rounds)  # 2^BITS + META weights and a few
 
     def run(batches):
-        model = shared.value
-        prior = min(max(model["prior"], 1e-6), 1 - 1e-6)
         sure = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                if model["views"]:
-                    views = _rows(batch)
-                    s = [np.array([x @ w[f] + b for f, x in rows]) for rows, (w, b) in zip(views, model["views"], strict=True)]
-                    columns = [sure(s[0]), sure(s[1]), sure(s[0] + s[1] - np.log(prior / (1 - prior)))]
-                else:
+            for batch in slices(whole, "text"):
+                if model["w"] is None:
                     columns = [np.full(batch.num_rows, model["prior"])] * 3
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in columns), pa.array(columns[2] >= 0.5)], ["doc_id", "text_score", "meta_score", "score", "good"])
+                else:
+                    (t, m), ((a, c), (b, d)) = Views(batch).scores(model["w"]), model["cut"]
+                    prior = np.log(model["prior"] / (1 - model["prior"]))
+                    columns = [sure(a * t + c), sure(b * m + d), sure(a * t + c + b * m + d - prior)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array(columns[2] >= 0.5)], ["doc_id", "text_score", "meta_score", "score", "good"])
 
-    return table.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, good boolean")
+    return in_arrow(table, run, "doc_id long, text_score double, meta_score double, score double, good boolean")
