@@ -126,6 +126,8 @@ def weights(counts: np.ndarray) -> np.ndarray:
 def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift under which the log-odds fit the labels: Newton steps on standardised log-odds, a little
     shrunk, halved until the loss falls. A view that tells nothing has slope 0."""
+    if not len(s):
+        return 1.0, 0.0
     centre, spread = float(s.mean()), float(s.std()) or 1.0
     x = np.stack([(s - centre) / spread, np.ones(len(s))], axis=1)
     v, shrink = np.zeros(2), np.array([0.01, 0.01])

@@ -1,7 +1,7 @@
 """Boilerplate lines by their frequency on a site, in DataFrame expressions only.
 
 A line's frequency is the share of the host's pages that hold it. A line is compared without the white space
-around it; blank lines are never counted nor dropped. Since a page holds a line once at most in this count, a
+around it, by a 64-bit hash and its length; blank lines are never counted nor dropped. Since a page holds a line once at most in this count, a
 host has no more boilerplate lines than its mean number of lines a page divided by the ratio, whatever its
 size; they travel as one array a host.
 
@@ -9,8 +9,9 @@ Where ``copies`` are one page, pages of a host with the same text count once, in
 host's: a text with many copies is then no boilerplate of itself.
 
 Defined results: a null text stays null; a null host is a host of its own; equal rows count as pages each
-unless copies are one page; an empty table gives an empty result; all columns of the input stay as they are but ``text``, and ``n_chars``
-where it is there.
+unless copies are one page; lines of equal frequency are alike; texts of any length are read whole; an empty table
+gives an empty result; all columns of the input stay as they are, whatever their names, but ``text``, ``n_chars``
+where it is there, and ``lines_dropped``, which is written anew.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import fresh, kept
 
 RATIO = 0.02  # of the host's pages
 LEAST_PAGES = 5  # pages that hold a line before it can be boilerplate
@@ -46,18 +47,22 @@ def cleaned(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, cop
     """All rows and columns of ``docs`` with the text less its boilerplate lines, and lines_dropped."""
     own = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     found = boilerplate(own, ratio, least, copies)
-    bad = kept(found.groupBy("source").agg(F.collect_set(F.struct("hash", "size")).alias("lines")), "boilerplate").select(F.col("source").alias("_host"), F.col("lines").alias("_lines"))
-    met = docs.join(bad, F.col("source").cast("string").eqNullSafe(F.col("_host")), "left")
-    lines = F.split(F.col("text"), "\n")
-
-    def stays(line: Column) -> Column:
-        return (key(line) == "") | ~F.array_contains(F.col("_lines"), F.struct(F.xxhash64(key(line)).alias("hash"), F.length(key(line)).alias("size")))
-
-    rest = F.filter(lines, stays)
-    touched = F.col("_lines").isNotNull() & F.col("text").isNotNull()
-    text = F.when(touched, F.array_join(rest, "\n")).otherwise(F.col("text"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    whole = met.select(*columns, F.when(touched, F.size(lines) - F.size(rest)).otherwise(F.lit(0)).cast("long").alias("lines_dropped"))
+    host, lines_of, dropped = fresh(docs.columns, "host", "host_lines", "dropped")
+    bad = kept(found.groupBy("source").agg(F.collect_set(F.struct("hash", "size")).alias("lines")), "boilerplate").toDF(host, lines_of)
+    met = docs.join(bad, F.col("source").cast("string").eqNullSafe(F.col(host)), "left")
+    whole = F.col("text").cast("string")
+    lines = F.split(whole, "\n")
+
+    def mark(line: Column) -> Column:
+        return F.struct(F.xxhash64(key(line)).alias("hash"), F.length(key(line)).alias("size"))
+
+    # The text's own boilerplate, by sets; each of its lines is then looked up among these few.
+    met = met.withColumn(dropped, F.array_intersect(F.transform(F.filter(lines, lambda x: key(x) != ""), mark), F.col(lines_of)))
+    touched = F.size(F.col(dropped)) > 0
+    rest = F.filter(lines, lambda x: (key(x) == "") | ~F.array_contains(F.col(dropped), mark(x)))
+    text = F.when(touched, F.array_join(rest, "\n")).otherwise(whole)
+    count = F.when(touched, F.size(lines) - F.size(rest)).otherwise(F.lit(0)).cast("long")
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text, "lines_dropped": count}
     if "n_chars" in docs.columns:
-        whole = whole.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return whole
+        columns["n_chars"] = F.when(touched, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return met.select(*[x.alias(c) for c, x in columns.items()])

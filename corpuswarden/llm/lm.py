@@ -7,8 +7,13 @@ each shard becomes one file of sorted hashes and counts in the shared folder. Fr
 shard follow its share of what smoothing needs for each word: how many words it follows, how many follow it,
 and with what counts. Nothing but one row of sums for each shard reaches the driver.
 
+Words are counted by 64-bit hashes of their bytes and never compared themselves. A file of the model that was
+written and is gone is an error.
+
 Defined results: null or empty text is one end token; with no training text at all every token has
-probability 1; texts of any length are scored whole; equal rows count and score each for itself.
+probability 1; texts of any length are scored whole; equal rows count and score each for itself; an empty table
+gives an empty result; columns that are not asked for are ignored, and of those asked for the ones named like the
+scores give way to these.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrays, put_arrays, shared_dir, slices, utf8
+from .shared import fresh, in_arrow, map_arrays, put_arrays, shared_dir, slices, utf8
 from .words import LOWER, mix, places, span_hashes, unmix
 
 END, BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
@@ -37,11 +42,12 @@ class Model:
     cuts: tuple[tuple[float, float, float], tuple[float, float, float]]  # discounts of words, of bigrams
     kinds: tuple[int, int, int]  # words that follow one, two, more others
     pairs: int  # distinct bigrams
+    files: frozenset[tuple[str, int]]  # kind and shard of what was written
 
 
-def stream(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def stream(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of all texts in order, each text closed by its end; where each text begins."""
-    raw, starts = utf8(batch.column("text"))
+    raw, starts = utf8(batch.column(column))
     begin, end = places(raw, starts)
     doc = np.searchsorted(starts, begin, "right") - 1
     n = batch.num_rows
@@ -100,15 +106,12 @@ def blocks(part: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
 class Words:
     """Numbers and statistics of words, from the mapped files."""
 
-    def __init__(self, uri: str, bits: int, bases: tuple[int, ...]):
-        self.uri, self.bits, self.bases, self.files = uri, bits, bases, {}
+    def __init__(self, uri: str, bits: int, bases: tuple[int, ...], written: frozenset[tuple[str, int]]):
+        self.uri, self.bits, self.bases, self.written, self.files = uri, bits, bases, written, {}
 
     def file(self, kind: str, shard: int) -> dict | None:
         if (kind, shard) not in self.files:
-            try:
-                self.files[kind, shard] = map_arrays(f"{self.uri}/{kind}{shard:05d}.arr")
-            except FileNotFoundError:
-                self.files[kind, shard] = None
+            self.files[kind, shard] = map_arrays(f"{self.uri}/{kind}{shard:05d}.arr") if (kind, shard) in self.written else None
         return self.files[kind, shard]
 
     def find(self, kind: str, key: str, sorted_keys: np.ndarray):
@@ -170,15 +173,16 @@ def train(texts: DataFrame) -> Model:
         begins = int(c[k == BEGIN].sum())
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(c.sum()) - begins], pa.int64())})
 
-    sizes = {r["shard"]: r for r in texts.mapInArrow(count_words, BLOCK).groupBy("shard").applyInArrow(write_words, "shard int, n long, tokens long").collect()}
+    sizes = {r["shard"]: r for r in in_arrow(texts, count_words, BLOCK).groupBy("shard").applyInArrow(write_words, "shard int, n long, tokens long").collect()}
     each = [sizes[s]["n"] if s in sizes else 0 for s in range(1 << bits)]
     bases = tuple(int(x) for x in np.concatenate([[0], np.cumsum(each)]))
+    written = frozenset(("word", s) for s in sizes)
     tokens, words = sum(r["tokens"] for r in sizes.values()), max(0, bases[-1] - 1)
     if bases[-1] >= 1 << 32:
         raise ValueError("more than 2^32 distinct words")
 
     def count_pairs(batches):
-        tally, table = Tally(bits), Words(uri, bits, bases)
+        tally, table = Tally(bits), Words(uri, bits, bases, written)
         begin = int(table.numbers(np.array([BEGIN]))[0])
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
@@ -197,7 +201,7 @@ def train(texts: DataFrame) -> Model:
         put_arrays(f"{uri}/pair{shard:05d}.arr", {"key": k, "count": np.minimum(c, 255).astype(np.uint8), "large_key": k[large], "large_count": c[large]})
         numbers = unmix(k)
         before, word = numbers >> np.uint64(32), (numbers & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rows = [(-1, 2, b"", _of_counts(c).tobytes(), np.array([len(k)]).tobytes(), b"", b"")]
+        rows = [(-1, 2, np.array([shard], np.int64).tobytes(), _of_counts(c).tobytes(), np.array([len(k)]).tobytes(), b"", b"")]
 
         def by_word(ids: np.ndarray, role: int, columns: list[np.ndarray]):
             ends = np.searchsorted(ids, np.array(bases[1:-1], dtype=np.int64))
@@ -217,7 +221,8 @@ def train(texts: DataFrame) -> Model:
         if shard < 0:
             sums = sum((np.frombuffer(x, np.int64) for x in part.column("n0").to_pylist()), np.zeros(4, np.int64))
             total = sum(int(np.frombuffer(x, np.int64)[0]) for x in part.column("n1").to_pylist())
-            return pa.table({"shard": pa.array([-1], pa.int32()), "of_counts": pa.array([sums.tolist()]), "more": pa.array([0], pa.int64()), "total": pa.array([total], pa.int64())})
+            shards = [int(np.frombuffer(x, np.int64)[0]) for x in part.column("keys").to_pylist()]
+            return pa.table({"shard": pa.array([-1], pa.int32()), "of_counts": pa.array([sums.tolist()]), "more": pa.array([0], pa.int64()), "total": pa.array([total], pa.int64()), "shards": pa.array([shards], pa.list_(pa.int64()))})
         n = bases[shard + 1] - bases[shard]
         out = {name: np.zeros(n, np.uint64) for name in ("follows", "total", "n1", "n2", "n3")}
         for row in part.to_pylist():
@@ -226,14 +231,14 @@ def train(texts: DataFrame) -> Model:
                 out[name][at] += np.frombuffer(row[column], np.uint32)
         put_arrays(f"{uri}/stat{shard:05d}.arr", {k: x if k == "total" else x.astype(np.uint32) for k, x in out.items()})
         f = out["follows"]
-        return pa.table({"shard": pa.array([shard], pa.int32()), "of_counts": pa.array([_of_counts(f).tolist()]), "more": pa.array([int((f >= 3).sum())], pa.int64()), "total": pa.array([int(f.sum())], pa.int64())})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "of_counts": pa.array([_of_counts(f).tolist()]), "more": pa.array([int((f >= 3).sum())], pa.int64()), "total": pa.array([int(f.sum())], pa.int64()), "shards": pa.array([[]], pa.list_(pa.int64()))})
 
-    done = texts.mapInArrow(count_pairs, BLOCK).groupBy("shard").applyInArrow(write_pairs, stats).groupBy("shard").applyInArrow(write_stats, "shard int, of_counts array<long>, more long, total long").collect()
+    done = in_arrow(texts, count_pairs, BLOCK).groupBy("shard").applyInArrow(write_pairs, stats).groupBy("shard").applyInArrow(write_stats, "shard int, of_counts array<long>, more long, total long, shards array<long>").collect()
     of_pairs = next((np.array(r["of_counts"]) for r in done if r["shard"] < 0), np.zeros(4))
     of_words = sum((np.array(r["of_counts"]) for r in done if r["shard"] >= 0), np.zeros(4, np.int64))
     more = sum(r["more"] for r in done if r["shard"] >= 0)
     pairs = sum(r["total"] for r in done if r["shard"] < 0)
-    return Model(uri, bits, bases, tokens, words, (discounts(of_words), discounts(of_pairs)), (int(of_words[0]), int(of_words[1]), more), pairs)
+    return Model(uri, bits, bases, tokens, words, (discounts(of_words), discounts(of_pairs)), (int(of_words[0]), int(of_words[1]), more), pairs, written | {("stat", r["shard"]) for r in done if r["shard"] >= 0} | {("pair", s) for r in done for s in r["shards"]})
 
 
 SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -241,18 +246,20 @@ SCORES = "n_tokens long, n_known long, train_tokens long, base_score double, sco
 
 def score(docs: DataFrame, model: Model, *, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and, for the column ``text``, log10 probabilities of the add-one base and of the model."""
-    docs = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", " + SCORES
+    keep = [k for k in keep if k not in {x.split()[0] for x in SCORES.split(", ")}]
+    (own,) = fresh(keep, "text")
+    docs = docs.select(*keep, F.col("text").cast("string").alias(own))
+    schema = "".join(f"`{n}` {t}, " for n, t in docs.select(*keep).dtypes) + SCORES
 
     def run(batches):
-        table = Words(model.uri, model.bits, model.bases)
+        table = Words(model.uri, model.bits, model.bases, model.files)
         begin = int(table.numbers(np.array([BEGIN]))[0])
         (w1, w2, w3), (p1, p2, p3) = model.cuts
         base_total = model.tokens + model.words + 1
         spare = (w1 * model.kinds[0] + w2 * model.kinds[1] + w3 * model.kinds[2]) / model.pairs if model.pairs else 1.0
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                tokens, first = stream(batch)
+            for batch in slices(whole, own):
+                tokens, first = stream(batch, own)
                 distinct, inverse = np.unique(tokens, return_inverse=True)
                 n = len(distinct)
                 numbers, counts = np.full(n, -1, np.int64), np.zeros(n)
@@ -294,4 +301,4 @@ def score(docs: DataFrame, model: Model, *, keep: list[str]) -> DataFrame:
                 columns = [n_tokens, sums((counts > 0)[inverse].astype(np.int64)), np.full(len(n_tokens), model.tokens), sums(np.log10((counts + 1) / base_total)[inverse]), value, 10 ** np.minimum(-value / n_tokens, 300)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *(pa.array(x) for x in columns)], [*keep, *(x.split()[0] for x in SCORES.split(", "))])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)

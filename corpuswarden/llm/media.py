@@ -1,16 +1,19 @@
 """Media columns: payloads kept as lossless images in archives, and a data source that reads them back.
 
-Each task writes its images into one archive (stored members behind a directory of their places). The data
-source plans partitions as byte ranges of the archives. A partition reads the directory of its archive,
-takes the members that begin in its range, and streams their payloads in Arrow batches of a bounded number
-of bytes. A member that cannot be read or does not match its checksum is read again by its own offset, and
-after the last attempt gives a row with its error and a null payload; the others are not affected.
+Each task writes its images into archives (stored members behind a directory of their places), a new one from
+``ARCHIVE`` bytes on. The data source plans partitions as byte ranges of the archives. A partition reads the
+directory of its archive, takes the members that begin in its range, and streams their payloads in Arrow batches
+of a bounded number of bytes. A directory that cannot be read is read again; after the last attempt it gives one
+row with the error and no member for the archive. A member that cannot be read or does not match its checksum is
+read again by its own offset, and after the last attempt gives a row with its error and a null payload; the
+others are not affected.
 
 The image form is an 8-bit grey PNG, ``WIDTH`` samples a row, without row filters. Payloads are filled up with
 byte 255, which no UTF-8 text holds, to a positive multiple of ``WIDTH``; so the unpadded length is known.
 
-Defined results: null or empty text is one row of 255; equal texts give equal values; an empty table gives
-no archive and an empty result; columns other than ``doc_id`` and ``text`` are ignored.
+Defined results: null or empty text is one row of 255; equal texts give equal values; a null doc_id stays null;
+repeated rows are members each; texts of any length are stored whole; an empty table gives no archive and an empty
+result; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .shared import filesystem, shared_dir, slices, utf8
+from .shared import filesystem, in_arrow, shared_dir, slices, utf8
 
 WIDTH = 576
 RANGE = 8 << 20  # bytes of an archive in a partition
+ARCHIVE = 32 << 20  # bytes from which on a task begins a new archive
 BATCH = 4 << 20  # bytes of payload in an Arrow batch
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
@@ -78,8 +82,8 @@ def padded(text: bytes, width: int = WIDTH) -> bytes:
     return text + b"\xff" * (max(width, -(-len(text) // width) * width) - len(text))
 
 
-def write_archives(docs: DataFrame, width: int = WIDTH) -> tuple[str, list[tuple[str, int]]]:
-    """Folder and (path, bytes) of the archives. A repeated task writes the same file again."""
+def write_archives(docs: DataFrame, width: int = WIDTH, most: int = ARCHIVE) -> tuple[str, list[tuple[str, int]]]:
+    """Folder and (path, bytes) of the archives. A repeated task writes the same files again."""
     uri = shared_dir(docs.sparkSession, "media")
 
     def write(batches):
@@ -88,39 +92,46 @@ def write_archives(docs: DataFrame, width: int = WIDTH) -> tuple[str, list[tuple
         at, folder = filesystem(uri)
         at.create_dir(folder, recursive=True)
         task = TaskContext.get()
-        path = f"{folder}/part-{task.partitionId():06d}.zip"
-        draft, n = f"{path}.{task.taskAttemptId()}.draft", 0
-        with at.open_output_stream(draft) as out, zipfile.ZipFile(_Sink(out), "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
-            for whole in batches:
-                for batch in slices(whole, "text", BATCH):
-                    raw, starts = utf8(batch.column("text"))
-                    data = raw.tobytes()
-                    for doc, a, b in zip(batch.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                        # Its place in the archive parts members of one document id.
-                        archive.writestr(zipfile.ZipInfo(f"{'null' if doc is None else doc}-{n}.png"), to_image(padded(data[a:b], width)))
-                        n += 1
-        if n:
+        rows, serial, n = (row for whole in batches for batch in slices(whole, "text") for row in _payloads(batch)), 0, 0
+        row = next(rows, None)
+        while row is not None:
+            path = f"{folder}/part-{task.partitionId():06d}-{serial:05d}.zip"
+            draft = f"{path}.{task.taskAttemptId()}.draft"
+            with at.open_output_stream(draft) as out, zipfile.ZipFile(sink := _Sink(out), "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
+                while row is not None and sink.size < most:
+                    doc, data = row
+                    # Its place in the task parts members of one document id.
+                    archive.writestr(zipfile.ZipInfo(f"{'null' if doc is None else doc}-{n}.png"), to_image(padded(data, width)))
+                    n += 1
+                    row = next(rows, None)
             at.move(draft, path)
-            size = at.get_file_info(path).size
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64())], ["path", "bytes"])
-        else:
-            at.delete_file(draft)
+            serial += 1
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at.get_file_info(path).size], pa.int64())], ["path", "bytes"])
 
-    table = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(write, "path string, bytes long")
+    table = in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), write, "path string, bytes long")
     return uri, sorted((r["path"], r["bytes"]) for r in table.collect())  # a row for each archive
 
 
+def _payloads(batch: pa.RecordBatch):
+    """doc_id and bytes of each text of a batch."""
+    raw, starts = utf8(batch.column("text"))
+    data = raw.tobytes()
+    for doc, a, b in zip(batch.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        yield doc, data[a:b]
+
+
 class _Sink(io.RawIOBase):
     """A stream that only goes forward, for zipfile."""
 
     def __init__(self, out):
-        self.out = out
+        self.out, self.size = out, 0
 
     def writable(self) -> bool:
         return True
 
     def write(self, data) -> int:
         self.out.write(data)
+        self.size += len(data)
         return len(data)
 
 
@@ -156,6 +167,18 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(0.05 * attempt)
         return None, error
 
+    def members(self, at: pafs.FileSystem, part: ByteRange) -> tuple[list[zipfile.ZipInfo], str | None]:
+        """The members that begin in a range, from the archive's directory, with attempts of its own."""
+        error = None
+        for attempt in range(self.attempts):
+            try:
+                with at.open_input_file(part.path) as file, zipfile.ZipFile(file) as archive:
+                    return [x for x in archive.infolist() if part.begin <= x.header_offset < part.end], None
+            except (OSError, ValueError, struct.error, zipfile.BadZipFile) as e:
+                error = f"{type(e).__name__}: {e}"
+                time.sleep(0.05 * attempt)
+        return [], error
+
     def read(self, part: ByteRange):
         if not part.path:
             return
@@ -163,9 +186,12 @@ class ArchiveReader(DataSourceReader):
         names = ["member", "offset", "length", "payload", "error"]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         rows, held = [], 0
+        members, error = self.members(at, part)
+        if error:
+            if part.begin == 0:  # one row for the archive, whatever the number of its ranges
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((None, None, part.size, None, f"{part.path}: {error}"), kinds, strict=True)], names)
+            return
         with at.open_input_file(part.path) as file:
-            with zipfile.ZipFile(file) as archive:
-                members = [x for x in archive.infolist() if part.begin <= x.header_offset < part.end]
             for info in members:
                 try:
                     data, error = read_member(file, info), None
@@ -224,7 +250,7 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored images hold, a row for each member; a member that can't be read has only its error."""
+    """What the stored images hold, a row for each member; a member or archive that can't be read has only its error."""
 
     def run(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -232,14 +258,18 @@ def features(media: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for member, data, error in zip(batch.column("member").to_pylist(), batch.column("payload").to_pylist(), batch.column("error").to_pylist(), strict=True):
-                doc = member.rpartition("-")[0]
+                doc = (member or "null-").rpartition("-")[0]
                 doc = None if doc == "null" else int(doc)
+                if data is not None:
+                    try:
+                        samples = from_image(data)
+                    except (ValueError, struct.error, zlib.error) as e:
+                        data, error = None, f"{type(e).__name__}: {e}"
                 if data is None:
                     out.append((doc, *[None] * 7, error))
                     continue
-                samples = from_image(data)
                 payload = samples.tobytes()
                 out.append((doc, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(samples), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 9, kinds, strict=True)], names)
 
-    return media.select("member", "payload", "error").mapInArrow(run, FEATURES)
+    return in_arrow(media.select("member", "payload", "error"), run, FEATURES)

@@ -10,8 +10,10 @@ which never occurs inside a candidate.
 
 A span is kind:start:end in code points, counted from 0, end exclusive.
 
-Defined results: null or empty text has no spans; texts of any length are scanned whole; equal rows give
-equal results; without samples of either kind the models find nothing; an empty table gives an empty result.
+Defined results: null or empty text has no spans; a null doc_id is an id like others; texts of any length are
+scanned whole; equal rows, which have one key, are matched once and give equal results; without samples of either
+kind the models find nothing; an empty table gives an empty result; further columns are ignored by ``scanned`` and
+kept by ``redacted``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import fresh, kept
 
 # The patterns of the base kinds.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -155,11 +157,15 @@ def outside(start: Column, end: Column, cuts: Column) -> Column:
     return F.aggregate(cuts, begin, step, last)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text: row is the same for rows with equal id and text, which have equal spans."""
+def row_key() -> Column:
+    """The same for rows with equal id and text, which have equal spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc = F.col("doc_id").cast("long")
-    return docs.select(doc.alias("doc_id"), F.concat(F.coalesce(doc.cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64(text)), F.lit(":"), F.length(text).cast("string")).alias("row"), text.alias("text"))
+    return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64(text)), F.lit(":"), F.length(text).cast("string"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -191,15 +197,15 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     groups = found.withColumn("group", F.sum(F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     whole = groups.groupBy("row", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cut = whole.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut")).withColumnRenamed("row", "_key")
-    names = docs.columns
-    own = docs.withColumn("_row", F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), F.lit(":"), F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("string")))
-    met = own.join(cut, F.col("_row") == F.col("_key"), "left")
-    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_cut", lambda x: x["end"]))
-    ends = F.concat(F.transform("_cut", lambda x: x["start"]), F.array(F.length("text").cast("bigint")))
+    row, key, cut, changed = fresh(docs.columns, "row", "key", "cut", "changed")
+    cuts = whole.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut)).select(F.col("row").alias(key), cut)
+    names = {c: F.col(f"`{c}`") for c in docs.columns}
+    met = docs.select(*names.values(), row_key().alias(row)).join(cuts, F.col(row) == F.col(key), "left")
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cut, lambda x: x["end"]))
+    ends = F.concat(F.transform(cut, lambda x: x["start"]), F.array(F.length("text").cast("bigint")))
     parts = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(parts, mark))
-    out = met.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], F.col("_cut").isNotNull().alias("_changed"))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(parts, mark))
+    out = met.select(*[x.alias(c) for c, x in (names | {"text": text}).items()], F.col(cut).isNotNull().alias(changed))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        out = out.withColumn("n_chars", F.when(F.col(changed), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names.values())

@@ -89,9 +89,13 @@ def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     if int("".join(c for c in str(conf.get(_LIMIT)) if c.isdigit()) or 0) > BATCH_BYTES:
         conf.set(_LIMIT, str(BATCH_BYTES))
 
+    names = df.columns
+    if any(c in "".join(names) for c in ".`"):  # Spark would take such a name for a field of a column
+        df = df.toDF(*[f"c{k}" for k in range(len(names))])
+
     def tidy(batches):
         try:
-            yield from run(batches)
+            yield from run(b.rename_columns(names) for b in batches)
         finally:
             released()
 

@@ -1,7 +1,9 @@
 """Held-out accuracy on text made of four alphabets of syllables, and the defined results."""
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpuswarden.llm import langid
@@ -36,3 +38,40 @@ def test_no_training_rows_and_no_rows(spark):
     assert langid.identified(docs.where("false"), F.lit(True), ["doc_id"]).count() == 0
     kept = langid.accepted(docs.withColumn("other", F.lit(1)))
     assert kept.columns == ["doc_id", "text", "lang", "other"]
+
+
+def test_scores_equal_a_plain_computation(spark):
+    rows = corpus(60) + [(99, "ThaÉ 12 \U00031400 ing!", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(docs)
+    languages, w, bias, t, _ = model
+    got = {r.doc_id: r for r in langid.predicted(docs, "text", model).collect()}
+    for k, text, _ in rows:
+        plain = []
+        for c in text:  # letters in lower case, every other run as one blank
+            plain += [c.lower()] if c.isalpha() else ([" "] if not plain or plain[-1] != " " else [])
+        c = [ord(x) for x in " " + "".join(plain) + " "]
+        grams = [(1 << 60) + x for x in c] + [(2 << 60) + (x << 21) + y for x, y in zip(c, c[1:])] + [(x << 42) + (y << 21) + z for x, y, z in zip(c, c[1:], c[2:])]  # noqa: B905
+        f = [int(langid.mix(np.array([g], np.uint64))[0]) >> (64 - langid.BITS) for g in grams]
+        s = [(sum(float(w[x, j]) for x in f) / len(f) + bias[j]) / t for j in range(len(languages))]
+        p = [math.exp(x - max(s)) for x in s]
+        assert got[k].lang_pred == languages[s.index(max(s))]
+        assert abs(got[k].score - max(p) / sum(p)) < 1e-6
+
+
+def test_unlearned_alphabets_go_and_clean_text_stays(spark):
+    rows, rng = corpus(), random.Random(9)
+    other = [(1000 + k, " ".join("".join(rng.choices("абвгдежзиклмнопр", k=6)) for _ in range(30)), None) for k in range(20)]
+    docs = spark.createDataFrame(rows + other, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.accepted(docs).collect()}
+    assert len(kept & {k for k, _, _ in rows}) >= 0.99 * len(rows) and not kept & {k for k, _, _ in other}
+
+
+def test_sample_is_the_least_hashes_of_each_language(spark):
+    rows = [(k, "x", "aa" if k % 3 else "bb") for k in range(900)] + [(5, "x", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {1 << 30}) as h").collect()}
+    got = {r.doc_id for r in langid.sampled(docs, 50).collect()}
+    for rest in ({0}, {1, 2}):
+        own = sorted((k for k in range(900) if k % 3 in rest), key=lambda k: hashes[k])
+        assert got & set(own) <= set(own[:50]) and len(got & set(own)) >= 49

@@ -69,3 +69,14 @@ def test_no_training_text_and_no_rows(spark):
     model = lm.train(docs.where("false"))
     assert [(r.n_tokens, r.n_known, r.score) for r in lm.score(docs, model, keep=["doc_id"]).orderBy("doc_id").collect()] == [(3, 0, 0.0), (1, 0, 0.0)]
     assert lm.score(docs.where("false"), model, keep=["doc_id"]).count() == 0
+
+
+def test_a_lost_file_is_an_error(spark):
+    import os
+
+    docs = spark.createDataFrame([(k, f"w{k} w{k + 1} the") for k in range(40)], "doc_id long, text string")
+    model = lm.train(docs)
+    folder = model.uri.removeprefix("file://")
+    os.remove(f"{folder}/{sorted(f for f in os.listdir(folder) if f.startswith('word'))[0]}")
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        lm.score(docs, model, keep=["doc_id"]).collect()

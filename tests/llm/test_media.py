@@ -54,3 +54,12 @@ def test_no_rows(spark):
 def test_image_is_lossless(n):
     data = np.random.default_rng(n).integers(0, 256, 576 * n, dtype=np.uint8).tobytes()
     assert media.from_image(media.to_image(data)).tobytes() == data
+
+
+def test_archives_roll_over_and_a_lost_directory_is_one_row(spark):
+    uri, files = media.write_archives(spark.createDataFrame([(k, f"text {k}" * 99) for k in range(40)], "doc_id long, text string").coalesce(1), most=2000)
+    assert len(files) > 2 and media.read_archives(spark, uri).select("member").distinct().count() == 40
+    with open(files[0][0], "r+b") as f:
+        f.truncate(files[0][1] - 30)  # the end of the directory
+    rows = media.features(media.read_archives(spark, uri)).collect()
+    assert sum(r.error is not None for r in rows) == 1 and 10 < sum(r.error is None for r in rows) < 40
