@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NBSP, collapsed
+from ..functions.text import NBSP, collapsed, newlines, running_sums
 
 #: Possessive throughout, so that a tag of any length is matched without recursion.
 TAG = "<(/?)([A-Za-z][A-Za-z0-9_:.-]*)(?=[\\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -18,8 +18,12 @@ VOID = "area base br col embed hr img input link meta param source track wbr".sp
 
 
 def pages(df: DataFrame) -> DataFrame:
-    """site_id (host of the URL), page_id, path (the URL) and html of a crawl table."""
-    return df.select(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")).alias("site_id"), "page_id", F.col("url").alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    """site_id (host of the URL), page_id, path (the URL) and html of a crawl table.
+
+    A page without an id gets a negative one from its URL and text. Ids are taken to be unique otherwise.
+    """
+    own = -F.pmod(F.xxhash64("url", "html"), F.lit(1 << 62)) - 1
+    return df.select(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")).alias("site_id"), F.coalesce(F.col("page_id"), own).alias("page_id"), F.col("url").alias("path"), F.coalesce("html", F.lit("")).alias("html"))
 
 
 def blanked(text: Column, pattern: str) -> Column:
@@ -36,19 +40,21 @@ def masked(df: DataFrame, column: str = "html") -> DataFrame:
 
 
 def tags(pages: DataFrame) -> DataFrame:
-    """site_id, page_id, path, seq, offset, end, name, closing, self_closing, attrs (raw), of masked pages.
+    """site_id, page_id, path, seq, offset, end, line, name, closing, self_closing, attrs (raw), of masked pages.
 
-    Places are running sums of the gaps between tags and of the tags before; one shuffle by page at most.
+    Places and lines are running sums over the gaps between tags and the tags before, within the page's row:
+    nothing is shuffled, and pages are told apart whatever their ids.
     """
     html = F.col("html")
-    zipped = F.arrays_zip(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)).alias("raw"), F.transform(F.split(html, TAG, -1), lambda g: F.length(g)).alias("gap"))
-    each = pages.select("site_id", "page_id", "path", F.posexplode(zipped).alias("seq", "t")).where("t.raw is not null")
-    order = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    raw = F.col("t.raw")
-    end = F.sum(F.col("t.gap") + F.length(raw)).over(order)
+    raws, gaps = F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), F.split(html, TAG, -1)
+    sizes = F.zip_with(gaps, raws, lambda g, r: F.length(g) + F.coalesce(F.length(r), F.lit(0)))
+    lines = F.zip_with(gaps, F.concat(F.array(F.lit("")), raws), lambda g, r: newlines(g) + newlines(r))
+    found = pages.where(html.rlike(TAG)).select("site_id", "page_id", "path", raws.alias("raws"), running_sums(sizes).alias("ends"), running_sums(lines, 1).alias("lines"))
+    each = found.select("site_id", "page_id", "path", F.posexplode(F.arrays_zip("raws", "ends", "lines")).alias("seq", "t")).where("t.raws is not null")
+    raw, end = F.col("t.raws"), F.col("t.ends")
     attrs = F.regexp_replace(raw, "^</?[A-Za-z][A-Za-z0-9_:.-]*|/?>$", "")
     return each.select(
-        "site_id", "page_id", "path", F.col("seq").cast("int").alias("seq"), (end - F.length(raw)).cast("int").alias("offset"), end.cast("int").alias("end"),
+        "site_id", "page_id", "path", F.col("seq").cast("int").alias("seq"), (end - F.length(raw)).cast("int").alias("offset"), end.cast("int").alias("end"), F.col("t.lines").cast("int").alias("line"),
         F.lower(F.regexp_extract(raw, "^</?([A-Za-z][A-Za-z0-9_:.-]*)", 1)).alias("name"), raw.startswith("</").alias("closing"), raw.endswith("/>").alias("self_closing"), attrs.alias("attrs"), raw.alias("raw"),
     )
 
@@ -104,7 +110,7 @@ def elements(tags: DataFrame, names: list[str] | None = None) -> DataFrame:
     real = low.where(~(F.col("closing") & (F.col("m") < F.col("before")))).withColumn("level", F.col("s") - F.col("m") + F.col("closing").cast("int"))
     level = Window.partitionBy("page_id", "name", "level").orderBy("seq")
     nxt = real.select("*", F.lead("closing").over(level).alias("next_closing"), F.lead("offset").over(level).alias("close_offset"), F.lead("end").over(level).alias("close_end"))
-    return nxt.where("not closing and next_closing").select("site_id", "page_id", "path", "name", "seq", "offset", F.col("end").alias("open_end"), "close_offset", "close_end", "attrs", "raw")
+    return nxt.where("not closing and next_closing").select("site_id", "page_id", "path", "name", "seq", "line", "offset", F.col("end").alias("open_end"), "close_offset", "close_end", "attrs", "raw")
 
 
 def with_content(elements: DataFrame, pages: DataFrame) -> DataFrame:
@@ -132,7 +138,7 @@ def surface(tags: DataFrame) -> DataFrame:
 def headings(pages: DataFrame, tags: DataFrame) -> DataFrame:
     """page_id, level, offset, attrs, content and text of the headings."""
     own = with_content(elements(tags, [f"h{k}" for k in range(1, 7)]), pages)
-    return own.select("site_id", "page_id", "path", F.substring("name", 2, 1).cast("int").alias("level"), "offset", "attrs", "content", visible(F.col("content")).alias("text"))
+    return own.select("site_id", "page_id", "path", F.substring("name", 2, 1).cast("int").alias("level"), "offset", "line", "attrs", "content", visible(F.col("content")).alias("text"))
 
 
 def named(attrs: Column, content: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PRIVATE_KEY, PROVIDERS, SENSITIVE, base_name, extension, insecure_url, is_loopback, sensitive_name, size_label, url_part
+from ..functions.text import ANY_PROVIDER, PRIVATE_KEY, PROVIDERS, SENSITIVE, base_name, extension, insecure_url, is_loopback, match_lines, sensitive_name, size_label, url_part
 from .findings import emit
 
 # Path parts by the role of a file.
@@ -19,7 +19,11 @@ TEST_PATH = "(?i)(^|/)(tests?|__tests__|specs?|fixtures?|__mocks__|mocks?|e2e|cy
 DOCS_PATH = "(?i)(^|/)(docs?|documentation|examples?|demos?|samples?)(/|$)|\\.(md|mdx|rst|txt)$"
 GENERATED_PATH = "(?i)(^|/)(dist|build|out|coverage|vendor|node_modules|\\.next|\\.nuxt|\\.output)(/|$)|\\.min\\.(js|css)$|\\.(map|snap)$"
 ENV_PATH = "(^|/)\\.env(\\.[A-Za-z0-9_.-]+)?$"
-IGNORED = ["node_modules", ".git", ".hg", ".svn", "dist", "build", "out", "coverage", ".next", ".nuxt", ".cache", "vendor", "target", "__pycache__", ".venv", "venv"]
+# Directories that are never scanned.
+IGNORED = [
+    ".git", ".hg", ".svn", ".next", ".nuxt", ".svelte-kit", ".turbo", ".cache", ".lhci", ".lighthouseci", ".parcel-cache", ".vite", "node_modules", "bower_components",
+    "coverage", "dist", "build", "lighthouse-report", "lighthouse-reports", "playwright-report", "test-results", "blob-report", "out", "target", "vendor",
+]
 
 
 def role(path: Column | str = "path") -> Column:
@@ -33,8 +37,9 @@ def in_scope(sources: DataFrame) -> DataFrame:
 
 
 def generated_header(text: Column | str) -> Column:
+    """Whether one of the first 15 lines says that the file is generated."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.exists(F.slice(F.split(F.substring(t, 1, 2000), "\n"), 1, 15), lambda x: x.rlike("(?i)(@generated|auto-?generated|do not (edit|modify)|code generated by)"))
+    return F.exists(F.slice(F.split(t, "\n", 16), 1, 15), lambda x: x.rlike("(?i)(@generated|auto-?generated|do not (edit|modify)|code generated by)"))
 
 
 def code_masked(text: Column) -> Column:
@@ -54,17 +59,22 @@ def placeholder(value: Column) -> Column:
     )
 
 
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """value, raw and line of each match, as an array; null without any."""
+    raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = raw if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    zipped = F.transform(F.arrays_zip(value.alias("value"), raw.alias("raw"), match_lines(text, pattern, raw).alias("line")), lambda z: F.struct(z["value"].alias("value"), z["raw"].alias("raw"), z["line"].cast("int").alias("line")))
+    return F.when(text.rlike(pattern), F.filter(zipped, lambda z: z["raw"].isNotNull()))
+
+
 def _found(sources: DataFrame, text: Column, pattern: str, group: int = 0) -> DataFrame:
-    """A row for each match with its value and line; lines come from the text before it, split at the matches."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g) - F.length(F.replace(g, F.lit("\n"), F.lit(""))))
-    own = sources.where(text.rlike(pattern)).select("site_id", "path", "text", F.posexplode(F.arrays_zip(matches.alias("value"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"))).alias("at", "m"), gaps.alias("gaps"))
-    line = F.aggregate(F.slice("gaps", F.lit(1), F.col("at") + 1), F.lit(1), lambda a, b: a + b)
-    return own.select("site_id", "path", "text", F.col("m.value").alias("value"), F.col("m.raw").alias("raw"), line.cast("int").alias("line"))
+    """A row for each match with its value and line; the text itself is not carried along."""
+    own = sources.where(text.rlike(pattern)).select("site_id", "path", F.explode(_matches(text, pattern, group)).alias("m"))
+    return own.select("site_id", "path", "m.value", "m.raw", "m.line")
 
 
 FIELD = "[A-Za-z_][A-Za-z0-9_.\\-]{0,80}"
-ASSIGNMENT = f"([\"']?{FIELD}[\"']?)\\s*(?:=>|:=|[:=])\\s*(\"[^\"\\n]{{1,400}}\"|'[^'\\n]{{1,400}}'|`[^`\\n]{{1,400}}`)"
+ASSIGNMENT = f"([\"']?{FIELD}[\"']?)\\s*(?:=>|:=|[:=])\\s*(\"[^\"\\n]+\"|'[^'\\n]+'|`[^`\\n]+`)"
 
 
 def assignments(sources: DataFrame) -> DataFrame:
@@ -77,37 +87,27 @@ def assignments(sources: DataFrame) -> DataFrame:
 
 
 def provider_findings(sources: DataFrame) -> DataFrame:
-    """Credentials by their provider's shape; a JWT must have a header that decodes to JSON with an algorithm."""
-    out = []
-    for kind, pattern, severity in PROVIDERS:
-        own = _found(sources, F.col("text"), pattern).withColumn("own", F.lit(severity))
-        if kind == "jwt":
-            head = F.split("value", "\\.")[0]
-            padded = F.rpad(F.translate(head, "-_", "+/"), (F.ceil(F.length(head) / 4) * 4).cast("int"), F.lit("="))
-            own = own.where(F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), "$.alg").isNotNull())
-        out.append(own.where(~placeholder(F.col("value"))))
-    out.append(_found(sources, F.col("text"), PRIVATE_KEY).withColumn("own", F.lit("critical")))
-    rows = reduce(DataFrame.unionByName, out)
-    return _secret(rows, F.col("own"))
+    """Credentials by their provider's shape, found in one pass; a JWT must have a header that decodes to JSON with
+    an algorithm."""
+    rows = _found(sources, F.col("text"), f"{ANY_PROVIDER}|{PRIVATE_KEY}")
+    own = F.coalesce(*[F.when(F.col("value").rlike(f"^(?:{pattern})$"), F.lit(severity)) for _, pattern, severity in PROVIDERS], F.lit("critical"))
+    head = F.split("value", "\\.")[0]
+    padded = F.rpad(F.translate(head, "-_", "+/"), (F.ceil(F.length(head) / 4) * 4).cast("int"), F.lit("="))
+    signed = F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), "$.alg").isNotNull()
+    return _secret(rows.withColumn("own", own).where(~F.col("value").startswith("eyJ") | signed).where(~placeholder(F.col("value"))), F.col("own"))
 
 
 def _secret(rows: DataFrame, severity: Column) -> DataFrame:
     """Embedded secrets with the severity that the role of their file gives: less in tests, manual in env files."""
-    r = rows.withColumn("role", role("path")).withColumn("sev", severity)
-    test, env = F.col("role") == "test", F.col("role") == "env"
-    frames = []
-    for condition, sev, manual in ((test, F.when(F.col("sev") == "critical", "medium").otherwise("low"), F.lit(True)), (env, F.lit("medium"), F.lit(True)), (~test & ~env, F.col("sev"), F.lit(False))):
-        for level in ("critical", "high", "medium", "low"):
-            own = r.where(condition & (sev == level)).select("site_id", "path", F.lit("embedded-secrets").alias("rule_id"), F.col("raw").alias("evidence"), "line")
-            frames.append(emit(own, severity=F.lit(level), manual=manual))
-    return reduce(DataFrame.unionByName, frames)
+    where = role("path")
+    graded = F.when(where == "env", "medium").when(where != "test", severity).when(severity == "critical", "medium").otherwise("low")
+    own = rows.select("site_id", "path", F.lit("embedded-secrets").alias("rule_id"), F.col("raw").alias("evidence"), "line", graded.alias("graded"), where.isin("test", "env").alias("by_hand"))
+    return emit(own, severity=F.col("graded"), manual=F.col("by_hand"))
 
 
 def assigned_secrets(sources: DataFrame) -> DataFrame:
     """Literal values of credential fields that are no placeholder and have no provider's shape."""
-    rows = assignments(sources).where((F.length("value") >= 8) & ~placeholder(F.col("value")))
-    for _, pattern, _ in PROVIDERS:
-        rows = rows.where(~F.col("value").rlike(pattern))
+    rows = assignments(sources).where((F.length("value") >= 8) & ~placeholder(F.col("value")) & ~F.col("value").rlike(ANY_PROVIDER))
     password = F.lower("field").rlike("pass|pwd|secret|private")
     return _secret(rows, F.when(password, "high").otherwise("medium"))
 
@@ -147,10 +147,10 @@ SCRIPT_PATTERNS: list[tuple[str, str, str | None, bool | None]] = [
 def script_findings(sources: DataFrame) -> DataFrame:
     """Pattern rules over script text, comments left out."""
     own = sources.where("text is not null").where(~role("path").isin("docs", "generated", "test")).withColumn("text", code_masked(F.col("text")))
-    out = []
-    for rule, pattern, severity, manual in SCRIPT_PATTERNS:
-        rows = _found(own, F.col("text"), pattern)
-        out.append(emit(rows.select("site_id", "path", F.lit(rule).alias("rule_id"), F.col("raw").alias("evidence"), "line"), severity=F.lit(severity) if severity else None, manual=None if manual is None else F.lit(manual)))
+    # One pass: every rule's matches in one array, exploded once.
+    each = [F.transform(_matches(F.col("text"), pattern), lambda m: F.struct(F.lit(rule).alias("rule_id"), m["raw"].alias("evidence"), m["line"].alias("line"), F.lit(severity).cast("string").alias("graded"), F.lit(manual).cast("boolean").alias("by_hand"))) for rule, pattern, severity, manual in SCRIPT_PATTERNS]  # noqa: B023
+    fired = own.select("site_id", "path", F.explode(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))).alias("x")).select("site_id", "path", "x.*")
+    out = [emit(fired, severity=F.col("graded"), manual=F.col("by_hand"))]
     urls = _found(own, F.col("text"), "(?i)\\b(?:http|ws)://[A-Za-z0-9.\\-\\[\\]:]+[^\\s\"'`<>)]*")
     namespace = F.lower("value").rlike("^http://(www\\.w3\\.org|schemas?\\.|xmlns\\.|www\\.sitemaps\\.org|ns\\.adobe\\.com|purl\\.org)")
     host = url_part(F.regexp_replace("value", "(?i)^ws:", "http:"), "HOST")
