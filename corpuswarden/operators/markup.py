@@ -93,8 +93,9 @@ def visible(content: Column) -> Column:
     return collapsed(t)
 
 
-def elements(tags: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Paired elements: offset, open_end, close_offset, close_end, attrs of each opening tag with its closing one.
+def elements(tags: DataFrame, names: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
+    """Paired elements: offset, open_end, close_offset, close_end, attrs of each opening tag with its closing one, and
+    the columns ``carried`` of the opening tag and, as close_*, of the closing one.
 
     As a stack would pair them for each name, by windows alone: the depth is the running sum of +1 and -1 less
     its running minimum, closings that set a new minimum are stray, and on each level an opening is paired with
@@ -109,8 +110,22 @@ def elements(tags: DataFrame, names: list[str] | None = None) -> DataFrame:
     low = low.withColumn("before", F.coalesce(F.lag("m").over(order), F.lit(0)))
     real = low.where(~(F.col("closing") & (F.col("m") < F.col("before")))).withColumn("level", F.col("s") - F.col("m") + F.col("closing").cast("int"))
     level = Window.partitionBy("page_id", "name", "level").orderBy("seq")
-    nxt = real.select("*", F.lead("closing").over(level).alias("next_closing"), F.lead("offset").over(level).alias("close_offset"), F.lead("end").over(level).alias("close_end"))
-    return nxt.where("not closing and next_closing").select("site_id", "page_id", "path", "name", "seq", "line", "offset", F.col("end").alias("open_end"), "close_offset", "close_end", "attrs", "raw")
+    nxt = real.select("*", F.lead("closing").over(level).alias("next_closing"), F.lead("offset").over(level).alias("close_offset"), F.lead("end").over(level).alias("close_end"), *[F.lead(c).over(level).alias(f"close_{c}") for c in carried or []])
+    more = [x for c in carried or [] for x in (c, f"close_{c}")]
+    return nxt.where("not closing and next_closing").select("site_id", "page_id", "path", "name", "seq", "line", "offset", F.col("end").alias("open_end"), "close_offset", "close_end", "attrs", "raw", *more)
+
+
+def depths(tags: DataFrame, elements: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """Tags with, for each kind (a condition on elements), in how many elements of it they lie: in_*.
+
+    Running counts of elements that began and have not ended, in one window for all kinds.
+    """
+    began = elements.select("page_id", *[c.cast("int").alias(f"_{k}") for k, c in kinds.items()], F.explode(F.array(F.struct(F.col("open_end").alias("at"), F.lit(1).alias("step")), F.struct(F.col("close_offset").alias("at"), F.lit(-1).alias("step")))).alias("x"))
+    marks = began.select("page_id", "x.at", "x.step", *[F.coalesce(F.col(f"_{k}") * F.col("x.step"), F.lit(0)).alias(f"_{k}") for k in kinds])
+    both = tags.select("*", F.col("offset").alias("at"), F.lit(0).alias("step"), *[F.lit(0).alias(f"_{k}") for k in kinds]).unionByName(marks, allowMissingColumns=True)
+    # At one place: ends first, then beginnings, then the tag that stands there.
+    order = Window.partitionBy("page_id").orderBy("at", F.when(F.col("step") == -1, 0).when(F.col("step") == 1, 1).otherwise(2)).rowsBetween(Window.unboundedPreceding, 0)
+    return both.select("*", *[F.sum(f"_{k}").over(order).alias(f"in_{k}") for k in kinds]).where("step = 0").drop("at", "step", *[f"_{k}" for k in kinds])
 
 
 def with_content(elements: DataFrame, pages: DataFrame) -> DataFrame:
@@ -123,16 +138,8 @@ HIDDEN = ["svg", "math", "template", "script", "style", "textarea"]
 
 
 def surface(tags: DataFrame) -> DataFrame:
-    """Tags outside of drawings, templates, scripts, styles and text areas.
-
-    Whether a tag lies inside is a running count of hidden elements that began and have not ended.
-    """
-    hidden = elements(tags, HIDDEN)
-    marks = hidden.select("page_id", F.col("open_end").alias("at"), F.lit(1).alias("step")).unionByName(hidden.select("page_id", F.col("close_offset").alias("at"), F.lit(-1).alias("step")))
-    both = tags.select("*", F.col("offset").alias("at"), F.lit(0).alias("step")).unionByName(marks, allowMissingColumns=True)
-    # At one place: ends first, then beginnings, then the tag that stands there.
-    order = Window.partitionBy("page_id").orderBy("at", F.when(F.col("step") == -1, 0).when(F.col("step") == 1, 1).otherwise(2)).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("inside", F.sum("step").over(order)).where("step = 0 and inside = 0").drop("at", "step", "inside")
+    """Tags outside of drawings, templates, scripts, styles and text areas."""
+    return depths(tags, elements(tags, HIDDEN), {"hidden": F.lit(True)}).where("in_hidden = 0").drop("in_hidden")
 
 
 def headings(pages: DataFrame, tags: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from ..operators import markup as m
 from ..operators import observations, page_rules, policy, site_rules, source_rules
 from ..operators.catalogue import RULES
 from ..sources import tables
+from . import rules_sql
 from . import sql as S
+from .fixtures import with_fixtures
 from .registry import query
 
 table = tables.table
@@ -28,10 +30,6 @@ def head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rules.head_findings(*page_tables(spark, sf_dir))
 
 
-def body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_rules.body_findings(*page_tables(spark, sf_dir))
-
-
 def earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline entries of an earlier crawl: the pages with an even id."""
     pages = m.masked(m.pages(table(spark, sf_dir, "pages").where("page_id % 2 = 0")))
@@ -121,12 +119,17 @@ def s05_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.inventory(tables.document_sources(spark, sf_dir))
 
 
-# Head rules, one query for each
+# Page rules, one query for each, over the given pages and literal ones
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = m.masked(m.pages(with_fixtures(table(spark, sf_dir, "pages"))))
+    return pages, m.tags(pages)
 
 
 def _rule(build, rule: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(spark, sf_dir).where(F.col("rule_id") == rule).select("site_id", "path", "rule_id", "severity", "line", "evidence")
+        return build(*fixture_tables(spark, sf_dir), rule).where(F.col("rule_id") == rule).select("site_id", "path", "rule_id", "severity", "line", "evidence")
 
     return run
 
@@ -143,16 +146,16 @@ BODY = {
     "m21": "forms-no-error-feedback-signal", "m22": "a11y-positive-tabindex", "m23": "a11y-focusable-aria-hidden", "m24": "a11y-duplicate-id", "m25": "a11y-video-captions", "m26": "content-missing-h1", "m27": "content-multiple-h1",
     "m28": "content-empty-heading", "m29": "content-heading-jump", "m30": "security-insecure-resource", "m31": "privacy-password-get-form",
 }
-for _ids, _build in ((HEAD, head), (BODY, body)):
+for _ids, _build in ((HEAD, lambda pages, tags, rule: page_rules.head_findings(pages, tags)), (BODY, lambda pages, tags, rule: page_rules.body_findings(pages, tags, {rule}))):
     for _id, _name in _ids.items():
         _f = _rule(_build, _name)
         _f.__name__ = f"{_id}_{_name.split('-', 1)[1].replace('-', '_')}"
-        query(S.RULES.get(_name))(_f)
+        query(rules_sql.SQL[_name])(_f)
 
 
-@query(S.D18)
+@query(rules_sql.D18)
 def d18_invalid_structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_rules.structured_data_findings(*page_tables(spark, sf_dir)).select("site_id", "path", "evidence")
+    return page_rules.structured_data_findings(*fixture_tables(spark, sf_dir)).select("site_id", "path", "evidence")
 
 
 # Site
@@ -174,6 +177,11 @@ def p06_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rules.duplicate_titles(*page_tables(spark, sf_dir)).select("site_id", "title", "pages")
 
 
+@query(rules_sql.P07)
+def p07_duplicate_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_rules.duplicate_descriptions(*fixture_tables(spark, sf_dir)).select("site_id", "description", "pages")
+
+
 @query(S.R03)
 def r03_missing_crawl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = m.pages(table(spark, sf_dir, "pages"))

@@ -76,32 +76,6 @@ _CONDITIONS = {
     "a11y-document-language": ("medium", "'lang='", r"""EXISTS (SELECT 1 FROM g WHERE g.page_id = p.page_id AND g.name = 'html' AND NOT closing) AND NOT EXISTS (SELECT 1 FROM g WHERE g.page_id = p.page_id AND g.name = 'html' AND regexp_matches(tag, '(?i)\slang\s*=\s*["'']?[a-z]{2,8}(-[a-z0-9]{1,8})*["''\s>]'))"""),
     "performance-render-blocking-script": ("low", "(SELECT min(tag) FROM g WHERE g.page_id = p.page_id AND g.name = 'script')", r"""EXISTS (SELECT 1 FROM g WHERE g.page_id = p.page_id AND g.name = 'script' AND regexp_matches(tag, '(?i)\ssrc\s*=') AND NOT regexp_matches(tag, '(?i)\s(async|defer)[\s=/>]|module'))"""),
 }
-RULES = {rule: f"WITH {TAGS} {_head(rule, *parts)}" for rule, parts in _CONDITIONS.items()}
-
-
-def _no_tag(rule: str, severity: str, condition: str) -> str:
-    return f"WITH {TAGS} SELECT site_id, path, '{rule}' AS rule_id, '{severity}' AS severity, 1::INT AS line, tag AS evidence FROM g WHERE NOT closing AND {condition}"
-
-
-RULES |= {
-    "a11y-image-alt": _no_tag("a11y-image-alt", "high", r"name IN ('img', 'image') AND NOT regexp_matches(tag, '(?i)\salt[\s=/>]')"),
-    "a11y-iframe-title": _no_tag("a11y-iframe-title", "medium", r"""name = 'iframe' AND NOT regexp_matches(tag, '(?i)\stitle\s*=\s*["'']?[^"''\s>]')"""),
-    "a11y-audible-autoplay": _no_tag("a11y-audible-autoplay", "medium", r"name IN ('audio', 'video') AND regexp_matches(tag, '(?i)\sautoplay') AND NOT regexp_matches(tag, '(?i)\smuted')"),
-    "security-external-link-opener": _no_tag("security-external-link-opener", "medium", r"""regexp_matches(tag, '(?i)\starget\s*=\s*["'']?_blank') AND NOT regexp_matches(tag, '(?i)noopener|noreferrer')"""),
-    "forms-missing-autocomplete": _no_tag("forms-missing-autocomplete", "low", r"name = 'input' AND NOT regexp_matches(tag, '(?i)autocomplete')"),
-    "a11y-duplicate-id": f"WITH {TAGS}, i AS (SELECT site_id, path, page_id, trim(regexp_extract(tag, '(?i)\\sid\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)) AS id FROM g WHERE NOT closing), k AS (SELECT site_id, path, page_id, id FROM i WHERE id <> '' GROUP BY ALL HAVING count(*) > 1) SELECT site_id, path, 'a11y-duplicate-id' AS rule_id, 'medium' AS severity, 1::INT AS line, 'id=' || min(id) AS evidence FROM k GROUP BY site_id, path, page_id",
-    "content-missing-h1": f"WITH {TAGS} SELECT site_id, path, 'content-missing-h1' AS rule_id, 'medium' AS severity, 1::INT AS line, 'no h1' AS evidence FROM p WHERE regexp_matches(h, '(?i)<(html|body|main)\\b') AND NOT EXISTS (SELECT 1 FROM g WHERE g.page_id = p.page_id AND name = 'h1' AND NOT closing)",
-    "content-multiple-h1": f"WITH {TAGS}, c AS (SELECT site_id, path, page_id, count(*) AS n FROM g WHERE name = 'h1' AND NOT closing GROUP BY ALL) SELECT site_id, path, 'content-multiple-h1' AS rule_id, 'low' AS severity, 1::INT AS line, n || ' h1 headings' AS evidence FROM c WHERE n > 1",
-    "a11y-form-label": _no_tag("a11y-form-label", "high", "name IN ('input', 'select', 'textarea')"),
-    "privacy-password-get-form": _no_tag("privacy-password-get-form", "high", "name = 'form'"),
-    "a11y-fieldset-legend": _no_tag("a11y-fieldset-legend", "medium", "name = 'fieldset'"),
-    "a11y-table-name": _no_tag("a11y-table-name", "low", "name = 'th'"),
-    "a11y-video-captions": _no_tag("a11y-video-captions", "medium", "name = 'video'"),
-    "a11y-dialog-name": _no_tag("a11y-dialog-name", "high", r"name = 'dialog' OR regexp_matches(tag, '(?i)\srole\s*=\s*[\"'']?(alert)?dialog')"),
-    "a11y-positive-tabindex": _no_tag("a11y-positive-tabindex", "medium", r"regexp_matches(tag, '(?i)\stabindex\s*=\s*[\"'']?[1-9]')"),
-}
-D18 = f"WITH {TAGS} SELECT site_id, path, tag AS evidence FROM g WHERE regexp_matches(tag, 'ld\\+json')"
-
 _FOUND = ["seo-missing-title", "seo-multiple-titles", "seo-missing-description", "seo-missing-social-metadata", "seo-missing-canonical", "seo-multiple-canonicals", "html-missing-charset", "responsive-missing-viewport", "a11y-document-language"]
 _CONFIDENCE = {"seo-missing-canonical": "medium"}
 _CATEGORY = {r: r.split("-")[0] for r in _FOUND}
@@ -163,7 +137,7 @@ G01 = f"""WITH {PAGES} SELECT site_id, count(*) AS pages, count_if(regexp_matche
 bool_or(regexp_matches(raw, '(?i)<main\\b|role\\s*=\\s*["'']main')) AS main, bool_or(regexp_matches(raw, '(?i)<nav\\b|role\\s*=\\s*["'']navigation')) AS nav,
 bool_or(regexp_matches(raw, '(?i)<style\\b|rel\\s*=\\s*["'']?stylesheet|\\sstyle\\s*=')) AS styles, bool_or(regexp_matches(raw, '(?i)@keyframes|animation\\s*:|transition\\s*:')) AS motion,
 bool_or(regexp_matches(raw, '(?i)var\\(--|--[a-z-]+\\s*:')) AS tokens FROM p GROUP BY site_id"""
-P06 = f"WITH {PAGES}, t AS (SELECT site_id, page_id, substr(lower({_TITLE}), 1, 100) AS title FROM p WHERE {_TITLES} > 0) SELECT site_id, title, count(*) AS pages FROM t WHERE title <> '' GROUP BY ALL HAVING count(*) > 1"
+P06 = f"WITH {PAGES}, t AS (SELECT site_id, page_id, lower({_TITLE}) AS title FROM p WHERE {_TITLES} > 0) SELECT site_id, title, count(*) AS pages FROM t WHERE title <> '' GROUP BY ALL HAVING count(*) > 1"
 R03 = f"WITH {PAGES} SELECT DISTINCT site_id, unnest(['crawl-missing-robots', 'crawl-missing-sitemap']) AS rule_id FROM p"
 L20 = """WITH e AS (SELECT 'user-' || user_id AS path, count(*) AS n, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY user_id)
 SELECT path, 'runtime.page-errors' AS rule_id, 'high' AS severity, n || ' events, first ' || first AS evidence FROM e"""
