@@ -112,24 +112,32 @@ def import_edges(sources: DataFrame) -> DataFrame:
     """site_id, importer, module: local imports resolved to the first of their candidate paths that exists."""
     spec = F.regexp_extract_all("text", F.lit("(?:\\bfrom\\s*|\\bimport\\s*\\(?\\s*|\\brequire\\s*\\(\\s*)[\"']([^\"'\\n]+)[\"']"), F.lit(1))
     each = sources.where("text is not null").select("site_id", F.col("path").alias("importer"), F.explode(F.array_distinct(spec)).alias("spec")).where(F.col("spec").rlike("^(\\./|\\.\\./|@/|~/)"))
-    base = F.when(F.col("spec").rlike("^[@~]/"), F.concat(F.lit("src/"), F.substring("spec", 3, 1000))).otherwise(F.concat_ws("/", F.nullif(directory("importer"), F.lit("")), "spec"))
+    base = F.when(F.col("spec").rlike("^[@~]/"), F.concat(F.lit("src/"), F.regexp_replace("spec", "^..", ""))).otherwise(F.concat_ws("/", F.nullif(directory("importer"), F.lit("")), "spec"))
     flat = F.regexp_replace(F.regexp_replace(base, "(^|/)\\./", "$1"), "(^|/)\\./", "$1")
-    for _ in range(8):  # a parent folder at a time
-        flat = F.regexp_replace(flat, "(^|/)(?!\\.\\./)[^/]+/\\.\\./", "$1")
+    # Folders from left to right; a parent step takes the last one back.
+    step = lambda kept, part: F.when((part == "..") & (F.size(kept) > 0) & (F.try_element_at(kept, F.lit(-1)) != ".."), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
+    flat = F.array_join(F.aggregate(F.split(flat, "/"), F.array().cast("array<string>"), step), "/")
     names = [s + e for s in ("", "/index") for e in ("", ".tsx", ".ts", ".jsx", ".js", ".mjs", ".vue", ".svelte", ".astro")]
     candidates = each.select("site_id", "importer", "spec", F.posexplode(F.array(*[F.concat(flat, F.lit(n)) for n in names])).alias("nth", "path"))
     there = candidates.join(sources.select("site_id", "path").distinct(), ["site_id", "path"])
     return there.groupBy("site_id", "importer", "spec").agg(F.min_by("path", "nth").alias("module")).select("site_id", "importer", "module").distinct()
 
 
-def reaches(edges: DataFrame, seeds: DataFrame, rounds: int = 20) -> DataFrame:
-    """site_id, path of files that reach a seed (site_id, path) through imports.
+def reaches(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """site_id, path of files that reach a seed (site_id, path) through imports, over any number of steps.
 
-    Each round joins only what was new; checkpoints cut the lineage, and a round without news ends it.
+    Each round joins only what was new; checkpoints (in the folder set for the session's context) cut the lineage,
+    and a round without news ends it, which comes after as many rounds as the longest shortest path has steps.
     """
+    context = edges.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            raise ValueError("neither a checkpoint directory nor spark.checkpoint.dir is set")
+        context.setCheckpointDir(root)
     known = seeds.select("site_id", "path").distinct().checkpoint()
     new = known
-    for _ in range(rounds):
+    while True:
         step = edges.join(new.withColumnRenamed("path", "module"), ["site_id", "module"]).select("site_id", F.col("importer").alias("path")).distinct()
         new = step.join(known, ["site_id", "path"], "left_anti").checkpoint()
         if not new.take(1):
@@ -138,29 +146,74 @@ def reaches(edges: DataFrame, seeds: DataFrame, rounds: int = 20) -> DataFrame:
     return known
 
 
-#: evidence group, pattern of a dependency or path, weight
-EVIDENCE = [
-    ("framework", "(?i)^(next|nuxt|gatsby|astro|@remix-run/.*|@sveltejs/kit|vite)$", 0.5), ("ui", "(?i)^(react|react-dom|vue|svelte|@angular/core|solid-js|preact)$", 0.34), ("entry", "(?i)(^|/)(index\\.html|app\\.(tsx|jsx|vue)|main\\.(tsx|jsx))$", 0.34), ("routes", "(?i)(^|/)(pages|app|routes)/.*\\.(tsx|jsx|vue|astro|svelte)$", 0.3),
-    ("styles", "(?i)\\.(css|scss|sass|less)$", 0.12), ("public", "(?i)(^|/)public/", 0.12), ("cli", "(?i)^(commander|yargs|oclif|cac)$", -0.3), ("library", "(?i)(^|/)(rollup\\.config|tsup\\.config)\\.[cm]?[jt]s$", -0.42), ("backend", "(?i)^(express|fastify|koa|@nestjs/core)$", -0.3),
-]
-STRONG = ["framework", "entry", "routes"]
+# Frameworks in the order in which they are looked for, with their dependencies and configuration files.
+FRAMEWORKS = [
+    ("Next.js", "^next$", "^next\\.config\\.(?:js|mjs|cjs|ts|mts|cts)$"),
+    ("Nuxt", "^(?:nuxt|nuxt3|@nuxt/core)$", "^nuxt\\.config\\.(?:js|mjs|cjs|ts|mts|cts)$"),
+    ("Astro", "^astro$", "^astro\\.config\\.(?:js|mjs|cjs|ts|mts|cts)$"),
+    ("Gatsby", "^gatsby$", "^gatsby-config\\.(?:js|mjs|cjs|ts|mts|cts)$"),
+    ("Remix", "^@remix-run/", "^remix\\.config\\.(?:js|mjs|cjs|ts|mts|cts)$"),
+    ("SvelteKit", "^@sveltejs/kit$", "^svelte\\.config\\.(?:js|mjs|cjs|ts|mts|cts)$"),
+    ("Angular", "^@angular/(?:core|platform-browser)$", "^angular\\.json$"),
+    ("React", "^react(?:-dom)?$", None),
+    ("Vue", "^vue$", None),
+    ("Svelte", "^svelte$", None),
+    ("Vite", "^vite$", "^vite\\.config\\.(?:js|mjs|cjs|ts|mts|cts)$"),
+]
+APPLICATION_FRAMEWORKS = 6  # the first ones, which make a project an application
+
+# Weights of the kinds of evidence that a project is a web site, penalties, and the least likelihood.
+WEIGHTS = {
+    "html-entry": 0.7, "application-framework-configured": 0.74, "application-framework": 0.68, "application-framework-config": 0.24, "framework-package": 0.22, "frontend-runtime": 0.3,
+    "web-tooling": 0.2, "browser-code": 0.2, "route-structure": 0.21, "ui-source": 0.19, "client-entry": 0.19, "web-script": 0.18, "site-metadata": 0.08,
+}
+PENALTIES = {"cli": 0.3, "library": 0.42, "backend-only": 0.3}
+LEAST_LIKELIHOOD = 0.58
+BACKEND = "^(?:@hapi/hapi|@nestjs/core|express|fastify|koa|restify)$"
+SCRIPTS = "(?:js|jsx|mjs|cjs|mts|cts|ts|tsx)"
 
 
 def site_likelihood(names: DataFrame) -> DataFrame:
-    """names: site_id, name (dependencies and paths). Likelihood 0 to 1 that a project is a web site."""
-    hits = F.filter(F.array(*[F.when(F.col("name").rlike(p), F.struct(F.lit(g).alias("g"), F.lit(w).alias("w"))) for g, p, w in EVIDENCE]), lambda x: x.isNotNull())
-    groups = names.select("site_id", F.explode(hits).alias("x")).groupBy("site_id", F.col("x.g").alias("g")).agg(F.max_by("x.w", F.abs("x.w")).alias("w"))
-    total = groups.groupBy("site_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(F.sum("w"), 4))).alias("likelihood"), F.count_if(F.col("w") > 0).alias("groups"), F.bool_or(F.col("g").isin(STRONG)).alias("strong"))
-    return total.withColumn("is_site", (F.col("likelihood") >= 0.58) & (F.col("strong") | (F.col("groups") >= 3)))
+    """Likelihood 0 to 1 that a project is a web site, from rows site_id, kind, name.
 
-
-FRAMEWORKS = [("next", "next"), ("nuxt", "nuxt"), ("astro", "astro"), ("@sveltejs/kit", "sveltekit"), ("@remix-run/react", "remix"), ("gatsby", "gatsby"), ("@angular/core", "angular"), ("vue", "vue"), ("svelte", "svelte"), ("react", "react")]
-
-
-def framework(dependencies: DataFrame) -> DataFrame:
-    """The first framework of a fixed list that a site depends on (site_id, name)."""
-    table = dependencies.sparkSession.createDataFrame([(k, d, f) for k, (d, f) in enumerate(FRAMEWORKS)], "ord int, name string, framework string")
-    return dependencies.join(F.broadcast(table), "name").groupBy("site_id").agg(F.min_by("framework", "ord").alias("framework"))
+    kind: dependency, path, script (a command of the manifest), code (``browser`` if some source uses the page), or
+    package (``cli``, ``library``). One aggregation of flags for each site, then an expression over them.
+    """
+    def seen(kind: str, pattern: str) -> Column:
+        return F.coalesce(F.bool_or((F.col("kind") == kind) & F.col("name").rlike(pattern)), F.lit(False))
+
+    configs = "|".join(c for _, _, c in FRAMEWORKS[:APPLICATION_FRAMEWORKS])
+    last = F.when(F.col("kind") == "path", base_name("name"))
+    flags = names.groupBy("site_id").agg(
+        seen("dependency", "|".join(d for _, d, _ in FRAMEWORKS[:APPLICATION_FRAMEWORKS])).alias("package"), F.coalesce(F.bool_or(F.lower(last).rlike(configs)), F.lit(False)).alias("config"),
+        seen("dependency", "^(?:react-dom|vue|svelte|@angular/core)$").alias("runtime"), (seen("dependency", "^vite$") | F.coalesce(F.bool_or(F.lower(last).rlike("^vite\\.config\\.")), F.lit(False))).alias("vite"),
+        seen("path", f"(?i)(?:^|/)(?:pages|app)/.*\\.(?:astro|html|svelte|vue|{SCRIPTS})$|(?:^|/)routes/.*\\.(?:astro|html|jsx|svelte|tsx|vue)$").alias("routes"),
+        seen("path", "(?i)^(?:(?:public|src|site|web|www)/)?index\\.html?$").alias("html"), seen("path", f"(?i)^(?:(?:src|client|web)/)?(?:main|index|app|entry-client)\\.(?:vue|svelte|astro|{SCRIPTS})$").alias("entry"),
+        seen("path", "(?i)\\.(?:astro|jsx|svelte|tsx|vue)$").alias("ui"), seen("path", "(?i)(?:^|/)(?:robots\\.txt|sitemap\\.xml|manifest\\.webmanifest)$").alias("metadata"),
+        seen("script", "(?:^|[\\s;&|])(?:vite|next|nuxt|nuxi|astro|gatsby|remix|ng|react-scripts)(?:\\s|$)").alias("script"), seen("code", "^browser$").alias("code"),
+        seen("package", "^cli$").alias("cli"), seen("package", "^library$").alias("library"), seen("dependency", BACKEND).alias("backend"),
+    )
+    f = F.col
+    page = f("html") | f("routes")
+    strong = f("package") & (page | (f("config") & f("script"))) & ~(f("library") & ~page)
+    anchor = strong | f("runtime") | f("vite") | f("html") | f("code")
+    evidence = [
+        ("html-entry", f("html")), ("application-framework-configured", strong & f("config")), ("application-framework", strong & ~f("config")), ("application-framework-config", f("config") & ~strong), ("framework-package", f("package") & ~strong),
+        ("frontend-runtime", f("runtime")), ("web-tooling", f("vite")), ("browser-code", f("code")), ("route-structure", f("routes")), ("ui-source", f("ui")),
+        ("client-entry", f("entry") & (f("runtime") | f("vite"))), ("web-script", f("script")), ("site-metadata", f("metadata")),
+    ]
+    against = [("cli", f("cli") & ~page), ("library", f("library") & ~page), ("backend-only", f("backend") & ~anchor)]
+    total = sum((F.when(c, w[k]).otherwise(0.0) for w, rules in ((WEIGHTS, evidence), ({k: -v for k, v in PENALTIES.items()}, against)) for k, c in rules), F.lit(0.0))
+    groups = sum((c.cast("int") for _, c in evidence), F.lit(0))
+    scored = flags.select("site_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 2).alias("likelihood"), groups.alias("groups"), (strong | f("html")).alias("strong"), (anchor & (page | (f("config") & f("script")) | (f("vite") & f("entry")))).alias("runs"))
+    return scored.select("site_id", "likelihood", "groups", "strong", ((f("likelihood") >= LEAST_LIKELIHOOD) & (f("strong") | ((f("groups") >= 3) & f("runs")))).alias("is_site"))
+
+
+def framework(names: DataFrame) -> DataFrame:
+    """The first framework of the list that a site depends on or has a configuration of, from rows site_id, kind, name."""
+    hit = F.coalesce(*[F.when(((F.col("kind") == "dependency") & F.col("name").rlike(d)) | ((F.col("kind") == "path") & (F.lower(base_name("name")).rlike(c) if c else F.lit(False))), k) for k, (_, d, c) in enumerate(FRAMEWORKS)])
+    first = names.groupBy("site_id").agg(F.min(hit).alias("k")).where("k is not null")
+    return first.select("site_id", F.element_at(F.array(*[F.lit(n) for n, _, _ in FRAMEWORKS]), F.col("k") + 1).alias("framework"))
 
 
 def entry_files(pages: DataFrame, most: int = 4) -> DataFrame:

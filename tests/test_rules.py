@@ -93,3 +93,30 @@ def test_scalars(spark):
     assert one(t.compact(F.lit("a  b\n" + "x" * 300))).endswith("…") and len(one(t.compact(F.lit("x" * 300)))) == 220
     assert [one(t.sensitive_name(F.lit(n))) for n in ("apiKey", "DB_PASSWORD", "authToken", "tokenizer", "name")] == [True, True, True, False, False]
     assert one(t.artifact_uri(F.lit("a b/ü.js"))) == "a%20b/%C3%BC.js" and one(t.artifact_uri(F.lit("../x"))) is None
+
+
+def test_likelihood_and_framework_of_projects(spark):
+    from corpuswarden.operators import site_rules
+
+    rows = [
+        ("next", "dependency", "next"), ("next", "path", "next.config.mjs"), ("next", "path", "app/page.tsx"),
+        ("plain", "path", "index.html"), ("plain", "path", "robots.txt"),
+        ("lib", "dependency", "react-dom"), ("lib", "package", "library"), ("lib", "path", "src/button.tsx"),
+        ("server", "dependency", "express"), ("vue", "dependency", "vue"), ("vue", "dependency", "vite"), ("vue", "path", "src/main.ts"), ("vue", "path", "src/App.vue"),
+    ]
+    names = spark.createDataFrame(rows, "site_id string, kind string, name string")
+    got = {r.site_id: (r.likelihood, r.is_site) for r in site_rules.site_likelihood(names).collect()}
+    assert got == {"next": (1.0, True), "plain": (0.78, True), "lib": (0.07, False), "server": (0.0, False), "vue": (0.88, True)}
+    assert {r.site_id: r.framework for r in site_rules.framework(names).collect()} == {"next": "Next.js", "lib": "React", "vue": "Vue"}
+
+
+def test_imports_over_many_parents_and_steps(spark):
+    from corpuswarden.operators import site_rules
+
+    deep = "/".join("d" * 1 + str(k) for k in range(12))
+    rows = [("s", f"{deep}/a.ts", f"import x from '{'../' * 12}top'"), ("s", "top.ts", "import './c0'")] + [("s", f"c{k}.ts", f"import './c{k + 1}'") for k in range(30)] + [("s", "c30.ts", "")]
+    sources = spark.createDataFrame(rows, "site_id string, path string, text string")
+    edges = site_rules.import_edges(sources)
+    assert ("s", f"{deep}/a.ts", "top.ts") in {tuple(r) for r in edges.collect()}
+    seeds = spark.createDataFrame([("s", "c30.ts")], "site_id string, path string")
+    assert site_rules.reaches(edges, seeds).count() == 33
