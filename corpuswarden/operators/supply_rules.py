@@ -38,13 +38,14 @@ def scripts(sources: DataFrame) -> DataFrame:
 
 
 def lock_packages(sources: DataFrame) -> DataFrame:
-    """Packages of npm lockfiles of both layouts: name, resolved, integrity. Nested dependencies to depth 3."""
+    """Packages of npm lockfiles of both layouts: name, resolved, integrity. Nested dependencies of any depth, a level
+    in each round."""
     own = sources.where(base_name("path").isin("package-lock.json", "npm-shrinkwrap.json") & F.col("text").isNotNull())
     one = "struct<version:string,resolved:string,integrity:string,link:boolean,bundled:boolean>"
     flat = own.select("site_id", "path", F.explode(F.from_json(F.get_json_object("text", "$.packages"), f"map<string,{one}>")).alias("name", "p")).where("name != ''")
     out = [flat]
     level = own.select("site_id", "path", F.get_json_object("text", "$.dependencies").alias("json")).where(F.get_json_object("text", "$.packages").isNull())
-    for _ in range(3):
+    while level.take(1):
         each = level.select("site_id", "path", F.explode(F.from_json("json", "map<string,string>")).alias("name", "body"))
         out.append(each.select("site_id", "path", "name", F.from_json("body", one).alias("p")))
         level = each.select("site_id", "path", F.get_json_object("body", "$.dependencies").alias("json")).where("json is not null")
@@ -104,8 +105,8 @@ def advisory_findings(sources: DataFrame, advisories: DataFrame) -> DataFrame:
     """advisories: name, severity, range. One finding for each dependency and advisory."""
     table = advisories.select("name", advisory_severity("severity").alias("own"), F.coalesce("range", F.lit("")).alias("range")).dropDuplicates(["name", "own", "range"])
     met = dependencies(sources).join(table, "name")
-    rows = lambda s: _row(met.where(F.col("own") == s), "dependency-advisory", F.concat(F.concat_ws("@", "name", "version"), F.lit(" in "), "range"))
-    return reduce(DataFrame.unionByName, [emit(rows(s), severity=F.lit(s)) for s in ("critical", "high", "medium", "low", "info")])
+    rows = met.select("site_id", "path", F.lit("dependency-advisory").alias("rule_id"), F.concat(F.concat_ws("@", "name", "version"), F.lit(" in "), "range").alias("evidence"), F.lit(1).alias("line"), "own")
+    return emit(rows, severity=F.col("own"))
 
 
 def workflow_lines(sources: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators.catalogue import RULES
 from ..sources import tables
 from . import rules_sql
 from . import sql as S
-from .fixtures import with_fixtures
+from .fixtures import CREDENTIALS, with_fixtures
 from .registry import query
 
 table = tables.table
@@ -73,7 +73,7 @@ def x06_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.sha2(m.visible(F.col("html")), 256).alias("text_sha256"))
 
 
-@query()
+@query(rules_sql.X08)
 def x08_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.surface(page_tables(spark, sf_dir)[1]).groupBy("page_id").agg(F.count("*").alias("tags"))
 
@@ -83,7 +83,7 @@ def x09_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.headings(*page_tables(spark, sf_dir)).select("page_id", "level", "text")
 
 
-@query()
+@query(rules_sql.X10)
 def x10_css_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.css_rules(m.styles(*page_tables(spark, sf_dir))).groupBy("site_id", "selector").agg(F.count("*").alias("n"))
 
@@ -116,7 +116,7 @@ def x22_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.S05)
 def s05_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.inventory(tables.document_sources(spark, sf_dir))
+    return tables.inventory(tables.document_sources(spark, sf_dir, tables.MOST_BYTES))
 
 
 # Page rules, one query for each, over the given pages and literal ones
@@ -167,7 +167,7 @@ def g01_site_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_rules.signals(pages).select("site_id", "pages", "documents", "structured", "main", "nav", "styles", "motion", "tokens")
 
 
-@query()
+@query(rules_sql.P05)
 def p05_site_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_rules.signal_findings(site_rules.signals(m.pages(table(spark, sf_dir, "pages"))))
 
@@ -207,13 +207,14 @@ def e03_document_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_rules.assigned_secrets(tables.document_sources(spark, sf_dir)).select("site_id", F.col("path").alias("document"), "severity", "line", "evidence")
 
 
-@query(S.E01)
+@query(rules_sql.E01)
 def e01_provider_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source_rules.provider_findings(tables.document_sources(spark, sf_dir).unionByName(tables.conversation_sources(spark, sf_dir)))
+    own = tables.described(spark.createDataFrame(CREDENTIALS, "site_id string, path string, text string"), None)
+    rows = source_rules.provider_findings(tables.document_sources(spark, sf_dir).unionByName(tables.conversation_sources(spark, sf_dir)).unionByName(own))
     return rows.groupBy("site_id", "rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(rules_sql.E10)
 def e10_insecure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_rules.insecure_links(tables.document_sources(spark, sf_dir))
 

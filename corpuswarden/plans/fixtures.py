@@ -34,6 +34,21 @@ CASES = {
 PAGES = [(f"https://fixture.example/{rule}/{kind}", text[1:] if text.startswith("^") else HEAD + text) for rule, pair in CASES.items() for kind, text in zip(("bad", "good"), pair, strict=True)]
 PAGES.append(("https://fixture.example/partials/note.html", "<p>a part of a page</p>"))
 
+# Texts with shapes of credentials, put together here so that no file holds one: in sources, tests, environment files,
+# with a placeholder's word, and tokens whose header does and does not decode.
+_RUN = "Zq7Wx2Kd9Rt4Bn6Vm1Hc8Lp3"
+CREDENTIALS = [
+    ("keys", "src/a.js", "x = 'AKIA" + "Q7W2K9R4B6V1H8L3" + "'\ny = 'ghp_" + _RUN + _RUN[:16] + "'"),
+    ("keys", "src/b.js", "glpat-" + _RUN + " and npm_" + _RUN + " and AIza" + _RUN + _RUN[:11]),
+    ("keys", "src/test/c.js", "sk_live_" + _RUN + " AIza" + _RUN + _RUN[:11]),
+    ("keys", ".env", "xoxb-" + _RUN),
+    ("keys", "src/d.js", "AKIA" + "EXAMPLE" + "Q7W2K9R4B"),
+    ("jwt", "src/e.js", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + _RUN + "." + _RUN),
+    ("jwt", "src/f.js", "eyJub3RoaW5nIjoxfQAA." + _RUN + "." + _RUN),
+    ("pem", "src/g.js", "-----BEGIN RSA " + "PRIVATE KEY-----\n" + _RUN),
+    ("none", "src/h.js", "nothing of the kind, not even AKIA123"),
+]
+
 
 def with_fixtures(pages: DataFrame) -> DataFrame:
     """page_id, url, html of a crawl table and of the literal pages, which have negative ids."""

@@ -7,8 +7,10 @@ Elements are found by patterns: the pages nest no element in one of its own name
 
 from __future__ import annotations
 
+from ..functions.text import PROVIDERS
 from ..operators.catalogue import RULES as CATALOGUE
 from ..operators.page_rules import AMBIGUOUS, PURPOSES
+from ..operators.site_rules import MANUAL
 from . import fixtures
 
 SEVERITY = {r[0]: r[3] for r in CATALOGUE}
@@ -221,3 +223,48 @@ SQL["performance-render-blocking-script"] = f"WITH {HEAD} {rows('performance-ren
 
 D18 = rf"""WITH {PAGES}{elements('script')} SELECT site_id, path, trim(regexp_replace(content, '\s+', ' ', 'g')) AS evidence FROM e WHERE lower({attr('type')}) = 'application/ld+json' AND NOT regexp_matches(content, '\{{\{{|\$\{{|<%') AND (trim(content) = '' OR NOT json_valid(content))"""
 P07 = rf"""WITH {HEAD}, x AS (SELECT page_id, site_id, substr(lower(trim(regexp_replace(first(content ORDER BY k), '\s+', ' ', 'g'))), 1, 240) AS description FROM m WHERE meta = 'description' AND trim(content) <> '' GROUP BY page_id, site_id) SELECT site_id, description, count(*) AS pages FROM x GROUP BY ALL HAVING count(*) > 1"""
+
+# Structure, style blocks, links, credentials and sites.
+_GIVEN = r"""p AS (SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1), '') AS site_id, url AS path, coalesce(html, '') AS raw, regexp_replace(coalesce(html, ''), '<!--[\s\S]*?-->', '', 'g') AS h FROM pages)"""
+_BARE = "h"
+for _n in ("svg", "math", "template", "script", "style", "textarea"):
+    _BARE = rf"regexp_replace({_BARE}, '(?is)(<{_n}(?:\s[^>]*)?>)[\s\S]*?(</{_n}\s*>)', '\1\2', 'g')"
+X08 = f"WITH {_GIVEN} SELECT page_id, len(regexp_extract_all({_BARE}, '{TAG}'))::BIGINT AS tags FROM p WHERE tags > 0"
+X10 = rf"""WITH {_GIVEN}{elements('style')}, c AS (SELECT site_id, unnest(regexp_extract_all(regexp_replace(content, '/\*[\s\S]*?(?:\*/|$)', ' ', 'g'), '([^{{}}]+)\{{[^{{}}]*\}}', 1)) AS selectors FROM e),
+s AS (SELECT site_id, trim(regexp_replace(unnest(string_split(selectors, ',')), '\s+', ' ', 'g')) AS selector FROM c) SELECT site_id, selector, count(*) AS n FROM s GROUP BY ALL"""
+_LINK = r"(?i)\bhttp://[^\s\"'<>)]+".replace("'", "''")
+E10 = rf"""WITH d AS (SELECT source AS site_id, 'doc-' || doc_id AS path, text, regexp_extract_all(text, '{_LINK}') AS vs, regexp_split_to_array(text, '{_LINK}') AS gaps FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(0))),
+v AS (SELECT site_id, path, unnest(vs) AS value, gaps, unnest(range(1, len(vs) + 1)) AS k FROM d)
+SELECT site_id, path, value, (1 + {newlines("array_to_string(gaps[1:k], '')")})::INT AS line FROM v WHERE NOT regexp_matches(value, '(?i)^http://(localhost|127(\.\d+){{3}}|\[?::1\]?|0\.0\.0\.0|[^/?#:]*\.localhost)(:\d+)?([/?#]|$)')"""
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_ANY = "|".join(p for _, p, _ in PROVIDERS) + "|-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+_GRADE = "CASE " + " ".join(f"WHEN regexp_full_match(v, {_quoted(p)}) THEN '{s}'" for _, p, s in PROVIDERS) + " ELSE 'critical' END"
+_HEADER = "rpad(translate(string_split(v, '.')[1], '-_', '+/'), (ceil(length(string_split(v, '.')[1]) / 4.0) * 4)::INT, '=')"
+E01 = rf"""WITH d AS (SELECT source AS site_id, 'doc-' || doc_id AS path, text FROM documents UNION ALL SELECT 'conversations', concat_ws('-', 'turn', conv_id, turn), text FROM conversations
+UNION ALL SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_quoted, row)) + ')' for row in fixtures.CREDENTIALS)}) x(site_id, path, text)),
+f AS (SELECT site_id, path, unnest(regexp_extract_all(text, {_quoted(_ANY)})) AS v FROM d WHERE text IS NOT NULL AND NOT contains(text, chr(0))),
+s AS (SELECT *, {_GRADE} AS own FROM f WHERE NOT regexp_matches(lower(v), '(?:^|[^a-z])(?:example|sample|placeholder|dummy|fake|todo|redacted|insert|replace|foo|bar|lorem|none|null|undefined)')
+      AND (v NOT LIKE 'eyJ%' OR try(json_extract_string(decode(from_base64({_HEADER})), '$.alg')) IS NOT NULL)),
+r AS (SELECT site_id, CASE WHEN regexp_matches(path, '(^|/)\.env(\.[A-Za-z0-9_.-]+)?$') THEN 'medium' WHEN NOT regexp_matches(path, '(?i)(^|/)(tests?|__tests__|specs?|fixtures?|__mocks__|mocks?|e2e|cypress)(/|$)') THEN own WHEN own = 'critical' THEN 'medium' ELSE 'low' END AS severity FROM s)
+SELECT site_id, 'embedded-secrets' AS rule_id, severity, count(*) AS n FROM r GROUP BY ALL"""
+
+_FLAGS = {
+    "structured": r"application/ld\+json|schema\.org|itemscope", "main": r"<main\b|role\s*=\s*[\"']main", "nav": r"<nav\b|role\s*=\s*[\"']navigation", "styles": r"<style\b|rel\s*=\s*[\"']?stylesheet|\sstyle\s*=", "motion": r"@keyframes|animation\s*:|transition\s*:",
+    "breakpoints": r"@media|@container|\b(sm|md|lg|xl):[a-z]", "reduced_motion": "prefers-reduced-motion", "loading": r"\bloading\b|spinner|skeleton|aria-busy", "errors": r"error|role\s*=\s*[\"']alert", "empty_state": "no results|empty|nothing (here|found)",
+    "app_like": r"fetch\(|axios|XMLHttpRequest|data-reactroot|ng-app|v-app", "tokens": r"var\(--|--[a-z-]+\s*:", "analytics": r"google-analytics|gtag\(|googletagmanager|plausible\.io|matomo|hotjar", "consent": "consent|cookie (policy|banner|notice)|privacy",
+}
+_SITE_RULES = {
+    "discoverability-no-structured-data": "NOT structured", "a11y-missing-main-landmark": "documents > 0 AND NOT main", "ux-missing-navigation-landmark": "documents > 1 AND NOT nav", "responsive-no-breakpoint-strategy": "styles AND NOT breakpoints",
+    "a11y-motion-no-reduction": "motion AND NOT reduced_motion", "ux-no-loading-state": "app_like AND NOT loading", "ux-no-error-state": "app_like AND NOT errors", "ux-no-empty-state": "app_like AND NOT empty_state", "ux-no-not-found-page": "documents > 1 AND NOT not_found",
+    "design-no-color-tokens": "colours >= 12 AND NOT tokens", "privacy-analytics-without-consent-signal": "analytics AND NOT consent", **{f"manual-{x}": "true" for x in MANUAL},
+}
+_CATALOGUE = ", ".join(f"('{r}', '{mode}', '{category}', '{severity}', '{confidence}', {manual}, '{family}')" for r, mode, category, severity, confidence, manual, family in CATALOGUE if r in _SITE_RULES)
+P05 = rf"""WITH {_GIVEN}, s AS (SELECT site_id, count(*) AS pages, count_if(regexp_matches(raw, '(?i)<html\b|<!doctype html')) AS documents, bool_or(regexp_matches(path, '(?i)(^|/)(404|not-found)(\.|/|$)')) AS not_found,
+sum(len(regexp_extract_all(raw, '(?i)#[0-9a-f]{{3,8}}\b|\brgba?\('))) AS colours, {', '.join(f"bool_or(regexp_matches(raw, {_quoted('(?i)' + p)})) AS {n}" for n, p in _FLAGS.items())} FROM p GROUP BY site_id),
+r AS (SELECT site_id, pages, unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _SITE_RULES.items())}], lambda x: x IS NOT NULL)) AS rule_id FROM s)
+SELECT site_id, mode, r.rule_id, family, category, severity, confidence, manual, '(site)' AS path, 1::INT AS line, pages || ' pages' AS evidence FROM r JOIN (VALUES {_CATALOGUE}) c(rule_id, mode, category, severity, confidence, manual, family) USING (rule_id)"""

@@ -34,8 +34,8 @@ _SPACED = r"trim(regexp_replace(replace(text, chr(160), ' '), '[ \t\n\x0B\f\r]+'
 X20 = f"SELECT doc_id, CASE WHEN length({_SPACED}) > 220 THEN substr({_SPACED}, 1, 219) || chr(8230) ELSE {_SPACED} END AS snippet FROM documents"
 
 _WORD = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth[_-]?token|credentials?|connection[_-]?string)"
-_ASSIGN = r"""(["'']?[A-Za-z_][A-Za-z0-9_.\-]{0,80}["'']?)\s*(?:=>|:=|[:=])\s*("[^"\n]{1,400}"|''[^''\n]{1,400}''|`[^`\n]{1,400}`)"""
-_ASSIGNMENTS = rf"""d AS (SELECT doc_id, source, text FROM documents WHERE octet_length(encode(text)) <= 1500000 AND regexp_matches(text, '(?i){_WORD}["'']?\s*(?:=>|:=|[:=])')),
+_ASSIGN = r"""(["'']?[A-Za-z_][A-Za-z0-9_.\-]{0,80}["'']?)\s*(?:=>|:=|[:=])\s*("[^"\n]+"|''[^''\n]+''|`[^`\n]+`)"""
+_ASSIGNMENTS = rf"""d AS (SELECT doc_id, source, text FROM documents WHERE regexp_matches(text, '(?i){_WORD}["'']?\s*(?:=>|:=|[:=])')),
 a AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '{_ASSIGN}')) AS raw, unnest(list_transform(range(1, len(regexp_extract_all(text, '{_ASSIGN}')) + 1), lambda k: k)) AS k, regexp_split_to_array(text, '{_ASSIGN}') AS gaps FROM d),
 f AS (SELECT doc_id, source, raw, regexp_replace(regexp_extract(raw, '{_ASSIGN}', 1), '["'']', '', 'g') AS field, regexp_replace(regexp_extract(raw, '{_ASSIGN}', 2), '^["''`]|["''`]$', '', 'g') AS value,
       (1 + length(array_to_string(gaps[1:k], '')) - length(replace(array_to_string(gaps[1:k], ''), chr(10), '')))::INT AS line FROM a),
@@ -44,7 +44,6 @@ X22 = f"WITH {_ASSIGNMENTS} SELECT 'doc-' || doc_id AS document, field, value, l
 # Values in the given documents are 40 hexadecimal digits: long runs, redacted as such.
 E03 = rf"""WITH {_ASSIGNMENTS} SELECT source AS site_id, 'doc-' || doc_id AS document, CASE WHEN regexp_matches(lower(field), 'pass|pwd|secret|private') THEN 'high' ELSE 'medium' END AS severity, line,
 regexp_replace(raw, '("[^"\n]+")', '[REDACTED]') AS evidence FROM s WHERE length(value) >= 8 AND NOT regexp_matches(lower(value), 'example|placeholder|change[-_]?me|your[-_ ]')"""
-E01 = "SELECT '' AS site_id, '' AS rule_id, '' AS severity, 0::BIGINT AS n WHERE false"
 S05 = """SELECT source AS site_id, count(*) AS files, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS total_bytes, count_if(octet_length(encode(text)) > 1500000)::BIGINT AS "large",
 count_if(octet_length(encode(text)) <= 1500000 AND contains(text, chr(0)))::BIGINT AS "binary", count_if(text IS NULL)::BIGINT AS unreadable,
 CASE WHEN count_if(text IS NULL OR octet_length(encode(text)) > 1500000 OR contains(text, chr(0))) > 0 THEN 'partial' ELSE 'completed' END AS status FROM documents GROUP BY source"""

@@ -15,21 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def described(df: DataFrame, most: int = MOST_BYTES) -> DataFrame:
-    """site_id, path, text with name, ext, size_bytes and skipped_reason; text over the limit or binary is not read."""
+def described(df: DataFrame, most: int | None = MOST_BYTES) -> DataFrame:
+    """site_id, path, text with name, ext, size_bytes and skipped_reason; text over the limit (if there is one) or
+    binary is not read."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    reason = F.when(F.col("text").isNull(), "unreadable").when(size > most, "large").when(F.contains("text", F.lit("\x00")), "binary")
+    reason = F.when(F.col("text").isNull(), "unreadable").when(F.lit(False) if most is None else size > most, "large").when(F.contains("text", F.lit("\x00")), "binary")
     rows = df.select("site_id", "path", base_name("path").alias("name"), extension("path").alias("ext"), size.alias("size_bytes"), "text", reason.alias("skipped_reason"))
     return rows.withColumn("text", F.when(F.col("skipped_reason").isNull(), F.col("text")))
 
 
-def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sources: their source is the site, their id the path."""
-    return described(table(spark, sf_dir, "documents").select(F.col("source").alias("site_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), "text"))
+def document_sources(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Documents as sources, of any length: their source is the site, their id the path."""
+    return described(table(spark, sf_dir, "documents").select(F.col("source").alias("site_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), "text"), most)
 
 
 def conversation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("site_id"), F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("path"), "text"))
+    return described(table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("site_id"), F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("path"), "text"), None)
 
 
 def browser_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,9 @@ def presence_only(sources: DataFrame) -> DataFrame:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a baseline document: one JSON object with modes and entries."""
+    """Entries of a baseline: the folder that ``write_baseline`` makes, or one JSON object with a list of entries."""
+    if not path.endswith(".json"):
+        return spark.read.parquet(path).select("site_id", "mode", "fingerprint", "rule_id", "severity", "path")
     schema = "kind string, modes array<string>, entries array<struct<site_id:string,mode:string,fingerprint:string,rule_id:string,severity:string,path:string>>"
     return spark.read.schema(schema).option("multiLine", True).json(path).selectExpr("inline(entries)")
 
