@@ -15,7 +15,7 @@ from ..operators.catalogue import RULES
 from ..sources import tables
 from . import rules_sql
 from . import sql as S
-from .fixtures import CREDENTIALS, with_fixtures
+from .fixtures import CRAWL, CREDENTIALS, with_fixtures
 from .registry import query
 
 table = tables.table
@@ -31,8 +31,9 @@ def head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baseline entries of an earlier crawl: the pages with an even id."""
-    pages = m.masked(m.pages(table(spark, sf_dir, "pages").where("page_id % 2 = 0")))
+    """Baseline entries of an earlier state of all pages: without their charset, but with a viewport."""
+    before = F.replace("html", F.lit('<meta charset="utf-8">'), F.lit('<meta name="viewport" content="width=device-width">'))
+    pages = m.masked(m.pages(table(spark, sf_dir, "pages").withColumn("html", before)))
     return policy.baseline_of(f.fingerprinted(f.deduplicated(page_rules.head_findings(pages, m.tags(pages)))))
 
 
@@ -182,11 +183,12 @@ def p07_duplicate_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rules.duplicate_descriptions(*fixture_tables(spark, sf_dir)).select("site_id", "description", "pages")
 
 
-@query(S.R03)
-def r03_missing_crawl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = m.pages(table(spark, sf_dir, "pages"))
-    rows = site_rules.crawl_findings(pages.select("site_id"), pages.select("site_id", "path", F.col("html").alias("text")))
-    return rows.select("site_id", "rule_id")
+@query(rules_sql.R00)
+def r03_crawl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = m.pages(table(spark, sf_dir, "pages")).select("site_id", "path", F.col("html").alias("text"))
+    own = spark.createDataFrame(CRAWL, "site_id string, path string, text string")
+    sources = pages.unionByName(own)
+    return site_rules.crawl_findings(sources.select("site_id"), sources).select("site_id", "path", "rule_id", "evidence")
 
 
 @query()
@@ -324,18 +326,16 @@ def j02_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.J03)
 def j03_merged_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites with an id of their own page below 100 were scanned again; the others keep their old entries."""
+    """Sites of more than one page were scanned again; the others keep their old entries."""
     now = policy.baseline_of(f.fingerprinted(deduplicated(spark, sf_dir)))
-    modes = m.pages(table(spark, sf_dir, "pages").where("page_id < 100")).select("site_id", F.lit("site").alias("mode")).distinct()
+    modes = m.pages(table(spark, sf_dir, "pages")).groupBy("site_id").agg(F.count("*").alias("n")).where("n > 1").select("site_id", F.lit("site").alias("mode"))
     return policy.merged(earlier(spark, sf_dir), now.join(modes, ["site_id", "mode"], "left_semi"), modes).groupBy("site_id").agg(F.count("*").alias("entries"))
 
 
 @query(S.Z04)
 def z04_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the whole crawl that the pages with an even id no longer show."""
-    whole = policy.baseline_of(f.fingerprinted(deduplicated(spark, sf_dir)))
-    pages = m.masked(m.pages(table(spark, sf_dir, "pages").where("page_id % 2 = 0")))
-    return policy.fixed(f.fingerprinted(f.deduplicated(page_rules.head_findings(pages, m.tags(pages)))), whole).select("site_id", "rule_id", "path")
+    """Entries of the earlier state that the pages no longer show."""
+    return policy.fixed(f.fingerprinted(deduplicated(spark, sf_dir)), earlier(spark, sf_dir)).select("site_id", "rule_id", "path")
 
 
 @query(S.G09)

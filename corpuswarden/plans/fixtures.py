@@ -49,6 +49,21 @@ CREDENTIALS = [
     ("none", "src/h.js", "nothing of the kind, not even AKIA123"),
 ]
 
+_SPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
+# Crawl files: of a site without faults, of sites with one fault or more, and unread ones.
+CRAWL = [
+    ("good", "robots.txt", "User-agent: *\nDisallow: /private\nSitemap: https://good.example/sitemap.xml"),
+    ("good", "sitemap.xml", f'<urlset xmlns="{_SPACE}"><url><loc>https://good.example/</loc></url><url><loc>http://localhost/x</loc></url></urlset>'),
+    ("shut", "robots.txt", "User-agent: bot\nDisallow:\nUser-agent: *\nDisallow: /\nNoindex: /x\nSitemap: /map.xml"),
+    ("open", "robots.txt", "User-agent: *\nDisallow: /\nAllow: /"),
+    ("open", "sitemap_index.xml", "<sitemapindex><sitemap><loc>https://open.example/a</loc></sitemap></sitemapindex>"),
+    ("odd", "robots.txt", "hello"),
+    ("odd", "sitemap.xml", f'<urlset xmlns="{_SPACE}"></urlset>'),
+    ("locs", "public/sitemap-1.xml", f'<urlset xmlns="{_SPACE}"><url><loc>https://locs.example/a</loc></url><url><loc> https://locs.example/A/ </loc></url><url><loc>/b</loc></url><url><loc>http://locs.example/c?x=1&amp;y=2</loc></url></urlset>'),
+    ("junk", "sitemap.xml", "<html>none</html>"),
+    ("unread", "robots.txt", None), ("unread", "sitemap.xml", None),
+]
+
 
 def with_fixtures(pages: DataFrame) -> DataFrame:
     """page_id, url, html of a crawl table and of the literal pages, which have negative ids."""

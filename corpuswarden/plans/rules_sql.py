@@ -268,3 +268,30 @@ P05 = rf"""WITH {_GIVEN}, s AS (SELECT site_id, count(*) AS pages, count_if(rege
 sum(len(regexp_extract_all(raw, '(?i)#[0-9a-f]{{3,8}}\b|\brgba?\('))) AS colours, {', '.join(f"bool_or(regexp_matches(raw, {_quoted('(?i)' + p)})) AS {n}" for n, p in _FLAGS.items())} FROM p GROUP BY site_id),
 r AS (SELECT site_id, pages, unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _SITE_RULES.items())}], lambda x: x IS NOT NULL)) AS rule_id FROM s)
 SELECT site_id, mode, r.rule_id, family, category, severity, confidence, manual, '(site)' AS path, 1::INT AS line, pages || ' pages' AS evidence FROM r JOIN (VALUES {_CATALOGUE}) c(rule_id, mode, category, severity, confidence, manual, family) USING (rule_id)"""
+
+_CRAWL = ", ".join("(" + ", ".join("NULL" if x is None else _quoted(x) for x in row) + ")" for row in fixtures.CRAWL)
+_WEB = lambda x: rf"regexp_matches({x}, '(?i)^https?://[^/?#\s@]+([/?][^\s#]*)?$')"
+R00 = rf"""WITH {_GIVEN}, o AS (SELECT site_id, path, raw AS text FROM p UNION ALL SELECT * FROM (VALUES {_CRAWL}) x(site_id, path, text)),
+f AS (SELECT *, regexp_extract(path, '[^/]*$') AS file FROM o), b AS (SELECT * FROM f WHERE file = 'robots.txt'), m AS (SELECT * FROM f WHERE regexp_matches(file, '(?i)^sitemap[A-Za-z0-9_-]*\.xml$')),
+l0 AS (SELECT site_id, path, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS k FROM b WHERE text IS NOT NULL),
+l AS (SELECT site_id, path, k, lower(regexp_extract(x, '^\s*([A-Za-z-]+)\s*:', 1)) AS field, trim(regexp_replace(x, '^\s*[A-Za-z-]+\s*:', '')) AS value FROM l0 WHERE regexp_matches(x, '^\s*[A-Za-z-]+\s*:')),
+w AS (SELECT *, field = 'user-agent' AND coalesce(lag(field) OVER (PARTITION BY site_id, path ORDER BY k) <> 'user-agent', true) AS starts FROM l WHERE field <> 'sitemap'),
+n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY site_id, path ORDER BY k) AS part FROM w),
+q AS (SELECT site_id, path, part, bool_or(field = 'disallow' AND value IN ('/', '/*')) AS shut, bool_or(field = 'allow' AND value IN ('/', '/*')) AS opened FROM n GROUP BY ALL HAVING bool_or(field = 'user-agent' AND value = '*')),
+z AS (SELECT site_id, path, bool_or(shut) AS shut, bool_or(opened) AS opened FROM q GROUP BY ALL),
+c AS (SELECT site_id, path, k, replace(trim(x), '&amp;', '&') AS loc FROM (SELECT site_id, path, unnest(regexp_extract_all(text, '(?is)<loc\s*>(.*?)</loc\s*>', 1)) AS x, unnest(range(len(regexp_extract_all(text, '(?is)<loc\s*>(.*?)</loc\s*>', 1)))) AS k FROM m)),
+a AS (SELECT *, row_number() OVER (PARTITION BY site_id, lower(regexp_replace(loc, '/+$', '')) ORDER BY path, k) AS nth FROM c WHERE {_WEB('loc')}),
+s AS (SELECT DISTINCT site_id FROM o)
+SELECT site_id, path, 'crawl-robots-unvalidated' AS rule_id, path AS evidence FROM b WHERE text IS NULL UNION ALL SELECT site_id, path, 'crawl-sitemap-unvalidated', path FROM m WHERE text IS NULL
+UNION ALL SELECT site_id, '(site)', 'crawl-missing-robots', '(site)' FROM s ANTI JOIN b USING (site_id) UNION ALL SELECT site_id, '(site)', 'crawl-missing-sitemap', '(site)' FROM s ANTI JOIN m USING (site_id)
+UNION ALL SELECT site_id, path, 'crawl-invalid-robots', path FROM b WHERE NOT regexp_matches(text, '(?im)^\s*user-agent\s*:')
+UNION ALL SELECT site_id, path, 'crawl-unsupported-noindex', 'Noindex: ' || value FROM l WHERE field = 'noindex'
+UNION ALL SELECT site_id, path, 'crawl-sitewide-disallow', 'Disallow: /' FROM z WHERE shut AND NOT opened
+UNION ALL SELECT site_id, path, 'crawl-robots-missing-sitemap', path FROM b SEMI JOIN m USING (site_id) WHERE NOT regexp_matches(text, '(?im)^\s*sitemap\s*:')
+UNION ALL SELECT site_id, path, 'crawl-invalid-sitemap-directive', value FROM l WHERE field = 'sitemap' AND NOT {_WEB('value')}
+UNION ALL SELECT site_id, path, 'crawl-invalid-sitemap', path FROM m WHERE NOT regexp_matches(text, '(?i)<(urlset|sitemapindex)\b')
+UNION ALL SELECT site_id, path, 'crawl-sitemap-namespace', path FROM m WHERE regexp_matches(text, '(?i)<(urlset|sitemapindex)\b') AND NOT contains(text, 'http://www.sitemaps.org/schemas/sitemap/0.9')
+UNION ALL SELECT site_id, path, 'crawl-empty-sitemap', path FROM m ANTI JOIN c USING (site_id, path) WHERE regexp_matches(text, '(?i)<(urlset|sitemapindex)\b')
+UNION ALL SELECT site_id, path, 'crawl-invalid-sitemap-location', loc FROM c WHERE NOT {_WEB('loc')}
+UNION ALL SELECT site_id, path, 'crawl-insecure-sitemap-location', loc FROM c WHERE {_WEB('loc')} AND regexp_matches(loc, '(?i)^http:') AND NOT regexp_matches(loc, '(?i)^http://(localhost|127\.)')
+UNION ALL SELECT site_id, path, 'crawl-duplicate-sitemap-location', loc FROM a WHERE nth > 1"""

@@ -5,6 +5,9 @@ The given pages hold no quoted ``>`` and no two title blocks in one page, so pla
 
 # ruff: noqa: E501
 
+from ..operators.catalogue import RULES as CATALOGUE
+from ..operators.observations import EVENTS
+
 PAGES = r"""p AS (SELECT page_id, coalesce(regexp_extract(url, '^[a-z]+://([^/?#:@]+)', 1), '') AS site_id, url AS path,
     regexp_replace(coalesce(html, ''), '<!--[\s\S]*?-->', '', 'g') AS h, coalesce(html, '') AS raw FROM pages)"""
 _TAG = r"<(/?)([A-Za-z][A-Za-z0-9_:.-]*)(?:[\s/][^>]*)?>"
@@ -76,11 +79,8 @@ _CONDITIONS = {
     "performance-render-blocking-script": ("low", "(SELECT min(tag) FROM g WHERE g.page_id = p.page_id AND g.name = 'script')", r"""EXISTS (SELECT 1 FROM g WHERE g.page_id = p.page_id AND g.name = 'script' AND regexp_matches(tag, '(?i)\ssrc\s*=') AND NOT regexp_matches(tag, '(?i)\s(async|defer)[\s=/>]|module'))"""),
 }
 _FOUND = ["seo-missing-title", "seo-multiple-titles", "seo-missing-description", "seo-missing-social-metadata", "seo-missing-canonical", "seo-multiple-canonicals", "html-missing-charset", "responsive-missing-viewport", "a11y-document-language"]
-_CONFIDENCE = {"seo-missing-canonical": "medium"}
-_CATEGORY = {r: r.split("-")[0] for r in _FOUND}
-_FAMILY = {"seo-multiple-canonicals": "seo-missing-canonical"}
-FINDINGS = TAGS + ", f0 AS (" + " UNION ALL ".join(_head(r, *_CONDITIONS[r]) for r in _FOUND) + "), k(rule_id, category, confidence, family) AS (VALUES " + ", ".join(f"('{r}', '{_CATEGORY[r]}', '{_CONFIDENCE.get(r, 'high')}', '{_FAMILY.get(r, r)}')" for r in _FOUND) + """),
-f AS (SELECT DISTINCT site_id, path, rule_id, severity, line, evidence, category, confidence, family, 'site' AS mode FROM f0 JOIN k USING (rule_id))"""
+FINDINGS = TAGS + ", f0 AS (" + " UNION ALL ".join(_head(r, *_CONDITIONS[r]) for r in _FOUND) + "), k(rule_id, category, confidence, family, manual) AS (VALUES " + ", ".join(f"('{r}', '{category}', '{confidence}', '{family}', {manual})" for r, _, category, _, confidence, manual, family in CATALOGUE if r in _FOUND) + """),
+f AS (SELECT DISTINCT site_id, path, rule_id, severity, line, evidence, category, confidence, family, manual, 'site' AS mode FROM f0 JOIN k USING (rule_id))"""
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
 _PATH = r"regexp_replace(regexp_replace(replace(path, '\', '/'), '/{2,}', '/', 'g'), '^(\./)+', '')"
 PRINTS = FINDINGS + f""", b AS (SELECT *, sha256(to_json([mode, rule_id, {_PATH}, evidence])::VARCHAR) AS base FROM f),
@@ -94,7 +94,7 @@ W04 = "WITH " + PAGES + r""", e AS (SELECT page_id, h, unnest(regexp_extract_all
 o AS (SELECT page_id, substr(x, 3, 1)::INT AS level, row_number() OVER () AS r FROM e), l AS (SELECT *, lag(level) OVER (PARTITION BY page_id ORDER BY r) AS last FROM o)
 SELECT page_id, count(*) AS headings, (count(*) FILTER (level > last + 1))::BIGINT AS jumps FROM l GROUP BY page_id"""
 _SEVERITIES = ", ".join(f"count_if(severity = '{s}')::BIGINT AS {s}" for s in ("critical", "high", "medium", "low", "info"))
-G02 = f"WITH {FINDINGS} SELECT site_id, mode, count(*) AS total, {_SEVERITIES}, count(*) AS automated, 0::BIGINT AS manual FROM f GROUP BY ALL"
+G02 = f"WITH {FINDINGS} SELECT site_id, mode, count(*) AS total, {_SEVERITIES}, count_if(NOT manual)::BIGINT AS automated, count_if(manual)::BIGINT AS manual FROM f GROUP BY ALL"
 POINTS = FINDINGS + """, pt AS (SELECT *, round((CASE severity WHEN 'critical' THEN 75 WHEN 'high' THEN 30 WHEN 'medium' THEN 12 WHEN 'low' THEN 4 ELSE 0 END)::DECIMAL(8,2) * (CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 0.65 ELSE 0.35 END)::DECIMAL(4,2), 2)::DOUBLE AS points FROM f),
 c AS (SELECT site_id, family, max(points) AS points, count(*) AS signals FROM pt GROUP BY ALL)"""
 G04 = f"WITH {POINTS} SELECT * FROM c"
@@ -102,29 +102,29 @@ G03 = f"""WITH {POINTS}, s AS (SELECT site_id, round(sum(points), 2) AS raw, cou
 r AS (SELECT *, least(99, floor(100 * raw / (raw + 60)))::INT AS risk FROM s)
 SELECT *, (100 - risk)::INT AS score, CASE WHEN risk = 0 THEN 'none' WHEN risk < 20 THEN 'low' WHEN risk < 40 THEN 'guarded' WHEN risk < 60 THEN 'elevated' WHEN risk < 80 THEN 'high' ELSE 'severe' END AS band FROM r"""
 _CAPS = ", cc AS (SELECT site_id, rule_id, count(*) AS observed, least(count(*), 5)::BIGINT AS retained, greatest(count(*) - 5, 0)::BIGINT AS left_out FROM f GROUP BY ALL)"
-G06 = f"WITH {FINDINGS}{_CAPS} SELECT rule_id, count(*) AS sites, sum(observed)::BIGINT AS observed, sum(retained)::BIGINT AS retained, 'findings' AS outcome FROM cc GROUP BY rule_id"
+G06 = f"WITH {FINDINGS}{_CAPS} SELECT rule_id, count(*) AS sites, sum(observed)::BIGINT AS observed, sum(retained)::BIGINT AS retained, CASE WHEN bool_or(manual) THEN 'review' ELSE 'findings' END AS outcome FROM cc JOIN k USING (rule_id) GROUP BY rule_id"
 G08 = f"WITH {FINDINGS}{_CAPS} SELECT * FROM cc"
 G11 = """WITH e AS (SELECT l.doc_id, d.lang, 1 - quality AS expected, count_if(20 * (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g'))) > length(text)) OVER (PARTITION BY l.doc_id) AS seen FROM labels l JOIN documents d USING (doc_id) WHERE quality IS NOT NULL),
 s AS (SELECT lang, sum(least(expected, seen))::BIGINT AS tp, sum(greatest(seen - expected, 0))::BIGINT AS fp, sum(greatest(expected - seen, 0))::BIGINT AS fn, count_if(expected = 0 AND seen = 0)::BIGINT AS tn FROM e GROUP BY lang)
 SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS "precision", CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM s"""
 
-# The earlier crawl: the same findings over pages with an even id.
-_EVEN = PRINTS.replace("FROM pages)", "FROM pages WHERE page_id % 2 = 0)")
+# The earlier state of the pages: without their charset, but with a viewport.
+_BEFORE = PRINTS.replace("FROM pages)", """FROM (SELECT page_id, url, replace(html, '<meta charset="utf-8">', '<meta name="viewport" content="width=device-width">') AS html FROM pages))""")
 
 
 def _nested(ctes: str, last: str) -> str:
     return f"(WITH {ctes} SELECT DISTINCT site_id, mode, fingerprint, rule_id, severity, path FROM {last})"
 
 
-POLICY = PRINTS + f""", old AS {_nested(_EVEN, "fp")}, st AS (SELECT fp.*, CASE WHEN old.fingerprint IS NULL THEN 'new' ELSE 'unchanged' END AS baseline_state FROM fp LEFT JOIN old USING (site_id, mode, fingerprint)),
+POLICY = PRINTS + f""", old AS {_nested(_BEFORE, "fp")}, st AS (SELECT fp.*, CASE WHEN old.fingerprint IS NULL THEN 'new' ELSE 'unchanged' END AS baseline_state, coalesce({_RANK.replace('severity', 'fp.severity')} < {_RANK.replace('severity', 'old.severity')} AND old.fingerprint IS NOT NULL, false) AS worse FROM fp LEFT JOIN old USING (site_id, mode, fingerprint)),
 su AS (SELECT *, CASE WHEN rule_id LIKE 'seo-missing-social-%' THEN 1 WHEN rule_id = 'seo-missing-canonical' AND path LIKE 'http:/%' THEN 2 WHEN rule_id LIKE 'seo-%' THEN 4 END::INT AS suppression FROM st)"""
 J01 = f"WITH {POLICY} SELECT site_id, rule_id, baseline_state, count(*) AS n FROM st GROUP BY ALL"
 J02 = f"WITH {POLICY} SELECT site_id, rule_id, path, suppression, CASE suppression WHEN 1 THEN 'not shared on social networks' WHEN 2 THEN 'old pages' WHEN 4 THEN 'accepted' END AS reason FROM su"
-J03 = f"""WITH {PRINTS}, sc AS (SELECT DISTINCT site_id FROM p WHERE page_id < 100), old AS {_nested(_EVEN, "fp")},
+J03 = f"""WITH {PRINTS}, sc AS (SELECT site_id FROM p GROUP BY site_id HAVING count(*) > 1), old AS {_nested(_BEFORE, "fp")},
 nxt AS (SELECT site_id, fingerprint FROM old WHERE site_id NOT IN (SELECT site_id FROM sc) UNION ALL SELECT DISTINCT site_id, fingerprint FROM fp WHERE site_id IN (SELECT site_id FROM sc))
 SELECT site_id, count(*) AS entries FROM nxt GROUP BY site_id"""
-Z04 = f"WITH {PRINTS}, old AS {_nested(_EVEN, 'fp')} SELECT site_id, rule_id, path FROM fp ANTI JOIN old USING (site_id, mode, fingerprint)"
-G09 = f"""WITH {POLICY} SELECT site_id, mode, count(*) AS total, count_if(baseline_state = 'new')::BIGINT AS new, count_if(baseline_state = 'unchanged')::BIGINT AS unchanged, 0::BIGINT AS escalated,
+Z04 = f"WITH {PRINTS}, old AS {_nested(_BEFORE, 'fp')} SELECT site_id, rule_id, path FROM old ANTI JOIN fp USING (site_id, mode, fingerprint)"
+G09 = f"""WITH {POLICY} SELECT site_id, mode, count(*) AS total, count_if(baseline_state = 'new')::BIGINT AS new, count_if(baseline_state = 'unchanged')::BIGINT AS unchanged, count_if(worse)::BIGINT AS escalated,
 count_if(suppression IS NOT NULL)::BIGINT AS suppressed, count_if(suppression IS NULL)::BIGINT AS active FROM su GROUP BY ALL"""
 O03 = f"WITH {POLICY}, o AS (SELECT *, {_RANK} <= 2 AND suppression IS NULL AND baseline_state = 'new' AS over FROM su) SELECT site_id, mode, count_if(over)::BIGINT AS over, bool_or(over) AS failed FROM o GROUP BY ALL"
 S09 = f"WITH {FINDINGS} SELECT site_id, to_json({{'category': category, 'evidence': evidence, 'path': path, 'rule_id': rule_id, 'severity': severity}})::VARCHAR AS json FROM f"
@@ -137,9 +137,9 @@ bool_or(regexp_matches(raw, '(?i)<main\\b|role\\s*=\\s*["'']main')) AS main, boo
 bool_or(regexp_matches(raw, '(?i)<style\\b|rel\\s*=\\s*["'']?stylesheet|\\sstyle\\s*=')) AS styles, bool_or(regexp_matches(raw, '(?i)@keyframes|animation\\s*:|transition\\s*:')) AS motion,
 bool_or(regexp_matches(raw, '(?i)var\\(--|--[a-z-]+\\s*:')) AS tokens FROM p GROUP BY site_id"""
 P06 = f"WITH {PAGES}, t AS (SELECT site_id, page_id, lower({_TITLE}) AS title FROM p WHERE {_TITLES} > 0) SELECT site_id, title, count(*) AS pages FROM t WHERE title <> '' GROUP BY ALL HAVING count(*) > 1"
-R03 = f"WITH {PAGES} SELECT DISTINCT site_id, unnest(['crawl-missing-robots', 'crawl-missing-sitemap']) AS rule_id FROM p"
-L20 = """WITH e AS (SELECT 'user-' || user_id AS path, count(*) AS n, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY user_id)
-SELECT path, 'runtime.page-errors' AS rule_id, 'high' AS severity, n || ' events, first ' || first AS evidence FROM e"""
+_EVENTS = "(VALUES " + ", ".join(f"('{e}', '{r}', '{severity}')" for e, r in EVENTS.items() for rule, _, _, severity, _, _, _ in CATALOGUE if rule == r) + ") k(event_type, rule_id, severity)"
+L20 = f"""WITH e AS (SELECT 'user-' || user_id AS path, rule_id, severity, count(*) AS n, min(event_id) AS first FROM events JOIN {_EVENTS} USING (event_type) GROUP BY ALL)
+SELECT path, rule_id, severity, n || ' events, first ' || first AS evidence FROM e"""
 N12 = r"""SELECT page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'empty' WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'not absolute' WHEN NOT regexp_matches(url, '(?i)^https?:') THEN 'scheme' WHEN regexp_matches(url, '^[A-Za-z]+://[^/?#]*@') THEN 'userinfo'
 WHEN contains(url, '#') THEN 'fragment' WHEN regexp_matches(url, '(?i)^http:') THEN 'not https' END AS issue FROM pages"""
 N20 = r"""SELECT page_id, regexp_replace(regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#@]*@', '\1'), '[?#].*$', '') AS url, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages"""
