@@ -209,7 +209,8 @@ ANY_PROVIDER = "|".join(pattern for _, pattern, _ in PROVIDERS)
 PRIVATE_KEY = "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
 MARK = "[REDACTED]"
 
-_ASSIGNED = f"(?i)([\"']?[A-Za-z0-9_.\\-]*{SENSITIVE}[\"']?\\s*(?:=>|:=|[:=])\\s*)"
+# Begins only where a name does, so that a word is read once and not from each of its characters.
+_ASSIGNED = f"(?i)((?<![A-Za-z0-9_.\\-])[\"']?[A-Za-z0-9_.\\-]*{SENSITIVE}[\"']?\\s*(?:=>|:=|[:=])\\s*)"
 
 
 def redacted(x: Column | str) -> Column:

@@ -46,10 +46,11 @@ def tags(pages: DataFrame) -> DataFrame:
     nothing is shuffled, and pages are told apart whatever their ids.
     """
     html = F.col("html")
-    raws, gaps = F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), F.split(html, TAG, -1)
+    raws, gaps = F.col("raws"), F.col("gaps")
+    parts = pages.select("site_id", "page_id", "path", F.regexp_extract_all(html, F.lit(TAG), F.lit(0)).alias("raws"), F.split(html, TAG, -1).alias("gaps"))
     sizes = F.zip_with(gaps, raws, lambda g, r: F.length(g) + F.coalesce(F.length(r), F.lit(0)))
     lines = F.zip_with(gaps, F.concat(F.array(F.lit("")), raws), lambda g, r: newlines(g) + newlines(r))
-    found = pages.where(html.rlike(TAG)).select("site_id", "page_id", "path", raws.alias("raws"), running_sums(sizes).alias("ends"), running_sums(lines, 1).alias("lines"))
+    found = parts.select("site_id", "page_id", "path", "raws", running_sums(sizes).alias("ends"), running_sums(lines, 1).alias("lines"))
     each = found.select("site_id", "page_id", "path", F.posexplode(F.arrays_zip("raws", "ends", "lines")).alias("seq", "t")).where("t.raws is not null")
     raw, end = F.col("t.raws"), F.col("t.ends")
     attrs = F.regexp_replace(raw, "^</?[A-Za-z][A-Za-z0-9_:.-]*|/?>$", "")

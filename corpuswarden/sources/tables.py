@@ -12,7 +12,10 @@ PRESENCE = "(?i)^(robots\\.txt|sitemap[A-Za-z0-9_-]*\\.xml|package\\.json|packag
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One small file is a single task: rows of less files than cores are dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def described(df: DataFrame, most: int | None = MOST_BYTES) -> DataFrame:
