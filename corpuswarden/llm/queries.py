@@ -10,7 +10,10 @@ from . import cotrain, encoding, langid, lines, lm, media, neardup, oracles, pac
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All documents. One small file is a single task: rows of less files than cores are dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def remainder(modulus: int):

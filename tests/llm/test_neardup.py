@@ -152,3 +152,33 @@ def test_one_row_of_each_class_stays(spark):
     assert got.columns == ["doc_id", "text", "source"]
     want = [(1, a, "x"), (1, b, "x"), (3, c, "x"), (5, "own text of five", "x"), (None, "one two", "x"), (None, None, "x"), (7, "", "x"), (7, "", "x")]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_recall_against_all_pairs_of_the_given_documents(spark):
+    """Every pair of texts of sf0.01 whose lengths allow a link is compared; the classes must join what is similar."""
+    import os
+
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("the given tables are not there")
+    docs = spark.read.parquet(folder)
+    words = {bytes(r.node): np.frombuffer(r.words, np.uint64) for r in nd.node_words(docs, nd.signatures(docs).where("node is not null").groupBy("node").agg(nd.F.min("doc_id").alias("at"))).collect()}
+    root = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    doc_of = {}
+    for r in nd.signatures(docs).where("node is not null").select("doc_id", "node").collect():
+        doc_of.setdefault(bytes(r.node), r.doc_id)
+    nodes = sorted(words, key=lambda k: len(words[k]))
+    sets = [frozenset(nd.kmers(words[k]).tolist()) for k in nodes]
+    similar = linked = 0
+    for i, a in enumerate(nodes):
+        n = max(1, len(words[a]) - 4)
+        for j in range(i + 1, len(nodes)):
+            if n < nd.SIMILARITY * max(1, len(words[nodes[j]]) - 4):
+                break
+            x, y = sets[i], sets[j]
+            common = len(x & y)
+            if common and common >= nd.SIMILARITY * (len(x) + len(y) - common) and nd.similarity(words[a], words[nodes[j]])[0] >= nd.SIMILARITY:
+                similar += 1
+                linked += root[doc_of[a]] == root[doc_of[nodes[j]]]
+    print(f"pairs {similar}, in one class {linked}")
+    assert similar and linked >= 0.9 * similar
