@@ -176,7 +176,7 @@ def expired(expires: Column | str, as_of: Column) -> Column:
 
 def calendar_date(x: Column | str) -> Column:
     """The date of an ISO day that exists, else null."""
-    return F.when(_c(x).rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.try_to_date(_c(x), F.lit("yyyy-MM-dd")))
+    return F.when(_c(x).rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.try_to_date(_c(x), "yyyy-MM-dd"))
 
 
 # Words that name a credential.

@@ -181,6 +181,16 @@ def style_findings(rules: DataFrame) -> DataFrame:
     return emit(reduce(DataFrame.unionByName, [row(rules.where(F.coalesce(c, F.lit(False))), r) for r, c in checks] + [row(removed, "a11y-focus-indicator-removed")]))
 
 
+def import_findings(styles: DataFrame) -> DataFrame:
+    """The first ``@import`` of each style sheet (site_id, path, css); where a column ``bundled`` is true, only of
+    another host, as the build tool takes in the rest."""
+    css = F.regexp_replace("css", "(?s)/\\*.*?(?:\\*/|$)", " ")
+    bundled = F.coalesce(F.col("bundled"), F.lit(False)) if "bundled" in styles.columns else F.lit(False)
+    found = F.regexp_extract_all(css, F.lit("(?i)@import\\s+(?:url\\(\\s*)?[\"'][^\"']+[\"']"), F.lit(0))
+    first = F.try_element_at(F.filter(found, lambda x: ~bundled | x.rlike("(?i)@import\\s+(?:url\\(\\s*)?[\"'](?:https?:)?//")), F.lit(1))
+    return emit(styles.select("site_id", "path", F.lit("performance-css-import").alias("rule_id"), first.alias("evidence"), F.lit(1).alias("line")).where("evidence is not null"))
+
+
 RASTER, FONT, MEDIA = ("png", "jpg", "jpeg", "webp", "avif"), ("woff", "woff2", "ttf", "otf", "eot"), ("mp4", "webm", "mov", "mp3", "wav", "ogg", "m4v")
 MIB = 1 << 20
 

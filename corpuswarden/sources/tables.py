@@ -84,6 +84,6 @@ def read_suppressions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """Valid suppressions with their order, and rejected rows. One JSON object with a list ``suppressions``."""
     schema = "suppressions array<struct<rule:string,path:string,reason:string,expires:string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("suppressions").alias("ord", "s")).select("ord", "s.*")
-    day = F.try_to_date("expires", F.lit("yyyy-MM-dd"))
+    day = F.try_to_date("expires", "yyyy-MM-dd")
     good = (F.coalesce(F.trim("rule"), F.lit("")) != "") & F.length(F.coalesce("reason", F.lit(""))).between(8, 1000) & (F.col("expires").isNull() | day.isNotNull())
     return rows.where(good).withColumn("expires", day), rows.where(~good)
