@@ -104,19 +104,24 @@ def points() -> Column:
     return F.round(p * w * F.when(F.col("manual"), F.lit(0.5)).otherwise(F.lit(1.0)).cast("decimal(2,1)"), 2).cast("decimal(10,2)")
 
 
-def contributions(findings: DataFrame) -> DataFrame:
+def _families(findings: DataFrame) -> DataFrame:
     """The strongest row of each family of a site; a max, so it combines before the shuffle."""
     best = F.max(F.struct("points", (-severity_rank()).alias("s"), "rule_id"))
     return findings.withColumn("points", points()).groupBy("site_id", "mode", "family").agg(best.alias("x"), F.count("*").alias("signals")).select("site_id", "mode", "family", "x.points", "x.rule_id", "signals")
 
 
+def contributions(findings: DataFrame) -> DataFrame:
+    """What families add to a site's risk: those with points, by their strongest row."""
+    return _families(findings).where("points > 0")
+
+
 def band(risk: Column) -> Column:
     return F.when(risk == 0, "none").when(risk < 20, "low").when(risk < 40, "guarded").when(risk < 60, "elevated").when(risk < 80, "high").otherwise("severe")
 
 
 def scores(findings: DataFrame) -> DataFrame:
     """Risk, score and band of each site and mode; repeats within a family do not add."""
-    total = contributions(findings).groupBy("site_id", "mode").agg(F.sum("points").cast("decimal(18,2)").alias("raw"), F.count("*").alias("families"), F.count_if(F.col("points") > 0).alias("scored_families"), F.sum("signals").alias("signals"))
+    total = _families(findings).groupBy("site_id", "mode").agg(F.sum("points").cast("decimal(18,2)").alias("raw"), F.count("*").alias("families"), F.count_if(F.col("points") > 0).alias("scored_families"), F.sum("signals").alias("signals"))
     raw = F.col("raw").cast("double")
     risk = F.least(F.lit(99), F.floor(100 * raw / (raw + 60))).cast("int")
     return total.select("site_id", "mode", "raw", "families", "scored_families", (F.col("signals") - F.col("families")).alias("repeated_signals"), risk.alias("risk"), (100 - risk).alias("score"), band(risk).alias("band"))
@@ -136,6 +141,11 @@ def ledger(findings: DataFrame, mode: str, cap: int = CAP) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("observed") == 0, "clear").when(F.col("kind") == "manual", "review").otherwise("findings"))
 
 
+def applicability(ledger: DataFrame) -> DataFrame:
+    """Numbers of rules of a ledger by kind and outcome."""
+    return ledger.groupBy("kind", "outcome").agg(F.count("*").alias("rules"), F.sum("observed").alias("observed"))
+
+
 def by_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("site_id", "category").agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
 

@@ -20,6 +20,11 @@ def baseline_of(findings: DataFrame) -> DataFrame:
     return findings.groupBy("site_id", "mode", "fingerprint").agg(best.alias("x")).select("site_id", "mode", "fingerprint", "x.rule_id", "x.severity", "x.path")
 
 
+def ordered(entries: DataFrame) -> DataFrame:
+    """Baseline entries in the order in which they are written."""
+    return entries.orderBy("site_id", "mode", "fingerprint")
+
+
 def compared(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings with baseline_state (new, unchanged) and escalated (more severe than before)."""
     old = baseline.select("site_id", "mode", "fingerprint", F.col("severity").alias("_old"))

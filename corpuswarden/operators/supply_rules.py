@@ -109,6 +109,11 @@ def advisory_findings(sources: DataFrame, advisories: DataFrame) -> DataFrame:
     return emit(rows, severity=F.col("own"))
 
 
+def advisory_summary(advisories: DataFrame) -> DataFrame:
+    """Numbers of advisories by severity."""
+    return advisories.groupBy(advisory_severity("severity").alias("severity")).agg(F.count("*").alias("advisories"))
+
+
 def workflow_lines(sources: DataFrame) -> DataFrame:
     """Lines of workflows with their job and whether they belong to a run block."""
     own = sources.where(F.col("path").rlike("(^|/)\\.github/workflows/[^/]+\\.ya?ml$") & F.col("text").isNotNull())

@@ -286,6 +286,11 @@ def g06_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.ledger(deduplicated(spark, sf_dir), "site", 5).where("observed > 0").select("rule_id", "sites", "observed", "retained", "outcome")
 
 
+@query(S.G07)
+def g07_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f.applicability(f.ledger(deduplicated(spark, sf_dir), "site"))
+
+
 @query(S.G08)
 def g08_cap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.cap_counts(deduplicated(spark, sf_dir), 5).select("site_id", "rule_id", "observed", "retained", "left_out")

@@ -97,12 +97,15 @@ _SEVERITIES = ", ".join(f"count_if(severity = '{s}')::BIGINT AS {s}" for s in ("
 G02 = f"WITH {FINDINGS} SELECT site_id, mode, count(*) AS total, {_SEVERITIES}, count_if(NOT manual)::BIGINT AS automated, count_if(manual)::BIGINT AS manual FROM f GROUP BY ALL"
 POINTS = FINDINGS + """, pt AS (SELECT *, round((CASE severity WHEN 'critical' THEN 75 WHEN 'high' THEN 30 WHEN 'medium' THEN 12 WHEN 'low' THEN 4 ELSE 0 END)::DECIMAL(8,2) * (CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 0.65 ELSE 0.35 END)::DECIMAL(4,2), 2)::DOUBLE AS points FROM f),
 c AS (SELECT site_id, family, max(points) AS points, count(*) AS signals FROM pt GROUP BY ALL)"""
-G04 = f"WITH {POINTS} SELECT * FROM c"
+G04 = f"WITH {POINTS} SELECT * FROM c WHERE points > 0"
 G03 = f"""WITH {POINTS}, s AS (SELECT site_id, round(sum(points), 2) AS raw, count(*) AS families, (sum(signals) - count(*))::BIGINT AS repeated_signals FROM c GROUP BY site_id),
 r AS (SELECT *, least(99, floor(100 * raw / (raw + 60)))::INT AS risk FROM s)
 SELECT *, (100 - risk)::INT AS score, CASE WHEN risk = 0 THEN 'none' WHEN risk < 20 THEN 'low' WHEN risk < 40 THEN 'guarded' WHEN risk < 60 THEN 'elevated' WHEN risk < 80 THEN 'high' ELSE 'severe' END AS band FROM r"""
 _CAPS = ", cc AS (SELECT site_id, rule_id, count(*) AS observed, least(count(*), 5)::BIGINT AS retained, greatest(count(*) - 5, 0)::BIGINT AS left_out FROM f GROUP BY ALL)"
 G06 = f"WITH {FINDINGS}{_CAPS} SELECT rule_id, count(*) AS sites, sum(observed)::BIGINT AS observed, sum(retained)::BIGINT AS retained, CASE WHEN bool_or(manual) THEN 'review' ELSE 'findings' END AS outcome FROM cc JOIN k USING (rule_id) GROUP BY rule_id"
+_SITE = ", ".join(f"('{r}', {manual})" for r, mode, _, _, _, manual, _ in CATALOGUE if mode == "site")
+G07 = f"""WITH {FINDINGS}, o AS (SELECT rule_id, count(*) AS n FROM f GROUP BY rule_id), r AS (SELECT x.manual, coalesce(o.n, 0) AS n FROM (VALUES {_SITE}) x(rule_id, manual) LEFT JOIN o USING (rule_id))
+SELECT CASE WHEN manual THEN 'manual' ELSE 'automated' END AS kind, CASE WHEN n = 0 THEN 'clear' WHEN manual THEN 'review' ELSE 'findings' END AS outcome, count(*) AS rules, sum(n)::BIGINT AS observed FROM r GROUP BY ALL"""
 G08 = f"WITH {FINDINGS}{_CAPS} SELECT * FROM cc"
 G11 = """WITH e AS (SELECT l.doc_id, d.lang, 1 - quality AS expected, count_if(20 * (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g'))) > length(text)) OVER (PARTITION BY l.doc_id) AS seen FROM labels l JOIN documents d USING (doc_id) WHERE quality IS NOT NULL),
 s AS (SELECT lang, sum(least(expected, seen))::BIGINT AS tp, sum(greatest(seen - expected, 0))::BIGINT AS fp, sum(greatest(expected - seen, 0))::BIGINT AS fn, count_if(expected = 0 AND seen = 0)::BIGINT AS tn FROM e GROUP BY lang)

@@ -94,6 +94,19 @@ def test_smaller_functions(spark):
     assert (r.site_score, r.site_total, r.security_score, r.security_total) == (67, 1, 94, 1)
 
 
+def test_summaries(spark):
+    from corpuswarden.operators import supply_rules
+
+    advisories = spark.createDataFrame([("a", "moderate"), ("b", "MEDIUM"), ("c", "high"), ("d", None)], "name string, severity string")
+    assert {(r.severity, r.advisories) for r in supply_rules.advisory_summary(advisories).collect()} == {("medium", 3), ("high", 1)}
+    found = spark.createDataFrame([("s", "site", "x", "x", "c", "info", "high", False, "p", 1, "e"), ("s", "site", "y", "y", "c", "low", "high", False, "p", 1, "e")], "site_id string, mode string, rule_id string, family string, category string, severity string, confidence string, manual boolean, path string, line int, evidence string")
+    assert [r.family for r in findings.contributions(found).collect()] == ["y"]
+    r = findings.scores(found).first()
+    assert (r.families, r.scored_families) == (2, 1)
+    entries = spark.createDataFrame([("s", "site", "b"), ("s", "security", "c"), ("s", "site", "a")], "site_id string, mode string, fingerprint string")
+    assert [r.fingerprint for r in policy.ordered(entries).collect()] == ["c", "a", "b"]
+
+
 def test_counters_of_a_stream(spark, tmp_path):
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)
     rows = [(at(0), "u", "error"), (at(1), "u", "error"), (at(2), "u", "click"), (at(9), "v", "console_error"), (at(40), "w", "error")]
