@@ -17,23 +17,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_UNDO = (np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64)), np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64)))
-
-
-def unmix(x: np.ndarray) -> np.ndarray:
-    """What ``mix`` had been given."""
-
-    def unshift(y: np.ndarray, k: int) -> np.ndarray:
-        out = y
-        for _ in range(64 // k):
-            out = y ^ (out >> np.uint64(k))
-        return out
-
-    x = unshift(x, 31) * _UNDO[1]
-    x = unshift(x, 27) * _UNDO[0]
-    return unshift(x, 30)
-
-
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 LOWER = BYTE.copy()
 LOWER[65:91] = BYTE[97:123]
