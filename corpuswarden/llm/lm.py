@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney word trigrams, counted in Spark and mapped by the workers that score.
 
 Words are counted first, as 64-bit hashes; a word's number is its rank among all sorted hashes. Two words are one
-64-bit number; mixed one-to-one it is the key of a pair, so shards are even and pairs never collide. Tasks count
+64-bit number; mixed one-to-one it is the key of a pair, so shards are even. Tasks count
 trigrams in arrays and send them, sorted and packed as differences, to the shard that the first bits of the key of
 the first two words name. So a shard holds all that follows a context: its total and how many words follow it once,
 twice, more often. Each distinct trigram then counts once for its last two words in the shard of that pair, which
@@ -10,8 +10,9 @@ becomes files of sorted hashes and counts in the shared folder. Contexts that oc
 pair exists says all about them. Nothing but one row of sums for each shard reaches the driver.
 
 Two beginnings precede each text, so its first words have contexts too. Words are counted by 64-bit hashes of their
-bytes and trigrams are looked up by 64-bit hashes of their numbers; neither is compared itself. A file of the model
-that was written and is gone is an error.
+bytes; pairs and trigrams are counted exactly and then looked up by 32 bits of their hashes within buckets of about 8,
+so about one lookup in 500 million of what was never seen finds a count that isn't its own, at every size. A file of
+the model that was written and is gone is an error.
 
 Defined results: null or empty text is one end token; with no training text at all every token has
 probability 1; texts of any length are scored whole; equal rows count and score each for itself; an empty table
@@ -165,12 +166,24 @@ def gram_keys(pairs: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
     return (context >> top << top) | (mix(context + (words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(bits))
 
 
-def put_counts(uri: str, keys: np.ndarray, counts: np.ndarray, **more: np.ndarray) -> None:
-    """Sorted keys with counts of one byte; those of 255 and more stand apart."""
+def placed(keys: np.ndarray, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key of a shard, from ``depth`` bits behind those of the shard, and the 32 bits that follow."""
+    rest = keys << np.uint64(bits)
+    bucket = (rest >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(keys), np.int64)
+    return bucket, ((rest << np.uint64(depth)) >> np.uint64(32)).astype(np.uint32)
+
+
+def put_counts(uri: str, bits: int, keys: np.ndarray, counts: np.ndarray, **more: np.ndarray) -> None:
+    """Keys in order, as buckets of about 8 and 32 bits of each, with counts of half a byte; larger ones stand apart."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    large = counts >= 255
-    put_arrays(uri, {"key": keys, "count": np.minimum(counts, 255).astype(np.uint8), "large_key": keys[large], "large_count": counts[large].astype(np.uint64), **more})
+    depth = max(0, min(len(keys).bit_length() - 3, 32 - bits))
+    bucket, part = placed(keys, bits, depth)
+    half = np.minimum(counts, 15).astype(np.uint8)
+    half = np.append(half, np.uint8(0)) if len(half) % 2 else half
+    large = np.flatnonzero(counts >= 15)
+    starts = np.searchsorted(bucket, np.arange((1 << depth) + 1))
+    put_arrays(uri, {"part": part, "starts": least(starts), "half": half[0::2] | half[1::2] << 4, "large_at": least(large), "large_count": least(counts[large]), **more})
 
 
 def least(x: np.ndarray) -> np.ndarray:
@@ -189,14 +202,20 @@ class Words:
             self.files[kind, shard] = map_arrays(f"{self.uri}/{kind}{shard:05d}.arr") if (kind, shard) in self.written else None
         return self.files[kind, shard]
 
-    def find(self, kind: str, key: str, sorted_keys: np.ndarray):
-        """(slice of the query, file, place in it, whether it is there) for each shard with queries."""
+    def shards(self, kind: str, sorted_keys: np.ndarray):
+        """(slice of the query, shard, file) for each shard with queries."""
         ends = np.searchsorted(sorted_keys, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         for shard, (a, b) in enumerate(zip([0, *ends], [*ends, len(sorted_keys)], strict=True)):
-            if b > a and (x := self.file(kind, shard)) and len(x[key]):
-                asked = sorted_keys[a:b]
+            if b > a and (x := self.file(kind, shard)):
+                yield slice(a, b), shard, x
+
+    def find(self, kind: str, key: str, sorted_keys: np.ndarray):
+        """(slice of the query, shard, file, place in it, whether it is there) for each shard with queries."""
+        for where, shard, x in self.shards(kind, sorted_keys):
+            if len(x[key]):
+                asked = sorted_keys[where]
                 at = np.minimum(np.searchsorted(x[key], asked), len(x[key]) - 1)
-                yield slice(a, b), shard, x, at, x[key][at] == asked
+                yield where, shard, x, at, x[key][at] == asked
 
     def numbers(self, sorted_hashes: np.ndarray) -> np.ndarray:
         """Number of each word, -1 if it isn't known."""
@@ -209,11 +228,22 @@ class Words:
     def counts(self, kind: str, sorted_keys: np.ndarray) -> np.ndarray:
         """Count of each key, 0 if it isn't there."""
         out = np.zeros(len(sorted_keys))
-        for where, _, x, at, there in self.find(kind, "key", sorted_keys):
-            c = np.where(there, x["count"][at], 0).astype(float)
-            if (big := np.flatnonzero(c == 255)).size:
-                c[big] = x["large_count"][np.searchsorted(x["large_key"], sorted_keys[where][big])]
-            out[where] = c
+        for where, _, x in self.shards(kind, sorted_keys):
+            part, starts = x["part"], x["starts"]
+            bucket, asked = placed(sorted_keys[where], self.bits, (len(starts) - 1).bit_length() - 1)
+            low, end = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+            high = end.copy()
+            while (open_ := low < high).any():  # all searches within their buckets step by step together
+                mid = (low + high) >> 1
+                less = open_ & (part[np.minimum(mid, len(part) - 1)] < asked)
+                low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+            there = np.flatnonzero(low < end)
+            there = there[part[low[there]] == asked[there]]
+            at = low[there]
+            c = (x["half"][at >> 1] >> ((at & 1) * 4).astype(np.uint8) & 15).astype(float)
+            if (big := np.flatnonzero(c == 15)).size:
+                c[big] = x["large_count"][np.searchsorted(x["large_at"], at[big])]
+            out[where][there] = c
         return out
 
 
@@ -314,7 +344,7 @@ def train(texts: DataFrame) -> Model:
         context = pairs[at]
         stored = np.flatnonzero((total > 1) | (context >> np.uint64(32) == context & LOW))  # two beginnings are no pair
         stored = stored[np.argsort(mix(context[stored]))]
-        put_counts(f"{uri}/gram{shard:05d}.arr", gram_keys(pairs, last, bits), c, context=mix(context[stored]), total=least(total[stored]), n1=least(n1[stored]), n2=least(n2[stored]), n3=least(n3[stored]))
+        put_counts(f"{uri}/gram{shard:05d}.arr", bits, gram_keys(pairs, last, bits), c, context=mix(context[stored]), total=least(total[stored]), n1=least(n1[stored]), n2=least(n2[stored]), n3=least(n3[stored]))
         ends, n = np.unique(joined(pairs & LOW, last), return_counts=True)
         return table_of([(-1, shard, _of_counts(c).tobytes(), b"", b""), *sent(ends, None, n.astype(np.uint32), bits)], gram_kinds, grams)
 
@@ -330,7 +360,7 @@ def train(texts: DataFrame) -> Model:
             return table_of([(-2, 0, np.array(part.column("n").to_pylist(), np.int64).tobytes(), sums.tobytes(), b"", b"", b"")], kinds, names)
         pairs, _, c = received(part)
         pairs, c = merged([pairs], [c.astype(np.uint64)])
-        put_counts(f"{uri}/pair{shard:05d}.arr", mix(pairs), c)
+        put_counts(f"{uri}/pair{shard:05d}.arr", bits, mix(pairs), c)
         left, word = pairs >> np.uint64(32), (pairs & LOW).astype(np.uint32)
         rows = [(-1, 2, np.array([shard], np.int64).tobytes(), _of_counts(c).tobytes(), np.array([len(pairs)]).tobytes(), b"", b"")]
 
