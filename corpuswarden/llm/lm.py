@@ -93,18 +93,18 @@ class Tally:
         k, c = merged(self.keys, self.counts)
         self.keys, self.counts, self.held = [], [], 0
         ends = np.searchsorted(k, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-        rows = [(s, k[a:b].tobytes(), c[a:b].tobytes()) for s, (a, b) in enumerate(zip([0, *ends], [*ends, len(k)], strict=True)) if b > a]
-        columns = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["shard", "keys", "counts"])
+        rows = [(s, int(b - a), packed(np.diff(k[a:b], prepend=np.uint64(0))), packed(c[a:b])) for s, (a, b) in enumerate(zip([0, *ends], [*ends, len(k)], strict=True)) if b > a]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["shard", "n", "keys", "counts"])
 
 
-BLOCK = "shard int, keys binary, counts binary"
+BLOCK = "shard int, n long, keys binary, counts binary"
 
 
 def blocks(part: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("keys")]
-    counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("counts")]
-    k, c = merged(keys, [x.astype(np.uint64) for x in counts])
+    rows = part.select(["n", "keys", "counts"]).to_pylist()
+    keys = [np.cumsum(unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows]
+    k, c = merged(keys, [unpacked(r["counts"], r["n"], np.uint32).astype(np.uint64) for r in rows])
     return part.column("shard")[0].as_py(), k, c
 
 
