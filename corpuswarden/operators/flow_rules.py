@@ -137,7 +137,7 @@ def request_flows(sources: DataFrame) -> DataFrame:
 
     start = F.struct(F.array().cast(CARRIER).alias("carried"), F.array().cast(FIRED).alias("found"))
     fired = own.select("site_id", "path", F.explode(F.aggregate(numbered, start, step)["found"]).alias("x")).select("site_id", "path", "x.*")
-    return emit(fired, confidence=F.lit("medium"), manual=F.lit(True))
+    return emit(fired, confidence=F.when(F.col("rule_id").isin("server-ssrf", "server-path-traversal"), "medium"), manual=F.lit(True))
 
 
 def navigation_flows(sources: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def navigation_flows(sources: DataFrame) -> DataFrame:
 def missing_headers(sites: DataFrame, sources: DataFrame) -> DataFrame:
     """Security headers that no configuration of a site names; the content policy may also stand in its markup."""
     markup = extension("path").isin("html", "htm", "astro", "vue", "svelte")
-    text = F.regexp_replace(code_masked(F.col("text")), "(?s)<!--.*?-->", "")
+    text = F.when(markup, F.regexp_replace("text", "(?s)<!--.*?-->", "")).otherwise(F.regexp_replace(code_masked(F.col("text")), "(?m)^\\s*#.*$", ""))
     seen = [F.bool_or(((role("path") == "headers") | (markup if k == 0 else F.lit(False))) & text.rlike(pattern)).alias(f"h{k}") for k, (_, pattern) in enumerate(HEADERS)]
     met = sites.select("site_id").distinct().join(sources.where("text is not null").groupBy("site_id").agg(*seen), "site_id", "left")
     absent = F.filter(F.array(*[F.when(~F.coalesce(f"h{k}", F.lit(False)), F.lit(label)) for k, (label, _) in enumerate(HEADERS)]), lambda x: x.isNotNull())

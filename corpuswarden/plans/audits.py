@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import findings as f
 from ..operators import markup as m
-from ..operators import observations, page_rules, policy, site_rules, source_rules
+from ..operators import flow_rules, observations, page_rules, policy, site_rules, source_rules
 from ..operators.catalogue import RULES
 from ..sources import tables
 from . import rules_sql
 from . import sql as S
-from .fixtures import CRAWL, CREDENTIALS, with_fixtures
+from .fixtures import CRAWL, CREDENTIALS, PROJECTS, with_fixtures
 from .registry import query
 
 table = tables.table
@@ -201,6 +201,35 @@ def e07_script_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_rules.script_findings(m.scripts(*page_tables(spark, sf_dir)).select("site_id", "path", "text"))
 
 
+def project_sources(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    """Script blocks of pages, or the pages, as files of their sites, and the literal project files."""
+    own = spark.createDataFrame(PROJECTS, "site_id string, path string, text string")
+    if pages is None:
+        return m.scripts(*page_tables(spark, sf_dir)).select("site_id", F.concat("path", F.lit("/block.js")).alias("path"), "text").unionByName(own)
+    return pages.select("site_id", F.concat("path", F.lit("/page.html")).alias("path"), F.col("html").alias("text")).unionByName(own)
+
+
+@query()
+def e29_request_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_rules.request_flows(project_sources(spark, sf_dir))
+
+
+@query()
+def e19_navigation_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_rules.navigation_flows(project_sources(spark, sf_dir))
+
+
+@query(rules_sql.E26)
+def e26_missing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = project_sources(spark, sf_dir, m.pages(table(spark, sf_dir, "pages")))
+    return flow_rules.missing_headers(sources, sources).select("site_id", "rule_id", "severity", "evidence")
+
+
+@query(rules_sql.P17)
+def p17_browser_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_rules.browser_findings(project_sources(spark, sf_dir, m.pages(table(spark, sf_dir, "pages")))).select("site_id", "rule_id", "severity")
+
+
 # Credentials
 
 

@@ -64,6 +64,18 @@ CRAWL = [
     ("unread", "robots.txt", None), ("unread", "sitemap.xml", None),
 ]
 
+# Project files: flows from a request or the address to a sink and safe ones, headers, manifests.
+PROJECTS = [
+    ("flow", "server/fetch.js", "const u = req.query.u\nfetch(u)"), ("flow", "server/file.js", "import fs from 'fs'\nfs.readFile(req.params.name)"),
+    ("flow", "server/shell.js", "import { exec } from 'child_process'\nexec('ls ' + req.body.a)"), ("flow", "server/sql.js", "const id = req.params.id\ndb.query(`SELECT a, b FROM t WHERE id = ${id}`)"),
+    ("flow", "src/go.js", "const n = new URLSearchParams(location.search).get('n')\nlocation.assign(n)"), ("flow", "package.json", '{"name": "flow"}'),
+    ("calm", "server/fetch.js", "const u = chosen(req.query.u)\nfetch('https://api.example/x')"), ("calm", "server/sql.js", "db.query('SELECT a FROM t WHERE id = ?', [req.params.id])"),
+    ("calm", "src/go.js", "const n = new URLSearchParams(location.search).get('n')\nif (!allowedUrls.includes(n)) stop()\nlocation.assign(n)"),
+    ("calm", "package.json", '{"browserslist": "defaults", "devDependencies": {"@playwright/test": "1"}}'),
+    ("calm", "_headers", "/*\n Content-Security-Policy: default-src x; frame-ancestors y\n X-Content-Type-Options: nosniff\n Referrer-Policy: no-referrer\n Permissions-Policy: camera=()"),
+    ("half", "_headers", "# Content-Security-Policy: x\nX-Frame-Options: DENY"), ("half", "index.html", '<meta http-equiv="Content-Security-Policy" content="x"><!-- referrer-policy -->'), ("half", "e2e/a.js", "test()"),
+]
+
 
 def with_fixtures(pages: DataFrame) -> DataFrame:
     """page_id, url, html of a crawl table and of the literal pages, which have negative ids."""

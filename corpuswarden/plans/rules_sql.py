@@ -270,6 +270,15 @@ r AS (SELECT site_id, pages, unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN
 SELECT site_id, mode, r.rule_id, family, category, severity, confidence, manual, '(site)' AS path, 1::INT AS line, pages || ' pages' AS evidence FROM r JOIN (VALUES {_CATALOGUE}) c(rule_id, mode, category, severity, confidence, manual, family) USING (rule_id)"""
 
 _CRAWL = ", ".join("(" + ", ".join("NULL" if x is None else _quoted(x) for x in row) + ")" for row in fixtures.CRAWL)
+_PROJECTS = ", ".join("(" + ", ".join(_quoted(x) for x in row) + ")" for row in fixtures.PROJECTS)
+_FILES = rf"{_GIVEN}, o AS (SELECT site_id, path || '/page.html' AS path, raw AS text FROM p UNION ALL SELECT * FROM (VALUES {_PROJECTS}) x(site_id, path, text))"
+_HEADER = lambda pattern, markup=False: f"bool_or(regexp_matches(t, '(?i){pattern}') AND (path LIKE '%\\_headers' ESCAPE '\\'{' OR path LIKE %s.html%s' % (chr(39) + '%', chr(39)) if markup else ''}))"
+E26 = rf"""WITH {_FILES}, c AS (SELECT site_id, path, CASE WHEN path LIKE '%.html' THEN regexp_replace(text, '(?s)<!--.*?-->', '', 'g') ELSE regexp_replace(text, '(?m)^\s*(#|//).*$', '', 'g') END AS t FROM o),
+h AS (SELECT site_id, {_HEADER('content-security-policy|contentSecurityPolicy', True)} AS policy, {_HEADER('x-content-type-options')} AS sniff, {_HEADER('referrer-policy')} AS referrer, {_HEADER('permissions-policy')} AS permissions, {_HEADER('frame-ancestors|x-frame-options')} AS frames FROM c GROUP BY site_id),
+n AS (SELECT site_id, policy, concat_ws(', ', CASE WHEN NOT policy THEN 'Content-Security-Policy' END, CASE WHEN NOT sniff THEN 'X-Content-Type-Options' END, CASE WHEN NOT referrer THEN 'Referrer-Policy' END, CASE WHEN NOT permissions THEN 'Permissions-Policy' END, CASE WHEN NOT frames THEN 'frame-ancestors or X-Frame-Options' END) AS absent FROM h)
+SELECT site_id, 'security-headers' AS rule_id, CASE WHEN policy THEN 'low' ELSE 'medium' END AS severity, 'not configured: ' || absent AS evidence FROM n WHERE absent <> ''"""
+P17 = rf"""WITH {_FILES}, s AS (SELECT site_id, bool_or(path LIKE '%package.json') AS manifest, bool_or(path LIKE '%package.json' AND contains(text, '"browserslist"')) AS policy, bool_or((path LIKE '%package.json' AND regexp_matches(text, '"[^"]*(playwright|cypress|webdriver|browserstack|saucelabs)[^"]*"\s*:')) OR regexp_matches(path, '(?i)(^|/)(e2e|browser-tests?)(/|$)|(playwright|cypress|webdriver|browserstack|saucelabs)(\.config)?\.')) AS tests FROM o GROUP BY site_id)
+SELECT site_id, 'compat-no-browser-policy' AS rule_id, 'low' AS severity FROM s WHERE manifest AND NOT policy UNION ALL SELECT site_id, 'compat-no-browser-tests', 'info' FROM s WHERE NOT tests"""
 _WEB = lambda x: rf"regexp_matches({x}, '(?i)^https?://[^/?#\s@]+([/?][^\s#]*)?$')"
 R00 = rf"""WITH {_GIVEN}, o AS (SELECT site_id, path, raw AS text FROM p UNION ALL SELECT * FROM (VALUES {_CRAWL}) x(site_id, path, text)),
 f AS (SELECT *, regexp_extract(path, '[^/]*$') AS file FROM o), b AS (SELECT * FROM f WHERE file = 'robots.txt'), m AS (SELECT * FROM f WHERE regexp_matches(file, '(?i)^sitemap[A-Za-z0-9_-]*\.xml$')),
