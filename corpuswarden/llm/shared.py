@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own_root: list[str] = []
 #: Most bytes of an Arrow batch that a Python stage is given; a larger row comes alone.
 BATCH_BYTES = 8 << 20
+_UNITS = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -83,10 +84,17 @@ def released() -> None:
         pass  # another C library
 
 
+def in_bytes(setting: str) -> int:
+    """Bytes of a setting such as 64m or 1g; without a unit, of bytes."""
+    text = str(setting).strip().lower().removesuffix("b")
+    unit = text[-1:] if text[-1:] in _UNITS else ""
+    return int(float(text.removesuffix(unit) or 0) * _UNITS.get(unit, 1))
+
+
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of ``BATCH_BYTES`` at most and memory released at the end of each task."""
     conf = df.sparkSession.conf
-    if int("".join(c for c in str(conf.get(_LIMIT)) if c.isdigit()) or 0) > BATCH_BYTES:
+    if not 0 < in_bytes(conf.get(_LIMIT)) <= BATCH_BYTES:
         conf.set(_LIMIT, str(BATCH_BYTES))
 
     names = df.columns
