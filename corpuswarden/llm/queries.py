@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, encoding, langid, lines, lm, media, neardup, oracles, packing, quality, secrets
+from . import cotrain, encoding, fingerprints, langid, lines, lm, media, neardup, oracles, packing, quality, secrets, spelling, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,5 +64,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_media": op1_media, "op2_lm_scoring": op2_lm_scoring, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup, "op5_near_duplicates": op5_near_duplicates, "op6_bpe": op6_bpe, "op7_quality_classifier": op7_quality_classifier, "op8_language_id": op8_language_id, "op9_packing": op9_packing, "op10_secrets": op10_secrets}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.successors(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_lm_scoring, op3_quality, op4_line_dedup, op5_near_duplicates, op6_bpe, op7_quality_classifier, op8_language_id, op9_packing, op10_secrets, op11_fingerprints, op12_spelling, op13_whitening)}
 ORACLE_SQL: dict[str, str] = {"op3_quality": oracles.OP3, "op4_line_dedup": oracles.OP4}
