@@ -2,7 +2,7 @@
 
 How many training documents hold each n-gram is counted over all of them. The regression is fitted by
 follow-the-regularised-leader with elastic-net penalties, in one task, on at most ``FIT_PER_LANGUAGE``
-documents of each language (those with the least hashes of their ids), whole texts each; a part of them is
+documents of each language (those with the least hashes of id and text), whole texts each; a part of them is
 kept aside for the temperature that calibrates the probabilities, and for the score below which a language is
 not accepted: half-way between what chance gives and what 99 of 100 of them reach. All documents are then scored.
 
@@ -10,14 +10,15 @@ N-grams of one to three characters are taken over the lower-cased text with ever
 than letters as one blank. TF is a share of the text's n-grams, so a score is a mean over positions.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; without training documents
-every text is ``und``; equal texts have equal results, and rows with equal ids are samples each; texts of any
-length are read whole; an empty table gives an empty result; further columns stay as they are, whatever their
+every text is ``und``; equal texts have equal results; rows of equal id, text and language are one sample, others
+one each, also without an id; texts of any length are read whole; an empty table gives an empty result; further columns stay as they are, whatever their
 names.
 """
 
 from __future__ import annotations
 
 import functools
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -143,17 +144,21 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 20, 121), key=loss))
 
 
+KEY = ["lang", "doc_id", "hash", "size"]
+
+
 def sampled(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE) -> DataFrame:
-    """doc_id of the rows with the least hashes in each language.
+    """Keys of the rows with the least hashes in each language, from rows with the columns of ``KEY``.
 
-    A first cut by hash, from the number of rows of each language, leaves few more than asked for; only these
-    are put in order.
+    Equal rows have one key. A first cut by hash, from the number of keys of each language, leaves few more than
+    asked for; only these are put in order.
     """
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("of"), "rows")  # a row for each language
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    near = docs.select("doc_id", "lang", share.alias("share")).join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(F.col("share") * F.col("rows") <= 2 * per_language)
-    order = Window.partitionBy("lang").orderBy("share", "doc_id")
-    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
+    keys = docs.select(*KEY).distinct()
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.pmod(F.xxhash64(*KEY[1:]), F.lit(1 << 30)) / float(1 << 30)
+    near = keys.withColumn("share", share).join(sizes, "lang").where(F.col("share") * F.col("rows") <= 2 * per_language)
+    order = Window.partitionBy("lang").orderBy("share", *KEY[1:])
+    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(*KEY)
 
 
 def train(docs: DataFrame, idf: np.ndarray, per_language: int = FIT_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, float, float]:
@@ -168,14 +173,17 @@ def train(docs: DataFrame, idf: np.ndarray, per_language: int = FIT_PER_LANGUAGE
                     own, c = np.unique(f[at[k] : at[k + 1]], return_counts=True)
                     keys.append(own)
                     values.append((c / c.sum() * idf[own]).astype(np.float32))
-                own = batch.select(["doc_id", "lang", "hash"]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "lang", "hash", "f", "x"])
+                own = batch.select(["lang", "hash", "size"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["lang", "hash", "size", "f", "x"])
 
-    chosen = docs.join(sampled(docs, per_language), "doc_id", "left_semi").select("doc_id", "lang", F.xxhash64("text").alias("hash"), "text")
-    sample = in_arrow(chosen, features, "doc_id long, lang string, hash long, f array<int>, x array<float>")
+    own = docs.withColumn("hash", F.xxhash64("text")).withColumn("size", F.length("text"))
+    wanted = sampled(own, per_language).toDF(*[f"of_{c}" for c in KEY])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in KEY])
+    chosen = own.join(wanted, same, "left_semi").dropDuplicates(KEY).select("lang", "hash", "size", "text")
+    sample = in_arrow(chosen, features, "lang string, hash long, size int, f array<int>, x array<float>")
 
     def fit_all(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "lang", "hash"])  # what is equal here has equal features
+        rows = rows.sort_values(["hash", "size", "lang"])  # what is equal here has equal features
         languages = sorted(rows["lang"].unique())
         y = np.array([languages.index(x) for x in rows["lang"]])
         samples = [(np.asarray(f), np.asarray(x, dtype=float)) for f, x in zip(rows["f"], rows["x"], strict=True)]

@@ -35,7 +35,8 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES,
     number = F.count_distinct(page) if copies else F.count("*")
     pages = docs.groupBy("source").agg(number.alias("host_pages"))
     lines = F.array_distinct(F.filter(F.transform(F.split(F.col("text"), "\n"), key), lambda x: x != ""))
-    each = docs.select("source", "text", F.explode(lines).alias("line")).select("source", F.xxhash64("line").alias("hash"), F.length("line").alias("size"), page.alias("page"))
+    each = docs.select("source", page.alias("page"), lines.alias("lines")).select("source", "page", F.explode("lines").alias("line"))  # the page's key is taken once
+    each = each.select("source", F.xxhash64("line").alias("hash"), F.length("line").alias("size"), "page")
     number = F.count_distinct("page") if copies else F.count("*")
     seen = each.groupBy("source", "hash", "size").agg(number.alias("pages"))
     often = seen.where(F.col("pages") >= least)

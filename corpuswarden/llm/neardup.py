@@ -146,7 +146,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def node_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The hashed words of each wanted node, from the document that stands for it."""
+    """The hashed words of each wanted node, from the rows that stand for it: at.doc_id, at.hash and at.size."""
 
     def run(batches):
         for whole in batches:
@@ -155,7 +155,9 @@ def node_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [(key, words.tobytes()) for (words, key), w in zip(word_arrays(batch), want, strict=True) if key == w]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([w for _, w in found], pa.binary())], ["node", "words"])
 
-    met = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, F.col("doc_id").eqNullSafe(F.col("at")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *text_key())
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"at.{c}")) for c in ("doc_id", "hash", "size")])
+    met = own.join(wanted, same)  # at most one node for a row
     return in_arrow(met.select("node", "text"), run, "node binary, words binary").dropDuplicates(["node"])
 
 
@@ -314,7 +316,7 @@ def rooted_rows(docs: DataFrame) -> DataFrame:
     n_links: verified links of the row's text to other texts, as far as they were needed for the classes.
     """
     signed = kept(signatures(docs), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("at"), *(F.first(c).alias(c) for c in ("n", "distinct", "odd", "bands")))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "hash", "size")).alias("at"), *(F.first(c).alias(c) for c in ("n", "distinct", "odd", "bands")))
     nodes = kept(nodes, "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
@@ -394,7 +396,8 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, and of each class only one row, with the class's doc_id; rows without words all stay.
 
-    Of equal ids and texts that differ in other columns, the row with the least of these stays.
+    Of equal ids and texts that differ in other columns, the row with the least of these stays; columns without an
+    order (maps) don't decide.
     """
     rows = rooted_rows(docs.select("doc_id", "text"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "size")
@@ -410,5 +413,6 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(own_hash) == F.col(hashed)) & (F.col(own_size) == F.col(size))
     met = own.join(chosen, same)
     # Only rows that stand several times are brought together.
-    again = met.where(F.col(times) > 1).groupBy(doc, hashed, size).agg(F.min(F.struct(*names)).alias("x"))
+    ordered = F.struct(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))])
+    again = met.where(F.col(times) > 1).groupBy(doc, hashed, size).agg(F.min_by(F.struct(*names), ordered).alias("x"))
     return met.where(F.col(times) == 1).select(*names).unionByName(again.select(*[F.col(f"x.`{c}`") for c in docs.columns]))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, kept
+from .shared import forget, fresh, kept
 
 # The patterns of the base kinds.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -120,9 +120,9 @@ def ratio(value: Column, models: dict[str, list[float]]) -> Column:
 
 
 def spans(docs: DataFrame, samples: DataFrame | None = None, least_mean: float = LEAST_MEAN, least_sum: float = LEAST_SUM) -> DataFrame:
-    """row, kind, start, end, value of all spans; ``docs`` has row (a key of its own) and text.
+    """row, kind, start, end of all spans; ``docs`` has row (a key of its own) and text.
 
-    Labelled ``samples`` (sample, random) can be given; otherwise ``labelled`` takes them from the documents.
+    No value of a span stays in the shared folder. Labelled ``samples`` (sample, random) can be given; otherwise ``labelled`` takes them from the documents.
     """
     found = kept(matches(docs, BASE | {"random": (CANDIDATE, 0, LEAST)}), "matches")
     base, rest = found.where("kind != 'random'"), found.where("kind = 'random'")
@@ -144,7 +144,9 @@ def spans(docs: DataFrame, samples: DataFrame | None = None, least_mean: float =
     total = lambda x: F.sum(F.when(short, x)).over(together)
     joint = F.col("run_passes") & (total(F.length("value")) >= REST) & (total(F.col("ratio")) >= least_mean * total(F.col("pairs")))
     parts = parts.withColumn("found", likely(F.col("ratio"), F.col("pairs")) | (short & joint)).where("found").select(*names)
-    return base.select(*names).unionByName(whole).unionByName(parts)
+    places = kept(base.select(*names).unionByName(whole).unionByName(parts).drop("value"), "spans")
+    forget(found)
+    return places
 
 
 def outside(start: Column, end: Column, cuts: Column) -> Column:

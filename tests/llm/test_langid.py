@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpuswarden.llm import langid
@@ -67,11 +68,27 @@ def test_unlearned_alphabets_go_and_clean_text_stays(spark):
     assert len(kept & {k for k, _, _ in rows}) >= 0.99 * len(rows) and not kept & {k for k, _, _ in other}
 
 
+def keyed(docs):
+    return docs.selectExpr("*", "xxhash64(text) as hash", "length(text) as size")
+
+
 def test_sample_is_the_least_hashes_of_each_language(spark):
     rows = [(k, "x", "aa" if k % 3 else "bb") for k in range(900)] + [(5, "x", "aa")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {1 << 30}) as h").collect()}
+    docs = keyed(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, hash, size), {1 << 30}) as h").collect()}
     got = {r.doc_id for r in langid.sampled(docs, 50).collect()}
     for rest in ({0}, {1, 2}):
         own = sorted((k for k in range(900) if k % 3 in rest), key=lambda k: hashes[k])
-        assert got & set(own) <= set(own[:50]) and len(got & set(own)) >= 49
+        assert got & set(own) == set(own[:50])
+
+
+@pytest.mark.parametrize("name, ids", [("none", lambda k: None), ("one", lambda k: 7), ("few", lambda k: k % 5)])
+def test_ids_that_are_null_or_repeat(spark, name, ids):
+    rows = corpus()
+    texts = {t for _, t, _ in rows}
+    docs = spark.createDataFrame([(ids(k), t, lang) for k, t, lang in rows] + [(ids(0), rows[0][1], rows[0][2])] * 30, "doc_id long, text string, lang string")
+    own = keyed(docs)
+    chosen = langid.sampled(own, 50)
+    assert chosen.groupBy("lang").count().where("count != 50").count() == 0 and chosen.count() == 200  # whatever the ids
+    got = langid.accepted(docs).collect()
+    assert {r.text for r in got} == texts and len(got) == len(rows) + 30

@@ -162,7 +162,7 @@ def test_recall_against_all_pairs_of_the_given_documents(spark):
     if not os.path.exists(folder):
         pytest.skip("the given tables are not there")
     docs = spark.read.parquet(folder)
-    words = {bytes(r.node): np.frombuffer(r.words, np.uint64) for r in nd.node_words(docs, nd.signatures(docs).where("node is not null").groupBy("node").agg(nd.F.min("doc_id").alias("at"))).collect()}
+    words = {bytes(r.node): np.frombuffer(r.words, np.uint64) for r in nd.node_words(docs, nd.signatures(docs).where("node is not null").groupBy("node").agg(nd.F.min(nd.F.struct("doc_id", "hash", "size")).alias("at"))).collect()}
     root = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
     doc_of = {}
     for r in nd.signatures(docs).where("node is not null").select("doc_id", "node").collect():
@@ -182,3 +182,45 @@ def test_recall_against_all_pairs_of_the_given_documents(spark):
                 linked += root[doc_of[a]] == root[doc_of[nodes[j]]]
     print(f"pairs {similar}, in one class {linked}")
     assert similar and linked >= 0.9 * similar
+
+
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k % 5])
+def test_ids_that_are_null_or_repeat(spark, ids):
+    """The classes of texts are those found with ids; words are read once for each node."""
+    rows = corpus(8)
+    root = plain(rows)
+    docs = spark.createDataFrame([(ids(k), t) for k, (_, t) in enumerate(rows)] * 2, "doc_id long, text string")
+    nodes = nd.signatures(docs).where("node is not null").groupBy("node").agg(nd.F.min(nd.F.struct("doc_id", "hash", "size")).alias("at"))
+    texts = {" ".join((t or "").split()).lower() for _, t in rows} - {""}
+    assert nd.node_words(docs, nodes).count() == nodes.count() == len(texts)
+    got = nd.classes(docs).collect()
+    assert len(got) == 2 * len(rows)
+    stay = nd.kept_documents(docs).collect()
+    worded = {root[i] for i, t in rows if (t or "").split()}
+    assert sum(bool((r.text or "").split()) for r in stay) == len(worded)
+
+
+def test_a_column_of_maps_is_kept(spark):
+    docs = spark.sql("select 1L as doc_id, 'one and the same text of six words' as text, map('a', 1) as m union all select 1L, 'one and the same text of six words', map('b', 2) union all select 2L, 'another text', null")
+    got = nd.kept_documents(docs).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and all(r.m in ({"a": 1}, {"b": 2}, None) for r in got)
+
+
+def test_recall_of_planted_pairs_near_the_threshold(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(400):
+        w = [f"t{k}w{j}" for j in range(rng.randrange(60, 260))]
+        v = list(w)
+        for _ in range(max(1, round(len(v) * rng.uniform(0.01, 0.022)))):
+            j = rng.randrange(len(v))
+            v[j : j + rng.randrange(2)] = ["changed"]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    own = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = lambda i: np.array([hash(x) % (1 << 63) for x in rows[i][1].split()], np.uint64)
+    sims = {k: nd.similarity(of(2 * k), of(2 * k + 1))[0] for k in range(400)}
+    near = [k for k, s in sims.items() if 0.8 <= s < 0.92]
+    linked = sum(own[2 * k] == own[2 * k + 1] for k in near)
+    print(f"planted pairs of 0.80 to 0.92: {len(near)}, linked {linked}")
+    assert len(near) >= 200 and linked >= 0.9 * len(near)
+    assert all(own[2 * k] != own[2 * k + 1] for k, s in sims.items() if s < 0.8)

@@ -42,3 +42,29 @@ def test_one_whole_text_of_the_copies_of_a_host_stays(spark):
     got = dict(p.STAGES)["near_duplicates"](spark, dict(p.STAGES)["line_dedup"](spark, docs, ""), "").collect()
     assert [r.doc_id for r in got if r.text == five] == [100] and [r.doc_id for r in got if r.text == many] == [200]
     assert len(got) == 62 and not any("Follow us" in r.text for r in got)
+
+
+def test_the_same_texts_stay_without_ids(spark):
+    rng = random.Random(3)
+    syllables = {"aa": "tha ing ona ed re st".split(), "bb": "éau ion ré le ou çen".split()}
+    text = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(n))
+    rows = [(text("aa" if k % 2 else "bb", 40), "aa" if k % 2 else "bb") for k in range(60)]
+    rows += rows[:5] + [("12 34 !!", "aa"), (None, "aa")]
+    seen = []
+    for ids in (lambda k: k, lambda k: None, lambda k: 1, lambda k: k % 5):
+        docs = spark.createDataFrame([(ids(k), t, lang, "host", 1) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+        for _, stage in p.STAGES[:-1]:
+            docs = stage(spark, docs, "").cache()
+        seen.append(sorted(r.text for r in docs.collect()))
+        assert len({(r.sequence_id, r.offset) for r in p.STAGES[-1][1](spark, docs, "").collect()}) >= 60
+    assert len(seen[0]) == 60 and seen[0] == seen[1] == seen[2] == seen[3]
+
+
+def test_a_text_of_many_lines(spark):
+    import time
+
+    long = "\n".join(f"line {k} of a long text" for k in range(60_000))
+    docs = spark.createDataFrame([(1, long, "aa", "host", 1), (2, long + "\nmore", "aa", "host", 1), (3, "x\ny", "aa", "host", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    began = time.time()
+    got = {r.doc_id: r.text for r in dict(p.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert got[1] == long and time.time() - began < 60
