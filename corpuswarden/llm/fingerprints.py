@@ -4,7 +4,7 @@ A text's prefix arrays hold, for two primes, the sum of (code point + 1) * base^
 are equal if the differences of their ends, moved to the same place, are: any span in constant time, and the
 longest common extension of two places by halving. Hashes of the windows before each place, from the same arrays,
 choose the places where a text is cut, so that texts with a passage in common are cut alike in it. A cut's level
-is the number of zero bits behind its hash; a text keeps the cuts of the least level that leaves at most ``CUTS``.
+is the number of zero bits in front of its hash; a text keeps the cuts of the least level that leaves at most ``CUTS``.
 
 The fingerprint holds length, cuts, their levels and the prefix hashes there, hence the hash of each span between
 cuts. Likeness is the share of the longer text in spans that both have: their common beginning and end, found by
@@ -26,6 +26,7 @@ by ``fingerprinted``.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from bisect import bisect_right
 from collections import Counter
@@ -36,21 +37,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import forget, in_arrow, kept, slices, utf8
-from .words import mix
 
 PRIMES = (2147483647, 2147483629)  # the two largest primes below 2^31
 BASES = (1020847823, 1733214197)
 WINDOW = 8  # code points before a place that decide whether it is a cut
 CUTS = 32
 LEAST_SPAN = 8  # code points of a span that counts between the common beginning and end
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MOST_BUCKETS = 20_000
 HOT = 10_000  # keys of equal rows that are worked on once
 BUCKET_CHARS = 16 << 20
 
+_P = np.array(PRIMES, np.uint64)[:, None]
+_C = np.uint64(1 << 31) - _P
+_LOW, _31 = np.uint64((1 << 31) - 1), np.uint64(31)
 _kept_powers = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
 KEPT_POWERS = 1 << 20
 
 
+def _mod(x: np.ndarray, rows: slice = slice(0, 2)) -> np.ndarray:
+    """Numbers below 2^62 modulo each row's prime 2^31 - c, in place: what stands above 31 bits counts c times."""
+    high = np.empty_like(x)
+    for _ in range(2):
+        np.right_shift(x, _31, out=high)
+        x &= _LOW
+        high *= _C[rows]
+        x += high
+    np.subtract(x, _P[rows], out=high)  # of unsigned numbers: it wraps where it would be negative
+    return np.minimum(x, high, out=x)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^0 to base^n for both primes, and the same of the inverses."""
     if _kept_powers[0].shape[1] > n:
@@ -61,16 +77,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         while table.shape[1] <= n:
             k = table.shape[1]
             steps = np.array([[pow(b, k, p)] for b, p in zip(bases, PRIMES, strict=True)], np.uint64)
-            table = np.concatenate([table, table * steps % _P], axis=1)
+            table = np.concatenate([table, _mod(table * steps)], axis=1)
         out.append(table)
     if n <= KEPT_POWERS:
         _kept_powers[:] = out
     return out[0][:, : n + 1], out[1][:, : n + 1]
 
 
-_P = np.array(PRIMES, np.uint64)[:, None]
-
-
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -82,51 +95,80 @@ def prefixes(points: np.ndarray, before: np.ndarray | None = None) -> np.ndarray
     if not n:
         return before
     up = _powers(at + n)[0][:, at : at + n]
-    sums = np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up % _P, axis=1, dtype=np.uint64)
-    return np.concatenate([before, (sums + before[:, -1:]) % _P], axis=1)
+    sums = np.cumsum(_mod((points.astype(np.uint64) + np.uint64(1)) * up), axis=1)
+    return np.concatenate([before, _mod(sums + before[:, -1:])], axis=1)
 
 
 def span(hashes: np.ndarray, begin, end) -> np.ndarray:
     """Hashes (2 by k) of spans, the same wherever they stand."""
     begin, end = np.atleast_1d(begin), np.atleast_1d(end)
     down = _powers(hashes.shape[1] - 1)[1]
-    return (hashes[:, end] + _P - hashes[:, begin]) % _P * down[:, begin] % _P
+    return _mod(_mod(hashes[:, end] + _P - hashes[:, begin]) * down[:, begin])
 
 
 def common_extension(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
     """How many code points agree from place i of one text and place j of the other on, by halving."""
+    top = max(i, j)
+    down = _powers(top)[1][:, [i, j]].tolist() if top else [[1, 1], [1, 1]]
     low, high = 0, min(a.shape[1] - 1 - i, b.shape[1] - 1 - j)
+    rows = [(p, x, y, int(x[i]), int(y[j]), d, e) for p, x, y, (d, e) in zip(PRIMES, a, b, down, strict=True)]
     while low < high:
         mid = (low + high + 1) // 2
-        if (span(a, i, i + mid) == span(b, j, j + mid)).all():
+        if all((int(x[i + mid]) - u) * d % p == (int(y[j + mid]) - v) * e % p for p, x, y, u, v, d, e in rows):
             low = mid
         else:
             high = mid - 1
     return low
 
 
+def _zeros(x: np.ndarray) -> np.ndarray:
+    """Zero bits in front."""
+    return 64 - np.frexp(x.astype(float))[1].astype(np.int64)
+
+
+def windows(hashes: np.ndarray, begin: int) -> np.ndarray:
+    """64-bit hashes of the windows before each place from ``begin`` on, but for the end."""
+    n = hashes.shape[1] - 1
+    if n <= begin:
+        return np.zeros(0, np.uint64)
+    one = slice(0, 1)
+    apart = hashes[one, begin:n] + _P[one] - hashes[one, begin - WINDOW : n - WINDOW]
+    return (_mod(_mod(apart, one) * _powers(n)[1][one, begin - WINDOW : n - WINDOW], one)[0] + np.uint64(1)) * _SPREAD
+
+
 class Fingerprint:
     """n, places of the cuts, their levels, the least level, prefix hashes at the cuts and the end."""
 
     def __init__(self, n: int, level: int, cuts: np.ndarray, levels: np.ndarray, hashes: np.ndarray):
         self.n, self.level, self.cuts, self.levels, self.hashes = n, level, cuts, levels, hashes
+        self._at: dict[int, tuple] = {}
 
     @classmethod
-    def of(cls, hashes: np.ndarray) -> Fingerprint:
+    def of(cls, hashes: np.ndarray, seen: np.ndarray | None = None) -> Fingerprint:
+        """From prefix hashes, and the hashes of the windows if they are known."""
         n = hashes.shape[1] - 1
-        places = np.arange(WINDOW, n)
-        seen = mix(span(hashes, places - WINDOW, places)[0]) if n > WINDOW else np.zeros(0, np.uint64)
-        levels = np.minimum(np.bitwise_count((seen & (~seen + np.uint64(1))) - np.uint64(1)), 63).astype(np.uint8)
-        least = np.cumsum(np.bincount(levels, minlength=65)[::-1])[::-1]  # cuts of at least each level
-        level = int(np.argmax(least <= CUTS))
-        at = np.flatnonzero(levels >= level)
-        cuts = at + WINDOW
-        return cls(n, level, cuts.astype(np.uint32), levels[at], hashes[:, np.r_[cuts, n].astype(np.int64)].astype(np.uint32))
-
-    def __str__(self) -> str:
+        seen = windows(hashes, WINDOW) if seen is None else seen
+        about = max(0, (len(seen) // (4 * CUTS)).bit_length() - 1)  # a level that leaves more than enough, mostly
+        while True:
+            at = np.flatnonzero(seen < np.uint64(1 << (64 - about))) if about else np.arange(len(seen))
+            levels = _zeros(seen[at])
+            least = np.bincount(levels, minlength=66)[::-1].cumsum()[::-1]  # cuts of at least each level
+            level = int((least > CUTS).sum())
+            if level > about or not about:
+                break
+            about = 0
+        stay = levels >= level
+        cuts = at[stay] + WINDOW
+        return cls(n, level, cuts.astype(np.uint32), levels[stay].astype(np.uint8), hashes[:, np.append(cuts, n)].astype(np.uint32))
+
+    @functools.cached_property
+    def text(self) -> str:
         head = np.array([self.n, self.level], "<u4").tobytes()
         return base64.b64encode(head + self.cuts.astype("<u4").tobytes() + self.levels.tobytes() + self.hashes.astype("<u4").tobytes()).decode()
 
+    def __str__(self) -> str:
+        return self.text
+
     @classmethod
     def read(cls, text: str) -> Fingerprint:
         raw = base64.b64decode(text)
@@ -136,31 +178,34 @@ class Fingerprint:
         levels = np.frombuffer(raw, np.uint8, k, 8 + 4 * k)
         return cls(n, level, cuts, levels, np.frombuffer(raw, "<u4", 2 * (k + 1), 8 + 5 * k).reshape(2, -1))
 
-    def at(self, level: int) -> tuple[list[int], np.ndarray]:
-        """Bounds of the spans at a level, 0 and n among them, and the prefix hashes there."""
-        stay = np.flatnonzero(self.levels >= level)
-        return [0, *self.cuts[stay].tolist(), self.n], np.concatenate([np.zeros((2, 1), np.uint64), self.hashes[:, np.r_[stay, len(self.cuts)]].astype(np.uint64)], axis=1)
-
-
-def _spans(bounds: list[int], hashes: np.ndarray) -> list[tuple[int, int, int]]:
-    """Length and hashes of each span between bounds."""
-    down = np.array([[pow(pow(b, -1, p), x, p) for x in bounds[:-1]] for b, p in zip(BASES, PRIMES, strict=True)], np.uint64) if bounds[-1] > KEPT_POWERS else _powers(KEPT_POWERS)[1][:, bounds[:-1]]
-    own = (hashes[:, 1:] + _P - hashes[:, :-1]) % _P * down % _P
-    return [(b - a, x, y) for a, b, x, y in zip(bounds[:-1], bounds[1:], *own.tolist(), strict=True)]
+    def at(self, level: int) -> tuple[list[int], list[tuple[int, int]], list[tuple[int, int, int]]]:
+        """Bounds of the spans at a level, 0 and n among them, the prefix hashes there, and length and hashes of each span."""
+        if level not in self._at:
+            stay = [k for k, x in enumerate(self.levels.tolist()) if x >= level]
+            cuts, last = self.cuts.tolist(), len(self.cuts)
+            bounds = [0, *[cuts[k] for k in stay], self.n]
+            begin, rows = bounds[:-1], []
+            down = [[pow(pow(b, -1, p), x, p) for x in begin] for b, p in zip(BASES, PRIMES, strict=True)] if self.n > KEPT_POWERS else _powers(self.n)[1][:, begin].tolist()
+            for p, h, d in zip(PRIMES, self.hashes.tolist(), down, strict=True):
+                at = [0, *[h[k] for k in stay], h[last]]
+                rows += [at, [(y - x) * z % p for x, y, z in zip(at, at[1:], d)]]  # noqa: B905
+            sizes = [y - x for x, y in zip(bounds, bounds[1:])]  # noqa: B905
+            self._at[level] = bounds, list(zip(rows[0], rows[2], strict=True)), list(zip(sizes, rows[1], rows[3], strict=True))
+        return self._at[level]
 
 
 def likeness_of(a: Fingerprint, b: Fingerprint) -> float:
     if not a.n or not b.n:
         return float(a.n == b.n)
     level = max(a.level, b.level)
-    (x, hx), (y, hy) = a.at(level), b.at(level)
+    (x, hx, u), (y, hy, v) = a.at(level), b.at(level)
     low, high = 0, min(len(x), len(y)) - 1
     while low < high:  # the last bound up to which both are the same
         mid = (low + high + 1) // 2
-        same = x[mid] == y[mid] and (hx[:, mid] == hy[:, mid]).all()
+        same = x[mid] == y[mid] and hx[mid] == hy[mid]
         low, high = (mid, high) if same else (low, mid - 1)
     lead = x[low]
-    u, v = _spans(x, hx)[low:], _spans(y, hy)[low:]
+    u, v = u[low:], v[low:]
     tail = 0
     while u and v and u[-1] == v[-1]:
         tail += u.pop()[0]
@@ -246,7 +291,8 @@ class _Document:
     def __init__(self, text: str):
         self.text, self.points = text, code_points(text)
         self.hashes = prefixes(self.points)
-        self.mark = Fingerprint.of(self.hashes)
+        self.windows = windows(self.hashes, WINDOW)
+        self.mark = Fingerprint.of(self.hashes, self.windows)
 
 
 def edited(points: np.ndarray, following: np.ndarray) -> tuple[int, np.ndarray]:
@@ -267,7 +313,8 @@ def successors(docs: DataFrame) -> DataFrame:
     def result(key: tuple, a: _Document, b: _Document, times: int = 1) -> tuple:
         stay, more = edited(a.points, b.points)
         whole = prefixes(more, a.hashes[:, : stay + 1])
-        mark = Fingerprint.of(whole)
+        first = max(WINDOW, min(stay + 1, whole.shape[1] - 1))  # the first window that ends in what is new
+        mark = Fingerprint.of(whole, np.concatenate([a.windows[: first - WINDOW], windows(whole, first)]))
         text = a.text[:stay] + b.text[: len(more)]
         sha = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
         near = [1.0 if str(a.mark) == str(m) else likeness_of(a.mark, m) for m in (mark, b.mark)]
