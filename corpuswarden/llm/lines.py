@@ -6,7 +6,8 @@ host has no more boilerplate lines than its mean number of lines a page divided
 size; they travel as one array a host.
 
 Where ``copies`` are one page, pages of a host with the same text count once, in a line's pages and in the
-host's: a text with many copies is then no boilerplate of itself.
+host's: a text with many copies is then no boilerplate of itself. Given which texts are ``alike``, the same holds
+for near copies.
 
 Defined results: a null text stays null; a null host is a host of its own; equal rows count as pages each
 unless copies are one page; lines of equal frequency are alike; texts of any length are read whole; an empty table
@@ -29,25 +30,40 @@ def key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\x0b\x0c\r"))
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, copies: bool = False) -> DataFrame:
-    """source, line key, pages with it, pages of the host."""
-    page = F.xxhash64(F.length("text"), "text")
-    number = F.count_distinct(page) if copies else F.count("*")
-    pages = docs.groupBy("source").agg(number.alias("host_pages"))
+def page_key(hash: Column, size: Column) -> Column:
+    """The same for pages with equal texts, from the text's hash and length."""
+    return F.xxhash64(hash, size)
+
+
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, copies: bool = False, alike: DataFrame | None = None) -> DataFrame:
+    """source, line key, pages with it, pages of the host.
+
+    ``alike``: hash, size and root of texts that are one page with all others of their root, for ``copies``.
+    """
+    page = page_key(F.xxhash64("text"), F.length("text"))
     lines = F.array_distinct(F.filter(F.transform(F.split(F.col("text"), "\n"), key), lambda x: x != ""))
     each = docs.select("source", page.alias("page"), lines.alias("lines")).select("source", "page", F.explode("lines").alias("line"))  # the page's key is taken once
     each = each.select("source", F.xxhash64("line").alias("hash"), F.length("line").alias("size"), "page")
     number = F.count_distinct("page") if copies else F.count("*")
-    seen = each.groupBy("source", "hash", "size").agg(number.alias("pages"))
-    often = seen.where(F.col("pages") >= least)
+    all_pages = docs.select("source", page.alias("page"))
+    names = ["source", "hash", "size"]
+    if alike is not None:
+        one = alike.select(page_key(F.col("hash"), F.col("size")).alias("page"), F.xxhash64("root").alias("of"))
+        merged = lambda df: df.join(one, "page", "left").withColumn("page", F.coalesce("of", "page"))
+        # No line is on more pages for their being one: only what is frequent without it is looked at again.
+        often = each.groupBy(*names).agg(number.alias("pages")).where(F.col("pages") >= least).toDF("o_source", "o_hash", "o_size", "pages")
+        same = F.col("source").eqNullSafe(F.col("o_source")) & (F.col("hash") == F.col("o_hash")) & (F.col("size") == F.col("o_size"))
+        each, all_pages = merged(each.join(often, same, "left_semi")), merged(all_pages)
+    pages = all_pages.groupBy("source").agg(number.alias("host_pages"))
+    seen = each.groupBy(*names).agg(number.alias("pages")).where(F.col("pages") >= least)
     host = pages.select(F.col("source").alias("host"), "host_pages")
-    return often.join(host, F.col("source").eqNullSafe(F.col("host"))).where(F.col("pages") > ratio * F.col("host_pages")).select("source", "hash", "size", "pages", "host_pages")
+    return seen.join(host, F.col("source").eqNullSafe(F.col("host"))).where(F.col("pages") > ratio * F.col("host_pages")).select("source", "hash", "size", "pages", "host_pages")
 
 
-def cleaned(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, copies: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, copies: bool = False, alike: DataFrame | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the text less its boilerplate lines, and lines_dropped."""
     own = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    found = boilerplate(own, ratio, least, copies)
+    found = boilerplate(own, ratio, least, copies, alike)
     host, lines_of, dropped = fresh(docs.columns, "host", "host_lines", "dropped")
     bad = kept(found.groupBy("source").agg(F.collect_set(F.struct("hash", "size")).alias("lines")), "boilerplate").toDF(host, lines_of)
     met = docs.join(bad, F.col("source").cast("string").eqNullSafe(F.col(host)), "left")

@@ -393,6 +393,16 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
 
 
+def alike(docs: DataFrame) -> DataFrame:
+    """hash, size (see ``text_key``) and root of each text that is in one class with another text."""
+    rows = rooted_rows(docs.select("doc_id", "text"))
+    texts = rows.where("root is not null").select("root", "hash", "size").distinct()
+    several = texts.groupBy("root").agg(F.count("*").alias("texts")).where("texts > 1")
+    found = kept(texts.join(several, "root", "left_semi").select("hash", "size", "root"), "alike")
+    forget(rows)
+    return found
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, and of each class only one row, with the class's doc_id; rows without words all stay.
 
