@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuswarden.llm import langid, lines, neardup, packing, secrets
-from corpuswarden.llm.shared import kept
+from corpuswarden.llm.shared import forget, kept
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are boilerplate on their host, whose copies of a text are one page.
+    """Documents without the lines that are boilerplate on their host, whose copies and near copies of a text are one page.
 
-    All rows stay, also those without a line left; a null host is a host of its own.
+    So what near copies share stays in them, and the next stage keeps one whole text of them. All rows stay, also
+    those without a line left; a null host is a host of its own.
     """
-    return lines.cleaned(docs, copies=True).select(*docs.columns)
+    texts = neardup.alike(docs)
+    out = lines.cleaned(docs, copies=True, alike=texts).select(*docs.columns)
+    forget(texts)  # the boilerplate is found by now
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
