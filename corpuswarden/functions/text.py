@@ -213,17 +213,27 @@ MARK = "[REDACTED]"
 _ASSIGNED = f"(?i)((?<![A-Za-z0-9_.\\-])[\"']?[A-Za-z0-9_.\\-]*{SENSITIVE}[\"']?\\s*(?:=>|:=|[:=])\\s*)"
 
 
-def redacted(x: Column | str) -> Column:
-    """Text without credentials. Provider shapes go first, long random runs before assignments."""
+_RUN = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,}={0,2}"
+
+
+def nfkc(x: Column | str) -> Column:
+    """Unicode compatibility composition; text in ASCII is as it is."""
+    t = _c(x)
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+    return F.when(t.rlike("[^\\x00-\\x7F]"), composed).otherwise(t)
+
+
+def redacted(x: Column | str, runs: bool = True) -> Column:
+    """Text without credentials. Provider shapes go first, long random ``runs`` (if asked for) before assignments."""
     t = F.regexp_replace(_c(x), ANY_PROVIDER, MARK)
     for pattern, mark in (
         (f"(?s){PRIVATE_KEY}.*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|$)", MARK),
         ("(?i)\\b((?:proxy-)?authorization[\"']?\\s*[:=]\\s*[\"']?(?:bearer|basic|token)\\s+)[A-Za-z0-9._~+/=-]+", f"$1{MARK}"),
         ("(?i)\\b([a-z][a-z0-9+.-]*://)[^\\s/?#@\"']+@", f"$1{MARK}@"),
-        ("(?i)\\b(curl\\b[^\\n]{0,200}?\\s(?:-u|--user)\\s+)\\S+", f"$1{MARK}"),
+        ("(?i)\\b(curl\\b[^\\n]*?\\s(?:-u|--user)\\s+)\\S+", f"$1{MARK}"),
         ("(?i)(\\s--?(?:password|passwd|token|secret|api-key)[ =])\\S+", f"$1{MARK}"),
         (f"(?i)([?&][A-Za-z0-9_.-]*{SENSITIVE}=)[^&#\\s\"']+", f"$1{MARK}"),
-        ("(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,}={0,2}", MARK),
+        *([(_RUN, MARK)] if runs else []),
         (f"{_ASSIGNED}(\"[^\"\\n]+\"|'[^'\\n]+'|`[^`\\n]+`|[^\\s,;\"'`<>{{}}]+)", f"$1{MARK}"),
         ("(?i)(<input\\b[^>]*\\btype\\s*=\\s*[\"']?password[\"']?[^>]*\\bvalue\\s*=\\s*)(\"[^\"]*\"|'[^']*')", f"$1\"{MARK}\""),
     ):

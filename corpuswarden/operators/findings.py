@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import artifact_uri, evidence, normalized_path, sarif_level
+from ..functions.text import artifact_uri, evidence, nfkc, normalized_path, sarif_level
 from .catalogue import POINTS, RULES, SCHEMA, SEVERITIES, WEIGHTS
 
 COLUMNS = ["site_id", "mode", "rule_id", "family", "category", "severity", "confidence", "manual", "path", "line", "evidence"]
@@ -74,7 +74,7 @@ def deduplicated(findings: DataFrame) -> DataFrame:
 
 def fingerprinted(findings: DataFrame) -> DataFrame:
     """A stable identity: a hash of mode, rule, path and evidence; further lines with the same get their number."""
-    text = F.trim(F.regexp_replace("evidence", "\\s+", " "))
+    text = F.trim(F.regexp_replace(nfkc("evidence"), "\\s+", " "))
     base = F.sha2(F.to_json(F.array("mode", "rule_id", normalized_path("path"), text)), 256)
     nth = F.dense_rank().over(Window.partitionBy("site_id", "mode", "_base").orderBy("path", "line"))
     out = findings.withColumn("_base", base).withColumn("occurrence", nth)
@@ -172,6 +172,57 @@ def sarif_rows(findings: DataFrame) -> DataFrame:
     return findings.select("site_id", "mode", F.col("rule_id").alias("ruleId"), sarif_level("severity").alias("level"), F.struct(F.col("evidence").alias("text")).alias("message"), location.alias("location"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"))
 
 
+#: Parts of a document in their order.
+HEAD, OF_RULES, BETWEEN, OF_RESULTS, END = range(5)
+
+
+def documents(findings: DataFrame, tool: str = "corpuswarden", version: str = "1.0.0") -> DataFrame:
+    """site_id, mode, part, key, value: the pieces of one run document (SARIF 2.1.0) for each site and mode.
+
+    Pieces in the order of part and key make the document; ``sources.tables.write_documents`` writes them so. No row
+    holds more than a rule or a finding. Findings are fingerprinted; baseline_state, suppression and reason are used
+    where they are there. Of rules only those with findings are listed, and results refer to them by index.
+    """
+    have = findings.columns
+    place = ["site_id", "mode"]
+    listed = findings.select(*place, "rule_id").distinct()  # bounded by the catalogue for each site
+    index = listed.withColumn("index", F.row_number().over(Window.partitionBy(*place).orderBy("rule_id")) - 1)
+    own = index.join(F.broadcast(rules(findings.sparkSession).drop("mode")), "rule_id")
+    comma = lambda first, json: F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), json)
+    name = F.regexp_replace(F.regexp_replace("rule_id", "[^A-Za-z0-9_]+", "_"), "^_+|_+$", "")
+    rule = F.to_json(F.struct(F.col("rule_id").alias("id"), name.alias("name"), F.struct(F.col("rule_id").alias("text")).alias("shortDescription"), F.struct(sarif_level("severity").alias("level")).alias("defaultConfiguration"), F.struct("category", F.array("category").alias("tags"), F.col("confidence").alias("precision")).alias("properties")))
+    of_rules = own.select(*place, F.lit(OF_RULES).alias("part"), F.col("rule_id").alias("key"), comma(F.col("index") == 0, rule).alias("value"))
+
+    order = F.concat_ws("\x01", "fingerprint", "path", F.lpad(F.col("line").cast("string"), 10, "0"), F.hex(F.xxhash64("evidence")))
+    keyed = findings.withColumn("key", order)
+    first = keyed.groupBy(*place).agg(F.min("key").alias("first"), F.count("*").alias("results"))
+    uri = artifact_uri("path")
+    region = F.when(F.col("line") > 0, F.struct(F.col("line").alias("startLine")))
+    where = F.when(uri.isNotNull(), F.array(F.struct(F.struct(F.struct(uri.alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))))
+    accepted = F.when(F.col("suppression").isNotNull(), F.array(F.struct(F.lit("external").alias("kind"), F.lit("accepted").alias("status"), F.col("reason").alias("justification")))) if "suppression" in have else F.lit(None).cast("array<string>")
+    state = F.col("baseline_state") if "baseline_state" in have else F.lit(None).cast("string")
+    result = F.to_json(F.struct(
+        F.col("rule_id").alias("ruleId"), F.col("index").alias("ruleIndex"), sarif_level("severity").alias("level"), F.struct(F.col("evidence").alias("text")).alias("message"), where.alias("locations"),
+        F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"), state.alias("baselineState"), accepted.alias("suppressions"), F.struct("severity", "confidence", "category", F.col("manual").alias("manualReview")).alias("properties"),
+    ))
+    of_results = keyed.join(index, [*place, "rule_id"]).join(first, place).select(*place, F.lit(OF_RESULTS).alias("part"), "key", comma(F.col("key") == F.col("first"), result).alias("value"))
+    text = lambda part, *x: first.select(*place, F.lit(part).alias("part"), F.lit("").alias("key"), F.concat(*x).alias("value"))
+    start = F.lit(f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}","semanticVersion":"{version}","rules":[')
+    middle = [F.lit(f']}}}},"automationDetails":{{"id":"{tool}/'), F.col("mode"), F.lit('/"},"originalUriBaseIds":{"%SRCROOT%":{"uri":"./"}},"results":[')]
+    end = [F.lit('],"properties":{"results":'), F.col("results").cast("string"), F.lit("}}]}")]
+    return text(HEAD, start).unionByName(of_rules).unionByName(text(BETWEEN, *middle)).unionByName(of_results).unionByName(text(END, *end))
+
+
+def completeness(checks: DataFrame) -> DataFrame:
+    """From checks (site_id, check, status, requested): whether each site's run is complete, and what is not.
+
+    A requested check counts as done if it is completed, skipped or disabled; one without a status was not asked for.
+    """
+    left = F.coalesce(F.col("requested"), F.lit(True)) & F.col("status").isNotNull() & (F.col("status") != "") & ~F.col("status").isin("completed", "skipped", "disabled")
+    open_checks = F.array_sort(F.collect_set(F.when(left, F.concat_ws(": ", "check", "status"))))
+    return checks.groupBy("site_id").agg((~F.bool_or(F.coalesce(left, F.lit(False)))).alias("complete"), open_checks.alias("incomplete"))
+
+
 def json_rows(findings: DataFrame) -> DataFrame:
     """One JSON text for each finding, keys in order."""
     return findings.select("site_id", F.to_json(F.struct(*sorted(c for c in findings.columns if c != "site_id"))).alias("json"))

@@ -2,7 +2,9 @@
 
 Input ``sources`` have site_id, path and text (null if it was not read). The lines of a file are folded in order,
 with the names that carry a controlled value as the state; so the work stays within the row, without a join or a
-shuffle. A statement is a line; guards and proofs over function bodies are not read, so all findings are manual.
+shuffle. A statement is a line, once calls and assignments over several lines are joined. Guards that end the path
+(an allowlist of origins, a fixed host, containment in a folder, a strict pattern of names) are read where the line
+or the next one returns or throws; scopes and proofs over function bodies are not, so all findings are manual.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calls import first_argument, joined, numbered, shown
 from ..functions.text import base_name, extension
 from .findings import emit
 from .source_rules import code_masked, role
@@ -79,48 +82,75 @@ def _names(expression: Column) -> Column:
 
 
 def _argument(line: Column, sink: str) -> Column:
-    """What follows the opening bracket of a call up to the first comma outside a template."""
-    return F.regexp_extract(line, f"(?:{sink})((?:`[^`]*`|[^,`])*)", 1)
+    """The first argument of a call."""
+    return F.regexp_extract(line, f"(?:{sink})({first_argument()})", 1)
 
 
-CARRIER = "array<struct<name:string,safe:boolean>>"
+def _guarded(*conditions: str) -> str:
+    """A negative condition of an ``if``; its group is the name that it is about."""
+    return f"\\bif\\s*\\(\\s*(?:{'|'.join(conditions)})"
+
+
+# What names an allowlist, and the members of an address that are compared.
+ALLOWLIST = "(?:allowed(?:Origins?|Hosts?|Urls?)?|[A-Z_$][A-Z0-9_$]*)"
+HOST = "\\s*\\.\\s*(?:origin|hostname)"
+ORIGIN_GUARD = _guarded(f"!\\s*{ALLOWLIST}\\s*\\.\\s*(?:has|includes)\\s*\\(\\s*({NAME}){HOST}\\s*\\)", f"({NAME}){HOST}\\s*!==?\\s*[\"'](?:https?://)?[A-Za-z0-9.:-]+[\"']")
+FOLDER_GUARD = _guarded(f"!\\s*({NAME})\\s*\\.\\s*startsWith\\s*\\([^)]*(?:\\bsep\\b|[\"'](?:\\\\\\\\|/)[\"'])", f"!\\s*/\\^(?![^/]*(?:\\.[*+]|\\[\\^))[^/]+\\$/[diuv]*\\s*\\.\\s*test\\s*\\(\\s*({NAME})\\s*\\)")
+ENDS = "^[\\s)]*\\{?\\s*(?:return|throw)\\b"
+
+
+def _guard(line: Column, after: Column, pattern: str) -> Column:
+    """The name that a guard on this line keeps from what follows; null without one that ends the path."""
+    name = F.coalesce(F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(line, pattern, 2), F.lit("")))
+    rest = F.regexp_replace(line, f"(?s)^.*?(?:{pattern})", "")
+    ends = rest.rlike(ENDS) | rest.rlike("^[\\s)]*\\{?\\s*$") & after.rlike("^\\s*\\{?\\s*(?:return|throw)\\b")
+    return F.when(line.rlike(pattern) & ends, name)
+
+
+CARRIER = "array<struct<name:string,safe:boolean,allowed:boolean>>"
+CALLS = "|".join((NETWORK, FILES, SHELL, SPAWN, STATEMENT))
 FIRED = "array<struct<rule_id:string,evidence:string,line:int>>"
 
 
 def request_flows(sources: DataFrame) -> DataFrame:
     """Request-controlled values in network, file, shell and SQL calls of server files.
 
-    A name carries a value from the line that assigns it, through transparent calls only, until it is declared anew.
+    A name carries a value from the line that assigns it, through transparent calls only, until it is declared anew;
+    a guard keeps it from the sinks of its kind from then on.
     Texts that are null, empty or without a request source give nothing; repeated rows give their findings each.
     """
-    own = _scripts(sources).where(F.col("text").rlike(REQUEST) & F.col("text").rlike("|".join((NETWORK, FILES, SHELL, SPAWN, STATEMENT))) & server_code(F.col("path"), F.col("text")))
+    own = _scripts(sources).where(F.col("text").rlike(REQUEST) & F.col("text").rlike(CALLS) & server_code(F.col("path"), F.col("text")))
     has = lambda pattern: F.col("text").rlike(pattern)
     files = has(_imports("(?:node:)?fs(?:/promises)?")) | has("\\bfs\\s*\\.\\s*(?:read|write|create|unlink|rm|rename)")
     own = own.select(
-        "site_id", "path", F.split(code_masked(F.col("text")), "\r?\n").alias("lines"), files.alias("files"),
+        "site_id", "path", numbered(joined(code_masked(F.col("text")), CALLS)).alias("lines"), files.alias("files"),
         (has(_imports("(?:node:)?child_process")) | has("\\bchild_process\\s*\\.\\s*exec")).alias("shell"),
         has(_imports("(?:got|request)")).alias("client"), has("(?i)from\\s*[\"'](?:pg|mysql2?|sequelize|knex|@prisma/client)[\"']").alias("database"),
     )
-    numbered = F.transform("lines", lambda x, k: F.struct(x.alias("raw"), _without_strings(x).alias("code"), (k + 1).cast("int").alias("n")))
+    blank = F.struct(F.lit("").alias("raw"), F.lit(0).alias("n"))
+    rows = F.zip_with("lines", F.concat(F.slice("lines", F.lit(2), F.size("lines")), F.array(blank)), lambda x, y: F.struct(x["raw"].alias("raw"), _without_strings(x["raw"]).alias("code"), x["n"].alias("n"), F.coalesce(y["raw"], F.lit("")).alias("after")))
 
     def step(state: Column, x: Column) -> Column:
-        carried = state["carried"]
+        code, raw = x["code"], x["raw"]
+        address, name_of = _guard(raw, x["after"], ORIGIN_GUARD), _guard(raw, x["after"], FOLDER_GUARD)
+        marked = lambda v: F.struct(v["name"].alias("name"), (v["safe"] | F.coalesce(v["name"] == name_of, F.lit(False))).alias("safe"), (v["allowed"] | F.coalesce(v["name"] == address, F.lit(False))).alias("allowed"))
+        carried = F.transform(state["carried"], marked)
+        open_names = F.transform(F.filter(carried, lambda v: ~v["allowed"]), lambda v: v["name"])
         every, unsafe = F.transform(carried, lambda v: v["name"]), F.transform(F.filter(carried, lambda v: ~v["safe"]), lambda v: v["name"])
         reached = lambda e, names=every: e.rlike(REQUEST) | F.arrays_overlap(_names(e), names)
-        code, raw = x["code"], x["raw"]
         url, file, command, statement = (_argument(code, s) for s in (NETWORK, FILES, SHELL, STATEMENT))
         fixed = F.regexp_replace(F.trim(_argument(raw, NETWORK)), "^new\\s+URL\\s*\\(\\s*", "").rlike("^[\"'`]https?://[A-Za-z0-9.-]+(?::\\d+)?/")
         named = ~code.rlike("(?<![\\w$.])(?:got|request)\\s*\\(") | F.col("client")
         response = code.rlike(RESPONSES)
-        spawned = F.regexp_extract(code, f"(?:{SPAWN})(.*)", 1)
+        spawned = F.regexp_extract(code, f"(?s)(?:{SPAWN})(.*)", 1)
         likely = _argument(raw, STATEMENT).rlike(SQL_WORDS) | code.rlike(DATABASES) | F.col("database")
         fired = F.array(
-            F.when(code.rlike(NETWORK) & named & ~fixed & reached(url), F.lit("server-ssrf")),
+            F.when(code.rlike(NETWORK) & named & ~fixed & reached(url, open_names), F.lit("server-ssrf")),
             F.when(code.rlike(FILES) & (response | F.col("files")) & ~(response & code.rlike("\\broot\\s*:")) & ~file.rlike(SAFE_PATH) & reached(file, unsafe), F.lit("server-path-traversal")),
-            F.when(F.col("shell") & (code.rlike(SHELL) & reached(command) | raw.rlike(f"(?:{SPAWN}).*\\bshell\\s*:\\s*(?:true|[\"'][^\"']+[\"'])\\s*[,}}]") & reached(spawned)), F.lit("server-command-injection")),
+            F.when(F.col("shell") & (code.rlike(SHELL) & reached(command) | raw.rlike(f"(?s)(?:{SPAWN}).*\\bshell\\s*:\\s*(?:true|[\"'][^\"']+[\"'])\\s*[,}}]") & reached(spawned)), F.lit("server-command-injection")),
             F.when(code.rlike(STATEMENT) & likely & ~statement.rlike("^\\s*\\{") & reached(statement), F.lit("server-sql-injection")),
         )
-        found = F.transform(F.filter(fired, lambda r: r.isNotNull()), lambda r: F.struct(r.alias("rule_id"), F.trim(raw).alias("evidence"), x["n"].alias("line")))
+        found = F.transform(F.filter(fired, lambda r: r.isNotNull()), lambda r: F.struct(r.alias("rule_id"), shown(raw).alias("evidence"), x["n"].alias("line")))
         assigned = f"(?<![\\w$.])({NAME})\\s*=(?![=>])\\s*([^;]+)"
         several = "\\b(?:const|let|var)\\s*\\{([^}]+)\\}\\s*=\\s*([^;]+)"
         name, value = F.regexp_extract(code, assigned, 1), F.regexp_extract(code, assigned, 2)
@@ -128,15 +158,16 @@ def request_flows(sources: DataFrame) -> DataFrame:
         calls = F.regexp_extract_all(value, F.lit(f"({NAME}(?:\\s*\\.\\s*{NAME})*)\\s*\\("), F.lit(1))
         carries = value.rlike(REQUEST) | F.arrays_overlap(_names(value), every) & F.forall(calls, lambda c: F.regexp_replace(c, "\\s", "").rlike(TRANSPARENT))
         safe = value.rlike(SAFE_PATH) | ~value.rlike(REQUEST) & ~F.arrays_overlap(_names(value), unsafe)
-        new = F.when(code.rlike(several), F.when(F.regexp_extract(code, several, 2).rlike(REQUEST), F.transform(parts, lambda p: F.struct(p.alias("name"), F.lit(False).alias("safe"))))).when(
-            (name != "") & carries, F.array(F.struct(name.alias("name"), safe.alias("safe")))
+        allowed = ~value.rlike(REQUEST) & ~F.arrays_overlap(_names(value), open_names)
+        new = F.when(code.rlike(several), F.when(F.regexp_extract(code, several, 2).rlike(REQUEST), F.transform(parts, lambda p: F.struct(p.alias("name"), F.lit(False).alias("safe"), F.lit(False).alias("allowed"))))).when(
+            (name != "") & carries, F.array(F.struct(name.alias("name"), safe.alias("safe"), allowed.alias("allowed")))
         )
         declared = F.when(code.rlike(several), parts).when(code.rlike(f"\\b(?:const|let|var)\\s+{NAME}\\s*="), F.array(name)).otherwise(F.transform(F.coalesce(new, F.array().cast(CARRIER)), lambda v: v["name"]))
         left = F.filter(carried, lambda v: ~F.array_contains(declared, v["name"]))
         return F.struct(F.concat(left, F.coalesce(new, F.array().cast(CARRIER))).cast(CARRIER).alias("carried"), F.concat(state["found"], found).cast(FIRED).alias("found"))
 
     start = F.struct(F.array().cast(CARRIER).alias("carried"), F.array().cast(FIRED).alias("found"))
-    fired = own.select("site_id", "path", F.explode(F.aggregate(numbered, start, step)["found"]).alias("x")).select("site_id", "path", "x.*")
+    fired = own.select("site_id", "path", F.explode(F.aggregate(rows, start, step)["found"]).alias("x")).select("site_id", "path", "x.*")
     return emit(fired, confidence=F.when(F.col("rule_id").isin("server-ssrf", "server-path-traversal"), "medium"), manual=F.lit(True))
 
 

@@ -14,6 +14,8 @@ from ..functions.text import NBSP, collapsed, newlines, running_sums
 #: Possessive throughout, so that a tag of any length is matched without recursion.
 TAG = "<(/?)([A-Za-z][A-Za-z0-9_:.-]*)(?=[\\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
 COMMENT = "(?s)<!--.*?(?:-->|$)"
+#: Files of components, in which a tag with a capital is a component and no element.
+COMPONENT_FILE = "(?i)\\.(?:jsx|tsx|mdx|vue|svelte|astro)(?:[?#].*)?$"
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 
 
@@ -42,7 +44,7 @@ def masked(df: DataFrame, column: str = "html") -> DataFrame:
 def tags(pages: DataFrame) -> DataFrame:
     """site_id, page_id, path, seq, offset, end, line, name, closing, self_closing, attrs (raw), of masked pages.
 
-    Places and lines are running sums over the gaps between tags and the tags before, within the page's row:
+    Names are in lower case, but as written in files of components. Places and lines are running sums over the gaps between tags and the tags before, within the page's row:
     nothing is shuffled, and pages are told apart whatever their ids.
     """
     html = F.col("html")
@@ -53,10 +55,11 @@ def tags(pages: DataFrame) -> DataFrame:
     found = parts.select("site_id", "page_id", "path", "raws", running_sums(sizes).alias("ends"), running_sums(lines, 1).alias("lines"))
     each = found.select("site_id", "page_id", "path", F.posexplode(F.arrays_zip("raws", "ends", "lines")).alias("seq", "t")).where("t.raws is not null")
     raw, end = F.col("t.raws"), F.col("t.ends")
+    written = F.regexp_extract(raw, "^</?([A-Za-z][A-Za-z0-9_:.-]*)", 1)
     attrs = F.regexp_replace(raw, "^</?[A-Za-z][A-Za-z0-9_:.-]*|/?>$", "")
     return each.select(
         "site_id", "page_id", "path", F.col("seq").cast("int").alias("seq"), (end - F.length(raw)).cast("int").alias("offset"), end.cast("int").alias("end"), F.col("t.lines").cast("int").alias("line"),
-        F.lower(F.regexp_extract(raw, "^</?([A-Za-z][A-Za-z0-9_:.-]*)", 1)).alias("name"), raw.startswith("</").alias("closing"), raw.endswith("/>").alias("self_closing"), attrs.alias("attrs"), raw.alias("raw"),
+        F.when(F.col("path").rlike(COMPONENT_FILE), written).otherwise(F.lower(written)).alias("name"), raw.startswith("</").alias("closing"), raw.endswith("/>").alias("self_closing"), attrs.alias("attrs"), raw.alias("raw"),
     )
 
 

@@ -91,18 +91,23 @@ IMPACT = {"critical": "critical", "serious": "high", "moderate": "medium", "mino
 
 
 def axe_findings(results: DataFrame, most: int = 100) -> DataFrame:
-    """results: site_id, path, violations array<struct<id,impact,tags,node_count>>. A report shows ``most`` groups a page."""
+    """results: site_id, path, violations array<struct<id,impact,tags,node_count>>, and perhaps incomplete array<struct<id>>.
+
+    A report shows ``most`` groups a page; checks without a decision are one row a page, for review.
+    """
     each = results.select("site_id", "path", F.posexplode("violations").alias("at", "v"))
     top = each.withColumn("n", F.row_number().over(Window.partitionBy("site_id", "path").orderBy("at"))).where(F.col("n") <= most)
     severity = F.coalesce(*[F.when(F.col("v.impact") == k, v) for k, v in IMPACT.items()], F.lit("medium"))
     shown = top.select("site_id", "path", F.lit("runtime.axe").alias("rule_id"), F.concat(slug("v.id"), F.lit(" on "), F.col("v.node_count").cast("string"), F.lit(" nodes "), F.array_join(F.transform("v.tags", wcag_label), " ")).alias("evidence"), F.lit(1).alias("line"), severity.alias("own"))
-    out = emit(shown.drop("own"), severity=None)
-    # The impact decides; it is joined by what identifies the row.
-    by = shown.select("site_id", "path", F.col("evidence").alias("e"), "own")
-    graded = out.alias("o").join(by.distinct().alias("b"), (F.col("o.site_id") == F.col("b.site_id")) & (F.col("o.path") == F.col("b.path")) & (F.col("o.evidence") == F.col("b.e")), "left")
-    rows = graded.select(*[F.coalesce("b.own", "o.severity").alias("severity") if c == "severity" else F.col(f"o.{c}") for c in out.columns])
+    rows = emit(shown, severity=F.col("own"))
     more = results.where(F.size("violations") > most).select("site_id", "path", F.lit("runtime.axe-results-truncated").alias("rule_id"), F.size("violations").cast("string").alias("evidence"), F.lit(1).alias("line"))
-    return rows.unionByName(emit(more))
+    rows = rows.unionByName(emit(more))
+    if "incomplete" not in results.columns:
+        return rows
+    undecided = results.where(F.size("incomplete") > 0)
+    names = F.array_join(F.filter(F.transform(F.slice("incomplete", 1, 10), lambda r: F.substring(r["id"], 1, 80)), lambda x: F.coalesce(x, F.lit("")) != ""), ", ")
+    said = F.concat_ws(": ", F.concat(F.size("incomplete").cast("string"), F.lit(" undecided")), F.nullif(names, F.lit("")))
+    return rows.unionByName(emit(undecided.select("site_id", "path", F.lit("runtime.axe-incomplete-review").alias("rule_id"), said.alias("evidence"), F.lit(1).alias("line"))))
 
 
 EVENTS = {"error": "runtime.page-errors", "page_error": "runtime.page-errors", "console_error": "runtime.console-errors", "request_failed": "runtime.request-failures", "remote_blocked": "runtime.remote-requests-blocked", "egress_blocked": "runtime.unmediated-egress-blocked"}

@@ -46,21 +46,16 @@ def merged(previous: DataFrame, current: DataFrame, modes: DataFrame) -> DataFra
 def suppressed(findings: DataFrame, suppressions: DataFrame, as_of: dt.date) -> DataFrame:
     """Findings with the first suppression (ord, rule, path, reason, expires) that covers them.
 
-    Rules without wildcards meet by equality; those with wildcards are few by configuration and are compared
-    with the distinct rule ids first, so that findings are only ever joined by equality. The path pattern is
-    then a filter on rows that already agree in the rule.
+    Suppressions are a setting, few by configuration: they go to every row as one array of patterns, in their order,
+    so that findings are neither computed again nor joined back.
     """
-    day = F.lit(as_of)
-    live = suppressions.where(F.col("expires").isNull() | (F.col("expires") >= day)).select("ord", "rule", F.col("path").alias("pattern"), "reason")
-    ids = findings.select("rule_id").distinct()
-    exact = live.where(~F.col("rule").rlike("[*?]")).withColumn("rule_id", F.col("rule"))
-    wild = live.where(F.col("rule").rlike("[*?]")).join(ids, F.rlike(ids["rule_id"], glob_regex("rule")))
-    table = exact.select("rule_id", "ord", "pattern", "reason").unionByName(wild.select("rule_id", "ord", "pattern", "reason"))
-    keyed = findings.withColumn("_key", F.xxhash64("site_id", "mode", "rule_id", "path"))
-    places = keyed.select("_key", "rule_id", "path").distinct()
-    hit = places.join(table, "rule_id").where(F.col("pattern").isNull() | F.rlike(normalized_path("path"), glob_regex("pattern")))
-    first = hit.groupBy("_key").agg(F.min(F.struct("ord", "reason")).alias("x")).select("_key", F.col("x.ord").alias("suppression"), F.col("x.reason").alias("reason"))
-    return keyed.join(first, "_key", "left").drop("_key")
+    live = suppressions.where(F.col("expires").isNull() | (F.col("expires") >= F.lit(as_of)))
+    pattern = F.when(F.col("path").isNotNull(), glob_regex("path"))
+    one = live.agg(F.array_sort(F.collect_list(F.struct("ord", glob_regex("rule").alias("rule"), pattern.alias("place"), "reason"))).alias("_all"))
+    met = findings.crossJoin(F.broadcast(one))  # a single row
+    covers = lambda s: F.rlike(F.col("rule_id"), s["rule"]) & (s["place"].isNull() | F.rlike(normalized_path("path"), s["place"]))
+    first = F.try_element_at(F.filter("_all", covers), F.lit(1))
+    return met.withColumn("_first", first).withColumns({"suppression": F.col("_first.ord"), "reason": F.col("_first.reason")}).drop("_first", "_all")
 
 
 def counters(policy: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -111,39 +112,56 @@ def crawl_findings(sites: DataFrame, sources: DataFrame) -> DataFrame:
 def import_edges(sources: DataFrame) -> DataFrame:
     """site_id, importer, module: local imports resolved to the first of their candidate paths that exists."""
     spec = F.regexp_extract_all("text", F.lit("(?:\\bfrom\\s*|\\bimport\\s*\\(?\\s*|\\brequire\\s*\\(\\s*)[\"']([^\"'\\n]+)[\"']"), F.lit(1))
-    each = sources.where("text is not null").select("site_id", F.col("path").alias("importer"), F.explode(F.array_distinct(spec)).alias("spec")).where(F.col("spec").rlike("^(\\./|\\.\\./|@/|~/)"))
-    base = F.when(F.col("spec").rlike("^[@~]/"), F.concat(F.lit("src/"), F.regexp_replace("spec", "^..", ""))).otherwise(F.concat_ws("/", F.nullif(directory("importer"), F.lit("")), "spec"))
+    each = sources.where("text is not null").select("site_id", F.col("path").alias("importer"), F.explode(F.array_distinct(spec)).alias("spec"))
+    return resolved_modules(each, sources).select("site_id", "importer", "module").distinct()
+
+
+def resolved_modules(each: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows (site_id, importer, spec and others) with ``module``, the first of a local import's candidate paths that
+    exists; others go. A path that is given with its ending may also be written with another."""
+    local = each.where(F.col("spec").rlike("^(\\./|\\.\\./|@/|~/)"))
+    roots = F.regexp_extract("importer", "^(?:.*/)?src(?=/)", 0)
+    source_root = F.when(roots != "", roots).otherwise(F.lit("src"))
+    base = F.when(F.col("spec").rlike("^[@~]/"), F.concat(source_root, F.lit("/"), F.regexp_replace("spec", "^..", ""))).otherwise(F.concat_ws("/", F.nullif(directory("importer"), F.lit("")), "spec"))
     flat = F.regexp_replace(F.regexp_replace(base, "(^|/)\\./", "$1"), "(^|/)\\./", "$1")
     # Folders from left to right; a parent step takes the last one back.
     step = lambda kept, part: F.when((part == "..") & (F.size(kept) > 0) & (F.try_element_at(kept, F.lit(-1)) != ".."), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
     flat = F.array_join(F.aggregate(F.split(flat, "/"), F.array().cast("array<string>"), step), "/")
-    names = [s + e for s in ("", "/index") for e in ("", ".tsx", ".ts", ".jsx", ".js", ".mjs", ".vue", ".svelte", ".astro")]
-    candidates = each.select("site_id", "importer", "spec", F.posexplode(F.array(*[F.concat(flat, F.lit(n)) for n in names])).alias("nth", "path"))
+    stem = F.regexp_replace(flat, "\\.(?:jsx?|tsx?|mjs|cjs|mts|cts)$", "")
+    endings = (".tsx", ".ts", ".jsx", ".js", ".mjs", ".vue", ".svelte", ".astro")
+    names = [flat, *[F.concat(stem, F.lit(s + e)) for s in ("", "/index") for e in endings]]
+    own = [c for c in local.columns]
+    keyed = local.distinct()
+    candidates = keyed.select(*own, F.posexplode(F.array(*names)).alias("nth", "path"))
     there = candidates.join(sources.select("site_id", "path").distinct(), ["site_id", "path"])
-    return there.groupBy("site_id", "importer", "spec").agg(F.min_by("path", "nth").alias("module")).select("site_id", "importer", "module").distinct()
+    return there.groupBy(*own).agg(F.min_by("path", "nth").alias("module"))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows written once below the checkpoint directory, or ``spark.checkpoint.dir``, and read again."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("neither a checkpoint directory nor spark.checkpoint.dir is set")
+    path = f"{root.rstrip('/')}/closure-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def reaches(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """site_id, path of files that reach a seed (site_id, path) through imports, over any number of steps.
 
-    Each round joins only what was new; checkpoints (in the folder set for the session's context) cut the lineage,
-    and a round without news ends it, which comes after as many rounds as the longest shortest path has steps.
+    Each round joins only what was new; tables in the shared folder cut the lineage, and a round without news ends
+    it, which comes after as many rounds as the longest shortest path has steps.
     """
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            raise ValueError("neither a checkpoint directory nor spark.checkpoint.dir is set")
-        context.setCheckpointDir(root)
-    known = seeds.select("site_id", "path").distinct().checkpoint()
-    new = known
+    edges = _stored(edges.select("site_id", "importer", "module"))  # every round reads them
+    known = new = _stored(seeds.select("site_id", "path").distinct())
     while True:
         step = edges.join(new.withColumnRenamed("path", "module"), ["site_id", "module"]).select("site_id", F.col("importer").alias("path")).distinct()
-        new = step.join(known, ["site_id", "path"], "left_anti").checkpoint()
+        new = _stored(step.join(known, ["site_id", "path"], "left_anti"))
         if not new.take(1):
-            break
+            return known
         known = known.unionByName(new)
-    return known
 
 
 # Frameworks in the order in which they are looked for, with their dependencies and configuration files.
@@ -222,3 +240,36 @@ def entry_files(pages: DataFrame, most: int = 4) -> DataFrame:
 
     own = pages.where(extension("path").isin("html", "htm", "tsx", "jsx", "vue", "astro", "svelte"))
     return own.withColumn("n", F.row_number().over(Window.partitionBy("site_id").orderBy("path"))).where(F.col("n") <= most).select("site_id", "path")
+
+
+# The first files to look at in a project of each framework.
+FIRST_FILES = {
+    "Next.js": ["app/layout.tsx", "app/page.tsx"],
+    "Nuxt": ["nuxt.config.ts", "app.vue"],
+    "Astro": ["src/layouts/Layout.astro", "src/pages/index.astro"],
+    "Gatsby": ["gatsby-config.js", "src/pages/index.jsx"],
+    "Remix": ["app/root.tsx", "app/routes/_index.tsx"],
+    "SvelteKit": ["src/routes/+layout.svelte", "src/routes/+page.svelte"],
+    "Angular": ["src/index.html", "src/app/app.component.html"],
+    "Vue": ["index.html", "src/App.vue"],
+    "Svelte": ["index.html", "src/App.svelte"],
+    "React": ["index.html", "src/App.tsx"],
+    "Vite": ["index.html", "src/main.js"],
+}
+
+
+def suggested_files(frameworks: DataFrame, sources: DataFrame) -> DataFrame:
+    """site_id, files: of the framework's first files those that exist below one root of the site: the root with most
+    of them, then the shallowest, then the first. frameworks: site_id, framework."""
+    spark = sources.sparkSession
+    first = spark.createDataFrame([(f, k, p.lower()) for f, paths in FIRST_FILES.items() for k, p in enumerate(paths)], "framework string, nth int, wanted string")  # of fixed size
+    wanted = frameworks.select("site_id", "framework").join(F.broadcast(first), "framework").select("site_id", "nth", "wanted")
+    last = F.element_at(F.split("wanted", "/"), -1)
+    paths = sources.select("site_id", F.col("path").alias("actual"), F.lower(base_name("path")).alias("name")).distinct()
+    met = paths.join(wanted.withColumn("name", last), ["site_id", "name"])
+    low = F.lower("actual")
+    found = met.where((low == F.col("wanted")) | low.endswith(F.concat(F.lit("/"), F.col("wanted")))).withColumn("root", F.expr("substring(lower(actual), 1, greatest(length(actual) - length(wanted) - 1, 0))"))
+    roots = found.groupBy("site_id", "root").agg(F.array_sort(F.collect_list(F.struct("nth", "actual"))).alias("hits"))
+    depth = F.size(F.split("root", "/"))
+    best = roots.groupBy("site_id").agg(F.min_by("hits", F.struct((-F.size("hits")).alias("n"), depth.alias("depth"), "root")).alias("hits"))
+    return best.select("site_id", F.transform("hits", lambda h: h["actual"]).alias("files"))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calls import STRING, nested, replaced
 from ..functions.text import ANY_PROVIDER, PRIVATE_KEY, PROVIDERS, SENSITIVE, base_name, extension, insecure_url, is_loopback, match_lines, sensitive_name, size_label, url_part
 from .findings import emit
 
@@ -48,6 +49,19 @@ def code_masked(text: Column) -> Column:
     return F.regexp_replace(t, "(?s)/\\*(?:[^*]|\\*(?!/))*+\\*/", " ")
 
 
+NAME = "[A-Za-z_$][\\w$]*"
+MODE = f"(?:(?:{NAME}\\.)*(?:nodeEnv|NODE_ENV))"  # what holds the name of the environment
+_DEVELOPMENT = f"(?:import\\.meta\\.env\\.DEV|!\\s*import\\.meta\\.env\\.PROD)(?:\\s*&&[^{{}}]*)?|(?:[()\\s|]*{MODE}\\s*={{2,3}}\\s*[\"'](?:development|test)[\"'][()\\s|]*)+"
+_GUARD = f"\\bif\\s*\\(\\s*(?:{_DEVELOPMENT})\\s*\\)\\s*\\{{{nested()}\\}}"
+_CHOICE = f"\\bimport\\.meta\\.env\\.DEV\\s*\\?\\s*(?:{STRING})(?=\\s*:)"
+
+
+def without_development(text: Column) -> Column:
+    """Code of which blocks and values that only development reaches are blank; places stay."""
+    blank = lambda m: F.regexp_replace(m, "[^\\n]", " ")
+    return replaced(replaced(text, _GUARD, blank), _CHOICE, blank)
+
+
 def placeholder(value: Column) -> Column:
     """Values that stand for a secret and are none: examples, references, descriptors."""
     v = F.lower(F.trim(value))
@@ -73,7 +87,7 @@ def _found(sources: DataFrame, text: Column, pattern: str, group: int = 0) -> Da
     return own.select("site_id", "path", "m.value", "m.raw", "m.line")
 
 
-FIELD = "[A-Za-z_][A-Za-z0-9_.\\-]{0,80}"
+FIELD = "(?<![A-Za-z_])[A-Za-z_][A-Za-z0-9_.\\-]*+"  # read once, from where a name may begin
 ASSIGNMENT = f"([\"']?{FIELD}[\"']?)\\s*(?:=>|:=|[:=])\\s*(\"[^\"\\n]+\"|'[^'\\n]+'|`[^`\\n]+`)"
 
 
@@ -124,34 +138,37 @@ SCRIPT_PATTERNS: list[tuple[str, str, str | None, bool | None]] = [
     ("dom-xss", "\\bdocument\\.write(?:ln)?\\s*\\(", None, None),
     ("dom-xss", "\\.(?:innerHTML|outerHTML)\\s*\\+?=(?!=)|\\.insertAdjacentHTML\\s*\\(|\\bdangerouslySetInnerHTML\\b|\\bv-html\\s*=|\\{@html\\b", None, True),
     ("dynamic-code", f"(?<![\\w.$])eval\\s*\\(|\\bnew\\s+Function\\s*\\(|\\bset(?:Timeout|Interval)\\s*\\(\\s*{_Q}", None, None),
-    ("insecure-transport", "NODE_TLS_REJECT_UNAUTHORIZED\\s*[=:]\\s*[\"']?0|rejectUnauthorized\\s*:\\s*false|strict-ssl\\s*[=:]\\s*false|\\bcurl\\b[^\\n]{0,200}\\s(?:-k|--insecure)\\b", "high", None),
+    ("insecure-transport", "NODE_TLS_REJECT_UNAUTHORIZED\\s*[=:]\\s*[\"']?0|rejectUnauthorized\\s*:\\s*false|strict-ssl\\s*[=:]\\s*false|\\bcurl\\b[^\\n]*\\s(?:-k|--insecure)\\b", "high", None),
     ("browser-storage", f"(?i)\\b(?:local|session)Storage\\.setItem\\s*\\(\\s*{_Q}[^\"'`]*{SENSITIVE}", None, None),
     ("weak-cryptography", f"(?i)createHash\\s*\\(\\s*{_Q}(?:md5|sha-?1){_Q}|CryptoJS\\.(?:MD5|SHA1)\\s*\\(|subtle\\.digest\\s*\\(\\s*{_Q}SHA-1{_Q}", None, None),
     ("weak-cryptography", f"(?i){SENSITIVE}[^\\n]{{0,100}}Math\\.random\\s*\\(|Math\\.random\\s*\\([^\\n]{{0,100}}{SENSITIVE}", "high", None),
-    ("cross-window-messaging", f"\\.postMessage\\s*\\([^;\\n]{{0,300}},\\s*{_Q}\\*{_Q}", None, None),
+    ("cross-window-messaging", f"\\.postMessage\\s*\\([^;\\n]*,\\s*{_Q}\\*{_Q}", None, None),
     ("external-navigation", "(?i)(?:href\\s*=\\s*[{\"'`]+|location(?:\\.href)?\\s*=\\s*[\"'`])javascript:", "high", None),
     ("cors", f"(?i)Access-Control-Allow-Origin{_Q}?\\s*[,:]\\s*{_Q}\\*{_Q}|\\borigin\\s*:\\s*{_Q}\\*{_Q}", None, None),
     ("hardcoded-auth", f"(?i)\\bauthorization{_Q}?\\s*[:=]\\s*{_Q}(?:bearer|basic)\\s+[A-Za-z0-9._~+/=-]{{8,}}", None, None),
-    ("sensitive-logging", f"(?i)\\bconsole\\.(?:log|info|debug|warn|error)\\s*\\([^\\n]{{0,200}}{SENSITIVE}", None, None),
+    ("hardcoded-auth", "(?i)\\bhttps?://[^\\s/@:\"'$<{]+:(?!(?:pass(?:word)?|x+|\\*+|example|changeme|secret|token)@)[^\\s/@\"'$<{]+@[^\\s\"'`<>)]+", "critical", None),
+    ("sensitive-logging", f"(?i)\\bconsole\\.(?:log|info|debug|warn|error)\\s*\\([^\\n]*{SENSITIVE}", None, None),
     ("public-env-secrets", "\\b(?:NEXT_PUBLIC|VITE|REACT_APP|NUXT_PUBLIC|PUBLIC|EXPO_PUBLIC|GATSBY)_[A-Z0-9_]*(?:SECRET|PASSWORD|PRIVATE_KEY|TOKEN)[A-Z0-9_]*", None, None),
     ("jwt-validation", f"(?i)ignoreExpiration\\s*:\\s*true|algorithms\\s*:\\s*\\[[^\\]]*{_Q}none{_Q}", None, None),
-    ("security-headers", "(?i)(?:script-src|default-src)[^;\\n\"]*'unsafe-eval'", "high", None),
-    ("cookie-flags", "(?i)document\\.cookie\\s*=(?!=)(?![^\\n]*secure)[^\\n]*", None, None),
     ("source-maps", "(?i)\\b(?:productionBrowserSourceMaps|sourcemap|devtool)\\s*[:=]\\s*(?:true|[\"']?(?:source-map|inline))", None, None),
-    ("embedded-content", "(?i)<iframe\\b[^>]*\\bsandbox\\s*=\\s*[\"'][^\"']*allow-scripts[^\"']*allow-same-origin", "medium", True),
     ("third-party-resources", "(?i)<script\\b(?![^>]*\\bintegrity\\s*=)[^>]*\\bsrc\\s*=\\s*[\"']https://[^>]*>", None, None),
     ("privacy-sensitive-browser-storage", f"(?i)\\b(?:local|session)Storage\\.setItem\\s*\\(\\s*{_Q}[^\"'`]*{SENSITIVE}", None, None),
 ]
 
 
+#: Rules that leave out what only development reaches.
+GUARDED = ("browser-storage", "privacy-sensitive-browser-storage")
+
+
 def script_findings(sources: DataFrame) -> DataFrame:
-    """Pattern rules over script text, comments left out."""
-    own = sources.where("text is not null").where(~role("path").isin("docs", "generated", "test")).withColumn("text", code_masked(F.col("text")))
+    """Pattern rules over script text, comments left out; plain addresses and stored credentials outside of code that
+    only development reaches."""
+    own = sources.where("text is not null").where(~role("path").isin("docs", "generated", "test")).withColumn("text", code_masked(F.col("text"))).withColumn("live", without_development(F.col("text")))
     # One pass: every rule's matches in one array, exploded once.
-    each = [F.transform(_matches(F.col("text"), pattern), lambda m: F.struct(F.lit(rule).alias("rule_id"), m["raw"].alias("evidence"), m["line"].alias("line"), F.lit(severity).cast("string").alias("graded"), F.lit(manual).cast("boolean").alias("by_hand"))) for rule, pattern, severity, manual in SCRIPT_PATTERNS]  # noqa: B023
+    each = [F.transform(_matches(F.col("live" if rule in GUARDED else "text"), pattern), lambda m: F.struct(F.lit(rule).alias("rule_id"), m["raw"].alias("evidence"), m["line"].alias("line"), F.lit(severity).cast("string").alias("graded"), F.lit(manual).cast("boolean").alias("by_hand"))) for rule, pattern, severity, manual in SCRIPT_PATTERNS]  # noqa: B023
     fired = own.select("site_id", "path", F.explode(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))).alias("x")).select("site_id", "path", "x.*")
     out = [emit(fired, severity=F.col("graded"), manual=F.col("by_hand"))]
-    urls = _found(own, F.col("text"), "(?i)\\b(?:http|ws)://[A-Za-z0-9.\\-\\[\\]:]+[^\\s\"'`<>)]*")
+    urls = _found(own, F.col("live"), "(?i)\\b(?:http|ws)://[A-Za-z0-9.\\-\\[\\]:]+[^\\s\"'`<>)]*")
     namespace = F.lower("value").rlike("^http://(www\\.w3\\.org|schemas?\\.|xmlns\\.|www\\.sitemaps\\.org|ns\\.adobe\\.com|purl\\.org)")
     host = url_part(F.regexp_replace("value", "(?i)^ws:", "http:"), "HOST")
     plain = urls.where(~namespace & ~is_loopback(host) & F.coalesce(host.rlike("\\."), F.lit(False)) & ~F.coalesce(host.rlike("(?i)(^|\\.)(example\\.(com|org|net)|test|invalid|local|internal)$"), F.lit(False)))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import findings as f
 from ..operators import markup as m
-from ..operators import flow_rules, observations, page_rules, policy, site_rules, source_rules
+from ..operators import code_rules, flow_rules, module_rules, observations, page_rules, policy, site_rules, source_rules
 from ..operators.catalogue import RULES
 from ..sources import tables
 from . import rules_sql
 from . import sql as S
-from .fixtures import CRAWL, CREDENTIALS, PROJECTS, with_fixtures
+from .fixtures import CODE, CRAWL, CREDENTIALS, FLOWS, MODULES, PROJECTS, with_fixtures
 from .registry import query
 
 table = tables.table
@@ -154,6 +154,11 @@ for _ids, _build in ((HEAD, lambda pages, tags, rule: page_rules.head_findings(p
         query(rules_sql.SQL[_name])(_f)
 
 
+@query(rules_sql.M02)
+def m02_image_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_rules.image_findings(*fixture_tables(spark, sf_dir)).select("site_id", "path", "confidence", "manual", "line", "evidence")
+
+
 @query(rules_sql.D18)
 def d18_invalid_structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rules.structured_data_findings(*fixture_tables(spark, sf_dir)).select("site_id", "path", "evidence")
@@ -219,6 +224,47 @@ def e19_navigation_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_rules.navigation_flows(project_sources(spark, sf_dir))
 
 
+FILE = "site_id string, path string, text string"
+
+
+def page_files(spark: SparkSession, sf_dir: str, own: list[tuple]) -> DataFrame:
+    """The given pages as files of their sites, and literal files."""
+    pages = m.pages(table(spark, sf_dir, "pages")).select("site_id", F.concat("path", F.lit("/page.html")).alias("path"), F.col("html").alias("text"))
+    return pages.unionByName(spark.createDataFrame(own, FILE))
+
+
+@query(rules_sql.G12)
+def g12_flow_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of the flow rules over labelled files, and over script blocks of all pages, which have none."""
+    cases = spark.createDataFrame([(f"case-{k}", rule, expected, code) for k, (rule, expected, code) in enumerate(FLOWS)], "case string, rule_id string, expected int, text string")
+    names = F.array(*map(F.lit, sorted({r for r, _, _ in FLOWS})))
+    blocks = m.scripts(*page_tables(spark, sf_dir)).select(F.concat_ws("-", F.lit("page"), "page_id", "open_end").alias("case"), F.explode(names).alias("rule_id"), F.lit(0).alias("expected"), "text")
+    all_cases = cases.unionByName(blocks)
+    files = all_cases.select(F.col("case").alias("site_id"), F.lit("server/handler.js").alias("path"), "text").distinct()
+    seen = flow_rules.request_flows(files).select(F.col("site_id").alias("case"), "rule_id")
+    return f.precision_recall(all_cases.drop("text"), seen, ["rule_id"])
+
+
+@query(rules_sql.E22)
+def e22_cookies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_rules.cookie_findings(page_files(spark, sf_dir, CODE)).select("site_id", "path", "severity", "line", "evidence")
+
+
+@query(rules_sql.E25)
+def e25_policy_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_rules.policy_weaknesses(page_files(spark, sf_dir, CODE)).select("site_id", "path", "severity", "line", "evidence")
+
+
+@query(rules_sql.M26)
+def m26_composed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return module_rules.missing_headings(page_files(spark, sf_dir, MODULES)).select("site_id", "path", "rule_id", "severity")
+
+
+@query(rules_sql.P15)
+def p15_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return module_rules.missing_not_found(page_files(spark, sf_dir, MODULES)).select("site_id", "rule_id", "evidence")
+
+
 @query(rules_sql.E26)
 def e26_missing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = project_sources(spark, sf_dir, m.pages(table(spark, sf_dir, "pages")))
@@ -392,6 +438,15 @@ def s10_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("site_id", "ruleId", "level", F.col("message.text").alias("text"), F.col("location.startLine").alias("line"), F.col("partialFingerprints.primary").alias("fingerprint"))
 
 
+@query(S.S10_DOCUMENTS)
+def s10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the run documents of all sites hold, read back from their pieces."""
+    pieces = f.documents(policied(spark, sf_dir))
+    json = F.regexp_replace("value", "^,", "")
+    results = pieces.where(F.col("part") == f.OF_RESULTS).select("site_id", F.get_json_object(json, "$.baselineState").alias("state"), F.get_json_object(json, "$.suppressions[0].justification").alias("reason"), F.get_json_object(json, "$.ruleIndex").cast("int").alias("index"))
+    return results.groupBy("site_id").agg(F.count("*").alias("results"), (F.max("index") + 1).alias("rules"), F.count_if(F.col("state") == "new").alias("new"), F.count("reason").alias("suppressed"))
+
+
 @query(S.S11)
 def s11_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.by_category(deduplicated(spark, sf_dir))

@@ -33,6 +33,16 @@ CASES = {
 
 PAGES = [(f"https://fixture.example/{rule}/{kind}", text[1:] if text.startswith("^") else HEAD + text) for rule, pair in CASES.items() for kind, text in zip(("bad", "good"), pair, strict=True)]
 PAGES.append(("https://fixture.example/partials/note.html", "<p>a part of a page</p>"))
+# Images whose size classes, styles or the styles of what is around them give or may give, and controls that are hidden.
+_AROUND = "<style>.avatar{width:40px;height:40px} .avatar img{width:100%;height:100%} .loose{width:50%;height:40px} .loose img{width:10px;height:10px}</style>"
+PAGES += [
+    (f"https://fixture.example/images/{k}", HEAD + "<h1>x</h1>" + text)
+    for k, text in enumerate([
+        '<img alt="" src=a class="w-10 h-auto">', '<img alt="" src=b class="md:w-10 h-4">', '<img alt="" src=c style="width:1px">', '<img alt="" src=d style="width:1px;height:2px">', '<img alt="" src=e class="aspect-square">',
+        _AROUND + '<div class="avatar big"><img alt="" src=f></div><img alt="" src=g>', _AROUND + '<div class="loose"><img alt="" src=h></div>', '<img alt="" src=i width="" height="4">', '<img alt="" src=j class="size-auto">',
+        '<input id=a hidden><input id=b class="hidden x"><input id=c style="display: none"><input id=d class="unhidden">',
+    ])
+]
 
 # Texts with shapes of credentials, put together here so that no file holds one: in sources, tests, environment files,
 # with a placeholder's word, and tokens whose header does and does not decode.
@@ -77,6 +87,39 @@ PROJECTS = [
 ]
 
 
+# Code: cookies, content policies, frames, and flows over several lines, with their safe counterparts.
+CODE = [
+    ("code", "src/a.js", "document.cookie = 'theme=dark; Secure; SameSite=Lax'"), ("code", "src/b.js", "x()\ndocument.cookie = `session=${id}; path=/`"),
+    ("code", "server/d.js", "res.cookie('session', id, {\n  httpOnly: true,\n  secure: true,\n  sameSite: 'lax',\n})"), ("code", "server/e.js", "go()\nres.cookie('session', make(id), {\n  httpOnly: true,\n})"),
+    ("code", "server/g.js", "res.cookie('csrf', t, { secure: true, sameSite: 'strict' })"), ("code", "server/h.js", "res.cookie('theme', 'dark')"), ("code", "server/i.js", "cookies().set('token', t, { httpOnly: true, sameSite: false })"),
+    ("code", "_headers", "/*\n  Content-Security-Policy: default-src 'self'; script-src 'self' 'unsafe-inline' 'unsafe-eval'"), ("code", "nginx.conf", "add_header Content-Security-Policy \"script-src *; style-src 'unsafe-inline'\";"),
+    ("code", "index.html", "<p>\n<meta http-equiv=\"Content-Security-Policy\" content=\"frame-ancestors *; script-src https:\">"), ("safe", "index.html", "<meta http-equiv=\"Content-Security-Policy\" content=\"default-src 'self'; img-src * data:\">"),
+    ("safe", "_headers", "  Content-Security-Policy: default-src 'none'; script-src 'self' https://cdn.example"), ("safe", "src/a.js", "fetch('/x')"),
+]
+
+# Labelled flows: rule, whether it is to be found, code of a server file.
+FLOWS = [
+    ("server-ssrf", 1, "fetch(\n  req.query.url,\n  { method: 'POST' }\n)"), ("server-ssrf", 1, "const u =\n  req.query.u\nfetch(u)"), ("server-ssrf", 1, "const { url: target } = req.query\nfetch(target)"),
+    ("server-ssrf", 0, "fetch(\n  'https://api.example/x',\n  { body: req.body.text }\n)"), ("server-ssrf", 0, "const u = new URL(req.query.u)\nif (!allowedHosts.includes(u.hostname)) {\n  return stop()\n}\nfetch(u)"),
+    ("server-path-traversal", 1, "import fs from 'fs'\nfs.readFile(\n  req.params.name,\n  'utf8')"), ("server-path-traversal", 0, "import fs from 'fs'\nfs.readFile(\n  path.basename(req.params.name))"),
+    ("server-path-traversal", 0, "import fs from 'fs'\nconst p = req.query.p\nif (!/^[a-z0-9]{1,20}$/.test(p)) throw new Error('x')\nfs.readFile(p)"),
+    ("server-command-injection", 1, "import { spawn } from 'child_process'\nspawn(\n  req.query.a,\n  [],\n  { shell: true },\n)"), ("server-command-injection", 0, "import { spawn } from 'child_process'\nspawn(\n  req.query.a,\n  [],\n)"),
+    ("server-sql-injection", 1, "const id = req.params.id\ndb.query(\n  `SELECT a\n   FROM t WHERE id = ${id}`,\n)"), ("server-sql-injection", 0, "const id = req.params.id\ndb.query(\n  'SELECT a FROM t WHERE id = ?',\n  [id])"),
+]
+
+# Components: a heading two imports away, one that is imported but not rendered, routes for what is not found.
+_ROUTER = "import { Route } from 'react-router-dom'\n"
+MODULES = [
+    ("heads", "src/pages/home.jsx", "import Shell from '../ui/Shell'\nexport default () => <Shell><p>x</p></Shell>"), ("heads", "src/ui/Shell.jsx", "import { Head } from './Head'\nexport default (p) => <main><Head />{p.children}</main>"),
+    ("heads", "src/ui/Head.jsx", "export const Head = () => <h1>Shop</h1>"), ("heads", "src/pages/bare.jsx", "import Shell from '../ui/Shell'\nexport default () => <p>{Shell.name}</p>"),
+    ("heads", "src/pages/alias.jsx", "import { Head as Top } from '@/ui/Head'\nexport default () => <Top />"), ("heads", "src/pages/outlet.jsx", "export default () => <Outlet />"), ("heads", "src/pages/other.jsx", "import Top from 'some-package'\nexport default () => <Top />"),
+    ("found", "src/App.jsx", _ROUTER + "import Missing from './pages/NotFound'\nexport const R = <Route path=\"*\" element={<Missing />} />"), ("found", "src/pages/NotFound.jsx", "export default () => <h1>Gone</h1>"), ("found", "src/pages/a.jsx", "<h1>a</h1>"),
+    ("unused", "src/App.jsx", _ROUTER + "import NotFound from './pages/NotFound'\nexport const R = <Route path=\"/x\" element={<NotFound />} />"), ("unused", "src/pages/NotFound.jsx", "export default () => <h1>Gone</h1>"),
+    ("package", "src/App.jsx", _ROUTER + "import NotFound from 'some-package'\nexport const R = <Route path=\"*\" element={<NotFound />} />"), ("package", "src/pages/a.jsx", "<h1>a</h1>"),
+    ("own", "src/App.jsx", _ROUTER + "function NotFound() { return <h1>Gone</h1> }\nexport const R = <Route path=\"/*\" Component={NotFound} />"), ("own", "src/pages/a.jsx", "<h1>a</h1>"), ("file", "src/pages/a.jsx", "<h1>a</h1>"), ("file", "src/pages/404.jsx", "<h1>b</h1>"),
+]
+
+
 def with_fixtures(pages: DataFrame) -> DataFrame:
     """page_id, url, html of a crawl table and of the literal pages, which have negative ids."""
     own = pages.sparkSession.createDataFrame([(-1 - k, url, html) for k, (url, html) in enumerate(PAGES)], "page_id long, url string, html string")

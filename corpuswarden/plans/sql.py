@@ -132,6 +132,7 @@ count_if(suppression IS NOT NULL)::BIGINT AS suppressed, count_if(suppression IS
 O03 = f"WITH {POLICY}, o AS (SELECT *, {_RANK} <= 2 AND suppression IS NULL AND baseline_state = 'new' AS over FROM su) SELECT site_id, mode, count_if(over)::BIGINT AS over, bool_or(over) AS failed FROM o GROUP BY ALL"
 S09 = f"WITH {FINDINGS} SELECT site_id, to_json({{'category': category, 'evidence': evidence, 'path': path, 'rule_id': rule_id, 'severity': severity}})::VARCHAR AS json FROM f"
 S10 = f"WITH {PRINTS} SELECT site_id, rule_id AS ruleId, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, evidence AS text, line, fingerprint FROM fp"
+S10_DOCUMENTS = f"WITH {POLICY} SELECT site_id, count(*) AS results, count(DISTINCT rule_id)::INT AS rules, count_if(baseline_state = 'new')::BIGINT AS new, count(suppression)::BIGINT AS suppressed FROM su GROUP BY site_id"
 S11 = f"WITH {FINDINGS} SELECT site_id, category, count(*) AS total, {_SEVERITIES} FROM f GROUP BY ALL"
 S12 = f"WITH {FINDINGS} SELECT site_id, CASE WHEN severity IN ('critical', 'high') THEN 'now' WHEN severity = 'medium' THEN 'next' ELSE 'later' END AS phase, rule_id, count(*) AS findings, min(path) AS path, 1::INT AS line FROM f GROUP BY ALL"
 N19 = f"WITH {PRINTS} SELECT site_id, sha256(string_agg(fingerprint, ',' ORDER BY fingerprint)) AS run_id FROM fp GROUP BY site_id"

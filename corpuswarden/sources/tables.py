@@ -87,3 +87,11 @@ def read_suppressions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     day = F.try_to_date("expires", "yyyy-MM-dd")
     good = (F.coalesce(F.trim("rule"), F.lit("")) != "") & F.length(F.coalesce("reason", F.lit(""))).between(8, 1000) & (F.col("expires").isNull() | day.isNotNull())
     return rows.where(good).withColumn("expires", day), rows.where(~good)
+
+
+def write_documents(pieces: DataFrame, path: str) -> None:
+    """Write the pieces of ``findings.documents``: below a folder for each site and mode, files in the order of their
+    names are the document. A site of any size is dealt to several tasks by range."""
+    parts = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = pieces.repartitionByRange(parts, "site_id", "mode", "part", "key").sortWithinPartitions("site_id", "mode", "part", "key")
+    ordered.select("site_id", "mode", "value").write.mode("overwrite").partitionBy("site_id", "mode").text(path)
