@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.nested import redacted_json
 from ..operators import findings as f
 from ..operators import markup as m
 from ..operators import code_rules, flow_rules, module_rules, observations, page_rules, policy, site_rules, source_rules
@@ -15,7 +16,7 @@ from ..operators.catalogue import RULES
 from ..sources import tables
 from . import rules_sql
 from . import sql as S
-from .fixtures import CODE, CRAWL, CREDENTIALS, FLOWS, MODULES, PROJECTS, with_fixtures
+from .fixtures import CODE, CRAWL, CREDENTIALS, FLOWS, METADATA, MODULES, PROJECTS, SCRIPTS, STYLES, with_fixtures
 from .registry import query
 
 table = tables.table
@@ -196,14 +197,25 @@ def r03_crawl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_rules.crawl_findings(sources.select("site_id"), sources).select("site_id", "path", "rule_id", "evidence")
 
 
-@query()
+@query(rules_sql.C00)
 def c00_style_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_rules.style_findings(m.css_rules(m.styles(*page_tables(spark, sf_dir))))
+    sheets = m.styles(*page_tables(spark, sf_dir)).select("site_id", "path", "css").unionByName(spark.createDataFrame(STYLES, "site_id string, path string, css string"))
+    return source_rules.style_findings(m.css_rules(sheets)).select("site_id", "path", "rule_id", "evidence")
 
 
-@query()
+@query(rules_sql.E07)
 def e07_script_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_rules.script_findings(m.scripts(*page_tables(spark, sf_dir)).select("site_id", "path", "text"))
+    blocks = m.scripts(*page_tables(spark, sf_dir)).select("site_id", F.concat("path", F.lit("/block.js")).alias("path"), "text")
+    found = source_rules.script_findings(blocks.unionByName(spark.createDataFrame(SCRIPTS, "site_id string, path string, text string")))
+    return found.groupBy("site_id", "path", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query(rules_sql.X25)
+def x25_nested_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of all events and literal metadata, redacted at any depth."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type"), F.col("props").alias("json")).unionByName(spark.createDataFrame(METADATA, "event_type string, json string"))
+    clean = rows.select("event_type", redacted_json("json").alias("json"))
+    return clean.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.length("json")).cast("long").alias("chars"), F.sum(F.regexp_count("json", F.lit("\\[REDACTED\\]"))).cast("long").alias("redactions"))
 
 
 def project_sources(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:

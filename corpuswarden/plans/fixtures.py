@@ -120,6 +120,26 @@ MODULES = [
 ]
 
 
+# Style sheets with a fault of each rule, and without.
+STYLES = [
+    ("styles", "bad.css", "p { font-size: 11px }\nmain, .wide { min-width: 900px; width: 10px }\nBODY { overflow-y: hidden }\na { transition: all 1s }\n@font-face { font-family: x; src: url(x) }\nbutton:focus { outline: none }\n.b:focus{outline-width:0}"),
+    ("styles", "good.css", "/* p { font-size: 1px } */ p { font-size: 12px; line-height: 1px }\nmain { max-width: 900px; width: 799.5px }\n.body { overflow: hidden }\na { transition: color 1s }\n@font-face { font-family: x; font-display: swap }\nbutton { outline: none }\nbutton:focus-visible { outline: 2px solid }\n.c:focus { outline: 0; border-color: red }"),
+]
+
+# Scripts: for each rule one that violates it and one that does not.
+SCRIPTS = [("scripts", f"src/{k}.js", text) for k, text in enumerate([
+    "document.write(x)", "documents.write(x)", "a.innerHTML = x; b.innerHTML == y", "a.textContent = x", "eval(x)\nsetTimeout('go()', 1)", "retrieval(x); obj.eval(y); setTimeout(go, 1)", "x = { rejectUnauthorized: false }", "x = { rejectUnauthorized: true }",
+    "exec('curl --insecure x')", "fetch('http://api.shop.org')", "fetch('http://localhost/x')", "localStorage.setItem('token', t)", "localStorage.setItem('theme', t)", "createHash('md5')", "createHash('sha256')", "const token = Math.random()", "const angle = Math.random()",
+    "w.postMessage(f(a, b), '*')", "w.postMessage(m, origin)", "x = '<a href=\"javascript:go()\">'", "res.header('Access-Control-Allow-Origin', '*')", "res.header('Access-Control-Allow-Origin', o)", "x = { authorization: 'Bearer abcdefgh12' }", "fetch('https://bob:hunter2x@api.shop.org/x')", "fetch('https://api.shop.org/x@y')",
+    "console.log('x', password)", "console.log('x')", "k = VITE_API_SECRET_KEY", "k = VITE_API_URL", "x = { ignoreExpiration: true }", "x = { sourcemap: true }", "x = { sourcemap: false }", "x = '<script src=\"https://cdn.shop.org/x.js\"><' + '/script>'", "// eval(x)\n/* eval(y) */ go()",
+])] + [("scripts", "tests/a.js", "eval(x)"), ("scripts", "docs/a.js", "eval(x)")]
+
+# Metadata of any shape, and what is left of it, with the number of marks in it.
+_KEY = "AKIA" + "Q7W2K9R4B6V1H8L3"
+METADATA = [("nested", '{"a": [{"b": {"token": "x"}}, ["' + _KEY + '", 1.5, null]], "note": "see ' + _KEY + ' there"}'), ("named", '{"fingerprint": "' + "ab" * 32 + '", "id": "runtime.axe", "list": []}'), ("public", '{"references": ["https://a.example/' + "a1B2" * 10 + '"], "url": "https://u:pw@a.example/x"}')]
+METADATA_CLEAN = [("nested", '{"a":[{"b":{"token":"x"}},["[REDACTED]",1.5,null]],"note":"see [REDACTED] there"}', 2), ("named", '{"fingerprint":"' + "ab" * 32 + '","id":"runtime.axe","list":[]}', 0), ("public", '{"references":["https://a.example/' + "a1B2" * 10 + '"],"url":"https://[REDACTED]@a.example/x"}', 1)]
+
+
 def with_fixtures(pages: DataFrame) -> DataFrame:
     """page_id, url, html of a crawl table and of the literal pages, which have negative ids."""
     own = pages.sparkSession.createDataFrame([(-1 - k, url, html) for k, (url, html) in enumerate(PAGES)], "page_id long, url string, html string")

@@ -314,6 +314,33 @@ z AS (SELECT *, regexp_extract(tag, '\spath\s*=\s*["'']([^"'']*)["'']', 1) AS ro
 y AS (SELECT site_id FROM o WHERE regexp_matches(lower(path), '(^|/)(404|not-found)\.[a-z]+$') UNION SELECT z.site_id FROM z LEFT JOIN e USING (site_id, importer, name) WHERE route IN ('*', '/*', '**', '/**', '404', '/404') AND (module IS NOT NULL OR regexp_matches(z.text, 'function ' || name || '\b')) AND (name = 'NotFound' OR regexp_matches(coalesce(module, ''), '/NotFound\.jsx$'))),
 n AS (SELECT site_id, count(*) AS pages FROM o WHERE {_PAGE} OR regexp_matches(path, '\.html?$') GROUP BY site_id)
 SELECT site_id, 'ux-no-not-found-page' AS rule_id, pages || ' pages' AS evidence FROM n WHERE pages > 1 AND site_id NOT IN (SELECT site_id FROM y)"""
+_STYLE_ROWS = _rows(fixtures.STYLES)
+_PX = lambda n: rf"nullif(regexp_extract(lower(d), '(?:^|[;\s]){n}\s*:\s*([0-9]{{1,6}}(?:\.[0-9]+)?)px', 1), '')::DOUBLE"
+_GONE = r"regexp_matches(lower(d), 'outline(-style|-width)?\s*:\s*(none|0)\b')"
+_SHOWN = r"regexp_matches(lower(d), 'box-shadow\s*:|border(-color)?\s*:|background(-color)?\s*:')"
+C00 = rf"""WITH {_GIVEN}{elements('style')}, c AS (SELECT site_id, path, content AS css FROM e UNION ALL SELECT * FROM (VALUES {_STYLE_ROWS}) x(site_id, path, css)),
+r AS (SELECT site_id, path, unnest(regexp_extract_all(regexp_replace(css, '/\*[\s\S]*?(?:\*/|$)', ' ', 'g'), '[^{{}}]+\{{[^{{}}]*\}}')) AS r FROM c),
+s AS (SELECT site_id, path, regexp_replace(trim(regexp_replace(unnest(string_split(regexp_extract(r, '^([^{{]+)\{{', 1), ',')), '\s+', ' ', 'g')), '^ | $', '', 'g') AS s, trim(regexp_extract(r, '\{{([^}}]*)\}}', 1)) AS d FROM r),
+b AS (SELECT *, regexp_replace(s, ':focus(-visible|-within)?', '') AS base FROM s),
+f AS (SELECT DISTINCT site_id, path, base FROM b WHERE contains(s, ':focus') AND (regexp_matches(lower(d), 'outline\s*:\s*[1-9a-mo-z]') OR {_SHOWN}) AND NOT ({_GONE} AND NOT {_SHOWN})),
+k AS (SELECT *, 'ux-small-text' AS rule_id FROM b WHERE {_PX('font-size')} <= 11 UNION ALL SELECT *, 'responsive-rigid-width' FROM b WHERE greatest(coalesce({_PX('width')}, 0), coalesce({_PX('min-width')}, 0)) >= 800
+UNION ALL SELECT *, 'ux-document-scroll-disabled' FROM b WHERE regexp_matches(s, '(?i)^(html|body)$') AND regexp_matches(lower(d), 'overflow(-y)?\s*:\s*hidden') UNION ALL SELECT *, 'performance-transition-all' FROM b WHERE regexp_matches(lower(d), 'transition(-property)?\s*:\s*all\b')
+UNION ALL SELECT *, 'performance-font-display' FROM b WHERE lower(s) LIKE '@font-face%' AND NOT contains(lower(d), 'font-display') UNION ALL SELECT *, 'a11y-focus-indicator-removed' FROM b ANTI JOIN f USING (site_id, path, base) WHERE {_GONE} AND NOT {_SHOWN})
+SELECT site_id, path, rule_id, s || ' {{ ' || d || ' }}' AS evidence FROM k"""
+# The same rules as patterns of an engine without lookaround, over the literal files and the blocks of the pages.
+_SCRIPTS = [
+    ("dom-xss", r"document\.write(?:ln)?\s*\("), ("dom-xss", r"\.(?:innerHTML|outerHTML)\s*\+?=[^=]|\.insertAdjacentHTML\s*\(|dangerouslySetInnerHTML|v-html\s*="), ("dynamic-code", r"(?:^|[^A-Za-z0-9_.$])eval\s*\(|\bnew\s+Function\s*\(|\bset(?:Timeout|Interval)\s*\(\s*['']"),
+    ("insecure-transport", r"rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED\s*[=:]\s*['']?0|\bcurl\b[^\n]*\s(?:-k|--insecure)\b"), ("insecure-transport", r"http://api\.[a-z.]+"), ("browser-storage", r"Storage\.setItem\s*\(\s*[''][^'']*(?:token|password)"), ("privacy-sensitive-browser-storage", r"Storage\.setItem\s*\(\s*[''][^'']*(?:token|password)"),
+    ("weak-cryptography", r"createHash\s*\(\s*''(?:md5|sha1)''"), ("weak-cryptography", r"(?i)(?:token|password)[^\n]{0,100}Math\.random\s*\("), ("cross-window-messaging", r"\.postMessage\s*\([^;\n]*,\s*''\*''"), ("external-navigation", r"(?i)href\s*=\s*.javascript:"),
+    ("cors", r"Access-Control-Allow-Origin''\s*,\s*''\*''"), ("hardcoded-auth", r"(?i)authorization''?\s*:\s*''bearer\s+[a-z0-9]{8,}"), ("hardcoded-auth", r"https://[a-z]+:[a-z0-9]+@"), ("sensitive-logging", r"console\.log\s*\([^\n]*(?:token|password)"), ("public-env-secrets", r"\bVITE_[A-Z_]*(?:SECRET|TOKEN)"),
+    ("jwt-validation", r"ignoreExpiration\s*:\s*true"), ("source-maps", r"sourcemap\s*:\s*true"), ("third-party-resources", r"<script\s+src=.https://[^>]*>"),
+]
+E07 = rf"""WITH {_GIVEN}{elements('script')}, c AS (SELECT site_id, path || '/block.js' AS path, content AS text FROM e UNION ALL SELECT * FROM (VALUES {_rows(fixtures.SCRIPTS)}) x(site_id, path, text)),
+m AS (SELECT site_id, path, regexp_replace(regexp_replace(text, '(?m)(^|[^:])//[^\n]*', '\1', 'g'), '/\*[\s\S]*?\*/', ' ', 'g') AS t FROM c WHERE NOT regexp_matches(path, '(^|/)(tests?|docs?)/')),
+k AS ({" UNION ALL ".join(f"SELECT site_id, path, '{rule}' AS rule_id, len(regexp_extract_all(t, '{pattern}')) AS n FROM m" for rule, pattern in _SCRIPTS)})
+SELECT site_id, path, rule_id, sum(n)::BIGINT AS n FROM k GROUP BY ALL HAVING sum(n) > 0"""
+X25 = rf"""SELECT event_type, count(*) AS n, sum(length(regexp_replace(props, '\s', '', 'g')))::BIGINT AS chars, 0::BIGINT AS redactions FROM events GROUP BY event_type
+UNION ALL SELECT kind, 1, length(json), redactions FROM (VALUES {_rows(fixtures.METADATA_CLEAN)}) x(kind, json, redactions)"""
 _PROJECTS = ", ".join("(" + ", ".join(_quoted(x) for x in row) + ")" for row in fixtures.PROJECTS)
 _FILES = rf"{_GIVEN}, o AS (SELECT site_id, path || '/page.html' AS path, raw AS text FROM p UNION ALL SELECT * FROM (VALUES {_PROJECTS}) x(site_id, path, text))"
 _HEADER = lambda pattern, markup=False: f"bool_or(regexp_matches(t, '(?i){pattern}') AND (path LIKE '%\\_headers' ESCAPE '\\'{' OR path LIKE %s.html%s' % (chr(39) + '%', chr(39)) if markup else ''}))"
