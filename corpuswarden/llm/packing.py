@@ -16,6 +16,7 @@ import heapq
 import json
 import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -127,8 +128,11 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
                 if used < count:
                     placed.append((total, count - used, lengths))
             else:
-                used = left
-                placed.append((length, used, (length,)))
+                used, each = left, capacity // length  # new packs, one after another
+                if used >= each:
+                    placed.append((length * each, used // each, (length,) * each))
+                if used % each:
+                    placed.append((length * (used % each), 1, (length,) * (used % each)))
             left -= used
         for total, count, lengths in placed:
             heapq.heappush(open_packs, (total, serial, count, lengths))
@@ -136,17 +140,21 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return [(count, lengths) for _, _, count, lengths in sorted(open_packs)]
 
 
-def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, rank after the last, first sequence, offset) of each place in each pattern."""
+def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, rank after the last, first sequence, offset, copies) of each length in each pattern.
+
+    ``copies`` pieces of a length follow each other in one sequence; their ranks do too.
+    """
     taken: dict[int, int] = {}
     out, sequence = [], 0
     for count, lengths in patterns:
         offset = 0
-        for length in lengths:
+        for length, same in groupby(lengths):  # in falling order
+            copies = len(list(same))
             rank = taken.get(length, 0)
-            out.append((length, rank, rank + count, sequence, offset))
-            taken[length] = rank + count
-            offset += length
+            out.append((length, rank, rank + count * copies, sequence, offset, copies))
+            taken[length] = rank + count * copies
+            offset += length * copies
         sequence += count
     return out
 
@@ -156,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     spark = docs.sparkSession
     table = kept(pieces(docs, tokenizer, capacity, end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    places = spark.createDataFrame(slots(shortest_pack_first(histogram, capacity)), "slot_length int, first_rank long, after_rank long, first_sequence long, offset long")
+    places = spark.createDataFrame(slots(shortest_pack_first(histogram, capacity)), "slot_length int, first_rank long, after_rank long, first_sequence long, first_offset long, copies long")
     buckets = max(1, sum(histogram.values()) // 8000)
     dealt = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
@@ -166,4 +174,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     ranked = dealt.withColumn("row", F.row_number().over(order) - 1).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("row"))
     # The places grow with the number of lengths and patterns, which the capacity bounds, not with the pieces.
     met = ranked.join(F.broadcast(places), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("after_rank")))
-    return met.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    nth = F.col("rank") - F.col("first_rank")
+    sequence, offset = F.col("first_sequence") + F.expr("(rank - first_rank) div copies"), F.col("first_offset") + F.col("length") * (nth % F.col("copies"))
+    return met.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), offset.alias("offset"))
