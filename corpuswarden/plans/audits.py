@@ -16,7 +16,7 @@ from ..operators.catalogue import RULES
 from ..sources import tables
 from . import rules_sql
 from . import sql as S
-from .fixtures import CODE, CRAWL, CREDENTIALS, FLOWS, METADATA, MODULES, PROJECTS, SCRIPTS, STYLES, with_fixtures
+from .fixtures import CODE, CRAWL, CREDENTIALS, FLOWS, LINKS, METADATA, MODULES, PROJECTS, SCRIPTS, SITES, STYLES, with_fixtures
 from .registry import query
 
 table = tables.table
@@ -176,7 +176,8 @@ def g01_site_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rules_sql.P05)
 def p05_site_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_rules.signal_findings(site_rules.signals(m.pages(table(spark, sf_dir, "pages"))))
+    own = spark.createDataFrame(SITES, "site_id string, path string, html string")
+    return site_rules.signal_findings(site_rules.signals(m.pages(table(spark, sf_dir, "pages")).select(*own.columns).unionByName(own)))
 
 
 @query(S.P06)
@@ -253,7 +254,7 @@ def g12_flow_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = m.scripts(*page_tables(spark, sf_dir)).select(F.concat_ws("-", F.lit("page"), "page_id", "open_end").alias("case"), F.explode(names).alias("rule_id"), F.lit(0).alias("expected"), "text")
     all_cases = cases.unionByName(blocks)
     files = all_cases.select(F.col("case").alias("site_id"), F.lit("server/handler.js").alias("path"), "text").distinct()
-    seen = flow_rules.request_flows(files).select(F.col("site_id").alias("case"), "rule_id")
+    seen = flow_rules.request_flows(files).unionByName(flow_rules.navigation_flows(files)).select(F.col("site_id").alias("case"), "rule_id")
     return f.precision_recall(all_cases.drop("text"), seen, ["rule_id"])
 
 
@@ -305,7 +306,8 @@ def e01_provider_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rules_sql.E10)
 def e10_insecure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_rules.insecure_links(tables.document_sources(spark, sf_dir))
+    own = tables.described(spark.createDataFrame(LINKS, FILE), None)
+    return source_rules.insecure_links(tables.document_sources(spark, sf_dir).unionByName(own))
 
 
 # Observations

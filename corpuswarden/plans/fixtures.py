@@ -134,6 +134,17 @@ SCRIPTS = [("scripts", f"src/{k}.js", text) for k, text in enumerate([
     "console.log('x', password)", "console.log('x')", "k = VITE_API_SECRET_KEY", "k = VITE_API_URL", "x = { ignoreExpiration: true }", "x = { sourcemap: true }", "x = { sourcemap: false }", "x = '<script src=\"https://cdn.shop.org/x.js\"><' + '/script>'", "// eval(x)\n/* eval(y) */ go()",
 ])] + [("scripts", "tests/a.js", "eval(x)"), ("scripts", "docs/a.js", "eval(x)")]
 
+# Texts with plain links, some of them to this machine only.
+LINKS = [("links", "a.txt", "see http://a.shop.org/x and http://localhost/y\nthen http://127.0.0.1:80/z, http://b.shop.org\nHTTP://C.shop.org/?q=1"), ("links", "b.txt", "https://a.shop.org only"), ("links", "c.txt", None)]
+
+# Sites with all signals, with none, and with those that ask for another.
+_DOC = "<!doctype html><html><body>"
+SITES = [
+    ("full", "index.html", _DOC + '<nav></nav><main></main><script type="application/ld+json">{}</script><style>@media (x) {} @keyframes a {} @media (prefers-reduced-motion) {} :root { --ink: #112233 }' + "".join(f" .c{k} {{ color: #{k:06x} }}" for k in range(12)) + "</style><script>gtag('x'); fetch('/x')</script>loading error no results consent"),
+    ("full", "404.html", _DOC + "gone"), ("bare", "a.html", _DOC + "a"), ("bare", "b.html", _DOC + "b"), ("fragment", "part.html", "<p>x</p>"),
+    ("app", "index.html", _DOC + "<main></main><nav></nav><style>a { transition: all 1s }" + "".join(f" .c{k} {{ color: #{k:06x} }}" for k in range(12)) + "</style><script>fetch('/x'); gtag('x')</script>"),
+]
+
 # Metadata of any shape, and what is left of it, with the number of marks in it.
 _KEY = "AKIA" + "Q7W2K9R4B6V1H8L3"
 METADATA = [("nested", '{"a": [{"b": {"token": "x"}}, ["' + _KEY + '", 1.5, null]], "note": "see ' + _KEY + ' there"}'), ("named", '{"fingerprint": "' + "ab" * 32 + '", "id": "runtime.axe", "list": []}'), ("public", '{"references": ["https://a.example/' + "a1B2" * 10 + '"], "url": "https://u:pw@a.example/x"}')]

@@ -247,7 +247,7 @@ X08 = f"WITH {_GIVEN} SELECT page_id, len(regexp_extract_all({_BARE}, '{TAG}')):
 X10 = rf"""WITH {_GIVEN}{elements('style')}, c AS (SELECT site_id, unnest(regexp_extract_all(regexp_replace(content, '/\*[\s\S]*?(?:\*/|$)', ' ', 'g'), '([^{{}}]+)\{{[^{{}}]*\}}', 1)) AS selectors FROM e),
 s AS (SELECT site_id, trim(regexp_replace(unnest(string_split(selectors, ',')), '\s+', ' ', 'g')) AS selector FROM c) SELECT site_id, selector, count(*) AS n FROM s GROUP BY ALL"""
 _LINK = r"(?i)\bhttp://[^\s\"'<>)]+".replace("'", "''")
-E10 = rf"""WITH d AS (SELECT source AS site_id, 'doc-' || doc_id AS path, text, regexp_extract_all(text, '{_LINK}') AS vs, regexp_split_to_array(text, '{_LINK}') AS gaps FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(0))),
+E10 = rf"""WITH o AS (SELECT source AS site_id, 'doc-' || doc_id AS path, text FROM documents UNION ALL SELECT * FROM (VALUES {", ".join("(" + ", ".join("NULL" if x is None else "'" + x + "'" for x in row) + ")" for row in fixtures.LINKS)}) x(site_id, path, text)), d AS (SELECT site_id, path, text, regexp_extract_all(text, '{_LINK}') AS vs, regexp_split_to_array(text, '{_LINK}') AS gaps FROM o WHERE text IS NOT NULL AND NOT contains(text, chr(0))),
 v AS (SELECT site_id, path, unnest(vs) AS value, gaps, unnest(range(1, len(vs) + 1)) AS k FROM d)
 SELECT site_id, path, value, (1 + {newlines("array_to_string(gaps[1:k], '')")})::INT AS line FROM v WHERE NOT regexp_matches(value, '(?i)^http://(localhost|127(\.\d+){{3}}|\[?::1\]?|0\.0\.0\.0|[^/?#:]*\.localhost)(:\d+)?([/?#]|$)')"""
 
@@ -278,8 +278,8 @@ _SITE_RULES = {
     "design-no-color-tokens": "colours >= 12 AND NOT tokens", "privacy-analytics-without-consent-signal": "analytics AND NOT consent", **{f"manual-{x}": "true" for x in MANUAL},
 }
 _CATALOGUE = ", ".join(f"('{r}', '{mode}', '{category}', '{severity}', '{confidence}', {manual}, '{family}')" for r, mode, category, severity, confidence, manual, family in CATALOGUE if r in _SITE_RULES)
-P05 = rf"""WITH {_GIVEN}, s AS (SELECT site_id, count(*) AS pages, count_if(regexp_matches(raw, '(?i)<html\b|<!doctype html')) AS documents, bool_or(regexp_matches(path, '(?i)(^|/)(404|not-found)(\.|/|$)')) AS not_found,
-sum(len(regexp_extract_all(raw, '(?i)#[0-9a-f]{{3,8}}\b|\brgba?\('))) AS colours, {', '.join(f"bool_or(regexp_matches(raw, {_quoted('(?i)' + p)})) AS {n}" for n, p in _FLAGS.items())} FROM p GROUP BY site_id),
+P05 = rf"""WITH {_GIVEN}, pp AS (SELECT site_id, path, raw FROM p UNION ALL SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in fixtures.SITES)}) x(site_id, path, raw)), s AS (SELECT site_id, count(*) AS pages, count_if(regexp_matches(raw, '(?i)<html\b|<!doctype html')) AS documents, bool_or(regexp_matches(path, '(?i)(^|/)(404|not-found)(\.|/|$)')) AS not_found,
+sum(len(regexp_extract_all(raw, '(?i)#[0-9a-f]{{3,8}}\b|\brgba?\('))) AS colours, {', '.join(f"bool_or(regexp_matches(raw, {_quoted('(?i)' + p)})) AS {n}" for n, p in _FLAGS.items())} FROM pp GROUP BY site_id),
 r AS (SELECT site_id, pages, unnest(list_filter([{', '.join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _SITE_RULES.items())}], lambda x: x IS NOT NULL)) AS rule_id FROM s)
 SELECT site_id, mode, r.rule_id, family, category, severity, confidence, manual, '(site)' AS path, 1::INT AS line, pages || ' pages' AS evidence FROM r JOIN (VALUES {_CATALOGUE}) c(rule_id, mode, category, severity, confidence, manual, family) USING (rule_id)"""
 
