@@ -104,6 +104,8 @@ FLOWS = [
     ("server-path-traversal", 1, "import fs from 'fs'\nfs.readFile(\n  req.params.name,\n  'utf8')"), ("server-path-traversal", 0, "import fs from 'fs'\nfs.readFile(\n  path.basename(req.params.name))"),
     ("server-path-traversal", 0, "import fs from 'fs'\nconst p = req.query.p\nif (!/^[a-z0-9]{1,20}$/.test(p)) throw new Error('x')\nfs.readFile(p)"),
     ("server-command-injection", 1, "import { spawn } from 'child_process'\nspawn(\n  req.query.a,\n  [],\n  { shell: true },\n)"), ("server-command-injection", 0, "import { spawn } from 'child_process'\nspawn(\n  req.query.a,\n  [],\n)"),
+    ("untrusted-navigation", 1, "location.href = new URLSearchParams(location.search).get('next')"), ("untrusted-navigation", 1, "const n = new URLSearchParams(location.search).get('n')\n\nwindow.open(n)"),
+    ("untrusted-navigation", 0, "const n = new URLSearchParams(location.search).get('n')\nif (n.startsWith('/')) go()\nwindow.open(n)"), ("untrusted-navigation", 0, "location.assign('/home')"),
     ("server-sql-injection", 1, "const id = req.params.id\ndb.query(\n  `SELECT a\n   FROM t WHERE id = ${id}`,\n)"), ("server-sql-injection", 0, "const id = req.params.id\ndb.query(\n  'SELECT a FROM t WHERE id = ?',\n  [id])"),
 ]
 
