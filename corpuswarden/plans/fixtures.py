@@ -53,6 +53,8 @@ CREDENTIALS = [
     ("keys", "src/test/c.js", "sk_live_" + _RUN + " AIza" + _RUN + _RUN[:11]),
     ("keys", ".env", "xoxb-" + _RUN),
     ("keys", "src/d.js", "AKIA" + "EXAMPLE" + "Q7W2K9R4B"),
+    ("more", "src/a.js", "k = 'sk-proj-" + _RUN + _RUN + "'"), ("more", "src/b.js", "sk-ant-" + "api03-" + _RUN + _RUN), ("more", "src/c.js", "SG." + _RUN[:22] + "." + _RUN + _RUN[:19]), ("more", "src/d.js", "GOCSPX-" + _RUN), ("more", "src/e.js", "SK" + "0a1b2c3d" * 4),
+    ("less", "src/a.js", "sk-proj-short, SG.a.b, GOCSPX-x, SK0a1b2c3d, sk-ant-api-x"),
     ("jwt", "src/e.js", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + _RUN + "." + _RUN),
     ("jwt", "src/f.js", "eyJub3RoaW5nIjoxfQAA." + _RUN + "." + _RUN),
     ("pem", "src/g.js", "-----BEGIN RSA " + "PRIVATE KEY-----\n" + _RUN),
