@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as p
+from corpuswarden.llm import lines, neardup
 
 
 def test_stages(spark):
@@ -71,7 +72,8 @@ def test_a_text_of_many_lines(spark):
 
 
 def test_one_whole_text_of_near_copies_stays(spark):
-    """Five articles of 30 lines that differ in a line each, among 100 pages of their host with a line in common."""
+    """Five articles of 30 lines that differ in a line each, among 100 pages of their host with a line in common: given
+    the classes of near copies, line dedup counts them as one page."""
     words = [f"w{k}" for k in range(500)]
     rng = random.Random(5)
     page = lambda n: [" ".join(rng.choices(words, k=12)) for _ in range(n)]
@@ -79,6 +81,7 @@ def test_one_whole_text_of_near_copies_stays(spark):
     near = ["\n".join([*article[: 5 * k], " ".join(rng.choices(words, k=12)), *article[5 * k + 1 :]]) for k in range(5)]
     rows = [(k, "\n".join([*page(6), "Follow us everywhere"]), "aa", "host", 1) for k in range(100)] + [(200 + k, t + "\nFollow us everywhere", "aa", "host", 1) for k, t in enumerate(near)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = dict(p.STAGES)["near_duplicates"](spark, dict(p.STAGES)["line_dedup"](spark, docs, ""), "").collect()
+    clean = lines.cleaned(docs, copies=True, alike=neardup.alike(docs)).select(*docs.columns)
+    got = dict(p.STAGES)["near_duplicates"](spark, clean, "").collect()
     assert len(got) == 101 and not any("Follow us" in r.text for r in got)
     assert [r.text for r in got if r.doc_id >= 200] == [near[0]]
