@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import running_sums
+from .text import bound, running_sums
 
 DEPTH = 10
 STRING = "\"(?:[^\"\\\\]|\\\\.)*+\"|'(?:[^'\\\\]|\\\\.)*+'|`(?:[^`\\\\]|\\\\.)*+`"
@@ -33,9 +33,12 @@ def first_argument(depth: int = DEPTH) -> str:
 
 def replaced(text: Column, pattern: str, change) -> Column:
     """The text with ``change`` (a function of a Column) applied to each match."""
-    found = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
-    parts = F.zip_with(F.split(text, pattern, -1), found, lambda gap, match: F.concat(gap, F.coalesce(change(match), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
+    def parts(t: Column) -> Column:
+        found = F.concat(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
+        return F.zip_with(F.split(t, pattern, -1), found, lambda gap, match: F.concat(gap, F.coalesce(change(match), F.lit(""))))
+
+    return bound(text, lambda t: F.when(t.rlike(pattern), F.array_join(parts(t), "")).otherwise(t))
 
 
 def joined(text: Column, calls: str) -> Column:
@@ -52,9 +55,11 @@ def joined(text: Column, calls: str) -> Column:
 
 def numbered(text: Column) -> Column:
     """Lines of a joined text as structs: raw, and n, the number of the first line it stands on."""
-    lines = F.split(text, "\n")
-    begins = running_sums(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(lines, lambda x: (F.length(x) - F.length(F.translate(x, BREAK, "")) + 1).cast("bigint"))), 1)
-    return F.zip_with(lines, F.slice(begins, F.lit(1), F.size(lines)), lambda x, n: F.struct(x.alias("raw"), n.cast("int").alias("n")))
+    def each(lines: Column) -> Column:
+        begins = running_sums(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(lines, lambda x: (F.length(x) - F.length(F.translate(x, BREAK, "")) + 1).cast("bigint"))), 1)
+        return F.zip_with(lines, F.slice(begins, F.lit(1), F.size(lines)), lambda x, n: F.struct(x.alias("raw"), n.cast("int").alias("n")))
+
+    return bound(F.split(text, "\n"), each)
 
 
 def shown(line: Column) -> Column:

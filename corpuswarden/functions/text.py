@@ -24,6 +24,11 @@ def compact(x: Column | str, most: int = 220) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 1), F.lit(ELLIPSIS))).otherwise(t)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` (a function of a Column) of a value that is computed once, however often it is read there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 _STEP = 256
 
 
@@ -38,11 +43,16 @@ def running_sums(numbers: Column, start: int = 0) -> Column:
         begin = F.struct(at.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(array, begin, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
 
-    n = F.size(numbers)
-    steps = F.transform(F.sequence(F.lit(0), F.greatest((n - 1) / _STEP, F.lit(0)).cast("int")), lambda k: F.slice(numbers, k * _STEP + 1, F.lit(_STEP)))
-    totals = F.transform(steps, lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x))
-    before = F.concat(F.array(F.lit(start).cast("bigint")), scan(totals, F.lit(start)))
-    return F.flatten(F.transform(F.arrays_zip(steps.alias("s"), before.alias("b")), lambda z: F.when(z["s"].isNotNull(), scan(z["s"], z["b"])).otherwise(F.array().cast("array<bigint>"))))
+    def summed(own: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.greatest((F.size(own) - 1) / _STEP, F.lit(0)).cast("int")), lambda k: F.slice(own, k * _STEP + 1, F.lit(_STEP)))
+        return bound(steps, of_steps)
+
+    def of_steps(steps: Column) -> Column:
+        totals = F.transform(steps, lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x))
+        before = F.concat(F.array(F.lit(start).cast("bigint")), scan(totals, F.lit(start)))
+        return F.flatten(F.transform(F.arrays_zip(steps.alias("s"), before.alias("b")), lambda z: F.when(z["s"].isNotNull(), scan(z["s"], z["b"])).otherwise(F.array().cast("array<bigint>"))))
+
+    return bound(numbers, summed)
 
 
 def newlines(x: Column | str) -> Column:

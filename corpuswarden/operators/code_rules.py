@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calls import STRING, joined, nested, numbered, shown
-from ..functions.text import running_sums
+from ..functions.text import bound, running_sums
 from .findings import emit
 from .source_rules import MODE, NAME, code_masked, role, without_development
 
@@ -23,9 +23,10 @@ def _code(sources: DataFrame) -> DataFrame:
 
 # Cookies
 
-# Words of names of cookies that carry authentication, of those against forgery, and of setters.
+# Words of names of cookies that carry authentication, of those against forgery, and patterns of writers.
 SENSITIVE_COOKIE = "(?i)token|auth|session|jwt|sid|credential"
 FORGERY = "(?i)csrf|xsrf|anti[_-]?forgery"
+CLIENT = "\\bdocument\\.cookie\\s*=(?!=)"
 SETTER = f"\\b(?:(?:res|response)\\s*\\.\\s*cookie|(?:{NAME}\\s*\\.\\s*)?setCookie|(?:ctx\\s*\\.\\s*)?cookies\\s*(?:\\(\\s*\\))?\\s*\\.\\s*set)\\s*\\("
 
 
@@ -36,30 +37,41 @@ def cookie_table(sources: DataFrame) -> DataFrame:
     A script cannot write an HttpOnly cookie. On a server, ``secure`` also counts where it depends on the production
     environment, by a comparison in the call or by a constant that an earlier line of the file declares.
     """
-    own = _code(sources).where(F.col("text").rlike("document\\.cookie\\s*=") | F.col("text").rlike(SETTER))
-    own = own.select("site_id", "path", numbered(joined(without_development(F.col("text")), SETTER)).alias("lines"))
+    # Masking takes no letters together, so what has no such letters before it has no cookie after it. What is read of a
+    # file stays one expression below the filter: as a column, Spark would infer a filter from it for every file.
+    own = _code(sources.where(F.contains("text", F.lit("ookie")))).where(F.col("text").rlike(f"document\\.cookie\\s*=|{SETTER}"))
     production = f"\\bconst\\s+({NAME})\\s*=\\s*{MODE}\\s*={{2,3}}\\s*[\"']production[\"']"
-    declared = F.transform("lines", lambda x: F.when(x["raw"].rlike(production), F.struct(F.regexp_extract(x["raw"], production, 1), x["n"]).cast("struct<name:string,n:int>")))
-    each = own.select("site_id", "path", F.filter(declared, lambda d: d.isNotNull()).alias("constants"), F.explode("lines").alias("x"))
-    raw, line = F.col("x.raw"), F.col("x.n")
-    client = each.where(raw.rlike("\\bdocument\\.cookie\\s*=(?!=)")).select(
-        "site_id", "path", line.alias("line"), F.lit("client").alias("side"), F.regexp_extract(raw, "\\bdocument\\.cookie\\s*=\\s*[\"'`]?\\s*([^=\"'`;]*)", 1).alias("name"),
-        F.regexp_extract(raw, "(?s)(\\bdocument\\.cookie\\s*=.*)", 1).rlike(SENSITIVE_COOKIE).alias("sensitive"),
-        F.lit(False).alias("http_only"), raw.rlike("(?i);\\s*secure\\b").alias("secure"), raw.rlike("(?i);\\s*samesite\\s*=").alias("same_site"),
-    )
-    call = F.explode(F.regexp_extract_all(raw, F.lit(f"({SETTER}{nested()}\\))"), F.lit(1)))
-    server = each.where(raw.rlike(SETTER)).select("site_id", "path", "constants", line.alias("line"), call.alias("call"))
+
+    def writes(lines: Column) -> Column:
+        declared = F.transform(F.filter(lines, lambda x: x["raw"].rlike(production)), lambda x: F.struct(F.regexp_extract(x["raw"], production, 1).alias("name"), x["n"].alias("n")))
+        writing = F.filter(lines, lambda x: x["raw"].rlike(f"{CLIENT}|{SETTER}"))
+        return bound(declared, lambda d: F.transform(writing, lambda x: F.struct(x["raw"].alias("raw"), x["n"].alias("n"), d.alias("constants"))))
+
+    each = own.select("site_id", "path", F.explode(bound(numbered(joined(without_development(F.col("text")), SETTER)), writes)).alias("x"))
+    raw = F.col("x.raw")
+    calls = F.when(raw.rlike(SETTER), F.regexp_extract_all(raw, F.lit(f"({SETTER}{nested()}\\))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    own_side = F.when(raw.rlike(CLIENT), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))  # no call: a client's
+    rows = each.select("site_id", "path", raw.alias("raw"), F.col("x.n").alias("line"), F.col("x.constants").alias("constants"), F.explode(F.concat(own_side, calls)).alias("call"))
+    client = F.col("call").isNull()
+    raw = F.col("raw")
     inside = F.regexp_replace("call", f"(?s)^{SETTER}\\s*", "")
     named = F.regexp_extract(inside, f"^(?:\"([^\"]+)\"|'([^']+)'|`([^`$]+)`|({NAME}))", 0)
-    server = server.withColumn("name", F.regexp_replace(named, "^[\"'`]|[\"'`]$", ""))
-    words = F.concat(F.col("name"), F.lit(" "), F.substring("call", 1, 250))
+    name = F.regexp_replace(named, "^[\"'`]|[\"'`]$", "")
+    words = F.concat(name, F.lit(" "), F.substring("call", 1, 250))
     constant = F.regexp_extract("call", f"(?i)\\bsecure\\s*:\\s*({NAME})\\b", 1)
     known = lambda name: F.exists("constants", lambda d: (d["name"] == name) & (d["n"] <= F.col("line")))
     short = lambda option: F.col("call").rlike(f"(?i)[{{,]\\s*{option}\\s*(?=[,}}])")
     secure = F.col("call").rlike(f"(?i)\\bsecure\\s*:\\s*(?:true\\b|{MODE}\\s*={{2,3}}\\s*[\"']production[\"'])") | known(constant) | (short("secure") & known(F.lit("secure")))
     said = F.regexp_extract("call", "(?i)\\bsameSite\\s*:\\s*([^,}\\n]+)", 1)
     same = F.when(said != "", ~said.rlike("(?i)^\\s*(?:false|null|undefined)\\b")).otherwise(short("sameSite"))
-    return client.unionByName(server.select("site_id", "path", "line", F.lit("server").alias("side"), "name", words.rlike(f"{SENSITIVE_COOKIE}|csrf|xsrf").alias("sensitive"), F.col("call").rlike("(?i)\\bhttpOnly\\s*:\\s*true").alias("http_only"), secure.alias("secure"), same.alias("same_site")))
+    either = lambda a, b: F.when(client, a).otherwise(b)
+    return rows.select(
+        "site_id", "path", "line", either(F.lit("client"), F.lit("server")).alias("side"),
+        either(F.regexp_extract(raw, "\\bdocument\\.cookie\\s*=\\s*[\"'`]?\\s*([^=\"'`;]*)", 1), name).alias("name"),
+        either(F.regexp_extract(raw, "(?s)(\\bdocument\\.cookie\\s*=.*)", 1).rlike(SENSITIVE_COOKIE), words.rlike(f"{SENSITIVE_COOKIE}|csrf|xsrf")).alias("sensitive"),
+        either(F.lit(False), F.col("call").rlike("(?i)\\bhttpOnly\\s*:\\s*true")).alias("http_only"),
+        either(raw.rlike("(?i);\\s*secure\\b"), secure).alias("secure"), either(raw.rlike("(?i);\\s*samesite\\s*="), same).alias("same_site"),
+    )
 
 
 def cookie_findings(sources: DataFrame) -> DataFrame:

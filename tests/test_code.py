@@ -93,3 +93,16 @@ def test_development_guards(spark):
     rows = [("a.js", "if (process.env.NODE_ENV === 'development') {\n  fetch('http://api.shop.org/x')\n  localStorage.setItem('token', t)\n}\nfetch('http://api.shop.org/y')"), ("b.js", "const u = import.meta.env.DEV ? 'http://dev.shop.org' : 'https://shop.org'"), ("c.js", "if (process.env.NODE_ENV !== 'test') {\n  fetch('http://api.shop.org/x')\n}"), ("d.js", "fetch('https://bob:hunter2x@api.shop.org/x'); fetch('https://bob:password@api.shop.org')")]
     got = sorted((r.path, r.rule_id, r.line) for r in source_rules.script_findings(sources(spark, rows)).collect())
     assert got == [("a.js", "insecure-transport", 5), ("c.js", "insecure-transport", 2), ("d.js", "hardcoded-auth", 1)]
+
+
+def test_cookies_of_one_line_and_one_plan(spark):
+    """Both sides in one line, several calls, and a letter short of a cookie; texts are read once and expanded once."""
+    rows = [
+        ("server/a.js", "document.cookie = 'a=1'; res.cookie('session', id, { httpOnly: true }); setCookie('token', t, { secure: true, httpOnly: true, sameSite: 'lax' })"),
+        ("server/b.js", "const on = process.env.NODE_ENV === 'production'\n" + "x()\n" * 700 + "res.cookie(\n  'auth', t, { secure: on })"),
+        ("server/c.js", "document.cooki = 'session=1'"), ("server/d.js", "// document.cookie = 'session=1'\nif (document.cookie == 'a') go()"),
+    ]
+    found = code_rules.cookie_findings(sources(spark, rows).where("site_id > ''"))
+    assert sorted((r.path, r.line, r.evidence) for r in found.collect()) == [("server/a.js", 1, "client cookie without HttpOnly, Secure, SameSite"), ("server/a.js", 1, "server cookie without Secure, SameSite"), ("server/b.js", 702, "server cookie without HttpOnly, SameSite")]
+    plan = code_rules.cookie_table(sources(spark, rows).where("site_id > ''"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000 and "Union" not in plan
