@@ -29,30 +29,31 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-_STEP = 256
+_STEP = 32
 
 
-def running_sums(numbers: Column, start: int = 0) -> Column:
+def running_sums(numbers: Column, start: int = 0, levels: int = 2) -> Column:
     """For each number of an array the sum of ``start`` and all numbers up to it.
 
-    Sums within steps of a fixed length, each from the sum of the steps before it, so that long arrays cost little
-    more than their length.
+    Sums within steps of a fixed length, each from the sum of the steps before it, which are summed up likewise, so
+    that long arrays cost little more than their length.
     """
+    none = F.array().cast("array<bigint>")
 
     def scan(array: Column, at: Column) -> Column:
-        begin = F.struct(at.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        begin = F.struct(at.cast("bigint").alias("at"), none.alias("out"))
         return F.aggregate(array, begin, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
 
-    def summed(own: Column) -> Column:
+    def stepped(own: Column) -> Column:
         steps = F.transform(F.sequence(F.lit(0), F.greatest((F.size(own) - 1) / _STEP, F.lit(0)).cast("int")), lambda k: F.slice(own, k * _STEP + 1, F.lit(_STEP)))
         return bound(steps, of_steps)
 
     def of_steps(steps: Column) -> Column:
         totals = F.transform(steps, lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x))
-        before = F.concat(F.array(F.lit(start).cast("bigint")), scan(totals, F.lit(start)))
-        return F.flatten(F.transform(F.arrays_zip(steps.alias("s"), before.alias("b")), lambda z: F.when(z["s"].isNotNull(), scan(z["s"], z["b"])).otherwise(F.array().cast("array<bigint>"))))
+        before = F.concat(F.array(F.lit(start).cast("bigint")), running_sums(totals, start, levels - 1))
+        return F.flatten(F.transform(F.arrays_zip(steps.alias("s"), before.alias("b")), lambda z: F.when(z["s"].isNotNull(), scan(z["s"], z["b"])).otherwise(none)))
 
-    return bound(numbers, summed)
+    return bound(numbers, stepped) if levels else scan(numbers, F.lit(start))
 
 
 def newlines(x: Column | str) -> Column:

@@ -16,6 +16,8 @@ TAG = "<(/?)([A-Za-z][A-Za-z0-9_:.-]*)(?=[\\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']
 COMMENT = "(?s)<!--.*?(?:-->|$)"
 #: Files of components, in which a tag with a capital is a component and no element.
 COMPONENT_FILE = "(?i)\\.(?:jsx|tsx|mdx|vue|svelte|astro)(?:[?#].*)?$"
+#: Above every length of a page: in a number, line breaks count so much and characters one.
+_LINE = 1 << 32
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 
 
@@ -48,17 +50,18 @@ def tags(pages: DataFrame) -> DataFrame:
     nothing is shuffled, and pages are told apart whatever their ids.
     """
     html = F.col("html")
-    raws, gaps = F.col("raws"), F.col("gaps")
     parts = pages.select("site_id", "page_id", "path", F.regexp_extract_all(html, F.lit(TAG), F.lit(0)).alias("raws"), F.split(html, TAG, -1).alias("gaps"))
-    sizes = F.zip_with(gaps, raws, lambda g, r: F.length(g) + F.coalesce(F.length(r), F.lit(0)))
-    lines = F.zip_with(gaps, F.concat(F.array(F.lit("")), raws), lambda g, r: newlines(g) + newlines(r))
-    found = parts.select("site_id", "page_id", "path", "raws", running_sums(sizes).alias("ends"), running_sums(lines, 1).alias("lines"))
-    each = found.select("site_id", "page_id", "path", F.posexplode(F.arrays_zip("raws", "ends", "lines")).alias("seq", "t")).where("t.raws is not null")
-    raw, end = F.col("t.raws"), F.col("t.ends")
+    # Lengths and line breaks as one number, so that one running sum gives both.
+    both = lambda x: F.length(x) + newlines(x) * F.lit(_LINE)
+    sizes = F.zip_with("gaps", "raws", lambda g, r: F.coalesce(both(F.concat(g, r)), both(g)))
+    ends = parts.select("site_id", "page_id", "path", "raws", running_sums(sizes, _LINE).alias("ends"))
+    each = ends.select("site_id", "page_id", "path", F.posexplode(F.arrays_zip("raws", "ends")).alias("seq", "t")).where("t.raws is not null")
+    raw = F.col("t.raws")
+    end, line = F.col("t.ends") % _LINE, F.floor(F.col("t.ends") / _LINE) - newlines(raw)
     written = F.regexp_extract(raw, "^</?([A-Za-z][A-Za-z0-9_:.-]*)", 1)
     attrs = F.regexp_replace(raw, "^</?[A-Za-z][A-Za-z0-9_:.-]*|/?>$", "")
     return each.select(
-        "site_id", "page_id", "path", F.col("seq").cast("int").alias("seq"), (end - F.length(raw)).cast("int").alias("offset"), end.cast("int").alias("end"), F.col("t.lines").cast("int").alias("line"),
+        "site_id", "page_id", "path", F.col("seq").cast("int").alias("seq"), (end - F.length(raw)).cast("int").alias("offset"), end.cast("int").alias("end"), line.cast("int").alias("line"),
         F.when(F.col("path").rlike(COMPONENT_FILE), written).otherwise(F.lower(written)).alias("name"), raw.startswith("</").alias("closing"), raw.endswith("/>").alias("self_closing"), attrs.alias("attrs"), raw.alias("raw"),
     )
 
@@ -141,9 +144,10 @@ def with_content(elements: DataFrame, pages: DataFrame) -> DataFrame:
 HIDDEN = ["svg", "math", "template", "script", "style", "textarea"]
 
 
-def surface(tags: DataFrame) -> DataFrame:
-    """Tags outside of drawings, templates, scripts, styles and text areas."""
-    return depths(tags, elements(tags, HIDDEN), {"hidden": F.lit(True)}).where("in_hidden = 0").drop("in_hidden")
+def surface(tags: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Tags outside of drawings, templates, scripts, styles and text areas; of ``names`` alone if they are given."""
+    own = tags.where(F.col("name").isin(names)) if names else tags
+    return depths(own, elements(tags, HIDDEN), {"hidden": F.lit(True)}).where("in_hidden = 0").drop("in_hidden")
 
 
 def headings(pages: DataFrame, tags: DataFrame) -> DataFrame:

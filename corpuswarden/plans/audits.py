@@ -28,14 +28,15 @@ def page_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_rules.head_findings(*page_tables(spark, sf_dir))
+    pages, tags = page_tables(spark, sf_dir)
+    return page_rules.head_findings(pages, page_rules.of_head(tags))
 
 
 def earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline entries of an earlier state of all pages: without their charset, but with a viewport."""
     before = F.replace("html", F.lit('<meta charset="utf-8">'), F.lit('<meta name="viewport" content="width=device-width">'))
     pages = m.masked(m.pages(table(spark, sf_dir, "pages").withColumn("html", before)))
-    return policy.baseline_of(f.fingerprinted(f.deduplicated(page_rules.head_findings(pages, m.tags(pages)))))
+    return policy.baseline_of(f.fingerprinted(f.deduplicated(page_rules.head_findings(pages, page_rules.of_head(m.tags(pages))))))
 
 
 def suppressions(spark: SparkSession) -> DataFrame:
