@@ -13,6 +13,8 @@ from ..functions.text import NBSP, collapsed, newlines, running_sums
 
 #: Possessive throughout, so that a tag of any length is matched without recursion.
 TAG = "<(/?)([A-Za-z][A-Za-z0-9_:.-]*)(?=[\\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+#: What a page falls into: text up to a tag with the tag, or up to a "<" that begins none, or to the end.
+PIECE = f"[^<]*+(?:{TAG}|<|\\z)"
 COMMENT = "(?s)<!--.*?(?:-->|$)"
 #: Files of components, in which a tag with a capital is a component and no element.
 COMPONENT_FILE = "(?i)\\.(?:jsx|tsx|mdx|vue|svelte|astro)(?:[?#].*)?$"
@@ -30,48 +32,54 @@ def pages(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")).alias("site_id"), F.coalesce(F.col("page_id"), own).alias("page_id"), F.col("url").alias("path"), F.coalesce("html", F.lit("")).alias("html"))
 
 
-def blanked(text: Column, pattern: str) -> Column:
-    """Each match overwritten by blanks, line breaks kept, so offsets stay."""
+def blanked(text: Column, pattern: str, start: str | None = None) -> Column:
+    """Each match overwritten by blanks, line breaks kept, so offsets stay. ``start``: literal text that any match begins
+    with and that is found in no text without a match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     blanks = F.concat(F.transform(found, lambda m: F.regexp_replace(m, "[^\\n]", " ")), F.array(F.lit("")))
     parts = F.transform(F.arrays_zip(gaps.alias("g"), blanks.alias("b")), lambda z: F.concat(z["g"], z["b"]))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+    return F.when(F.contains(text, F.lit(start)) if start else text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
 def masked(df: DataFrame, column: str = "html") -> DataFrame:
-    return df.withColumn(column, blanked(F.col(column), COMMENT))
+    return df.withColumn(column, blanked(F.col(column), COMMENT, "<!--"))
 
 
 def tags(pages: DataFrame) -> DataFrame:
     """site_id, page_id, path, seq, offset, end, line, name, closing, self_closing, attrs (raw), of masked pages.
 
-    Names are in lower case, but as written in files of components. Places and lines are running sums over the gaps between tags and the tags before, within the page's row:
-    nothing is shuffled, and pages are told apart whatever their ids.
+    Names are in lower case, but as written in files of components. Places and lines are running sums over the pieces of a page, within the page's row:
+    nothing is shuffled, and pages are told apart whatever their ids. One search finds tags and the text between.
     """
-    html = F.col("html")
-    parts = pages.select("site_id", "page_id", "path", F.regexp_extract_all(html, F.lit(TAG), F.lit(0)).alias("raws"), F.split(html, TAG, -1).alias("gaps"))
+    parts = pages.select("site_id", "page_id", "path", F.col("path").rlike(COMPONENT_FILE).alias("as_written"), F.regexp_extract_all("html", F.lit(PIECE), F.lit(0)).alias("pieces"))
     # Lengths and line breaks as one number, so that one running sum gives both.
-    both = lambda x: F.length(x) + newlines(x) * F.lit(_LINE)
-    sizes = F.zip_with("gaps", "raws", lambda g, r: F.coalesce(both(F.concat(g, r)), both(g)))
-    ends = parts.select("site_id", "page_id", "path", "raws", running_sums(sizes, _LINE).alias("ends"))
-    each = ends.select("site_id", "page_id", "path", F.posexplode(F.arrays_zip("raws", "ends")).alias("seq", "t")).where("t.raws is not null")
-    raw = F.col("t.raws")
+    both = lambda x: F.length(x) * F.lit(_LINE + 1) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) * F.lit(_LINE)
+    ends = parts.select("site_id", "page_id", "path", "as_written", "pieces", running_sums(F.transform("pieces", both), _LINE).alias("ends"))
+    with_tag = F.filter(F.arrays_zip("pieces", "ends"), lambda t: t["pieces"].endswith(">") & F.contains(t["pieces"], F.lit("<")))  # a "<" alone ends its piece
+    each = ends.select("site_id", "page_id", "path", "as_written", F.posexplode(with_tag).alias("seq", "t"))
+    each = each.withColumn("raw", F.substr("t.pieces", F.instr("t.pieces", F.lit("<"))))
+    raw = F.col("raw")
     end, line = F.col("t.ends") % _LINE, F.floor(F.col("t.ends") / _LINE) - newlines(raw)
     written = F.regexp_extract(raw, "^</?([A-Za-z][A-Za-z0-9_:.-]*)", 1)
-    attrs = F.regexp_replace(raw, "^</?[A-Za-z][A-Za-z0-9_:.-]*|/?>$", "")
+    before = F.length(written) + 1 + raw.startswith("</").cast("int")
+    attrs = F.substr(raw, before + 1, F.length(raw) - before - 1 - raw.endswith("/>").cast("int"))
     return each.select(
         "site_id", "page_id", "path", F.col("seq").cast("int").alias("seq"), (end - F.length(raw)).cast("int").alias("offset"), end.cast("int").alias("end"), line.cast("int").alias("line"),
-        F.when(F.col("path").rlike(COMPONENT_FILE), written).otherwise(F.lower(written)).alias("name"), raw.startswith("</").alias("closing"), raw.endswith("/>").alias("self_closing"), attrs.alias("attrs"), raw.alias("raw"),
+        F.when(F.col("as_written"), written).otherwise(F.lower(written)).alias("name"), raw.startswith("</").alias("closing"), raw.endswith("/>").alias("self_closing"), attrs.alias("attrs"), "raw",
     )
 
 
 def attribute(attrs: Column | str, name: str) -> Column:
-    """Value of an attribute; empty if it has none, null if it isn't there."""
+    """Value of an attribute; empty if it has none, null if it isn't there.
+
+    Patterns are tried only on tags that hold the name at all, as few do.
+    """
     a = F.col(attrs) if isinstance(attrs, str) else attrs
     head = f"(?is)(?:^|[\\s\"'/]){name}"
     value = F.regexp_extract(a, f"{head}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1)
-    return F.when(a.rlike(f"{head}\\s*="), F.regexp_replace(value, "^[\"']|[\"']$", "")).when(a.rlike(f"{head}(?=[\\s/>]|$)"), F.lit(""))
+    found = F.when(a.rlike(f"{head}\\s*="), F.regexp_replace(value, "^[\"']|[\"']$", "")).when(a.rlike(f"{head}(?=[\\s/>]|$)"), F.lit(""))
+    return F.when(F.contains(F.lower(a), F.lit(name.lower())), found)
 
 
 def has(attrs: Column | str, name: str) -> Column:
